@@ -247,15 +247,23 @@ def strength_form(
         return age * F.coalesce(F.exp(F.lit(-0.5) * d * d), F.lit(1.0))
 
     framed = framed.withColumn("_used", F.filter("_hist", lambda p: p["ts"] < now))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    # one pass over the weighted history: per stat the weighted sum and the weight of its known values
+    zero = F.struct(*[F.lit(0.0).alias(f"{k}_{s}") for s in stats for k in ("s", "w")])
+
+    def step(acc: Column, wp: Column) -> Column:
+        p, w = wp["p"], wp["w"]
+        fields = []
+        for s in stats:
+            known = p[s].isNotNull()
+            fields.append((acc[f"s_{s}"] + F.when(known, w * p[s]).otherwise(0.0)).alias(f"s_{s}"))
+            fields.append((acc[f"w_{s}"] + F.when(known, w).otherwise(0.0)).alias(f"w_{s}"))
+        return F.struct(*fields)
+
+    weighed = F.transform("_used", lambda p: F.struct(p.alias("p"), weight(p).alias("w")))
+    framed = framed.withColumn("_sums", F.aggregate(weighed, zero, step))
 
     def wmean(stat: str) -> Column:
-        acc = F.aggregate(
-            F.filter("_used", lambda p: p[stat].isNotNull()),
-            zero,
-            lambda a, p: F.struct((a["s"] + weight(p) * p[stat]).alias("s"), (a["w"] + weight(p)).alias("w")),
-        )
-        return F.try_divide(acc["s"], acc["w"])
+        return F.try_divide(F.col(f"_sums.s_{stat}"), F.col(f"_sums.w_{stat}"))
 
     def plain(stat: str) -> Column:
         last = F.slice("_hist", -F.least(F.size("_hist"), F.lit(min_matches)), F.lit(min_matches))
@@ -278,7 +286,7 @@ def strength_form(
             "points_per_game": F.col("_m_pts"),
             "num_matches": n_matches,
         }
-    ).drop("_past", "_hist", "_used", *[f"_m_{s}" for s in stats])
+    ).drop("_past", "_hist", "_used", "_sums", *[f"_m_{s}" for s in stats])
 
 
 def latest_state(sides: DataFrame, values: Iterable[str], cutoff: Column, keys=TEAM_VENUE) -> DataFrame:

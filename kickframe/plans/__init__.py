@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forms"]
+MODULES = ["forms", "clean"]
 
 
 def load_registry():

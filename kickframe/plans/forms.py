@@ -427,7 +427,7 @@ def _(t: Tables):
     "state_at_cutoff",
     "W23 A10",
     sql(
-        f"""SELECT team, venue, kickoff AS last_kickoff, gf, ga, shots_for FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY team, venue
+        f"""SELECT team, venue, kickoff AS last_kickoff, CAST(gf AS BIGINT) AS gf, CAST(ga AS BIGINT) AS ga, CAST(shots_for AS BIGINT) AS shots_for FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY team, venue
         ORDER BY kickoff DESC, opp DESC, fixture_id DESC) AS k FROM sides WHERE kickoff < TIMESTAMP '{CUTOFF}') x WHERE k = 1""",
         "sides",
     ),

@@ -29,12 +29,42 @@ def query(name: str, covers: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, tuple(covers.split()), fn, sql)
+        REGISTRY[name] = Query(name, tuple(covers.split()), fn, nudge_rounds(sql) if sql else None)
         return fn
 
     return register
 
 
+NUDGE = 1e-9
+
+
+def nudge_rounds(text: str) -> str:
+    """Put the tie-breaking nudge inside every ``ROUND(x, 6)``, so that float noise cannot flip a half."""
+    out, at = [], 0
+    stack: list[bool] = []
+    while at < len(text):
+        if text.startswith("ROUND(", at):
+            out.append("ROUND(")
+            stack.append(True)
+            at += 6
+        elif text[at] == "(":
+            out.append("(")
+            stack.append(False)
+            at += 1
+        elif text[at] == ")":
+            rounding = stack.pop()
+            if rounding:
+                body = "".join(out)
+                cut = body.rindex(", 6")
+                out = [body[:cut], " + 1e-9, 6"]
+            out.append(")")
+            at += 1
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
 def settle_types(df: DataFrame) -> DataFrame:
     """Comparable output: integers as bigint, decimals as double, doubles rounded to 6 places without -0.0."""
     out = []
@@ -43,7 +73,7 @@ def settle_types(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))

@@ -31,7 +31,7 @@ def canon(df: pd.DataFrame) -> list[tuple]:
             elif isinstance(v, bool):
                 cells.append(str(v))
             elif isinstance(v, float):
-                cells.append(repr(v + 0.0))
+                cells.append(str(int(v)) if v == int(v) else repr(v))
             else:
                 cells.append(str(v))
         out.append(tuple(cells))
