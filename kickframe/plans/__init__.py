@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forms", "clean"]
+MODULES = ["forms", "clean", "summaries"]
 
 
 def load_registry():
