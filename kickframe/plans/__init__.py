@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forms", "clean", "summaries"]
+MODULES = ["forms", "clean", "summaries", "markets"]
 
 
 def load_registry():
