@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forms", "clean", "summaries", "markets"]
+MODULES = ["forms", "clean", "summaries", "markets", "joins", "picks"]
 
 
 def load_registry():
