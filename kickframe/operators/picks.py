@@ -1,7 +1,8 @@
 """Candidates, gates, selection with quota, stakes and settlement-ready picks.
 
-Everything about one fixture stays on its row: candidates are an array of structs, gates an array of reason
-codes, the best candidate an array minimum. Only the quota per round needs a shuffle.
+Fixture-level facts are computed once per fixture, then one row per market is generated next to them, so
+gates and scores are plain column expressions without a shuffle. The best market per fixture and the quota
+per round are the only exchanges.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def low_scoring(rules: PickRules) -> Column:
     return sum((is_true(s).cast("int") for s in signs), F.lit(0)) >= 2
 
 
-def candidates(preds: DataFrame, rules: PickRules) -> DataFrame:
-    """Adds ``cands``: one struct per market with probability, price, tier, reasons, score and eligibility."""
+def candidates(preds: DataFrame, rules: PickRules, keep: list[str]) -> DataFrame:
+    """One row per fixture and market with probability, price, gate tier, reasons, score and eligibility."""
     df = preds.withColumns(
         {
             "neff_min": _low_of("neff_h", "neff_a"),
@@ -80,69 +81,75 @@ def candidates(preds: DataFrame, rules: PickRules) -> DataFrame:
     )
     primary = tuple(_by_league({lg: g[i] for lg, g in rules.evidence_primary.items()}, rules.evidence_default[i]) for i in range(3))
     fallback = tuple(F.lit(x) for x in rules.evidence_fallback)
-    df = df.withColumn("_miss", F.size(reasons(*_evidence_gaps(primary))))
-    df = df.withColumn("gate_tier", F.when(F.col("_miss") == 0, "primary").otherwise("fallback"))
-    lo, hi = rules.mu_total
-    total = F.col("mu_total")
-    base = F.concat(
-        reasons((is_true(total < lo), "G2_FAIL_LOW_MU_TOTAL"), (~is_true(total <= hi) & ~is_true(total < lo), "G2_FAIL_HIGH_MU_TOTAL")),
-        F.when(F.col("gate_tier") == "primary", F.array().cast("array<string>")).otherwise(reasons(*_evidence_gaps(fallback))),
-    )
+    strong = F.lit(True)
+    for missing, _ in _evidence_gaps(primary):
+        strong = strong & ~missing
+    df = df.withColumn("gate_tier", F.when(strong, "primary").otherwise("fallback"))
     positive = lambda c: F.greatest(F.col(c), F.lit(0.0))
-    evidence = 0.01 * F.log(1.0 + positive("neff_min")) + 0.005 * (positive("press_n_min") + positive("xg_n_min"))
     tier = F.lit(0.0)
     for (league, name), bonus in rules.tier_bonus.items():
         tier = tier + F.when((F.col("league") == league) & (F.col("gate_tier") == name), bonus).otherwise(0.0)
-    yes = F.col("p_btts_joint") if rules.btts_source == "joint" else (1 - F.exp(-F.col("mu_home"))) * (1 - F.exp(-F.col("mu_away")))
-    df = df.withColumns({"_base": base, "_evid": evidence, "_tier": tier, "_yes": yes})
-    prob = {"OU25_OVER": F.col("p_over"), "OU25_UNDER": F.col("p_under"), "BTTS_YES": F.col("_yes"), "BTTS_NO": 1 - F.col("_yes")}
-    odds = dict(zip(MARKETS, ("odds_over", "odds_under", "odds_yes", "odds_no")))
-
-    def one(market: str, rank: int) -> Column:
-        p, o = prob[market], F.col(odds[market])
-        blocked = F.col("league").isin([lg for lg, ms in rules.blocked.items() if market in ms]) if rules.blocked else F.lit(False)
-        limit = _by_league({lg: c[0 if market.startswith("OU") else 1] for lg, c in rules.calibration.items()}, None).cast("double")
-        below = {"OU25_OVER": p < limit, "BTTS_YES": p < limit, "BTTS_NO": (1 - p) > limit}.get(market, F.lit(False))
-        why = F.concat(
-            F.col("_base"),
-            reasons(
-                (blocked, "G7_FAIL_LEAGUE_MARKET_BLOCKED"),
-                (below, f"G6_FAIL_CALIB_{market}"),
-                (o <= rules.odds_min, "G1_FAIL_LOW_ODDS"),
-                (~is_true(p > rules.min_prob), "G5_FAIL_LOW_MODEL_PROB"),
-            ),
-        )
-        bonus = F.lit(0.0)
-        for (league, m), b in rules.market_bonus.items():
-            if m == market:
-                bonus = bonus + F.when(F.col("league") == league, b).otherwise(0.0)
-        if market == "OU25_UNDER":
-            bonus = bonus + F.when(F.col("low_scoring") == 1, rules.low_scoring_bonus).otherwise(0.0)
-        score = (
-            F.greatest(F.coalesce(p, F.lit(0.5)) - 0.5, F.lit(0.0)) * 2.0
-            + F.col("_evid")
-            + bonus
-            + F.when(o > rules.odds_min, rules.priced_bonus).otherwise(0.0)
-            + F.col("_tier")
-        )
-        return F.struct(
-            F.lit(market).alias("market"),
-            F.lit(rank).alias("market_rank"),
-            o.alias("odds"),
-            p.alias("p_model"),
-            (p * o - 1).alias("ev"),
-            F.round(score, 10).alias("score"),
-            (F.size(why) == 0).alias("eligible"),
-            F.array_join(F.array_sort(why), "|").alias("reasons"),
-        )
-
-    df = df.withColumn("cands", F.array(*[one(m, i) for i, m in enumerate(MARKETS)]))
-    return df.drop("_miss", "_base", "_evid", "_tier", "_yes")
-
-
-def candidate_rows(preds: DataFrame, rules: PickRules, keep: list[str]) -> DataFrame:
-    """Long debug table, one row per fixture and market."""
-    return candidates(preds, rules).select(*keep, "gate_tier", "low_scoring", F.inline("cands"))
+    independent = (1 - F.exp(-F.col("mu_home"))) * (1 - F.exp(-F.col("mu_away")))
+    df = df.withColumns(
+        {
+            "_evid": 0.01 * F.log(1.0 + positive("neff_min")) + 0.005 * (positive("press_n_min") + positive("xg_n_min")) + tier,
+            "_yes": F.col("p_btts_joint") if rules.btts_source == "joint" else independent,
+        }
+    )
+    facts = ["neff_min", "press_n_min", "xg_n_min", "low_scoring", "gate_tier"]
+    needed = ["league", "mu_total", "p_over", "p_under", "odds_over", "odds_under", "odds_yes", "odds_no", "_evid", "_yes"]
+    columns = list(dict.fromkeys([*keep, *facts, *needed]))
+    rows = df.select(*columns, F.posexplode(F.array(*[F.lit(m) for m in MARKETS])).alias("market_rank", "market"))
+
+    m = F.col("market")
+    by_market = lambda over, under, yes, no: F.when(m == "OU25_OVER", over).when(m == "OU25_UNDER", under).when(m == "BTTS_YES", yes).otherwise(no)
+    c = F.col
+    rows = rows.withColumns(
+        {
+            "p_model": by_market(c("p_over"), c("p_under"), c("_yes"), 1 - c("_yes")),
+            "odds": by_market(c("odds_over"), c("odds_under"), c("odds_yes"), c("odds_no")),
+        }
+    )
+    lo, hi = rules.mu_total
+    p, o, total = c("p_model"), c("odds"), c("mu_total")
+    blocked = F.lit(False)
+    for league, names in rules.blocked.items():
+        blocked = blocked | ((c("league") == league) & m.isin(list(names)))
+    limits = {i: _by_league({lg: x[i] for lg, x in rules.calibration.items()}, None).cast("double") for i in (0, 1)}
+    calibrated = [
+        ((m == "OU25_OVER") & (p < limits[0]), "G6_FAIL_CALIB_OU25_OVER"),
+        ((m == "BTTS_YES") & (p < limits[1]), "G6_FAIL_CALIB_BTTS_YES"),
+        ((m == "BTTS_NO") & (1 - p > limits[1]), "G6_FAIL_CALIB_BTTS_NO"),
+    ]
+    weak = c("gate_tier") == "fallback"
+    # in alphabetical order, the order reasons are reported in
+    gates = [
+        (o <= rules.odds_min, "G1_FAIL_LOW_ODDS"),
+        (~is_true(total <= hi) & ~is_true(total < lo), "G2_FAIL_HIGH_MU_TOTAL"),
+        (total < lo, "G2_FAIL_LOW_MU_TOTAL"),
+        *[(weak & gap, label) for gap, label in _evidence_gaps(fallback)],
+        (~is_true(p > rules.min_prob), "G5_FAIL_LOW_MODEL_PROB"),
+        *(calibrated if rules.calibration else []),
+        (blocked, "G7_FAIL_LEAGUE_MARKET_BLOCKED"),
+    ]
+    bonus = F.when((m == "OU25_UNDER") & (c("low_scoring") == 1), rules.low_scoring_bonus).otherwise(0.0)
+    for (league, name), b in rules.market_bonus.items():
+        bonus = bonus + F.when((c("league") == league) & (m == name), b).otherwise(0.0)
+    edge = F.greatest(F.coalesce(p, F.lit(0.5)) - 0.5, F.lit(0.0)) * 2.0
+    score = edge + c("_evid") + bonus + F.when(o > rules.odds_min, rules.priced_bonus).otherwise(0.0)
+    any_gate = F.lit(False)
+    for cond, _ in gates:
+        any_gate = any_gate | is_true(cond)
+    rows = rows.withColumns(
+        {
+            "ev": p * o - 1,
+            "score": F.round(score, 10),
+            "eligible": ~any_gate,
+            "reasons": F.concat_ws("|", *[F.when(cond, F.lit(label)) for cond, label in gates]),
+        }
+    )
+    out = list(dict.fromkeys([*keep, *facts, "league"]))
+    return rows.select(*out, "market", "market_rank", "odds", "p_model", "ev", "score", "eligible", "reasons")
 
 
 def _sort_key(rules: PickRules, score: Column, p: Column, tier: Column, neff: Column, rank: Column, market: Column) -> Column:
@@ -160,8 +167,7 @@ def select_picks(preds: DataFrame, rules: PickRules, round_keys: list[str], keep
 
     First-tier picks fill the quota alone once there are ``target`` of them.
     """
-    carried = list(dict.fromkeys(["fixture_id", "league", *round_keys, *keep, "gate_tier", "low_scoring", "neff_min", "press_n_min", "xg_n_min"]))
-    rows = candidates(preds, rules).select(*carried, F.inline("cands")).filter("eligible")
+    rows = candidates(preds, rules, list(dict.fromkeys(["fixture_id", *round_keys, *keep]))).filter("eligible").drop("eligible", "reasons")
     key = _sort_key(rules, *[F.col(c) for c in ("score", "p_model", "gate_tier", "neff_min", "market_rank", "market")])
     # the rows of a fixture sit in one partition, so the partial aggregate already leaves one of them
     best = rows.groupBy("fixture_id").agg(F.min(F.struct(key.alias("k"), F.struct(*[c for c in rows.columns if c != "fixture_id"]).alias("c"))).alias("_b"))

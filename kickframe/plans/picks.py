@@ -176,7 +176,7 @@ CAND_SQL = """c0 AS (SELECT *, CASE WHEN neff_h IS NOT NULL THEN LEAST(neff_h, n
     ),
 )
 def _(t: Tables):
-    rows = pk.candidate_rows(t.priced, rules(), ["fixture_id", "neff_h", "neff_a"])
+    rows = pk.candidates(t.priced, rules(), ["fixture_id", "neff_h", "neff_a"])
     score = F.when(F.col("neff_h").isNotNull(), F.col("score"))
     return rows.select("fixture_id", "market", "gate_tier", "low_scoring", "p_model", "ev", "eligible", "reasons", score.alias("score"))
 
