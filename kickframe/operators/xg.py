@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import clamp
+from kickframe.session import cut_lineage
 
 
 def league_calibration(
@@ -28,3 +31,131 @@ def opponent_factor(df: DataFrame, limits: tuple[float, float] = (0.8, 1.2)) ->
     joined = df.join(per_league, "league", "left").withColumn("_ref", F.coalesce("_lg", overall))
     factor = lambda c: clamp(F.col(c) / F.col("_ref"), *limits)
     return joined.withColumns({"factor_home": factor("elo_away"), "factor_away": factor("elo_home")}).drop("_lg", "_ref")
+
+
+def week_index(ts: str) -> Column:
+    """Number of the Monday-based week."""
+    return F.floor((F.unix_date(F.to_date(ts)) + 3) / 7)
+
+
+def _newton_step(stats: np.ndarray, n: float, mean: np.ndarray, std: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
+    """Next standardised coefficients from raw sums ``[sum mu z z' | sum (mu - y) z]`` with z = (1, x)."""
+    q = len(b)
+    hess, grad = stats[: q * q].reshape(q, q), stats[q * q :]
+    to_std = np.eye(q)
+    to_std[1:, 1:] = np.diag(1.0 / std)
+    to_std[1:, 0] = -mean / std
+    penalty = np.diag([0.0] + [alpha] * (q - 1))
+    h = to_std @ hess @ to_std.T / n + penalty
+    g = to_std @ grad / n + penalty @ b
+    return b - np.linalg.solve(h + 1e-12 * np.eye(q), g)
+
+
+def _raw_coef(b: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    w = b[1:] / std
+    return np.concatenate([[b[0] - (w * mean).sum()], w])
+
+
+def walk_forward(
+    sides: DataFrame,
+    features: list[str],
+    goal: str = "gf",
+    week: str = "week",
+    alpha: float = 0.1,
+    min_rows: int = 30,
+    prior: float = 1.25,
+    refit_weeks: int = 1,
+    rounds: int = 25,
+    tol: float = 1e-9,
+) -> DataFrame:
+    """Expected goals of every side row from a Poisson regression on all strictly earlier weeks.
+
+    Objective per fit: mean half deviance + alpha/2 |w|^2 on standardised features, intercept free. All
+    weeks are fitted together: one pass adds every row to the sums of all later fits inside its partition,
+    and only those sums (fits x features^2, bounded by the calendar) meet. ``refit_weeks`` spaces the fits.
+    """
+    keep = ["fixture_id", "venue", week, *features]
+    usable = F.lit(True)
+    for c in features:
+        usable = usable & F.col(c).isNotNull() & (F.col(c) >= 0)
+    rows = sides.filter(usable).select(*keep, F.col(goal).cast("double").alias("_y")).withColumns({c: F.col(c).cast("double") for c in features})
+    rows = cut_lineage(rows)
+    train = rows.filter("_y IS NOT NULL")
+    sums = [F.count(F.lit(1)).alias("n")]
+    for c in features:
+        sums += [F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}")]
+    for v in ("home", "away"):
+        sums += [F.sum(F.when(F.col("venue") == v, F.col("_y"))).alias(f"y_{v}"), F.count_if(F.col("venue") == v).alias(f"n_{v}")]
+    per_week = train.groupBy(week).agg(*sums).orderBy(week).toPandas().fillna(0.0)  # one row per calendar week
+    weeks = np.array(sorted(r[0] for r in rows.select(week).distinct().collect()), dtype=np.int64)
+    marks = weeks[:: max(1, refit_weeks)]
+    upto = np.searchsorted(per_week[week].to_numpy(), marks)
+    csum = per_week.drop(columns=[week]).cumsum().to_numpy(float)
+    names = [c for c in per_week.columns if c != week]
+    before = {n: np.array([csum[k - 1, i] if k else 0.0 for k in upto]) for i, n in enumerate(names)}
+    n = before["n"]
+    fit = np.flatnonzero(n >= min_rows)
+    nf = n[fit]
+    mean = np.stack([before[f"s_{c}"][fit] / nf for c in features], 1) if len(fit) else np.zeros((0, len(features)))
+    var = np.stack([before[f"q_{c}"][fit] / nf for c in features], 1) - mean**2 if len(fit) else mean
+    std = np.where(var > 1e-12, np.sqrt(np.maximum(var, 1e-300)), 1.0)
+    total = (before["y_home"] + before["y_away"])[fit]
+    b = np.zeros((len(fit), len(features) + 1))
+    b[:, 0] = np.log(np.maximum(total / np.maximum(nf, 1.0), 1e-6))
+    q = len(features) + 1
+    cuts = marks[fit]
+
+    def partial(coef: np.ndarray):
+        def run(batches):
+            acc = np.zeros((len(cuts), q * q + q))
+            for pdf in batches:
+                z = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
+                mu = np.exp(np.clip(z @ coef.T, -30, 30)) * (pdf[week].to_numpy()[:, None] < cuts[None, :])
+                outer = (z[:, :, None] * z[:, None, :]).reshape(len(z), q * q)
+                acc[:, : q * q] += mu.T @ outer
+                seen = (pdf[week].to_numpy()[:, None] < cuts[None, :]).astype(float)
+                acc[:, q * q :] += mu.T @ z - seen.T @ (z * pdf["_y"].to_numpy()[:, None])
+            yield pd.DataFrame(np.column_stack([np.arange(len(cuts)), acc]), columns=["fit", *[f"v{i}" for i in range(q * q + q)]])
+
+        return run
+
+    schema = "fit double, " + ", ".join(f"v{i} double" for i in range(q * q + q))
+    for _ in range(rounds if len(fit) else 0):
+        raw = np.stack([_raw_coef(b[i], mean[i], std[i]) for i in range(len(fit))])
+        got = train.select(week, "_y", *features).mapInPandas(partial(raw), schema).groupBy("fit").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(q * q + q)])
+        stats = got.orderBy("fit").toPandas().to_numpy()[:, 1:]
+        nxt = np.stack([_newton_step(stats[i], nf[i], mean[i], std[i], b[i], alpha) for i in range(len(fit))])
+        moved = np.abs(nxt - b).max()
+        b = nxt
+        if moved < tol:
+            break
+    raw = {int(cuts[i]): _raw_coef(b[i], mean[i], std[i]) for i in range(len(fit))}
+    flat = {
+        int(m): (before["y_home"][i] / before["n_home"][i] if before["n_home"][i] else prior, before["y_away"][i] / before["n_away"][i] if before["n_away"][i] else prior)
+        for i, m in enumerate(marks)
+    }
+
+    def predict(batches):
+        for pdf in batches:
+            wk = pdf[week].to_numpy()
+            at = marks[np.searchsorted(marks, wk, side="right") - 1]
+            out = np.empty(len(pdf))
+            for m in np.unique(at):
+                pick = at == m
+                if int(m) in raw:
+                    z = np.column_stack([np.ones(pick.sum()), pdf.loc[pick, features].to_numpy(float)])
+                    out[pick] = np.exp(np.clip(z @ raw[int(m)], -30, 30))
+                else:
+                    home, away = flat[int(m)]
+                    out[pick] = np.where(pdf.loc[pick, "venue"] == "home", home, away)
+            yield pd.DataFrame({"fixture_id": pdf["fixture_id"], "venue": pdf["venue"], "xg": out})
+
+    return rows.select(*keep).mapInPandas(predict, "fixture_id long, venue string, xg double")
+
+
+def impute_medians(df: DataFrame, columns: list[str], defaults: dict[str, float]) -> DataFrame:
+    """Missing values by the column median, else by a default."""
+    from kickframe.operators.quantiles import grouped_quantiles
+
+    fills = {c: grouped_quantiles(df, [], c, {"m": 0.5}).select("m").scalar() for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fills[c], F.lit(defaults.get(c, 0.0))) for c in columns})
