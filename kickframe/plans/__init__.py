@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forms", "clean", "summaries", "markets", "joins", "picks", "ratings", "sources", "quality", "models"]
+MODULES = ["forms", "clean", "summaries", "markets", "joins", "picks", "ratings", "sources", "quality", "models", "streams"]
 
 
 def load_registry():
