@@ -509,7 +509,7 @@ def _(t: Tables):
 
 @query(
     "minute_lists",
-    "P34 A12",
+    "P34 A12 X04",
     "SELECT l_orderkey AS fixture_id, COUNT(*) AS n, CAST(SUM(1 + (l_orderkey * 7 + l_linenumber * 13) % 90) AS BIGINT) AS total FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1",
 )
 def _(t: Tables):

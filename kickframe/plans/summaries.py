@@ -168,7 +168,7 @@ def _(t: Tables):
     "league_snapshot_z",
     "A11",
     sql(
-        """SELECT s.team, ROUND(CASE WHEN sd > 1e-9 THEN (g - m) / sd ELSE 0 END, 6) AS z FROM s JOIN (SELECT league, AVG(g) AS m, stddev_pop(g) AS sd FROM s GROUP BY league) USING (league)""",
+        """SELECT s.team, ROUND(COALESCE(CASE WHEN sd > 1e-9 THEN (g - m) / sd END, 0), 6) AS z FROM s JOIN (SELECT league, AVG(g) AS m, stddev_pop(g) AS sd FROM s GROUP BY league) USING (league)""",
         "sides",
         "s AS (SELECT league, team, AVG(gf) AS g FROM sides GROUP BY ALL)",
     ),
