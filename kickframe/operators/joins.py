@@ -6,13 +6,15 @@ import difflib
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import unix
-from kickframe.operators.ordered import START, last_before, ordinal, running, time_slice
+from kickframe.operators.ordered import last_before, ordinal, running, time_slice
+from kickframe.session import python_partitions
 
 YEAR_SECONDS = 365 * 86400
 
@@ -83,7 +85,7 @@ REACH = 8.0
 
 
 def kernel_history(
-    sides: DataFrame, sigma: float = 60.0, min_eff: float = 5.0, block_rows: int = 256, keys: Sequence[str] = ("team", "venue")
+    sides: DataFrame, sigma: float = 60.0, min_eff: float = 5.0, block_rows: int = 1024, keys: Sequence[str] = ("team", "venue")
 ) -> DataFrame:
     """Goals for and against versus opponents rated like the current one, over all strictly earlier matches.
 
@@ -97,19 +99,27 @@ def kernel_history(
     known = F.col("opp_elo").isNotNull() & F.col("gf").isNotNull() & F.col("ga").isNotNull()
     num = ordinal(sides, keys, ["kickoff"], time_slice("kickoff"), "_rn", ties=True)
     num = num.withColumns({"_blk": F.floor((F.col("_rn") - 1) / block_rows), "_t": unix("kickoff")})
-    w = W.partitionBy(*keys, "_blk").orderBy("_t").rangeBetween(START, -1)
-    entry = F.when(known, F.struct(F.col("opp_elo").cast("double").alias("r"), F.col("gf").cast("double").alias("f"), F.col("ga").cast("double").alias("a")))
-    near = num.withColumn("_past", F.collect_list(entry).over(w))
     sums = ["w", "f", "a", "q", "n", "bf", "ba"]
-    zero = F.struct(*[F.lit(0.0).alias(s) for s in sums])
 
-    def step(acc: Column, p: Column) -> Column:
-        d = (p["r"] - F.col("opp_elo")) / F.lit(sigma)
-        g = F.exp(F.lit(-0.5) * d * d)
-        add = {"w": g, "f": g * p["f"], "a": g * p["a"], "q": g * g, "n": F.lit(1.0), "bf": p["f"], "ba": p["a"]}
-        return F.struct(*[(acc[s] + add[s]).alias(s) for s in sums])
-
-    near = near.withColumn("_s", F.aggregate("_past", zero, step)).drop("_past")
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, r = pdf["_t"].to_numpy(), pdf["opp_elo"].to_numpy(float)
+        f, a = pdf["gf"].to_numpy(float), pdf["ga"].to_numpy(float)
+        ok = ~(np.isnan(r) | np.isnan(f) | np.isnan(a))
+        past = (t[None, ok] < t[:, None]).astype(float)
+        with np.errstate(invalid="ignore"):
+            g = np.exp(-0.5 * ((r[None, ok] - r[:, None]) / sigma) ** 2) * past
+        g = np.nan_to_num(g)
+        out = pdf[["fixture_id", *keys]].copy()
+        for name, m, x in (("w", g, None), ("f", g, f), ("a", g, a), ("q", g * g, None), ("n", past, None), ("bf", past, f), ("ba", past, a)):
+            out[name] = m.sum(1) if x is None else m @ x[ok]
+        return out
+
+    kinds = dict(num.dtypes)
+    schema = ", ".join([f"fixture_id {kinds['fixture_id']}", *[f"`{k}` {kinds[k]}" for k in keys], *[f"{x} double" for x in sums]])
+    # a group is one block, at most block_rows rows (and ties), however long its key is
+    narrow = num.select("fixture_id", *keys, "_blk", "_t", "opp_elo", "gf", "ga").repartition(python_partitions(num.sparkSession), *keys, "_blk")
+    local = narrow.groupBy(*keys, "_blk").applyInPandas(weigh, schema)
+    near = num.join(local.select("fixture_id", *keys, F.struct(*sums).alias("_s")), ["fixture_id", *keys])
     longest = sides.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest > block_rows:
         far = _far_sums(num, keys, sigma, known)
@@ -251,7 +261,7 @@ def alias_suggestions(unknown: DataFrame, canonical: DataFrame, min_score: float
     la, lb = F.length("unknown"), F.length("canonical")
     cand = cand.filter(2 * F.least(la, lb) >= min_score * (la + lb))
     # scoring is Python work: spread the pairs over all cores, AQE would merge such small rows into few tasks
-    cand = cand.repartition(unknown.sparkSession.sparkContext.defaultParallelism * 4, "unknown", "canonical")
+    cand = cand.repartition(python_partitions(unknown.sparkSession), "unknown", "canonical")
     scored = cand.withColumn("score", name_similarity(F.col("unknown"), F.col("canonical"))).filter(F.col("score") >= min_score)
     best = scored.groupBy("unknown").agg(F.max_by(F.struct("canonical", "score"), F.struct(F.round("score", 9), F.col("canonical"))).alias("_b"))
     return best.select("unknown", "_b.canonical", "_b.score")
@@ -270,7 +280,7 @@ def fuzzy_fixtures(feed: DataFrame, fixtures: DataFrame, min_score: float = 1.2,
     left = left.withColumn("_g", F.explode(grams("home_raw", "away_raw")))
     right = fixtures.select("fixture_id", "league", F.col("day").alias("_day"), "home", "away").withColumn("_g", F.explode(grams("home", "away")))
     cand = left.join(right, ["league", "_day", "_g"]).select("row_id", "day", "_day", "home_raw", "away_raw", "fixture_id", "home", "away").distinct()
-    cand = cand.repartition(feed.sparkSession.sparkContext.defaultParallelism * 4, "row_id", "fixture_id")
+    cand = cand.repartition(python_partitions(feed.sparkSession), "row_id", "fixture_id")
     score = (
         name_similarity(F.col("home_raw"), F.col("home"))
         + name_similarity(F.col("away_raw"), F.col("away"))

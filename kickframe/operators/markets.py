@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import clamp, col
@@ -132,20 +133,19 @@ def placeholder_odds(market: Column) -> Column:
 def value_book(book: DataFrame, keys: list[str], margin: float = DEFAULT_MARGIN, placeholders: bool = False) -> DataFrame:
     """Fair odds, synthetic prices where missing, normalised implied probability, edge and EV.
 
-    Needs ``market, outcome, prob, odds``. EV is missing for synthetic prices.
+    Needs ``market, outcome, prob, odds``, one row per key, market and outcome (dedupe first), so a market's
+    window holds at most its outcomes. EV is missing for synthetic prices.
     """
-    grp = [*keys, "market"]
     if placeholders:
         book = book.withColumn("odds", placeholder_odds(F.col("market")))
-    total = book.groupBy(*grp).agg(F.sum("prob").alias("_sp"), F.count(F.lit(1)).alias("_k"))
-    df = book.join(total, grp)
+    grp = W.partitionBy(*keys, "market")
+    df = book.withColumns({"_sp": F.sum("prob").over(grp), "_k": F.count(F.lit(1)).over(grp)})
     fair = F.when(F.col("_sp") > 0, F.col("prob") / F.col("_sp")).otherwise(1.0 / F.col("_k"))
     synth = 1.0 / F.greatest(fair * (1.0 + margin), F.lit(1e-6))
     odds = F.greatest(F.coalesce("odds", synth), F.lit(1.01))
     df = df.withColumns({"price_source": F.when(F.col("odds").isNull(), "synth").otherwise("real"), "odds": odds})
     df = df.withColumn("p_imp", 1.0 / F.col("odds"))
-    sums = df.groupBy(*grp).agg(F.sum("p_imp").alias("_si"))
-    df = df.join(sums, grp)
+    df = df.withColumn("_si", F.sum("p_imp").over(grp))
     return df.withColumns(
         {
             "fair_odds": 1.0 / F.greatest("prob", F.lit(1e-9)),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kickframe import config
 from kickframe.functions.cols import band, unix
 from kickframe.operators.ordered import ordinal, running, time_slice
-from kickframe.session import cut_lineage
+from kickframe.session import cut_lineage, python_partitions
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,7 @@ def elo_series(df: DataFrame, pool: str = "league", rules: EloRules | None = Non
     small = base.join(large, pool, "left_anti") if has_large else base
     needed = small.select(pool, "fixture_id", "_t", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual")
     schema = "fixture_id long, " + ", ".join(f"{c} double" for c in TRACE)
+    needed = needed.repartition(python_partitions(df.sparkSession), pool)
     out = needed.groupBy(pool).applyInPandas(lambda pdf: _walk(pdf, rules), schema)
     out = out.select("fixture_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TRACE])
     if has_large:
@@ -222,6 +223,8 @@ def state_z(
     from kickframe.functions.cols import zscore
     from kickframe.operators.ordered import last_before
 
+    # the table is read by several branches below: write it once instead of recomputing its windows
+    matches = cut_lineage(matches)
     cut = time_slice("kickoff")
     v, p, st = F.col("_v"), F.col("_p"), F.col("_st")
     rows = [

@@ -14,6 +14,7 @@ from kickframe.plans.fixtures import Tables, sql
 from kickframe.plans.markets import VAL_CTE, valued
 from kickframe.plans.registry import query
 from kickframe.plans.summaries import BETS_SQL, bets
+from kickframe.session import cut_lineage
 
 
 def ID():
@@ -335,7 +336,7 @@ HIT_SQL = (
 
 def scored_picks(t: Tables):
     """Picks with outcome and round number; rounds are the distinct weeks of a league."""
-    p = picks(t).withColumn("hit", st.won(F.col("market"), F.col("ft_home"), F.col("ft_away")))
+    p = cut_lineage(picks(t).withColumn("hit", st.won(F.col("market"), F.col("ft_home"), F.col("ft_away"))))
     weeks = ordinal(p.select("league", "week").distinct(), ["league"], ["week"], time_slice("week"), "round_idx")
     return p.join(weeks, ["league", "week"])
 
