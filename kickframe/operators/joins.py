@@ -260,9 +260,15 @@ def alias_suggestions(unknown: DataFrame, canonical: DataFrame, min_score: float
     # ratio >= s needs 2M >= s (|a|+|b|); a length gap beyond that can not reach it
     la, lb = F.length("unknown"), F.length("canonical")
     cand = cand.filter(2 * F.least(la, lb) >= min_score * (la + lb))
-    # scoring is Python work: spread the pairs over all cores, AQE would merge such small rows into few tasks
-    cand = cand.repartition(python_partitions(unknown.sparkSession), "unknown", "canonical")
-    scored = cand.withColumn("score", name_similarity(F.col("unknown"), F.col("canonical"))).filter(F.col("score") >= min_score)
+    # the ratio is at most 1 - edits / length: score the most promising name first, then only names that can beat it
+    cap = 1.0 - F.levenshtein("unknown", "canonical") / (la + lb)
+    cand = cand.select("unknown", "canonical", cap.alias("_cap")).filter(F.col("_cap") >= min_score - 1e-9)
+    lead = cand.groupBy("unknown").agg(F.max_by("canonical", F.struct("_cap", "canonical")).alias("canonical"))
+    parts = python_partitions(unknown.sparkSession)
+    ratio = name_similarity(F.col("unknown"), F.col("canonical"))
+    floor = lead.repartition(parts, "unknown").select("unknown", ratio.alias("_floor"))
+    left = cand.join(floor, "unknown").filter(F.col("_cap") >= F.col("_floor") - 1e-9).select("unknown", "canonical")
+    scored = left.repartition(parts, "unknown", "canonical").withColumn("score", ratio).filter(F.col("score") >= min_score)
     best = scored.groupBy("unknown").agg(F.max_by(F.struct("canonical", "score"), F.struct(F.round("score", 9), F.col("canonical"))).alias("_b"))
     return best.select("unknown", "_b.canonical", "_b.score")
 
