@@ -227,13 +227,16 @@ def tolerant_price(left: DataFrame, prices: DataFrame, keys: Sequence[str], day:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Matching-block ratio of two names, Arrow-batched."""
+    """Matching-block ratio of two names, Arrow-batched.
+
+    Marked non-deterministic so that a filter on it is not pushed below the dedupe of candidate pairs.
+    """
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)
 
 
 def bigrams(c: Column) -> Column:
