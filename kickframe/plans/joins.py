@@ -175,12 +175,12 @@ def _(t: Tables):
         LEFT JOIN sh p ON p.home = m.home AND p.away = m.away AND p.d = CAST(m.kickoff AS DATE) + o.off WHERE p.price IS NOT NULL) WHERE k = 1
         UNION ALL SELECT fixture_id, NULL, NULL FROM matches m WHERE NOT EXISTS (SELECT 1 FROM sh p WHERE p.home = m.home AND p.away = m.away AND p.d BETWEEN CAST(m.kickoff AS DATE) - 1 AND CAST(m.kickoff AS DATE) + 1)""",
         "",
-        "sh AS (SELECT home, away, CAST(kickoff AS DATE) + CAST(fixture_id % 3 - 1 AS INT) AS d, MIN(odds_over) AS price FROM matches WHERE odds_over IS NOT NULL AND fixture_id % 4 <> 0 GROUP BY ALL)",
+        "sh AS (SELECT home, away, CAST(kickoff AS DATE) + CAST(fixture_id % 3 - 1 AS INT) AS d, MIN(odds_over) AS price FROM matches WHERE odds_over IS NOT NULL GROUP BY ALL)",
     ),
 )
 def _(t: Tables):
     day = F.to_date("kickoff")
-    shifted = t.matches.filter((F.col("odds_over").isNotNull()) & (ID() % 4 != 0)).select(
+    shifted = t.matches.filter("odds_over IS NOT NULL").select(
         "home", "away", F.date_add(day, (ID() % 3 - 1).cast("int")).alias("day"), F.col("odds_over").alias("price")
     )
     left = t.matches.select("fixture_id", "home", "away", day.alias("day"))
@@ -191,24 +191,24 @@ def _(t: Tables):
     "availability_lookup",
     "J17",
     sql(
-        """SELECT s.fixture_id, s.team, ROUND(a.w, 6) AS availability FROM sides s LEFT JOIN (SELECT CAST(kickoff AS DATE) AS d, team, MIN(1 - (fixture_id % 10) / 20e0) AS w FROM sides WHERE fixture_id % 3 = 0 GROUP BY ALL) a
+        """SELECT s.fixture_id, s.team, ROUND(a.w, 6) AS availability FROM sides s LEFT JOIN (SELECT CAST(kickoff AS DATE) AS d, team, MIN(1 - (fixture_id % 10) / 20e0) AS w FROM sides WHERE gf >= 2 GROUP BY ALL) a
         ON a.team = s.team AND a.d = CAST(s.kickoff AS DATE)""",
         "sides",
     ),
 )
 def _(t: Tables):
     day = F.to_date("kickoff")
-    absences = t.sides.filter(ID() % 3 == 0).groupBy(day.alias("day"), "team").agg(F.min(1 - (ID() % 10) / 20.0).alias("availability"))
+    absences = t.sides.filter("gf >= 2").groupBy(day.alias("day"), "team").agg(F.min(1 - (ID() % 10) / 20.0).alias("availability"))
     return t.sides.select("fixture_id", "team", day.alias("day")).join(absences, ["day", "team"], "left").select("fixture_id", "team", "availability")
 
 
 @query(
     "external_xg_merge",
     "J20",
-    sql("SELECT fixture_id, home, ROUND(CASE WHEN fixture_id % 4 <> 0 THEN shots_h / 10e0 END, 6) AS xg FROM matches"),
+    sql("SELECT fixture_id, home, ROUND(CASE WHEN pos_h IS NOT NULL THEN shots_h / 10e0 END, 6) AS xg FROM matches"),
 )
 def _(t: Tables):
-    feed = coded(t).filter(ID() % 4 != 0).select("fixture_id", F.concat(F.lit("FC "), F.lower("home")).alias("raw"), (F.col("shots_h") / 10.0).alias("xg"))
+    feed = coded(t).filter("pos_h IS NOT NULL").select("fixture_id", F.concat(F.lit("FC "), F.lower("home")).alias("raw"), (F.col("shots_h") / 10.0).alias("xg"))
     mapped = normalise_team(feed, "raw", registry_of(t), "home").select("fixture_id", "home", "xg")
     return t.matches.select("fixture_id", "home").join(mapped, ["fixture_id", "home"], "left").select("fixture_id", "home", "xg")
 
@@ -254,12 +254,13 @@ def _(t: Tables):
     "odds_alignment",
     "J25 U04",
     sql(
-        """SELECT fixture_id, 'missing_odds' AS problem FROM matches WHERE fixture_id % 5 = 0 UNION ALL SELECT fixture_id + 1000000000, 'extra_odds' FROM matches WHERE fixture_id % 7 = 1"""
+        """SELECT fixture_id, 'missing_odds' AS problem FROM matches WHERE odds_over IS NULL UNION ALL SELECT fixture_id + 1000000000, 'extra_odds' FROM matches WHERE pos_h IS NULL"""
     ),
 )
 def _(t: Tables):
     ids = t.matches.select("fixture_id")
-    odds = ids.filter(ID() % 5 != 0).unionByName(ids.filter(ID() % 7 == 1).select((ID() + 1_000_000_000).alias("fixture_id")))
+    strays = t.matches.filter("pos_h IS NULL").select((ID() + 1_000_000_000).alias("fixture_id"))
+    odds = t.matches.filter("odds_over IS NOT NULL").select("fixture_id").unionByName(strays)
     missing = ids.join(odds, "fixture_id", "left_anti").withColumn("problem", F.lit("missing_odds"))
     extra = odds.join(ids, "fixture_id", "left_anti").withColumn("problem", F.lit("extra_odds"))
     return missing.unionByName(extra)

@@ -123,14 +123,14 @@ def _(t: Tables):
     "set_operations",
     "U01 U03 U04 S13",
     sql(
-        """SELECT 'both' AS kind, team FROM (SELECT home AS team FROM matches WHERE fixture_id % 50 = 0 INTERSECT SELECT away FROM matches WHERE fixture_id % 50 = 1)
-        UNION ALL SELECT 'home_only', team FROM (SELECT home AS team FROM matches WHERE fixture_id % 50 = 0 EXCEPT SELECT away FROM matches WHERE fixture_id % 50 = 1)
-        UNION ALL SELECT 'any', team FROM (SELECT home AS team FROM matches WHERE fixture_id % 50 = 0 UNION SELECT away FROM matches WHERE fixture_id % 50 = 1)"""
+        """SELECT 'both' AS kind, team FROM (SELECT home AS team FROM matches WHERE ft_home >= 4 INTERSECT SELECT away FROM matches WHERE ft_away >= 4)
+        UNION ALL SELECT 'home_only', team FROM (SELECT home AS team FROM matches WHERE ft_home >= 4 EXCEPT SELECT away FROM matches WHERE ft_away >= 4)
+        UNION ALL SELECT 'any', team FROM (SELECT home AS team FROM matches WHERE ft_home >= 4 UNION SELECT away FROM matches WHERE ft_away >= 4)"""
     ),
 )
 def _(t: Tables):
-    h = t.matches.filter(ID() % 50 == 0).select(F.col("home").alias("team"), F.lit(1).alias("extra"))
-    a = t.matches.filter(ID() % 50 == 1).select(F.col("away").alias("team"))
+    h = t.matches.filter("ft_home >= 4").select(F.col("home").alias("team"), F.lit(1).alias("extra"))
+    a = t.matches.filter("ft_away >= 4").select(F.col("away").alias("team"))
     either = h.unionByName(a, allowMissingColumns=True).select("team").distinct()
     tag = lambda df, k: df.select(F.lit(k).alias("kind"), "team")
     hs = h.select("team")

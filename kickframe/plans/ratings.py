@@ -97,7 +97,7 @@ def _(t: Tables):
         F.count_if(F.abs(F.col("expected") - exp) > 1e-3).alias("off_expected"),
         F.count_if(F.abs(F.col("delta") - delta) > 1e-2).alias("off_delta"),
     )
-    return checks.select(F.lit("elo").alias("audit"), "*").join(off_chain)
+    return checks.select(F.lit("elo").alias("audit"), "*", off_chain.select("off_chain").scalar().alias("off_chain"))
 
 
 def _state_sql(order: str, group: str = "league") -> str:
