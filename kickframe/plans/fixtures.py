@@ -16,6 +16,7 @@ class Tables:
     """Lazy access to the parquet tables and the views built on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # feed times are UTC wall clock
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
