@@ -24,21 +24,24 @@ FLOOR = 0.01
 RUN = 1000
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct 64-bit signatures: one for each spot, over its anchors and the next ``chain`` content words.
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+    """``df`` with ``out``: the sorted distinct 64-bit signatures of the text column, one for each spot.
 
-    A spot is a run of common words before a content word (anchors side by side lead to the same chain and make one spot).
-    The start of a text counts as an anchor and its end as a content word, so that every text has a signature, null and
-    empty ones the same. Letters are lower-cased; all but letters and digits separates words. Work is linear in the text:
-    shifted copies of the content words are zipped to the spots, no lambda looks outside its element.
+    A spot is a content word right behind a common word; its signature is over that anchor and the chain of ``chain`` content
+    words that begins with the spot. The start of a text counts as an anchor and its end as a content word, so that every
+    text has a signature, null and empty ones the same. Letters are lower-cased; all but letters and digits separates
+    words. Work is linear in the text: arrays are shifted and zipped, no lambda looks outside its element, no pattern repeats a group.
     """
-    words = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
-    marked = F.concat(F.lit("~^ "), F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit("~"), w)).otherwise(w)), " "), F.lit(" $"))
-    spots = F.regexp_extract_all(marked, F.lit(r"(?:~\S* +)*[^~ ]\S*"), F.lit(0))
-    heads = F.transform(spots, lambda s: F.substring_index(s, " ", -1))
-    ahead = [F.slice(heads, k + 1, F.size(heads)).alias(f"h{k}") for k in range(1, chain)]
-    spotted = F.filter(F.arrays_zip(spots.alias("s"), *ahead), lambda z: z["s"].startswith("~"))
-    return F.array_sort(F.array_distinct(F.transform(spotted, lambda z: F.xxhash64(z["s"], *(z[f"h{k}"] for k in range(1, chain))))))
+    words, spots = f"__{out}_words", f"__{out}_spots"
+    split = F.filter(F.split(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    df = df.withColumn(words, split)
+    # each word with the one before it; the end of the text is a null word. Of these, the content words
+    zipped = F.arrays_zip(col(words).alias("w"), F.concat(F.array(F.lit("^")), col(words)).alias("p"))
+    df = df.withColumn(spots, F.filter(zipped, lambda z: z["w"].isNull() | ~z["w"].isin(ANCHORS)))
+    ahead = [F.transform(F.slice(col(spots), k + 1, F.greatest(F.size(spots), F.lit(1))), lambda z: z["w"]).alias(f"h{k}") for k in range(1, chain)]
+    chained = F.filter(F.arrays_zip(col(spots).alias("s"), *ahead), lambda z: (z["s"]["p"] == "^") | z["s"]["p"].isin(ANCHORS))
+    sigs = F.transform(chained, lambda z: F.xxhash64(z["s"]["p"], z["s"]["w"], *(z[f"h{k}"] for k in range(1, chain))))
+    return df.withColumn(out, F.array_sort(F.array_distinct(sigs))).drop(words, spots)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -79,9 +82,9 @@ def with_next(docs: DataFrame, run: int = RUN) -> DataFrame:
     heads = dealt.groupBy("run").agg(F.min(F.struct("id", "text")).alias("head")).select("run", F.col("head.text").alias("text"))
     follow = _following(dealt.groupBy("run").agg(F.count("*").alias("n")).select("run"))
     tails = follow.join(heads.withColumnRenamed("run", "then"), "then").select("run", F.col("text").alias("tail"))
-    tails = tails.withColumn("tail_sigs", signatures(F.col("tail")))
+    tails = with_signatures(tails, "tail", "tail_sigs")
     order = "OVER (PARTITION BY run ORDER BY id, text)"
-    rows = dealt.withColumn("own", signatures(F.col("text")))
+    rows = with_signatures(dealt, "text", "own")
     rows = rows.withColumns({"lead_text": F.expr(f"lead(text) {order}"), "lead_sigs": F.expr(f"lead(own) {order}")})
     out = rows.join(tails, "run")
     return out.select("id", "text", F.coalesce("lead_text", "tail").alias("after"), "own", F.coalesce("lead_sigs", "tail_sigs").alias("theirs"))
@@ -104,7 +107,7 @@ def edit_check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = with_next(docs).withColumn("n", F.char_length("text").cast("long"))
     half = F.floor(F.col("n") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.substring("after", F.lit(1), half)))
-    rows = rows.select("id", "n", "own", "theirs", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("changed"))
+    rows = with_signatures(rows, "edited", "changed").select("id", "n", "own", "theirs", F.sha2("edited", 256).alias("edited_sha256"), "changed")
     return rows.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("theirs")).alias("near_next"), length_part(F.col("own")).cast("int").alias("length_part"),
