@@ -49,7 +49,7 @@ commercial or non-commercial, and by any means.""",
 #: Words in a fingerprint and fingerprints in a window: any shared run of GRAM + WINDOW - 1 words is found.
 GRAM, WINDOW = 3, 2
 #: Half the width of the alignment band: words left out or put in that a match may have.
-BAND = 8
+BAND = 16
 #: Least share of a template's words that a match has to cover.
 COVERAGE = 0.8
 WORD = re.compile(r"\w+")
