@@ -1,16 +1,16 @@
 """Ratings: an Elo series with per-row trace, by pool.
 
-An update needs both current ratings, so a pool is a recursion in time. Pools up to ``pool_rows`` rows run in
-one grouped task. Larger pools never enter one task: there the series is solved as a fixed point. Given rating
-guesses, all deltas of a time slice are computed in parallel and summed per team in order; the sums give the
-next guesses. By causality the fixed point is unique, and a slice of one season settles in a few rounds.
+An update needs both current ratings, so a pool is a recursion in time. ``elo_series`` streams through each pool in order.
+``relaxed_series`` solves the same series as a fixed point, for pools that are too long for one core. Given rating guesses,
+all deltas of a time slice are computed in parallel and summed per team in order; the sums give the next guesses. By
+causality the fixed point is unique, and a slice of one season settles in a few rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kickframe import config
 from kickframe.functions.cols import band, unix
 from kickframe.operators.ordered import ordinal, running, time_slice
-from kickframe.session import cut_lineage, python_partitions
+from kickframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -66,47 +66,49 @@ def _static(df: DataFrame, rules: EloRules) -> DataFrame:
 TRACE = ["elo_home", "elo_away", "expected", "new_mult", "upset_mult", "k_used", "delta"]
 
 
-def _walk(pdf: pd.DataFrame, rules: EloRules) -> pd.DataFrame:
-    """One pool in match order; state is one rating and one count per team."""
-    pdf = pdf.sort_values(["_t", "home", "away", "fixture_id"], kind="mergesort").reset_index(drop=True)
-    rating: dict[str, float] = {}
-    games: dict[str, int] = {}
-    out = np.full((len(pdf), len(TRACE)), np.nan)
-    cols = [pdf[c].to_numpy() for c in ("home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual")]
-    for i, (home, away, k, edge, kind, margin, actual) in enumerate(zip(*cols)):
-        rh, ra = rating.get(home, rules.start), rating.get(away, rules.start)
-        gh, ga = games.get(home, 0), games.get(away, 0)
-        fresh = rules.new_mult if min(gh, ga) < rules.new_games else 1.0
-        out[i, :2], out[i, 3], out[i, 4] = (rh, ra), fresh, 1.0
-        if actual != actual:
-            continue
-        exp = 1.0 / (1.0 + 10.0 ** (-(rh + edge - ra) / 400.0))
-        shock = (actual == 1.0 and exp < rules.upset_low) or (actual == 0.0 and exp > rules.upset_high)
-        upset = rules.upset_mult if shock else 1.0
-        used = k * kind * fresh * upset
-        delta = used * margin * (actual - exp)
-        out[i, 2], out[i, 4], out[i, 5], out[i, 6] = exp, upset, used, delta
-        rating[home], rating[away] = max(rules.floor, rh + delta), max(rules.floor, ra - delta)
-        games[home], games[away] = gh + 1, ga + 1
-    return pd.concat([pdf[["fixture_id"]], pd.DataFrame(out, columns=TRACE)], axis=1)
-
-
-def elo_series(df: DataFrame, pool: str = "league", rules: EloRules | None = None, pool_rows: int = 2_000_000) -> DataFrame:
-    """Pre-match ratings and the trace of every update, one row per match."""
+def apply_match(m, state: dict, rules: EloRules) -> tuple:
+    """Trace of one match, state (team -> [rating, games]) moved on; shared by the batch and the streaming series."""
+    h, a = (state.setdefault(t, [rules.start, 0]) for t in (m.home, m.away))
+    rh, ra = h[0], a[0]
+    fresh = rules.new_mult if min(h[1], a[1]) < rules.new_games else 1.0
+    if m.actual is None or m.actual != m.actual:
+        return rh, ra, None, fresh, 1.0, None, None
+    exp = 1.0 / (1.0 + 10.0 ** (-(rh + m.home_edge - ra) / 400.0))
+    shock = (m.actual == 1.0 and exp < rules.upset_low) or (m.actual == 0.0 and exp > rules.upset_high)
+    upset = rules.upset_mult if shock else 1.0
+    used = m.k_base * m.type_mult * fresh * upset
+    delta = used * m.margin_mult * (m.actual - exp)
+    h[0], a[0] = max(rules.floor, rh + delta), max(rules.floor, ra - delta)
+    h[1], a[1] = h[1] + 1, a[1] + 1
+    return rh, ra, exp, fresh, upset, used, delta
+
+
+def elo_series(df: DataFrame, pool: str = "league", rules: EloRules | None = None) -> DataFrame:
+    """Pre-match ratings and the trace of every update, one row per match.
+
+    Matches are dealt by pool and sorted in time by Spark; each task streams through its pools and keeps one rating and one
+    count per team of the pool at hand, so that the length of a pool costs time but no memory. A pool is one recursion: for
+    pools too long for one core :func:`relaxed_series` solves the same series in parallel; which of the two runs is the caller's
+    choice and never hangs on the data.
+    """
     rules = rules or EloRules()
-    base = _static(df, rules).withColumn("_t", unix("kickoff"))
-    counts = df.groupBy(pool).agg(F.count(F.lit(1)).alias("_pool_n"))
-    large = counts.filter(F.col("_pool_n") > pool_rows).select(pool)
-    has_large = not large.isEmpty()
-    small = base.join(large, pool, "left_anti") if has_large else base
-    needed = small.select(pool, "fixture_id", "_t", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual")
+    cols = ["fixture_id", "_pool", "_t", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
+    needed = _static(df, rules).withColumns({"_t": unix("kickoff"), "_pool": F.col(pool)}).select(*cols)
+    dealt = needed.repartition("_pool").sortWithinPartitions("_pool", "_t", "home", "away", "fixture_id")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, {}
+        for pdf in frames:
+            out = []
+            for m in pdf.itertuples(index=False):
+                if m[1] != at:
+                    at, state = m[1], {}
+                out.append((m.fixture_id, *apply_match(m, state, rules)))
+            yield pd.DataFrame(out, columns=["fixture_id", *TRACE])
+
     schema = "fixture_id long, " + ", ".join(f"{c} double" for c in TRACE)
-    needed = needed.repartition(python_partitions(df.sparkSession), pool)
-    out = needed.groupBy(pool).applyInPandas(lambda pdf: _walk(pdf, rules), schema)
-    out = out.select("fixture_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TRACE])
-    if has_large:
-        out = out.unionByName(relaxed_series(base.join(large, pool, "left_semi"), pool, rules))
-    return out
+    out = dealt.withColumnRenamed("_pool", "pool_").withColumnRenamed("_t", "t_").mapInPandas(walk, schema)
+    return out.select("fixture_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TRACE])
 
 
 def _update(df: DataFrame, rules: EloRules) -> DataFrame:
@@ -124,8 +126,9 @@ def _team_rows(df: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataF
     return df.select("fixture_id", "_pool", "_t", "_tie", F.inline(F.array(side("home", "home", 0), side("away", "away", 1))))
 
 
-def relaxed_series(base: DataFrame, pool: str, rules: EloRules, slice_days: int = 365, tol: float = 1e-9, max_rounds: int = 400) -> DataFrame:
+def relaxed_series(df: DataFrame, pool: str, rules: EloRules, slice_days: int = 365, tol: float = 1e-9, max_rounds: int = 400) -> DataFrame:
     """The same series as a fixed point per time slice; every step is an aggregate or a running sum per team."""
+    base = _static(df, rules).withColumn("_t", unix("kickoff"))
     base = base.withColumns({"_pool": F.col(pool), "_tie": F.struct("home", "away", "fixture_id")})
     order = ["_t", "_tie"]
     played = F.col("actual").isNotNull().cast("int")

@@ -13,9 +13,13 @@ from kickframe.session import scratch_path
 from kickframe.streaming import operators as so
 
 
+#: How late a row may arrive in these queries: a file holds any part of the table, so the table's whole span.
+DELAY = "10000 days"
+
+
 def event_stream(t: Tables):
-    schema = t.read("events").schema
-    return so.file_stream(t.spark, t.sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    # the table itself, a file or a folder of files: a stream takes a single file only as a pattern
+    return so.file_stream(t.spark, f"{t.sf_dir}/events.parque[t]", t.read("events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(
@@ -47,10 +51,11 @@ def _(t: Tables):
 )
 def _(t: Tables):
     path = scratch_path(t.spark, "matches")
-    cols = ["fixture_id", "kickoff", "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
+    cols = ["fixture_id", F.col("kickoff").cast("timestamp").alias("kickoff"), "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
     df = rt._static(typed(t), rules()).select(*cols)
+    df = so.with_end(df, "kickoff", DELAY, {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
     df.write.parquet(path)
-    out = so.drain(so.ratings_stream(so.file_stream(t.spark, path, df.schema), "league", rules()), "ratings")
+    out = so.drain(so.ratings_stream(so.file_stream(t.spark, path, df.schema), "league", rules(), DELAY), "ratings")
     return out.select("fixture_id", "elo_home", "elo_away", F.when(~F.isnan("delta"), F.col("delta")).alias("delta"))
 
 
@@ -61,9 +66,10 @@ def _(t: Tables):
 )
 def _(t: Tables):
     path = scratch_path(t.spark, "sides")
-    df = t.sides.select("fixture_id", "team", "venue", "kickoff", "opp", F.col("gf").cast("double").alias("gf"))
+    df = t.sides.select("fixture_id", "team", "venue", F.col("kickoff").cast("timestamp").alias("kickoff"), "opp", F.col("gf").cast("double").alias("gf"))
+    df = so.with_end(df, "kickoff", DELAY, {"team": F.lit("end"), "venue": F.lit("end")})
     df.write.parquet(path)
-    out = so.drain(so.form_stream(so.file_stream(t.spark, path, df.schema), "gf"), "form")
+    out = so.drain(so.form_stream(so.file_stream(t.spark, path, df.schema), "gf", delay=DELAY), "form")
     return out.select("fixture_id", "team", "venue", F.when(~F.isnan("form"), F.col("form")).alias("form"), "n")
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from kickframe.operators.ratings import EloRules
+from kickframe.operators.ratings import EloRules, apply_match
 from kickframe.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -64,94 +65,161 @@ def window_coverage(stream: DataFrame, ts: str, by: Sequence[str], present, wind
     )
 
 
-class _Ratings(StatefulProcessor):
-    """Team -> (rating, games) per pool; matches of a batch are applied in kick-off order."""
+class _InOrder(StatefulProcessor):
+    """Holds arrivals until the watermark has passed them, then hands them on in event order, whatever the batches were.
+
+    One timer per key is set at the earliest row held. When it fires, all rows up to the watermark leave in order and
+    the timer is set anew, so that each arrival is written and read once per release. State: the rows held and what the
+    subclass keeps.
+    """
+
+    #: Columns held, the event time in microseconds first; rows leave in the order of all of them.
+    columns: tuple[str, ...] = ()
+    held_schema = ""
+    blanks: dict = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wait(self, ms: int) -> None:
+        now = self.due.get()[0] if self.due.exists() else None
+        if now is not None and now <= ms:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            at = pd.to_datetime(pdf[self.columns[0]]).astype("datetime64[us]").astype("int64")
+            # missing numbers are held as NaN and missing texts and ids as blanks: state rows have no nulls
+            rest = pdf[list(self.columns[1:])].fillna(self.blanks).astype({c: "int64" for c, k in self.blanks.items() if k == -1})
+            self.held.appendList([(int(t), *r) for t, r in zip(at, rest.itertuples(index=False, name=None), strict=True)])
+            low = int(at.min()) // 1000
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._wait(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        free, later = [], []
+        for r in self.held.get():
+            (free if r[0] < mark else later).append(tuple(r))
+        self.held.clear()
+        self.due.clear()
+        if later:
+            self.held.put(later)
+            self._wait(min(r[0] for r in later) // 1000 + 1)
+        free.sort()
+        if free:
+            yield self.release(key, free)
+
+    def release(self, key, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Ratings(_InOrder):
+    """Team -> (rating, games) per pool."""
+
+    columns = ("kickoff", "home", "away", "fixture_id", "k_base", "home_edge", "type_mult", "margin_mult", "actual")
+    blanks = {"home": "", "away": "", "fixture_id": -1}
+    held_schema = "t long, home string, away string, fixture_id long, k_base double, home_edge double, type_mult double, margin_mult double, actual double"
 
     def __init__(self, rules: EloRules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.teams = handle.getMapState("teams", "team string", "rating double, games int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["kickoff", "home", "away", "fixture_id"], kind="mergesort")
-        r = self.rules
-        cache: dict[str, list] = {}
-
-        def load(team: str) -> list:
-            if team not in cache:
-                got = self.teams.getValue((team,)) if self.teams.containsKey((team,)) else None
-                cache[team] = [got[0], got[1]] if got else [r.start, 0]
-            return cache[team]
-
+    def release(self, key, rows: list[tuple]) -> pd.DataFrame:
+        state: dict[str, list] = {}
         out = []
-        for m in pdf.itertuples(index=False):
-            h, a = load(m.home), load(m.away)
-            delta = None
-            rh, ra = h[0], a[0]
-            if m.actual == m.actual and m.actual is not None:
-                exp = 1.0 / (1.0 + 10.0 ** (-(rh + m.home_edge - ra) / 400.0))
-                shock = (m.actual == 1.0 and exp < r.upset_low) or (m.actual == 0.0 and exp > r.upset_high)
-                k = m.k_base * m.type_mult * (r.new_mult if min(h[1], a[1]) < r.new_games else 1.0) * (r.upset_mult if shock else 1.0)
-                delta = k * m.margin_mult * (m.actual - exp)
-                h[0], a[0] = max(r.floor, rh + delta), max(r.floor, ra - delta)
-                h[1] += 1
-                a[1] += 1
-            out.append((m.fixture_id, rh, ra, delta))
-        for team, (rating, games) in cache.items():
+        for r in rows:
+            m = Match(*r)
+            for team in (m.home, m.away):
+                if team not in state:
+                    got = self.teams.getValue((team,)) if self.teams.containsKey((team,)) else None
+                    state[team] = [got[0], got[1]] if got else [self.rules.start, 0]
+            trace = apply_match(m, state, self.rules)
+            out.append((m.fixture_id, trace[0], trace[1], trace[-1]))
+        for team, (rating, games) in state.items():
             self.teams.updateValue((team,), (float(rating), int(games)))
-        yield pd.DataFrame(out, columns=["fixture_id", "elo_home", "elo_away", "delta"])
+        return pd.DataFrame(out, columns=["fixture_id", "elo_home", "elo_away", "delta"])
+
+
+Match = namedtuple("Match", ["t", *_Ratings.columns[1:]])
 
-    def close(self) -> None:
-        pass
 
+def ratings_stream(stream: DataFrame, pool: str, rules: EloRules, delay: str = "7 days") -> DataFrame:
+    """Incremental ratings; needs the static update columns of the batch operator. State is one row per team and the rows held.
 
-def ratings_stream(stream: DataFrame, pool: str, rules: EloRules) -> DataFrame:
-    """Incremental ratings; needs the static update columns of the batch operator. State is one row per team."""
+    A match is rated once the watermark (``delay`` behind the latest kick-off) has passed it, so the result is that of the
+    batch series for any order of arrival within the delay. Rows later than that are dropped by the watermark and
+    counted in the progress of the query (``numRowsDroppedByWatermark``).
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.groupBy(pool).transformWithStateInPandas(
+    return stream.withWatermark("kickoff", delay).groupBy(pool).transformWithStateInPandas(
         statefulProcessor=_Ratings(rules),
         outputStructType="fixture_id long, elo_home double, elo_away double, delta double",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
-class _LastN(StatefulProcessor):
+class _LastN(_InOrder):
     """The last n values of a key; emits the mean before each row."""
 
-    def __init__(self, n: int, order: list[str], value: str):
-        self.n, self.order, self.value = n, order, value
+    columns = ("kickoff", "opp", "fixture_id", "value")
+    blanks = {"opp": "", "fixture_id": -1}
+    held_schema = "t long, opp string, fixture_id long, value double"
+
+    def __init__(self, n: int):
+        self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.ring = handle.getListState("ring", "v double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="mergesort")
+    def release(self, key, rows: list[tuple]) -> pd.DataFrame:
         past = [x[0] for x in self.ring.get()] if self.ring.exists() else []
         out = []
-        for fid, v in zip(pdf["fixture_id"], pdf[self.value]):
-            known = [x for x in past if x is not None and x == x]
+        for _, _, fid, v in rows:
+            known = [x for x in past if x == x]
             out.append((fid, key[0], key[1], sum(known) / len(known) if known else None, len(known)))
-            past = (past + [None if v is None or v != v else float(v)])[-self.n :]
+            past = [*past, v][-self.n :]
         self.ring.put([(x,) for x in past])
-        yield pd.DataFrame(out, columns=["fixture_id", "team", "venue", "form", "n"])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=["fixture_id", "team", "venue", "form", "n"])
 
 
-def form_stream(stream: DataFrame, value: str, n: int = 10) -> DataFrame:
-    """Mean of the last n values per team and venue ahead of every row, with a bounded list as state."""
+def form_stream(stream: DataFrame, value: str, n: int = 10, delay: str = "7 days") -> DataFrame:
+    """Mean of the last n values per team and venue ahead of every row, released in order behind the watermark."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.groupBy("team", "venue").transformWithStateInPandas(
-        statefulProcessor=_LastN(n, ["kickoff", "opp", "fixture_id"], value),
+    return stream.withColumn("value", F.col(value).cast("double")).withWatermark("kickoff", delay).groupBy("team", "venue").transformWithStateInPandas(
+        statefulProcessor=_LastN(n),
         outputStructType="fixture_id long, team string, venue string, form double, n long",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
+def with_end(rows: DataFrame, ts: str, delay: str, marks: dict[str, Column]) -> DataFrame:
+    """``rows`` and one more, two delays behind the last event: a finite input whose rows the watermark all passes.
+
+    ``marks`` gives the values of the closing row, which itself is never released; its other columns are null.
+    """
+    last = rows.agg((F.max(ts) + F.expr(f"INTERVAL {delay}") * 2).alias(ts)).where(F.col(ts).isNotNull())
+    return rows.unionByName(last.withColumns(marks), allowMissingColumns=True)
+
+
 def latest_prices(stream: DataFrame, keys: Sequence[str], ts: str, price: str, tie: str) -> DataFrame:
     """Latest price per key so far; a mergeable aggregate, so state is one row per key."""
     return stream.groupBy(*keys).agg(

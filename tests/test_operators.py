@@ -35,7 +35,7 @@ def league(spark):
 def test_relaxed_ratings_equal_the_walk(league):
     rules = rt.EloRules(floor=1490.0)  # a floor that is reached
     walk = {r["fixture_id"]: r for r in rt.elo_series(league, "league", rules).collect()}
-    relaxed = {r["fixture_id"]: r for r in rt.elo_series(league, "league", rules, pool_rows=10).collect()}
+    relaxed = {r["fixture_id"]: r for r in rt.relaxed_series(league, "league", rules).collect()}
     assert walk.keys() == relaxed.keys() and len(walk) == 160
     for i in walk:
         for c in rt.TRACE:
@@ -63,6 +63,21 @@ def test_kernel_over_many_blocks_equals_pairs(spark):
         assert abs(got[i]["gf_sim"] - mean) < 1e-8 and abs(got[i]["neff"] - neff) < 1e-6, (i, got[i], mean, neff)
 
 
+def test_kernel_with_many_ties_and_far_ratings(spark):
+    ties = spark.range(50_000).select((F.col("id") + 10).alias("fixture_id"), F.lit(2_000_000_000).alias("t"), F.lit(1500.0).alias("opp_elo"))
+    past = spark.createDataFrame([(i, 1_000_000_000 + i, 1500.0 + 300 * i) for i in range(5)], "fixture_id long, t int, opp_elo double")
+    df = past.unionByName(ties).select("*", F.lit("A").alias("team"), F.lit("home").alias("venue"), F.col("fixture_id").cast("int").alias("gf"), F.lit(1).alias("ga"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("kickoff"))
+    for rows in (2, 1024):
+        got = jn.kernel_history(df, block_rows=rows)
+        w = np.exp(-0.5 * (300 * np.arange(5) / 60.0) ** 2)
+        mean, neff = (w * np.arange(5)).sum() / w.sum(), w.sum() ** 2 / (w * w).sum()
+        want = neff / 10 * mean + (1 - neff / 10) * 2.0
+        r = got.where("fixture_id >= 10").agg(F.count("*").alias("n"), F.min("gf_sim").alias("lo"), F.max("gf_sim").alias("hi")).first()
+        assert r["n"] == 50_000 and abs(r["lo"] - want) < 1e-9 and abs(r["hi"] - want) < 1e-9
+        # one past match 5 sigma away, in the same block or in an earlier one, counts alike
+        assert abs(got.where("fixture_id = 1").first()["neff"] - 1.0) < 1e-6
+
+
 def test_walk_forward_equals_direct_fits(league):
     from kickframe.operators.sides import side_rows
 
