@@ -13,13 +13,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CAP = 14
-_FACT = np.array([math.factorial(k) for k in range(2 * CAP + 1)], dtype=float)
-
 
 def _pmf(mu: np.ndarray, size: int) -> np.ndarray:
     k = np.arange(size)
-    return np.exp(-mu)[:, None] * np.power(mu[:, None], k) / _FACT[:size]
+    factorials = np.cumprod(np.maximum(k, 1), dtype=float)
+    return np.exp(-mu)[:, None] * np.power(mu[:, None], k) / factorials
 
 
 def _common_shock(h, a, dep, n) -> dict[str, np.ndarray]:

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import clamp
+from kickframe.operators.quantiles import grouped_quantiles
 
 
 def isotonic_calibrate(df: DataFrame, prob: str, label: str, out: str = "p_cal"):
-    """Monotone calibration; probabilities are rounded first so equal inputs collapse before the fit."""
-    binned = df.groupBy(F.round(prob, 4).alias(prob)).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("w"))
+    """Monotone calibration; rows of equal probability collapse to one weighted row before the fit."""
+    binned = df.groupBy(F.col(prob).cast("double").alias(prob)).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("w"))
     fitted = IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="w", predictionCol=out).fit(binned)
     return fitted, fitted.transform(df).withColumn(out, clamp(out, 1e-6, 1 - 1e-6))
 
@@ -51,9 +52,9 @@ def is_degenerate(model, prob: str, spark, limit: float = 0.01, points: int = 25
 def count_trees(df: DataFrame, features: Sequence[str], label: str, ts: str, share: float = 0.8, iters: int = 10) -> DataFrame:
     """Boosted trees for a count with a time split, RMSE and Poisson log likelihood of the later part.
 
-    The split point is a quantile sketch of time, so nothing is sorted globally.
+    The split point is the exact quantile of time, from counted values; nothing is sorted globally.
     """
-    cut = df.agg(F.percentile_approx(F.unix_timestamp(F.col(ts).cast("timestamp")), share, 10_000).alias("c")).first()[0]
+    cut = grouped_quantiles(df.select(F.unix_timestamp(F.col(ts).cast("timestamp")).alias("_at")), [], "_at", {"c": share}).first()[0]
     tagged = df.withColumn("_late", F.unix_timestamp(F.col(ts).cast("timestamp")) > cut)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=iters, maxDepth=3, seed=7)])
     pred = model.fit(tagged.filter("NOT _late")).transform(tagged.filter("_late"))

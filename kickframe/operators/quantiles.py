@@ -18,15 +18,18 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     Values are counted first (duplicates collapse map-side), a bounded sketch gives balanced value bins, and
     the exact ranks come from running counts over those bins.
     """
-    keys = list(keys) or ["_all"]
-    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
+    keys = list(keys)
     v = F.col(value).cast("double")
-    counted = base.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     shape = counted.groupBy(*keys).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_n").alias("_total")
     )
-    binned = counted.join(shape, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    if keys:
+        counted = counted.join(shape, keys)
+    else:  # one row of cuts and one total: scalars, not a join
+        counted = counted.withColumns({"_cuts": shape.select("_cuts").scalar(), "_total": shape.select("_total").scalar()})
+    binned = counted.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     ranked = running(binned, keys, ["_v"], {"_before": F.col("_n")}, F.col("_bin"))
     picks, out = [], []
     for name, p in probs.items():
@@ -37,4 +40,4 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         frac = pos - F.floor(pos)
         out.append((F.col(f"_lo_{name}") + frac * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
     got = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    return got.select(*[k for k in keys if k != "_all"], *out)
+    return got.select(*keys, *out)

@@ -48,3 +48,8 @@ def last_n_dates(df: DataFrame, ts: str, n: int) -> DataFrame:
 def common_values(df: DataFrame, value: str, n: int) -> DataFrame:
     """Most frequent values with counts."""
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(n)
+
+
+def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows under a total order: a report whose length the caller names."""
+    return df.orderBy(*order).limit(n)

@@ -129,6 +129,9 @@ def walk_forward(
         b = nxt
         if moved < tol:
             break
+    else:
+        if len(fit):
+            raise RuntimeError(f"weekly fits did not settle in {rounds} rounds; give more")
     raw = {int(cuts[i]): _raw_coef(b[i], mean[i], std[i]) for i in range(len(fit))}
     flat = {
         int(m): (before["y_home"][i] / before["n_home"][i] if before["n_home"][i] else prior, before["y_away"][i] / before["n_away"][i] if before["n_away"][i] else prior)

@@ -25,7 +25,7 @@ def late():
 def _(t: Tables):
     s = t.sides.withColumns({"week": xg.week_index("kickoff"), "is_home": (F.col("venue") == "home").cast("double")})
     feats = ["shots_for", "sot_for", "shots_against", "sot_against", "is_home"]
-    return xg.walk_forward(s, feats, refit_weeks=4)
+    return xg.walk_forward(s, feats, rounds=60)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kickframe.functions.text import from_map
+from kickframe.operators import clean as cl
 from kickframe.operators import picks as pk
 from kickframe.operators import settle as st
 from kickframe.operators import summaries as sm
@@ -71,11 +72,14 @@ def _(t: Tables):
 @query(
     "first_upcoming",
     "T10",
-    sql("SELECT fixture_id, kickoff FROM matches WHERE kickoff >= TIMESTAMP '2001-01-01' ORDER BY kickoff, home, away, fixture_id LIMIT 20"),
+    sql(
+        """SELECT fixture_id, kickoff FROM matches WHERE kickoff >= TIMESTAMP '2001-01-01' AND kickoff <= (SELECT MIN(kickoff) FROM matches WHERE kickoff >= TIMESTAMP '2001-01-01') + INTERVAL 3 DAY
+        ORDER BY kickoff, home, away, fixture_id LIMIT 20"""
+    ),
 )
 def _(t: Tables):
     up = t.matches.filter(F.col("kickoff") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return up.orderBy("kickoff", "home", "away", "fixture_id").limit(20).select("fixture_id", "kickoff")  # report of the first 20
+    return tp.first_n(cl.next_round(up, days=3), ["kickoff", "home", "away", "fixture_id"], 20).select("fixture_id", "kickoff")
 
 
 @query("frequent_teams", "T15", sql("SELECT home, COUNT(*) AS n FROM matches GROUP BY home ORDER BY n DESC, home LIMIT 15"))

@@ -230,11 +230,11 @@ def _(t: Tables):
 @query(
     "missing_input_ids",
     "A15",
-    sql("SELECT fixture_id FROM matches WHERE shots_h IS NULL OR pos_h IS NULL OR odds_over IS NULL ORDER BY fixture_id LIMIT 50"),
+    sql("SELECT fixture_id FROM matches WHERE shots_h IS NULL OR pos_h IS NULL OR odds_over IS NULL"),
 )
 def _(t: Tables):
     gap = F.col("shots_h").isNull() | F.col("pos_h").isNull() | F.col("odds_over").isNull()
-    return t.matches.filter(gap).select("fixture_id").orderBy("fixture_id").limit(50)  # a capped report list
+    return t.matches.filter(gap).select("fixture_id")
 
 
 @query(
