@@ -4,42 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.functions.cols import clamp
 from kickframe.operators.quantiles import grouped_quantiles
 
 
-def isotonic_calibrate(df: DataFrame, prob: str, label: str, out: str = "p_cal"):
-    """Monotone calibration; rows of equal probability collapse to one weighted row before the fit."""
+def fit_isotonic(df: DataFrame, prob: str, label: str, out: str = "p_cal"):
+    """Monotone calibration curve; rows of equal probability collapse to one weighted row before the fit."""
     binned = df.groupBy(F.col(prob).cast("double").alias(prob)).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("w"))
-    fitted = IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="w", predictionCol=out).fit(binned)
-    return fitted, fitted.transform(df).withColumn(out, clamp(out, 1e-6, 1 - 1e-6))
+    return IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="w", predictionCol=out).fit(binned)
 
 
-def platt_calibrate(df: DataFrame, prob: str, label: str, out: str = "p_cal") -> DataFrame:
-    """Logistic calibration on the probability."""
+def fit_platt(df: DataFrame, prob: str, label: str):
+    """Logistic calibration on the probability, without a penalty."""
     va = VectorAssembler(inputCols=[prob], outputCol="_x")
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l")
-    pred = Pipeline(stages=[va, lr]).fit(df).transform(df)
-    return pred.withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_l")
+    lr = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l", tol=1e-10, maxIter=200)
+    return Pipeline(stages=[va, lr]).fit(df)
 
 
-def calibrate_three_way(df: DataFrame, probs: dict[str, str]) -> DataFrame:
-    """Each class calibrated on its own, then renormalised; probs[column] = label column."""
+def apply_platt(model, df: DataFrame, out: str) -> DataFrame:
+    return model.transform(df).withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_l")
+
+
+def calibrate_three_way(early: DataFrame, df: DataFrame, probs: dict[str, str]) -> DataFrame:
+    """Each class calibrated on the early rows, then applied and renormalised; probs[column] = label column."""
     for p, y in probs.items():
-        df = platt_calibrate(df, p, y, f"{p}_cal")
-    total = sum((F.col(f"{p}_cal") for p in probs), F.lit(0.0))
-    return df.withColumns({f"{p}_cal": F.col(f"{p}_cal") / total for p in probs})
+        df = apply_platt(fit_platt(early, p, y), df, f"{p}_one")
+    total = sum((F.col(f"{p}_one") for p in probs), F.lit(0.0))
+    return df.withColumns({f"{p}_cal": F.col(f"{p}_one") / total for p in probs})
 
 
 def is_degenerate(model, prob: str, spark, limit: float = 0.01, points: int = 25) -> DataFrame:
@@ -59,20 +61,34 @@ def count_trees(df: DataFrame, features: Sequence[str], label: str, ts: str, sha
     model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=iters, maxDepth=3, seed=7)])
     pred = model.fit(tagged.filter("NOT _late")).transform(tagged.filter("_late"))
     mu, y = F.greatest("prediction", F.lit(1e-6)), F.col(label)
-    return pred.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg((mu - y) * (mu - y))).alias("rmse"), F.avg(y * F.ln(mu) - mu).alias("loglik"))
+    base = tagged.filter("NOT _late").agg(F.avg(label).alias("m")).select("m").scalar()
+    return pred.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg((mu - y) * (mu - y))).alias("rmse"), F.avg(y * F.ln(mu) - mu).alias("loglik"), F.sqrt(F.avg((y - base) * (y - base))).alias("rmse_mean"))
+
 
+def ridge_combiner(early: DataFrame, df: DataFrame, groups: dict[str, Sequence[str]], label: str, reg: float = 1.0, prior: float = 120.0, min_rows: int = 80) -> DataFrame:
+    """``df`` with ``mu``: base mean, ridge on z-scored group means, and a league shift, all learnt from the early rows.
 
-def ridge_combiner(df: DataFrame, groups: dict[str, Sequence[str]], label: str, reg: float = 1.0, prior: float = 50.0) -> DataFrame:
-    """Group means as features of a global ridge, plus a league residual shrunk by its row count."""
-    means = {g: sum((F.col(c).cast("double") for c in cols), F.lit(0.0)) / len(cols) for g, cols in groups.items()}
-    d = df.withColumns({f"_g_{g}": m for g, m in means.items()})
-    model = Pipeline(
-        stages=[VectorAssembler(inputCols=[f"_g_{g}" for g in groups], outputCol="_x"), LinearRegression(featuresCol="_x", labelCol=label, regParam=reg, elasticNetParam=0.0, predictionCol="_global")]
-    ).fit(d)
-    pred = model.transform(d)
-    res = pred.groupBy("league").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label) - F.col("_global")).alias("_r"))
-    res = res.select("league", (F.col("_r") * F.col("_n") / (F.col("_n") + prior)).alias("league_shift"))
-    return pred.join(res, "league").withColumn("mu", F.col("_global") + F.col("league_shift")).drop("_x", *[f"_g_{g}" for g in groups])
+    The ridge solves ``sum((y - base - z b)^2) / 2n + reg / 2 |b|^2`` from one aggregate of products (groups squared). Leagues
+    with ``min_rows`` early rows are shifted by their mean residual, shrunk by ``n / (n + prior)``.
+    """
+    names = list(groups)
+    means = {f"_g_{g}": sum((F.col(c).cast("double") for c in cols), F.lit(0.0)) / len(cols) for g, cols in groups.items()}
+    early = early.withColumns(means)
+    spread = early.agg(F.avg(label).alias("base"), *[F.avg(f"_g_{g}").alias(f"m_{g}") for g in names], *[F.stddev_pop(f"_g_{g}").alias(f"s_{g}") for g in names]).first()
+    z = {g: (F.col(f"_g_{g}") - spread[f"m_{g}"]) / (spread[f"s_{g}"] or 1.0) for g in names}
+    early = early.withColumns({f"_z_{g}": c for g, c in z.items()})
+    got = early.agg(
+        *[F.avg(F.col(f"_z_{g}") * F.col(f"_z_{h}")).alias(f"{i}_{j}") for i, g in enumerate(names) for j, h in enumerate(names)],
+        *[F.avg(F.col(f"_z_{g}") * (F.col(label) - spread["base"])).alias(f"y_{i}") for i, g in enumerate(names)],
+    ).first()
+    k = range(len(names))
+    b = np.linalg.solve(np.array([[got[f"{i}_{j}"] for j in k] for i in k]) + reg * np.eye(len(names)), np.array([got[f"y_{i}"] for i in k]))
+    fitted = F.lit(float(spread["base"])) + sum((F.col(f"_z_{g}") * float(b[i]) for i, g in enumerate(names)), F.lit(0.0))
+    res = early.withColumn("_global", fitted).groupBy("league").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label) - F.col("_global")).alias("_r"))
+    res = res.select("league", F.when(F.col("_n") >= min_rows, F.col("_r") * F.col("_n") / (F.col("_n") + prior)).otherwise(0.0).alias("_shift"))
+    out = df.withColumns(means).withColumns({f"_z_{g}": c for g, c in z.items()}).withColumn("mu_global", fitted).join(res, "league", "left")
+    out = out.withColumns({"league_shift": F.coalesce("_shift", F.lit(0.0)), **{f"pull_{g}": F.lit(float(reg * b[i])) for i, g in enumerate(names)}})
+    return out.withColumn("mu", F.col("mu_global") + F.col("league_shift")).withColumnsRenamed({f"_z_{g}": f"z_{g}" for g in names}).drop("_shift", *[f"_g_{g}" for g in names])
 
 
 def decayed_strengths(sides: DataFrame, as_of: Column, tau_days: float = 180.0, reg: float = 0.01):
@@ -87,23 +103,25 @@ def decayed_strengths(sides: DataFrame, as_of: Column, tau_days: float = 180.0,
     return model, model.transform(rows).select("fixture_id", "team", "opp", "venue", "mu")
 
 
-def shot_classifier(shots: DataFrame, numeric: Sequence[str], categories: Sequence[str], label: str, iters: int = 10) -> DataFrame:
-    """Goal probability of a shot from geometry and one-hot labels."""
+def shot_classifier(early: DataFrame, middle: DataFrame, df: DataFrame, numeric: Sequence[str], categories: Sequence[str], label: str, iters: int = 10) -> DataFrame:
+    """Goal probability of a shot from geometry and one-hot labels: trees on the early rows, isotonic curve on the middle ones."""
     idx = StringIndexer(inputCols=list(categories), outputCols=[f"_i_{c}" for c in categories], handleInvalid="keep")
     hot = OneHotEncoder(inputCols=[f"_i_{c}" for c in categories], outputCols=[f"_h_{c}" for c in categories])
     va = VectorAssembler(inputCols=[*numeric, *[f"_h_{c}" for c in categories]], outputCol="_x")
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=iters, maxDepth=3, seed=7)
-    pred = Pipeline(stages=[idx, hot, va, gbt]).fit(shots).transform(shots)
-    return pred.withColumn("p_goal", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", *[f"_i_{c}" for c in categories], *[f"_h_{c}" for c in categories])
+    trees = Pipeline(stages=[idx, hot, va, gbt]).fit(early)
+    raw = lambda d: trees.transform(d).withColumn("p_raw", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", *[f"_{k}_{c}" for k in "ih" for c in categories])
+    return fit_isotonic(raw(middle), "p_raw", label, "p_goal").transform(raw(df))
 
 
 def line_classifier(df: DataFrame, features: Sequence[str], count: Column, line: float, late: Column, iters: int = 10) -> DataFrame:
-    """Accuracy and AUC inputs of an over-line classifier on the later rows."""
+    """Accuracy, area under the curve and base rate of an over-line classifier on the later rows."""
     d = df.withColumns({"_y": (count > line).cast("double"), "_late": late})
     va = VectorAssembler(inputCols=list(features), outputCol="_x")
     gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=iters, maxDepth=3, seed=7)
     pred = Pipeline(stages=[va, gbt]).fit(d.filter("NOT _late")).transform(d.filter("_late"))
-    return pred.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"), F.avg("_y").alias("base_rate"))
+    auc = BinaryClassificationEvaluator(labelCol="_y").evaluate(pred)
+    return pred.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"), F.lit(float(auc)).alias("auc"), F.avg("_y").alias("base_rate"))
 
 
 def select_features(df: DataFrame, features: Sequence[str], min_var: float = 1e-6, max_corr: float = 0.95) -> DataFrame:
@@ -120,21 +138,24 @@ def select_features(df: DataFrame, features: Sequence[str], min_var: float = 1e-
     return df.sparkSession.createDataFrame(rows, "feature string, variance double, kept boolean")
 
 
-def ensemble(df: DataFrame, features: Sequence[str], label: str, folds: int = 2) -> DataFrame:
-    """Cross-validated forest, boosted trees and logistic regression with averaged probability."""
+#: Settings tried for each model of the ensemble.
+GRIDS = {"rf": {"maxDepth": [3, 5]}, "gbt": {"maxDepth": [2, 3]}, "lr": {"regParam": [0.0, 0.1]}}
+
+
+def ensemble(early: DataFrame, df: DataFrame, features: Sequence[str], label: str, folds: int = 2, grids: dict[str, dict[str, list]] | None = None) -> DataFrame:
+    """Forest, boosted trees and logistic regression, each cross-validated on the early rows; ``df`` with their mean probability."""
     va = VectorAssembler(inputCols=list(features), outputCol="_x")
-    base = va.transform(df.withColumn("_y", F.col(label).cast("double")))
+    base = va.transform(early.withColumn("_y", F.col(label).cast("double")))
     args = {"featuresCol": "_x", "labelCol": "_y"}
-    kinds = {
-        "rf": (RandomForestClassifier(numTrees=10, seed=7, **args), lambda m: ParamGridBuilder().addGrid(m.maxDepth, [3]).build()),
-        "gbt": (GBTClassifier(maxIter=5, seed=7, **args), lambda m: ParamGridBuilder().addGrid(m.maxDepth, [2]).build()),
-        "lr": (LogisticRegression(**args), lambda m: ParamGridBuilder().addGrid(m.regParam, [0.0, 0.1]).build()),
-    }
+    kinds = {"rf": RandomForestClassifier(numTrees=10, seed=7, **args), "gbt": GBTClassifier(maxIter=5, seed=7, **args), "lr": LogisticRegression(**args)}
     judge = BinaryClassificationEvaluator(labelCol="_y")
-    out = base
-    for name, (est, grid) in kinds.items():
-        best = CrossValidator(estimator=est, estimatorParamMaps=grid(est), evaluator=judge, numFolds=folds, seed=7).fit(base).bestModel
+    out = va.transform(df)
+    for name, est in kinds.items():
+        grid = ParamGridBuilder()
+        for param, values in (grids or GRIDS)[name].items():
+            grid = grid.addGrid(est.getParam(param), values)
+        best = CrossValidator(estimator=est, estimatorParamMaps=grid.build(), evaluator=judge, numFolds=folds, seed=7).fit(base).bestModel
         best.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}").setPredictionCol(f"_l_{name}")
         out = best.transform(out)
     ps = [vector_to_array(f"_p_{n}")[1] for n in kinds]
-    return out.withColumn("p", sum(ps, F.lit(0.0)) / len(ps)).drop("_x", "_y", *[f"_{k}_{n}" for n in kinds for k in "prl"])
+    return out.withColumn("p", sum(ps, F.lit(0.0)) / len(ps)).drop("_x", *[f"_{k}_{n}" for n in kinds for k in "prl"])

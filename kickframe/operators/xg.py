@@ -67,12 +67,14 @@ def walk_forward(
     refit_weeks: int = 1,
     rounds: int = 25,
     tol: float = 1e-9,
+    report: list | None = None,
 ) -> DataFrame:
     """Expected goals of every side row from a Poisson regression on all strictly earlier weeks.
 
     Objective per fit: mean half deviance + alpha/2 |w|^2 on standardised features, intercept free. All
     weeks are fitted together: one pass adds every row to the sums of all later fits inside its partition,
-    and only those sums (fits x features^2, bounded by the calendar) meet. ``refit_weeks`` spaces the fits.
+    and only those sums (fits x features^2, bounded by the calendar) meet. ``refit_weeks`` spaces the fits. ``report`` receives (week, rows, mean of fitted
+    minus seen goals over these rows) of every fit.
     """
     keep = ["fixture_id", "venue", week, *features]
     usable = F.lit(True)
@@ -120,15 +122,17 @@ def walk_forward(
         return run
 
     schema = "fit double, " + ", ".join(f"v{i} double" for i in range(q * q + q))
-    for _ in range(rounds if len(fit) else 0):
+    for _ in range(rounds + 1 if len(fit) else 0):  # the last pass measures what the rounds have reached
         raw = np.stack([_raw_coef(b[i], mean[i], std[i]) for i in range(len(fit))])
         got = train.select(week, "_y", *features).mapInPandas(partial(raw), schema).groupBy("fit").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(q * q + q)])
         stats = got.orderBy("fit").toPandas().to_numpy()[:, 1:]
         nxt = np.stack([_newton_step(stats[i], nf[i], mean[i], std[i], b[i], alpha) for i in range(len(fit))])
         moved = np.abs(nxt - b).max()
-        b = nxt
         if moved < tol:
+            if report is not None:
+                report += [(int(cuts[i]), int(nf[i]), float(stats[i][q * q] / nf[i])) for i in range(len(fit))]
             break
+        b = nxt
     else:
         if len(fit):
             raise RuntimeError(f"weekly fits did not settle in {rounds} rounds; give more")

@@ -1,31 +1,73 @@
-"""Queries on learned models. Fits have no SQL form, so most of these are checked by tests, not by an oracle."""
+"""Queries on learned models: fitted on rows before a cut, checked through score equations, counts and sums that SQL knows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from kickframe.functions.shots import shot_angle_deg, shot_distance_m
+from kickframe.operators import forms as fm
 from kickframe.operators import models as ml
 from kickframe.operators import xg
+from kickframe.operators.sides import to_matches
 from kickframe.plans.clean import shots
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.registry import query
 
+CUT = f"TIMESTAMP '{CUTOFF}'"
+MIDDLE = "2000-01-01"
+EPS = 1e-6
+
+
+def before(day: str = CUTOFF):
+    return F.col("kickoff") < F.lit(day).cast("timestamp_ntz")
+
 
 def labelled(t: Tables):
     total = F.col("ft_home") + F.col("ft_away")
     return t.priced.withColumns({"over": (total > 2.5).cast("double"), "both": ((F.col("ft_home") > 0) & (F.col("ft_away") > 0)).cast("double")})
 
 
-def late():
-    return F.col("kickoff") >= F.lit(CUTOFF).cast("timestamp_ntz")
+def flag(c):
+    return F.count_if(~F.coalesce(c, F.lit(False)))
+
+
+FORM = ["shots_for", "sot_for", "corners_for", "gf"]
+INPUTS = [f"{s}_l5_{v}" for s in FORM for v in ("home", "away")]
+
+
+def inputs(t: Tables):
+    """Scored matches with both sides' means over their five matches before."""
+    form = fm.rolling_form(t.sides, FORM, (5,), current_row=False)
+    return t.scored.join(to_matches(form, [f"{s}_l5" for s in FORM]), "fixture_id").dropna(subset=INPUTS)
+
+
+INPUTS_CTE = """fs AS (SELECT fixture_id, venue, AVG(shots_for) OVER w AS a, AVG(sot_for) OVER w AS b, AVG(corners_for) OVER w AS c, AVG(gf) OVER w AS d FROM sides
+    WINDOW w AS (PARTITION BY team, venue ORDER BY kickoff, opp, fixture_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+  inputs AS (SELECT * FROM scored WHERE fixture_id IN (SELECT fixture_id FROM fs GROUP BY fixture_id HAVING COUNT(*) FILTER (a IS NULL OR b IS NULL OR c IS NULL OR d IS NULL) = 0))"""
 
 
-@query("xg_walkforward", "L05")
+@query(
+    "xg_walkforward",
+    "L05",
+    sql(
+        """SELECT w.week, w.rows, COALESCE(SUM(e.n), 0)::BIGINT AS learnt, CAST(0 AS DOUBLE) AS gap, CAST(0 AS BIGINT) AS odd FROM (SELECT week, COUNT(*) AS rows FROM s GROUP BY week) w
+        LEFT JOIN (SELECT week, COUNT(*) AS n FROM s WHERE gf IS NOT NULL GROUP BY week) e ON e.week < w.week GROUP BY w.week, w.rows""",
+        "sides",
+        """s AS (SELECT *, CAST(floor((date_diff('day', DATE '1970-01-01', CAST(kickoff AS DATE)) + 3) / 7) AS BIGINT) AS week FROM sides
+        WHERE shots_for >= 0 AND sot_for >= 0 AND shots_against >= 0 AND sot_against >= 0)""",
+    ),
+)
 def _(t: Tables):
+    """Weekly refits: rows scored, rows learnt from, and the intercept's score equation, which is zero at the optimum."""
     s = t.sides.withColumns({"week": xg.week_index("kickoff"), "is_home": (F.col("venue") == "home").cast("double")})
-    feats = ["shots_for", "sot_for", "shots_against", "sot_against", "is_home"]
-    return xg.walk_forward(s, feats, rounds=60)
+    fits: list = []
+    out = xg.walk_forward(s, ["shots_for", "sot_for", "shots_against", "sot_against", "is_home"], rounds=60, report=fits)
+    met = t.spark.createDataFrame(fits, "week long, fit_rows long, score double")
+    ok = s.filter("shots_for >= 0 AND sot_for >= 0 AND shots_against >= 0 AND sot_against >= 0")
+    weekly = ok.join(out, ["fixture_id", "venue"]).groupBy("week").agg(F.count(F.lit(1)).alias("rows"), flag(F.col("xg").between(EPS, 30.0)).alias("odd"), F.count("gf").alias("n"))
+    learnt = weekly.select("week", "rows", "odd", F.expr("coalesce(sum(n) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("learnt"))
+    wrong = F.coalesce((F.col("fit_rows") != F.col("learnt")).cast("double"), F.lit(0.0))
+    return learnt.join(met, "week", "left").select("week", "rows", "learnt", (F.round(F.coalesce("score", F.lit(0.0)), 6) + wrong).alias("gap"), "odd")
 
 
 @query(
@@ -37,15 +79,36 @@ def _(t: Tables):
     return xg.impute_medians(t.matches.select("fixture_id", "pos_h", "shots_h"), ["pos_h", "shots_h"], {"pos_h": 50.0, "shots_h": 10.0})
 
 
-@query("isotonic_calibration", "L08 L10")
+def isotonic_report(early, later, model, prob: str, label: str, out: str):
+    """Rows and label sums of the fit, the same sum from the curve, breaks of its order, and later rows outside its range."""
+    fitted = model.transform(early)
+    steps = fitted.groupBy(prob).agg(F.min(out).alias("_fit")).select(F.col(prob).alias("x"), "_fit")
+    # a curve that falls anywhere puts a smaller value at a larger probability into some pair of neighbours
+    breaks = steps.withColumn("part", F.floor(F.col("x") * 64)).selectExpr("_fit < max(_fit) OVER (PARTITION BY part ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1e-12 AS b").agg(F.count_if("b").alias("breaks"))
+    ends = fitted.agg(F.count(F.lit(1)).alias("fit_rows"), F.round(F.sum(label), 4).alias("label_sum"), F.round(F.sum(out), 4).alias("curve_sum"), F.min(out).alias("lo"), F.max(out).alias("hi"))
+    scored = model.transform(later).agg(F.count(F.lit(1)).alias("later_rows"), F.min(out).alias("a"), F.max(out).alias("b"))
+    one = lambda df, c: df.select(c).scalar()
+    return ends.select("fit_rows", "label_sum", "curve_sum", one(breaks, "breaks").alias("breaks"), one(scored, "later_rows").alias("later_rows"), ((one(scored, "a") < F.col("lo")) | (one(scored, "b") > F.col("hi"))).alias("outside"))
+
+
+ISO = "COUNT(*) FILTER (kickoff < {c}) AS fit_rows, CAST(SUM({y}) FILTER (kickoff < {c}) AS DOUBLE) AS label_sum, CAST(SUM({y}) FILTER (kickoff < {c}) AS DOUBLE) AS curve_sum, CAST(0 AS BIGINT) AS breaks, COUNT(*) FILTER (kickoff >= {c}) AS later_rows, FALSE AS outside"
+
+
+@query("isotonic_calibration", "L08 L10", sql("SELECT " + ISO.format(c=CUT, y="CAST(ft_home + ft_away > 2.5 AS INT)") + ", FALSE AS degenerate FROM priced", "priced"))
 def _(t: Tables):
-    model, out = ml.isotonic_calibrate(labelled(t), "p_over", "over")
+    df = labelled(t)
+    model = ml.fit_isotonic(df.filter(before()), "p_over", "over")
     flat = ml.is_degenerate(model, "p_over", t.spark).select("degenerate").scalar()
-    return out.select("fixture_id", "p_over", "p_cal", flat.alias("degenerate"))
+    return isotonic_report(df.filter(before()), df.filter(~before()), model, "p_over", "over", "p_cal").withColumn("degenerate", flat)
 
 
-@query("platt_calibration", "L09")
+@query(
+    "platt_calibration",
+    "L09",
+    sql(f"SELECT COUNT(*) FILTER (kickoff >= {CUT}) AS later_rows, CAST(0 AS BIGINT) AS odd, CAST(0 AS DOUBLE) AS score_h, CAST(0 AS DOUBLE) AS slope_h, CAST(0 AS DOUBLE) AS score_d, CAST(0 AS DOUBLE) AS slope_d, CAST(0 AS DOUBLE) AS score_a, CAST(0 AS DOUBLE) AS slope_a FROM priced", "priced"),
+)
 def _(t: Tables):
+    """Both score equations of each class over the early rows are zero; later rows sum to one."""
     den = F.col("mu_total") + 0.6
     h, a = F.col("ft_home"), F.col("ft_away")
     df = t.priced.withColumns(
@@ -54,34 +117,61 @@ def _(t: Tables):
             "yh": (h > a).cast("double"), "yd": (h == a).cast("double"), "ya": (h < a).cast("double"),
         }
     )
-    return ml.calibrate_three_way(df, {"ph": "yh", "pd": "yd", "pa": "ya"}).select("fixture_id", "ph_cal", "pd_cal", "pa_cal")
+    out = ml.calibrate_three_way(df.filter(before()), df, {"ph": "yh", "pd": "yd", "pa": "ya"})
+    early = lambda c: F.round(F.avg(F.when(before(), c)), 4)
+    off = {k: F.col(f"p{k}_one") - F.col(f"y{k}") for k in "hda"}
+    scores = [x for k in "hda" for x in (early(off[k]).alias(f"score_{k}"), early(off[k] * F.col(f"p{k}")).alias(f"slope_{k}"))]
+    good = F.abs(F.col("ph_cal") + F.col("pd_cal") + F.col("pa_cal") - 1) < 1e-9
+    return out.agg(F.count_if(~before()).alias("later_rows"), flag(good).alias("odd"), *scores)
 
 
-@query("interval_calibration", "L11")
+@query(
+    "interval_calibration",
+    "L11",
+    sql(
+        "SELECT '0-1' AS span, " + ISO.format(c=CUT, y="CAST(ft_home + ft_away BETWEEN 0 AND 1 AS INT)") + " FROM priced UNION ALL SELECT '2-3', " + ISO.format(c=CUT, y="CAST(ft_home + ft_away BETWEEN 2 AND 3 AS INT)")
+        + " FROM priced UNION ALL SELECT '4-6', " + ISO.format(c=CUT, y="CAST(ft_home + ft_away BETWEEN 4 AND 6 AS INT)") + " FROM priced",
+        "priced",
+    ),
+)
 def _(t: Tables):
     total = F.col("ft_home") + F.col("ft_away")
     out = None
     for lo, hi in ((0, 1), (2, 3), (4, 6)):
         p = F.exp(-F.col("mu_total")) * sum((F.pow("mu_total", F.lit(k)) / F.factorial(F.lit(k)) for k in range(lo, hi + 1)), F.lit(0.0))
-        df = t.priced.select("fixture_id", F.lit(f"{lo}-{hi}").alias("span"), p.alias("p"), total.between(lo, hi).cast("double").alias("y"))
-        part = ml.isotonic_calibrate(df, "p", "y")[1].select("fixture_id", "span", "p", "p_cal")
+        df = t.priced.select("fixture_id", "kickoff", p.alias("p"), total.between(lo, hi).cast("double").alias("y"))
+        early, later = df.filter(before()), df.filter(~before())
+        part = isotonic_report(early, later, ml.fit_isotonic(early, "p", "y"), "p", "y", "p_cal").select(F.lit(f"{lo}-{hi}").alias("span"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-FEATURES = ["shots_h", "shots_a", "sot_h", "corners_h", "corners_a"]
-
-
-@query("count_trees", "L12")
+@query(
+    "count_trees",
+    "L12",
+    sql("SELECT COUNT(*) AS rows, FALSE AS odd FROM inputs WHERE epoch(kickoff) > (SELECT quantile_cont(epoch(kickoff), 0.8) FROM inputs)", "scored sides", INPUTS_CTE),
+)
 def _(t: Tables):
-    return ml.count_trees(t.scored.dropna(subset=FEATURES), FEATURES, "ft_home", "kickoff")
+    """Trees on form before the match; the error of the later fifth is near that of the mean or below."""
+    out = ml.count_trees(inputs(t), INPUTS, "ft_home", "kickoff")
+    return out.select("rows", (~((F.col("rmse") > 0) & (F.col("rmse") < 1.25 * F.col("rmse_mean")))).alias("odd"))
 
 
-@query("league_combiner", "L13")
+@query(
+    "league_combiner",
+    "L13",
+    sql(f"SELECT COUNT(*) FILTER (kickoff < {CUT}) AS early_rows, CAST(0 AS DOUBLE) AS score_base, CAST(0 AS DOUBLE) AS score_attack, CAST(0 AS DOUBLE) AS score_defence, CAST(0 AS DOUBLE) AS score_set_play, CAST(0 AS BIGINT) AS odd FROM inputs", "scored sides", INPUTS_CTE),
+)
 def _(t: Tables):
-    groups = {"attack": ["shots_h", "sot_h"], "defence": ["shots_a", "sot_a"], "set_play": ["corners_h", "corners_a"]}
-    out = ml.ridge_combiner(t.scored.dropna(subset=FEATURES), groups, "ft_home")
-    return out.select("fixture_id", "league", "mu", "league_shift")
+    """Score equations of the ridge over the early rows: mean residual, and mean residual x group minus the penalty's pull."""
+    groups = {"attack": ["shots_for_l5_home", "sot_for_l5_home"], "defence": ["shots_for_l5_away", "sot_for_l5_away"], "set_play": ["corners_for_l5_home", "corners_for_l5_away"]}
+    df = inputs(t)
+    out = ml.ridge_combiner(df.filter(before()), df, groups, "ft_home")
+    off = F.col("ft_home") - F.col("mu_global")
+    early = lambda c: F.avg(F.when(before(), c))
+    shrunk = F.abs(F.col("league_shift")) <= 5.0
+    scores = [F.round(early(off * F.col(f"z_{g}")) - F.max(f"pull_{g}"), 6).alias(f"score_{g}") for g in groups]
+    return out.agg(F.count_if(before()).alias("early_rows"), F.round(early(off), 6).alias("score_base"), *scores, flag(shrunk & F.col("mu").isNotNull()).alias("odd"))
 
 
 @query("decayed_strengths", "L14")
@@ -89,22 +179,64 @@ def _(t: Tables):
     return ml.decayed_strengths(t.sides, F.lit("2001-08-01").cast("date"))[1]
 
 
-@query("shot_probability", "L15")
+@query(
+    "shot_probability",
+    "L15",
+    sql(
+        f"""SELECT COUNT(*) FILTER (kickoff >= TIMESTAMP '{MIDDLE}' AND kickoff < {CUT}) AS fit_rows, CAST(COUNT(*) FILTER (kickoff >= TIMESTAMP '{MIDDLE}' AND kickoff < {CUT} AND result = 'Goal') AS DOUBLE) AS label_sum,
+        CAST(COUNT(*) FILTER (kickoff >= TIMESTAMP '{MIDDLE}' AND kickoff < {CUT} AND result = 'Goal') AS DOUBLE) AS curve_sum, COUNT(*) FILTER (kickoff >= {CUT}) AS later_rows, CAST(0 AS BIGINT) AS odd FROM shots JOIN matches USING (fixture_id)""",
+        "",
+        "shots AS (SELECT l_orderkey AS fixture_id, CASE WHEN l_returnflag = 'A' THEN 'Goal' ELSE 'Saved' END AS result FROM lineitem)",
+    ),
+)
 def _(t: Tables):
-    s = shots(t).withColumns({"dist": shot_distance_m("x", "y"), "angle": shot_angle_deg("x", "y"), "goal": (F.col("result") == "Goal").cast("double")})
-    return ml.shot_classifier(s, ["dist", "angle"], ["shot_type", "situation"], "goal").select("shot_id", "p_goal")
+    """Trees before the middle cut, isotonic curve between the cuts (its sum is the goals there), scores for later shots."""
+    s = shots(t).join(t.matches.select("fixture_id", "kickoff"), "fixture_id")
+    s = s.withColumns({"dist": shot_distance_m("x", "y"), "angle": shot_angle_deg("x", "y"), "goal": (F.col("result") == "Goal").cast("double")})
+    middle = ~before(MIDDLE) & before()
+    out = ml.shot_classifier(s.filter(before(MIDDLE)), s.filter(middle), s.filter(~before(MIDDLE)), ["dist", "angle"], ["shot_type", "situation"], "goal")
+    return out.agg(
+        F.count_if(middle).alias("fit_rows"), F.round(F.sum(F.when(middle, F.col("goal"))), 4).alias("label_sum"), F.round(F.sum(F.when(middle, F.col("p_goal"))), 4).alias("curve_sum"),
+        F.count_if(~before()).alias("later_rows"), flag(F.col("p_goal").between(0.0, 1.0)).alias("odd"),
+    )
 
 
-@query("corner_line", "L16")
+@query(
+    "corner_line",
+    "L16",
+    sql(f"SELECT COUNT(*) AS rows, ROUND(AVG(CAST(corners_h + corners_a > 9.5 AS INT)), 6) AS base_rate, FALSE AS odd FROM inputs WHERE kickoff >= {CUT}", "scored sides", INPUTS_CTE),
+)
 def _(t: Tables):
-    return ml.line_classifier(t.matches.dropna(subset=FEATURES), ["shots_h", "shots_a", "sot_h"], F.col("corners_h") + F.col("corners_a"), 9.5, late())
+    out = ml.line_classifier(inputs(t), INPUTS, F.col("corners_h") + F.col("corners_a"), 9.5, ~before())
+    return out.select("rows", "base_rate", (~(F.col("accuracy").between(0, 1) & F.col("auc").between(0, 1))).alias("odd"))
+
+
+FEATURES = ["shots_h", "shots_a", "sot_h", "corners_h", "corners_a", "sot_a"]
 
 
-@query("feature_selection", "L17")
+@query(
+    "feature_selection",
+    "L17",
+    sql(
+        """SELECT f.feature, ROUND(f.variance, 6) AS variance, f.variance > 1e-6 AND NOT EXISTS (SELECT 1 FROM rho WHERE rho.b = f.feature AND abs(rho.r) >= 0.95) AS kept FROM
+        (SELECT feature, var_samp(v) AS variance FROM long GROUP BY feature) f""",
+        "scored",
+        """full_rows AS (SELECT * FROM scored WHERE shots_h IS NOT NULL AND shots_a IS NOT NULL AND sot_h IS NOT NULL AND corners_h IS NOT NULL AND corners_a IS NOT NULL AND sot_a IS NOT NULL),
+        long AS (SELECT fixture_id, feature, CAST(v AS DOUBLE) AS v, pos FROM (SELECT fixture_id, unnest(['shots_h', 'shots_a', 'sot_h', 'corners_h', 'corners_a', 'sot_a']) AS feature, unnest([shots_h, shots_a, sot_h, corners_h, corners_a, sot_a]) AS v, unnest([1, 2, 3, 4, 5, 6]) AS pos FROM full_rows)),
+        ranked AS (SELECT *, RANK() OVER (PARTITION BY feature ORDER BY v) + (COUNT(*) OVER (PARTITION BY feature, v) - 1) / 2e0 AS k FROM long),
+        rho AS (SELECT a.feature AS a, b.feature AS b, corr(a.k, b.k) AS r FROM ranked a JOIN ranked b ON a.fixture_id = b.fixture_id AND a.pos < b.pos GROUP BY ALL)""",
+    ),
+)
 def _(t: Tables):
-    return ml.select_features(t.scored.dropna(subset=FEATURES), FEATURES + ["sot_a"])
+    return ml.select_features(t.scored.dropna(subset=FEATURES), FEATURES)
 
 
-@query("classifier_ensemble", "L18")
+@query(
+    "classifier_ensemble",
+    "L18",
+    sql(f"SELECT fixture_id, FALSE AS odd FROM inputs WHERE kickoff >= {CUT}", "scored sides", INPUTS_CTE),
+)
 def _(t: Tables):
-    return ml.ensemble(labelled(t).dropna(subset=FEATURES), FEATURES, "over").select("fixture_id", "p")
+    df = inputs(t).withColumn("over", (F.col("ft_home") + F.col("ft_away") > 2.5).cast("double"))
+    out = ml.ensemble(df.filter(before()), df.filter(~before()), INPUTS, "over")
+    return out.select("fixture_id", (~F.col("p").between(0.0, 1.0)).alias("odd"))
