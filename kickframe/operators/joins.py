@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -14,7 +12,6 @@ from pyspark.sql import functions as F
 
 from kickframe.functions.cols import unix
 from kickframe.operators.ordered import last_before, ordinal, running, time_slice
-from kickframe.session import python_partitions
 
 YEAR_SECONDS = 365 * 86400
 
@@ -191,13 +188,13 @@ def _from_boxes(r: np.ndarray, boxes: pd.DataFrame, sigma: float) -> dict[str, n
 def tiered_join(left: DataFrame, right: DataFrame, tiers: Mapping[str, Sequence[str]], values: Sequence[str]) -> DataFrame:
     """Left join over key sets in order of trust; ``match_source`` names the tier that hit.
 
-    The right side must be unique per tier key; use a dedupe first.
+    Of right rows that share a tier's key the most complete one counts, then the greatest by value.
     """
     source = F.when(F.lit(False), "")
     picks: dict[str, list[Column]] = {v: [] for v in values}
     for tier, keys in tiers.items():
         unique = right.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(
-            F.max(F.struct(*values)).alias(f"_{tier}")
+            F.max_by(F.struct(*values), F.struct(sum((F.col(v).isNotNull().cast("int") for v in values), F.lit(0)), *values)).alias(f"_{tier}")
         )
         left = left.join(unique, list(keys), "left")
         source = source.when(F.col(f"_{tier}").isNotNull(), tier)
@@ -219,74 +216,58 @@ def tolerant_price(left: DataFrame, prices: DataFrame, keys: Sequence[str], day:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Matching-block ratio of two names, Arrow-batched.
-
-    Marked non-deterministic so that a filter on it is not pushed below the dedupe of candidate pairs.
-    """
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    return run.asNondeterministic()(a, b)
+    """1 - edits / length of the longer name; 1 for equal names, also empty ones."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
 def bigrams(c: Column) -> Column:
-    s = F.concat(F.lit("^"), c)
+    """Distinct pairs of neighbouring letters, both ends marked."""
+    s = F.concat(F.lit("^"), c, F.lit("$"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2))))
 
 
-def alias_suggestions(unknown: DataFrame, canonical: DataFrame, min_score: float = 0.75) -> DataFrame:
-    """Best canonical name per unknown name at or above ``min_score``.
+def _rarest(names: DataFrame, freq: DataFrame, share: float) -> DataFrame:
+    """(name, gram): the rarest letter pairs of each name, one more than ``share`` edits per letter can destroy."""
+    pairs = names.select("name", F.explode(bigrams(F.col("name"))).alias("gram")).join(freq, "gram", "left")
+    place = F.row_number().over(W.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), "gram"))
+    edits = F.floor(share / (1 - share) * F.length("name") + 1e-9)
+    return pairs.withColumn("_at", place).filter(F.col("_at") <= 2 * edits + 1).select("name", "gram")
 
-    Works on distinct names. Two names with a ratio of 0.75 or more always share a pair of neighbouring
-    letters, so candidates come from an equi join on letter pairs, never from all pairs.
+
+def alias_suggestions(unknown: DataFrame, canonical: DataFrame, min_score: float = 0.75, auto: float = 0.92) -> DataFrame:
+    """Every unknown name with its best canonical name of at least ``min_score`` (null if none) and whether it passes ``auto``.
+
+    Works on distinct names. An edit destroys at most two letter pairs of a name, so names within the allowed edits share
+    one of their rarest 2 x edits + 1 pairs under one order of rarity: candidates come from an equi join on rare pairs and
+    are complete, common pairs never meet. Ties go to the name that sorts last.
     """
-    if min_score < 0.75:
-        raise ValueError("letter-pair candidates are complete from 0.75 on")
-    u = unknown.select(F.col("name").alias("unknown")).distinct()
-    c = canonical.select(F.col("name").alias("canonical")).distinct()
-    cand = (
-        u.withColumn("_g", F.explode(bigrams(F.col("unknown"))))
-        .join(c.withColumn("_g", F.explode(bigrams(F.col("canonical")))), "_g")
-        .groupBy("unknown", "canonical")
-        .agg(F.count(F.lit(1)).alias("_shared"))
-    )
-    # ratio >= s needs 2M >= s (|a|+|b|); a length gap beyond that can not reach it
+    u = unknown.select("name").filter("name IS NOT NULL").distinct()
+    c = canonical.select("name").filter("name IS NOT NULL").distinct()
+    freq = c.select(F.explode(bigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    left = _rarest(u, freq, 1 - min_score).withColumnRenamed("name", "unknown")
+    right = _rarest(c, freq, 1 - min_score).withColumnRenamed("name", "canonical")
     la, lb = F.length("unknown"), F.length("canonical")
-    cand = cand.filter(2 * F.least(la, lb) >= min_score * (la + lb))
-    # the ratio is at most 1 - edits / length: score the most promising name first, then only names that can beat it
-    cap = 1.0 - F.levenshtein("unknown", "canonical") / (la + lb)
-    cand = cand.select("unknown", "canonical", cap.alias("_cap")).filter(F.col("_cap") >= min_score - 1e-9)
-    lead = cand.groupBy("unknown").agg(F.max_by("canonical", F.struct("_cap", "canonical")).alias("canonical"))
-    parts = python_partitions(unknown.sparkSession)
-    ratio = name_similarity(F.col("unknown"), F.col("canonical"))
-    floor = lead.repartition(parts, "unknown").select("unknown", ratio.alias("_floor"))
-    left = cand.join(floor, "unknown").filter(F.col("_cap") >= F.col("_floor") - 1e-9).select("unknown", "canonical")
-    scored = left.repartition(parts, "unknown", "canonical").withColumn("score", ratio).filter(F.col("score") >= min_score)
+    cand = left.join(right, "gram").filter(F.least(la, lb) >= min_score * F.greatest(la, lb) - 1e-9).select("unknown", "canonical").distinct()
+    scored = cand.withColumn("score", name_similarity(F.col("unknown"), F.col("canonical"))).filter(F.col("score") >= min_score - 1e-9)
     best = scored.groupBy("unknown").agg(F.max_by(F.struct("canonical", "score"), F.struct(F.round("score", 9), F.col("canonical"))).alias("_b"))
-    return best.select("unknown", "_b.canonical", "_b.score")
+    out = u.withColumnRenamed("name", "unknown").join(best, "unknown", "left").select("unknown", "_b.canonical", "_b.score")
+    return out.withColumn("auto", F.coalesce(F.col("score") >= auto, F.lit(False)))
 
 
-def fuzzy_fixtures(feed: DataFrame, fixtures: DataFrame, min_score: float = 1.2, date_bonus: float = 0.2, days: int = 1) -> DataFrame:
-    """Feed rows matched to fixtures by home and away name ratio plus a bonus for the same date.
+def fuzzy_fixtures(feed: DataFrame, fixtures: DataFrame, min_score: float = 1.2, date_bonus: float = 0.2, days: int = 10) -> DataFrame:
+    """Feed rows matched to fixtures by home and away name likeness plus a bonus for the same date.
 
-    Candidates are fixtures of the same league within ``days`` that share a letter pair in either team name.
+    Candidates are all fixtures of the same league within ``days``: an equi join on league and day, as large as a league's
+    calendar allows. Ties go to the smaller fixture id.
     """
-    def grams(h: str, a: str) -> Column:
-        tag = lambda side: lambda g: F.concat(F.lit(side), g)
-        return F.array_union(F.transform(bigrams(F.col(h)), tag("h")), F.transform(bigrams(F.col(a)), tag("a")))
-
     left = feed.withColumn("_day", F.explode(F.array(*[F.date_add("day", d) for d in range(-days, days + 1)])))
-    left = left.withColumn("_g", F.explode(grams("home_raw", "away_raw")))
-    right = fixtures.select("fixture_id", "league", F.col("day").alias("_day"), "home", "away").withColumn("_g", F.explode(grams("home", "away")))
-    cand = left.join(right, ["league", "_day", "_g"]).select("row_id", "day", "_day", "home_raw", "away_raw", "fixture_id", "home", "away").distinct()
-    cand = cand.repartition(python_partitions(feed.sparkSession), "row_id", "fixture_id")
+    right = fixtures.select("fixture_id", "league", F.col("day").alias("_day"), "home", "away")
     score = (
         name_similarity(F.col("home_raw"), F.col("home"))
         + name_similarity(F.col("away_raw"), F.col("away"))
         + F.when(F.col("day") == F.col("_day"), date_bonus).otherwise(0.0)
     )
-    scored = cand.withColumn("score", score).filter(F.col("score") >= min_score)
+    scored = left.join(right, ["league", "_day"]).withColumn("score", score).filter(F.col("score") >= min_score)
     best = scored.groupBy("row_id").agg(F.max_by(F.struct("fixture_id", "score"), F.struct(F.round("score", 9), -F.col("fixture_id"))).alias("_b"))
     return feed.select("row_id").join(best, "row_id", "left").select("row_id", "_b.fixture_id", "_b.score")

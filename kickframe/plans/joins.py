@@ -216,12 +216,16 @@ def _(t: Tables):
 @query(
     "alias_suggestions",
     "J22",
-    sql("SELECT DISTINCT replace(lower(home), 'nation', 'natoin') AS unknown, lower(home) AS canonical FROM matches"),
+    sql(
+        """SELECT DISTINCT replace(lower(home), 'nation', 'natoin') AS unknown, lower(home) AS canonical, ROUND(1 - 2e0 / length(home), 6) AS score, FALSE AS auto FROM matches
+        UNION ALL SELECT 'zz', NULL, NULL, FALSE"""
+    ),
 )
 def _(t: Tables):
     names = t.matches.select(F.lower("home").alias("name"))
     unknown = t.matches.select(F.replace(F.lower("home"), F.lit("nation"), F.lit("natoin")).alias("name"))
-    return jn.alias_suggestions(unknown, names).select("unknown", "canonical")
+    unknown = unknown.unionByName(t.spark.createDataFrame([("zz",)], "name string"))
+    return jn.alias_suggestions(unknown, names)
 
 
 @query(
@@ -233,7 +237,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     day = F.to_date("kickoff")
-    typo = lambda c: F.concat(F.lower(c), F.lit(" fc"))
+    typo = lambda c: F.replace(F.lower(c), F.lit("nation"), F.lit("natoin"))
     feed = t.matches.select(F.col("fixture_id").alias("row_id"), "league", day.alias("day"), typo("home").alias("home_raw"), typo("away").alias("away_raw"))
     fixtures = t.matches.select("fixture_id", "league", day.alias("day"), F.lower("home").alias("home"), F.lower("away").alias("away"))
     return jn.fuzzy_fixtures(feed, fixtures).select("row_id", "fixture_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 import random
 
@@ -118,16 +117,33 @@ def test_head_to_head_both_ways_and_window_edge(spark):
 
 
 def test_alias_suggestions_match_all_pairs(spark):
-    names = ["arsenal", "aston villa", "chelsea", "everton", "liverpool", "manchester city", "manchester united", "newcastle united"]
-    odd = ["arsnal", "chelsae", "manchester utd", "liverpol fc", "zzz"]
+    rnd = random.Random(6)
+    words = ["arsenal", "aston villa", "chelsea", "everton", "manchester city", "manchester united", "newcastle united", "inter", "ab", ""]
+    names = sorted({w + x for w in words for x in ("", " fc", " ii", "a")})
+
+    def changed(w):
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(w) + 1)
+            w = rnd.choice([w[:k] + "x" + w[k:], w[:k] + w[k + 1 :], w[:k] + "y" + w[k + 1 :]])
+        return w
+
+    odd = sorted({changed(rnd.choice(names)) for _ in range(150)} | {"zzz", "q"})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
     mk_df = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
-    got = {r["unknown"]: r["canonical"] for r in jn.alias_suggestions(mk_df(odd), mk_df(names)).collect()}
-    want = {}
+    got = {r["unknown"]: (r["canonical"], r["auto"]) for r in jn.alias_suggestions(mk_df(odd), mk_df(names)).collect()}
+    assert set(got) == set(odd)
     for u in odd:
-        score, best = max((difflib.SequenceMatcher(None, u, c).ratio(), c) for c in names)
-        if score >= 0.75:
-            want[u] = best
-    assert got == want
+        score, best = max((1 - edits(u, c) / max(len(u), len(c), 1), c) for c in names)
+        assert got[u] == ((best, score >= 0.92) if score >= 0.75 else (None, False)), (u, got[u], score, best)
 
 
 def test_text_functions(spark):
