@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from kickframe.operators import joins as jn
 from kickframe.operators.clean import normalise_team
-from kickframe.operators.tops import keep_best
 from kickframe.plans.clean import CODES_SQL, coded, registry_of
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.forms import rated_sides
@@ -64,50 +63,83 @@ def _(t: Tables):
     return jn.kernel_history(rated_sides(t)).select("fixture_id", "team", "venue", "gf_sim", "ga_sim", "neff")
 
 
+FEED_CTE = f"""coded AS (SELECT *, CAST(kickoff AS DATE) AS d, {CODES_SQL} AS ch, {CODES_SQL.replace("home", "away")} AS ca FROM matches),
+  feed AS (SELECT d, CASE WHEN fixture_id % 3 = 0 THEN ch END AS ch, CASE WHEN fixture_id % 3 = 0 THEN ca END AS ca, CASE WHEN fixture_id % 3 = 1 THEN home ELSE '?' || home END AS hn,
+    CASE WHEN fixture_id % 3 = 1 THEN away ELSE '?' || away END AS an, fixture_id + 1 AS stat, CASE WHEN fixture_id % 2 = 0 THEN corners_h END AS corners, ft_home + CAST(fixture_id % 10 = 0 AS INT) AS score,
+    1 + CAST(fixture_id % 2 = 0 AND corners_h IS NOT NULL AS INT) + CAST(ft_home IS NOT NULL AS INT) AS full_cols FROM coded WHERE fixture_id % 3 < 2),
+  by_code AS (SELECT d, ch, ca, arg_max({{'stat': stat, 'corners': corners, 'score': score}}, full_cols * CAST(1000000000 AS BIGINT) + stat) AS v FROM feed WHERE ch IS NOT NULL AND ca IS NOT NULL GROUP BY ALL),
+  by_name AS (SELECT d, hn, an, arg_max({{'stat': stat, 'corners': corners, 'score': score}}, full_cols * CAST(1000000000 AS BIGINT) + stat) AS v FROM feed GROUP BY ALL)"""
+
+
+def stats_feed(t: Tables):
+    """A statistics feed of its own: codes on one third of the matches, usable names on another, none on the last; some scores are wrong."""
+    i = ID()
+    return coded(t).filter(i % 3 < 2).select(
+        F.to_date("kickoff").alias("day"), F.when(i % 3 == 0, F.col("code_home")).alias("code_home"), F.when(i % 3 == 0, F.col("code_away")).alias("code_away"),
+        F.when(i % 3 == 1, F.col("home")).otherwise(F.concat(F.lit("?"), "home")).alias("home"), F.when(i % 3 == 1, F.col("away")).otherwise(F.concat(F.lit("?"), "away")).alias("away"),
+        (i + 1).alias("stat"), F.when(i % 2 == 0, F.col("corners_h")).alias("corners"), (F.col("ft_home") + (i % 10 == 0).cast("int")).alias("score"),
+    )
+
+
+TIERS = {"code": ["day", "code_home", "code_away"], "name": ["day", "home", "away"]}
+
+
 @query(
     "stats_join_deduped",
     "J01 T02",
-    sql("SELECT fixture_id, CAST(shots_h AS BIGINT) AS shots, CAST(CASE WHEN fixture_id % 2 = 0 THEN corners_h END AS BIGINT) AS corners FROM matches"),
+    sql(
+        """SELECT c.fixture_id, CAST(COALESCE(a.v.stat, b.v.stat) AS BIGINT) AS stat, CAST(CASE WHEN a.v IS NOT NULL THEN a.v.corners ELSE b.v.corners END AS BIGINT) AS corners FROM coded c
+        LEFT JOIN by_code a ON c.d = a.d AND c.ch = a.ch AND c.ca = a.ca LEFT JOIN by_name b ON c.d = b.d AND c.home = b.hn AND c.away = b.an""",
+        "",
+        FEED_CTE,
+    ),
 )
 def _(t: Tables):
-    base = t.matches.select("fixture_id", "home", "away", "kickoff")
-    full = t.matches.select("home", "away", "kickoff", "fixture_id", F.col("shots_h").alias("shots"), F.when(ID() % 2 == 0, F.col("corners_h")).alias("corners"), F.lit(1).alias("arrival"))
-    thin = full.withColumns({"shots": F.lit(None).cast("int"), "arrival": F.lit(2)})
-    stats = keep_best(full.unionByName(thin), ["fixture_id"], ["shots", "corners"], F.col("arrival"))
-    return base.join(stats.select("fixture_id", "shots", "corners"), "fixture_id", "left").select("fixture_id", "shots", "corners")
+    """Date and codes, else date and names; a thinner copy of every feed row never replaces the full one."""
+    feed = stats_feed(t)
+    # thinner copies of the rows that have both optional values, with a greater number
+    thin = feed.filter("corners IS NOT NULL AND score IS NOT NULL").withColumns({"corners": F.lit(None).cast(feed.schema["corners"].dataType), "score": F.lit(None).cast("int"), "stat": F.col("stat") + 5_000_000})
+    base = coded(t).withColumn("day", F.to_date("kickoff")).select("fixture_id", "day", "code_home", "code_away", "home", "away")
+    return jn.tiered_join(base, feed.unionByName(thin), TIERS, ["stat", "corners", "score"]).select("fixture_id", "stat", "corners")
 
 
 @query(
     "tiered_stats_join",
     "J02 J03",
     sql(
-        """SELECT fixture_id, CASE WHEN fixture_id % 3 = 0 THEN 'code' WHEN fixture_id % 3 = 1 THEN 'name' ELSE 'none' END AS match_source,
-        CAST(CASE WHEN fixture_id % 3 < 2 AND NOT (fixture_id % 10 = 0) THEN fixture_id + 1 END AS BIGINT) AS stat FROM matches""",
+        """SELECT c.fixture_id, CASE WHEN a.v IS NOT NULL THEN 'code' WHEN b.v IS NOT NULL THEN 'name' ELSE 'none' END AS match_source,
+        CAST(CASE WHEN a.v IS NOT NULL AND COALESCE(a.v.score <> c.ft_home, FALSE) THEN NULL WHEN a.v IS NOT NULL THEN a.v.stat WHEN COALESCE(b.v.score <> c.ft_home, FALSE) THEN NULL ELSE b.v.stat END AS BIGINT) AS stat,
+        COALESCE(COALESCE(a.v, b.v).score <> c.ft_home, FALSE) AS rejected FROM coded c
+        LEFT JOIN by_code a ON c.d = a.d AND c.ch = a.ch AND c.ca = a.ca LEFT JOIN by_name b ON c.d = b.d AND c.home = b.hn AND c.away = b.an""",
+        "",
+        FEED_CTE,
     ),
 )
 def _(t: Tables):
-    base = coded(t).select("fixture_id", "kickoff", "code_home", "code_away", "home", "away", "ft_home")
-    stats = base.filter(ID() % 3 < 2).select(
-        F.col("fixture_id").alias("sid"),
-        F.when(ID() % 3 == 0, F.col("fixture_id")).alias("k_code"),
-        F.when(ID() % 3 == 1, F.col("fixture_id")).alias("k_name"),
-        (ID() + 1).alias("stat"),
-        F.when(ID() % 10 == 0, 99).otherwise(1).alias("their_score"),
-    )
-    left = base.withColumns({"k_code": F.col("fixture_id"), "k_name": F.col("fixture_id")})
-    out = jn.tiered_join(left, stats, {"code": ["k_code"], "name": ["k_name"]}, ["stat", "their_score"])
-    disagree = F.coalesce(F.col("their_score") != 1, F.lit(False))
-    return out.select("fixture_id", "match_source", F.when(~disagree, F.col("stat")).alias("stat"))
+    """The guard: joined statistics of a row whose score disagrees are dropped and the row is tagged."""
+    base = coded(t).withColumn("day", F.to_date("kickoff")).select("fixture_id", "day", "code_home", "code_away", "home", "away", "ft_home")
+    out = jn.tiered_join(base, stats_feed(t), TIERS, ["stat", "corners", "score"])
+    rejected = F.coalesce(F.col("score") != F.col("ft_home"), F.lit(False))
+    return out.select("fixture_id", "match_source", F.when(~rejected, F.col("stat")).alias("stat"), rejected.alias("rejected"))
 
 
 @query(
     "odds_fill",
     "J04 J23",
-    sql("SELECT fixture_id, ROUND(COALESCE(odds_over, 1.9e0), 6) AS odds_over, ROUND(COALESCE(odds_under, 1.95e0), 6) AS odds_under FROM matches"),
+    sql(
+        """SELECT c.fixture_id, ROUND(COALESCE(c.odds_over, f.o), 6) AS odds_over, ROUND(COALESCE(c.odds_under, f.u), 6) AS odds_under FROM coded c
+        LEFT JOIN (SELECT d, ch, ca, MAX(1.5e0 + fixture_id % 50 / 100e0) AS o, MAX(2.5e0 - fixture_id % 40 / 100e0) AS u FROM coded WHERE fixture_id % 5 <> 0 AND ch IS NOT NULL AND ca IS NOT NULL GROUP BY ALL) f
+        ON c.d = f.d AND c.ch = f.ch AND c.ca = f.ca""",
+        "",
+        FEED_CTE,
+    ),
 )
 def _(t: Tables):
-    extra = t.matches.select("fixture_id", F.lit(1.9).alias("o"), F.lit(1.95).alias("u"))
-    j = t.matches.join(extra, "fixture_id", "left")
+    """A price feed joined on date and codes fills missing prices only; the best price of repeated feed rows counts."""
+    base = coded(t).withColumn("day", F.to_date("kickoff"))
+    keys = TIERS["code"]
+    feed = base.filter((ID() % 5 != 0) & F.col("code_home").isNotNull() & F.col("code_away").isNotNull()).select(*keys, (1.5 + ID() % 50 / 100.0).alias("o"), (2.5 - ID() % 40 / 100.0).alias("u"))
+    j = base.join(feed.groupBy(*keys).agg(F.max("o").alias("o"), F.max("u").alias("u")), keys, "left")
     return j.select("fixture_id", F.coalesce("odds_over", "o").alias("odds_over"), F.coalesce("odds_under", "u").alias("odds_under"))
 
 

@@ -9,6 +9,7 @@ from kickframe.operators import summaries as sm
 from kickframe.operators.ordered import rows_frame, time_slice
 from kickframe.operators.quantiles import grouped_quantiles
 from kickframe.plans.clean import coded, goal_lists, shots
+from kickframe.operators.sides import side_rows
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.forms import rated_sides
 from kickframe.plans.registry import query
@@ -73,20 +74,24 @@ def _(t: Tables):
     "team_ratios",
     "A04",
     sql(
-        """SELECT team, season, ROUND(gf / NULLIF(lh, 0), 6) AS attack_home, ROUND(ga / NULLIF(la, 0), 6) AS defence_home, ROUND(gf / n / NULLIF(lh, 0), 6) AS attack_home_per_game FROM
-        (SELECT home AS team, league, season, CAST(SUM(ft_home) AS DOUBLE) AS gf, CAST(SUM(ft_away) AS DOUBLE) AS ga, COUNT(*) AS n FROM seasoned GROUP BY ALL)
-        JOIN (SELECT league, season, AVG(ft_home) AS lh, AVG(ft_away) AS la FROM seasoned GROUP BY ALL) USING (league, season)""",
+        """SELECT team, season, ROUND(SUM(gf) FILTER (v = 'home') / NULLIF(ANY_VALUE(lh), 0), 6) AS attack_home, ROUND(SUM(ga) FILTER (v = 'home') / NULLIF(ANY_VALUE(la), 0), 6) AS defence_home,
+        ROUND(SUM(gf) FILTER (v = 'away') / NULLIF(ANY_VALUE(la), 0), 6) AS attack_away, ROUND(SUM(ga) FILTER (v = 'away') / NULLIF(ANY_VALUE(lh), 0), 6) AS defence_away,
+        ROUND(SUM(gf) FILTER (v = 'home') / NULLIF(COUNT(*) FILTER (v = 'home'), 0) / NULLIF(ANY_VALUE(lh), 0), 6) AS attack_home_per_game FROM
+        (SELECT home AS team, league, season, 'home' AS v, CAST(ft_home AS DOUBLE) AS gf, CAST(ft_away AS DOUBLE) AS ga FROM seasoned UNION ALL SELECT away, league, season, 'away', CAST(ft_away AS DOUBLE), CAST(ft_home AS DOUBLE) FROM seasoned)
+        JOIN (SELECT league, season, AVG(ft_home) AS lh, AVG(ft_away) AS la FROM seasoned GROUP BY ALL) USING (league, season) GROUP BY team, league, season""",
         "seasoned",
     ),
 )
 def _(t: Tables):
+    """Both venues from one aggregate over the side rows; each against the league mean of its own side."""
     lg = sm.league_baselines(t.seasoned, ["league", "season"]).select("league", "season", "lg_gf_home", "lg_gf_away")
-    teams = t.seasoned.groupBy(F.col("home").alias("team"), "league", "season").agg(
-        F.sum("ft_home").alias("gf"), F.sum("ft_away").alias("ga"), F.count(F.lit(1)).alias("n")
-    )
+    sides = side_rows(t.seasoned, {"gf": ("ft_home", "ft_away"), "ga": ("ft_away", "ft_home")}, keep=("league", "season"))
+    at = lambda v, c: F.sum(F.when(F.col("venue") == v, F.col(c))).alias(f"{c}_{v}")
+    teams = sides.groupBy("team", "league", "season").agg(*[at(v, c) for v in ("home", "away") for c in ("gf", "ga")], F.count_if(F.col("venue") == "home").alias("n"))
     return teams.join(lg, ["league", "season"]).select(
-        "team", "season", ratio("gf", "lg_gf_home").alias("attack_home"), ratio("ga", "lg_gf_away").alias("defence_home"),
-        ratio(F.col("gf") / F.col("n"), "lg_gf_home").alias("attack_home_per_game"),
+        "team", "season", ratio("gf_home", "lg_gf_home").alias("attack_home"), ratio("ga_home", "lg_gf_away").alias("defence_home"),
+        ratio("gf_away", "lg_gf_away").alias("attack_away"), ratio("ga_away", "lg_gf_home").alias("defence_away"),
+        ratio(F.try_divide("gf_home", "n"), "lg_gf_home").alias("attack_home_per_game"),
     )
 
 
