@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,16 +77,12 @@ def score_cells(df: DataFrame, mu_h: str, mu_a: str, keep: list[str], n: int = 1
     return cells.withColumn("_p", p).filter(F.col("_p") >= trim).select(*keep, "x", "y", (F.col("_p") / F.col("_s.kept")).alias("p"))
 
 
-def market_book(
-    df: DataFrame,
-    mu_h: str,
-    mu_a: str,
-    keep: list[str],
-    lines: tuple[float, ...] = (1.5, 2.5, 3.5),
-    intervals: tuple[tuple[int, int], ...] = ((0, 1), (1, 3), (2, 4), (3, 6)),
-    n: int = 10,
-) -> DataFrame:
-    """Flat book ``market, outcome, prob`` from an independent grid: 1X2, double chance, totals, intervals."""
+Row = tuple[str, str, Column]
+LINES, INTERVALS = (1.5, 2.5, 3.5), ((0, 1), (1, 3), (2, 4), (3, 6))
+
+
+def book_rows(df: DataFrame, mu_h: str, mu_a: str, lines: Sequence[float] = LINES, intervals: Sequence[tuple[int, int]] = INTERVALS, n: int = 10) -> tuple[DataFrame, list[Row]]:
+    """``df`` with the grid sums ``_s``, and (market, outcome, probability) of the book over them: 1X2, double chance, totals, intervals."""
     df = df.withColumn("_s", independent_grid(F.col(mu_h), F.col(mu_a), n))
     h, d = F.col("_s.home"), F.col("_s.draw")
     a = 1.0 - h - d
@@ -93,11 +91,47 @@ def market_book(
     for line in lines:
         under = upto(0, int(line))
         rows += [(f"OU {line}", "Under", under), (f"OU {line}", "Over", 1.0 - under)]
-    rows += [("TG Interval", f"{lo}-{hi}", upto(lo, hi)) for lo, hi in intervals]
+    return df, rows + [("TG Interval", f"{lo}-{hi}", upto(lo, hi)) for lo, hi in intervals]
+
+
+def market_book(df: DataFrame, mu_h: str, mu_a: str, keep: list[str], lines: Sequence[float] = LINES, intervals: Sequence[tuple[int, int]] = INTERVALS, n: int = 10) -> DataFrame:
+    """Flat book ``market, outcome, prob`` from an independent grid."""
+    df, rows = book_rows(df, mu_h, mu_a, lines, intervals, n)
     structs = [F.struct(F.lit(m).alias("market"), F.lit(o).alias("outcome"), p.alias("prob")) for m, o, p in rows]
     return df.select(*keep, F.inline(F.array(*structs)))
 
 
+def valued_book(df: DataFrame, mu_h: str, mu_a: str, keep: list[str], price: Callable[[str, str, Column], Column], margin: float | None = None) -> DataFrame:
+    """The flat book with prices, edge and EV of :func:`value_book`, from one grid pass and without a shuffle.
+
+    The outcomes of a market are columns of one row, so its sums are additions; ``price(market, outcome, prob)`` gives the
+    price or null.
+    """
+    margin = DEFAULT_MARGIN if margin is None else margin
+    df, rows = book_rows(df, mu_h, mu_a)
+    df = df.withColumns({f"_p{i}": p for i, (_, _, p) in enumerate(rows)})
+    df = df.withColumns({f"_o{i}": price(m, o, F.col(f"_p{i}")) for i, (m, o, _) in enumerate(rows)})
+    same = {m: [i for i, r in enumerate(rows) if r[0] == m] for m, _, _ in rows}
+    total = {m: sum((F.col(f"_p{i}") for i in own), F.lit(0.0)) for m, own in same.items()}
+    paid = {}
+    for i, (m, _, _) in enumerate(rows):
+        fair = F.when(total[m] > 0, F.col(f"_p{i}") / total[m]).otherwise(1.0 / len(same[m]))
+        paid[f"_c{i}"] = F.greatest(F.coalesce(F.col(f"_o{i}"), 1.0 / F.greatest(fair * (1.0 + margin), F.lit(1e-6))), F.lit(1.01))
+    df = df.withColumns(paid)
+    structs = []
+    for i, (m, o, _) in enumerate(rows):
+        prob, odds = F.col(f"_p{i}"), F.col(f"_c{i}")
+        norm = (1.0 / odds) / sum((1.0 / F.col(f"_c{j}") for j in same[m]), F.lit(0.0))
+        real = F.col(f"_o{i}").isNotNull()
+        structs.append(
+            F.struct(
+                F.lit(m).alias("market"), F.lit(o).alias("outcome"), prob.alias("prob"), odds.alias("odds"), F.when(real, "real").otherwise("synth").alias("price_source"), (1.0 / odds).alias("p_imp"),
+                (1.0 / F.greatest(prob, F.lit(1e-9))).alias("fair_odds"), norm.alias("p_imp_norm"), (prob - norm).alias("edge"), F.when(real, expected_value(prob, odds)).alias("ev"),
+            )
+        )
+    return df.select(*keep, F.inline(F.array(*structs)))
+
+
 def shortest_interval(df: DataFrame, mu_h: str, mu_a: str, level: float, n: int = 10) -> DataFrame:
     """Adds ``span``: the narrowest total-goals interval ``a-b`` holding at least ``level``."""
     df = df.withColumn("_s", independent_grid(F.col(mu_h), F.col(mu_a), n)).withColumn("_b", shortest_span(F.col("_s.totals"), level))

@@ -121,9 +121,9 @@ VAL_CTE = (
 
 
 def valued(t: Tables):
-    b = book(t)
-    odds = F.when(~((F.col("fixture_id") % 3 == 0) & F.col("market").startswith("OU")), F.round(1 / (F.col("prob") * 1.04 + 0.01), 2))
-    return mk.value_book(b.withColumn("odds", odds), ["fixture_id"])
+    gap = F.col("fixture_id") % 3 == 0
+    price = lambda m, o, p: F.when(~gap if m.startswith("OU") else F.lit(True), F.round(1 / (p * 1.04 + 0.01), 2))
+    return mk.valued_book(t.priced.select("fixture_id", "mu_home", "mu_away"), "mu_home", "mu_away", ["fixture_id"], price)
 
 
 @query(

@@ -186,3 +186,20 @@ def test_settlement_push_and_pending(spark):
     rows = [("OU 3.0", "Over", 2, 1, "PUSH"), ("OU 2.5", "Under", 2, 1, "LOSS"), ("TG Interval", "4+", 2, 2, "WIN"), ("1X2", "X", 1, 1, "WIN"), ("DC", "12", 1, 1, "LOSS"), ("1X2", "H", None, None, "PENDING")]
     df = spark.createDataFrame([(m, s, 2.0, 10.0, h, a, w) for m, s, h, a, w in rows], "market string, selection string, odds double, stake double, ft_home int, ft_away int, want string")
     assert all(r["result"] == r["want"] for r in st.settle_bets(df).collect())
+
+
+def test_row_local_book_equals_the_windowed_one(spark):
+    df = spark.createDataFrame([(i, 0.6 + i / 20, 0.5 + i / 18) for i in range(40)], "fixture_id long, h double, a double")
+    price = lambda m, o, p: F.when(F.col("fixture_id") % 3 != 0, F.round(1 / (p * 1.04 + 0.01), 2)) if m != "DC" else F.lit(None).cast("double")
+    flat = mk.market_book(df, "h", "a", ["fixture_id"])
+    odds = F.when((F.col("market") != "DC") & (F.col("fixture_id") % 3 != 0), F.round(1 / (F.col("prob") * 1.04 + 0.01), 2))
+    want = {(r["fixture_id"], r["market"], r["outcome"]): r for r in mk.value_book(flat.withColumn("odds", odds), ["fixture_id"]).collect()}
+    got = mk.valued_book(df, "h", "a", ["fixture_id"], price)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == len(want) == 640
+    for r in rows:
+        w = want[r["fixture_id"], r["market"], r["outcome"]]
+        for c in ("prob", "odds", "p_imp", "fair_odds", "p_imp_norm", "edge", "ev"):
+            assert (r[c] is None) == (w[c] is None) and (r[c] is None or abs(r[c] - w[c]) < 1e-12)
+        assert r["price_source"] == w["price_source"]
