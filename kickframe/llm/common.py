@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kickframe.session import cut_lineage
 
@@ -34,6 +35,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], *added: T.StructField) -> DataFrame:
+    """Whole rows through ``fn``, which may drop rows and append the ``added`` columns; columns may have any names."""
+    plain = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    named = df.toDF(*(f.name for f in plain))
+    extra = [T.StructField(f"x{i}", f.dataType) for i, f in enumerate(added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for out in fn(batch):
+                    yield pa.RecordBatch.from_arrays(out.columns, [*batch.schema.names, *(f.name for f in extra)])
+
+    return named.mapInArrow(run, T.StructType([*plain, *extra])).toDF(*df.columns, *(f.name for f in added))
+
+
 def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into runs of at most ``most`` units, one row at least."""
     at, held = 0, 0

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm.common import col, map_batches
+from kickframe.llm.common import col, map_batches, map_rows
 
 #: Bounds of the labelled sample: rows and bytes of text for each label.
 SAMPLE_ROWS = 1500
@@ -159,7 +159,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "
         yield batch.filter(pa.array(found >= cut))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda batches: (out for b in batches if b.num_rows for out in work(b)), docs.schema)
+    return map_rows(docs, work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kickframe.llm.common import col, map_batches, settle
+from kickframe.llm.common import col, map_batches, map_rows, settle
 from kickframe.llm.graph import components
 
 SEED = 42
@@ -196,6 +197,16 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
+    docs = settle(fingerprints(df, id_col, text_col, shingle))
+    least = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(least.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    classed = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return docs, classed.join(lows, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links, the row's own included.
 
@@ -203,29 +214,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a component unless all its members are null; repeated rows are returned each; other columns are not read; an empty table
     gives no rows. Copies share one fingerprint and are joined as a class, never as pairs.
     """
-    docs = settle(fingerprints(df, id_col, text_col, shingle))
-    least = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(least.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    classed = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classed.join(lows, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    docs, classes = _classes(df, id_col, text_col, shingle, radius)
+    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id, all its columns unchanged; of rows that repeat an id one stays.
+    """One row of each near-duplicate group, all its columns unchanged: that of the smallest id.
 
-    Rows without an id can't be told apart; those in groups without any id are kept as distinct rows.
+    Of rows that repeat that id one stays, and one of a group in which no row has an id. Nulls, empty and repeated texts as
+    in :func:`near_duplicates`.
     """
-    found = settle(near_duplicates(df, id_col, text_col))
+    docs, classes = _classes(df, id_col, text_col, 3, RADIUS)
+    found = settle(docs.join(classes, "fp"))
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__kf_rows"))
-    named = kept.withColumnRenamed("doc_id", "__kf_id")
-    rows = df.join(named, col(id_col) == F.col("__kf_id")).drop("__kf_id")
+    rows = df.join(kept.withColumnRenamed("doc_id", "__kf_id"), col(id_col) == F.col("__kf_id")).drop("__kf_id")
     single = rows.where("__kf_rows = 1").drop("__kf_rows")
     repeated = rows.where("__kf_rows > 1").drop("__kf_rows").dropDuplicates([id_col])
-    blank = found.where("component_id IS NULL").select("fp").limit(1).count()
-    out = single.unionAll(repeated)
-    return out.unionAll(df.where(col(id_col).isNull()).distinct()) if blank else out
+    # groups without an id: their rows are found again by fingerprint
+    at = df.columns.index(text_col)
+
+    def with_fp(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps = np.fromiter((fingerprint_of(x.as_py()) for x in batch.column(at)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "fp"])
+
+    blank = found.where("component_id IS NULL").select(F.col("fp").alias("__kf_fp"), F.col("root").alias("__kf_root")).distinct()
+    nameless = map_rows(df.where(col(id_col).isNull()), with_fp, T.StructField("__kf_fp", T.LongType()))
+    one = nameless.join(blank, "__kf_fp").dropDuplicates(["__kf_root"]).drop("__kf_fp", "__kf_root")
+    return single.unionAll(repeated).unionAll(one.select(*(col(c) for c in df.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
