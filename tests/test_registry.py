@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "best_market_from_form", "pressure_form", "league_profile", "head_to_head", "asof_state", "odds_tolerance_join", "date_vote", "picks",
     "market_book", "settlement", "threshold_scan", "calibration_error", "elo_series", "odds_payloads", "stream_windows", "prediction_health",
+    "stats_join_deduped", "tiered_stats_join", "odds_fill", "alias_suggestions", "fuzzy_fixture_match", "team_ratios", "value_metrics", "first_upcoming", "league_combiner", "kernel_similarity",
 ]
 NAMES = sorted(queries()) if os.environ.get("KICKFRAME_ALL") else QUICK
 
