@@ -13,8 +13,8 @@ from kickframe.session import scratch_path
 from kickframe.streaming import operators as so
 
 
-#: How late a row may arrive in these queries: a file holds any part of the table, so the table's whole span.
-DELAY = "10000 days"
+#: How late a row may arrive in these queries: tables come in slices of time, so one day is more than enough.
+DELAY = "1 day"
 
 
 def event_stream(t: Tables):
@@ -50,12 +50,10 @@ def _(t: Tables):
     sql("SELECT fixture_id, ROUND(eh, 6) AS elo_home, ROUND(ea, 6) AS elo_away, ROUND(d, 6) AS delta FROM st WHERE rn > 0", "", ELO_CTE),
 )
 def _(t: Tables):
-    path = scratch_path(t.spark, "matches")
     cols = ["fixture_id", F.col("kickoff").cast("timestamp").alias("kickoff"), "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
     df = rt._static(typed(t), rules()).select(*cols)
     df = so.with_end(df, "kickoff", DELAY, {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
-    df.write.parquet(path)
-    out = so.drain(so.ratings_stream(so.file_stream(t.spark, path, df.schema), "league", rules(), DELAY), "ratings")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.ratings_stream(stream, "league", rules(), DELAY), "ratings")
     return out.select("fixture_id", "elo_home", "elo_away", F.when(~F.isnan("delta"), F.col("delta")).alias("delta"))
 
 
@@ -65,11 +63,9 @@ def _(t: Tables):
     sql(f"SELECT fixture_id, team, venue, ROUND(AVG(gf) OVER {PRE}, 6) AS form, COUNT(gf) OVER {PRE} AS n FROM sides", "sides"),
 )
 def _(t: Tables):
-    path = scratch_path(t.spark, "sides")
     df = t.sides.select("fixture_id", "team", "venue", F.col("kickoff").cast("timestamp").alias("kickoff"), "opp", F.col("gf").cast("double").alias("gf"))
     df = so.with_end(df, "kickoff", DELAY, {"team": F.lit("end"), "venue": F.lit("end")})
-    df.write.parquet(path)
-    out = so.drain(so.form_stream(so.file_stream(t.spark, path, df.schema), "gf", delay=DELAY), "form")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.form_stream(stream, "gf", delay=DELAY), "form")
     return out.select("fixture_id", "team", "venue", F.when(~F.isnan("form"), F.col("form")).alias("form"), "n")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections import namedtuple
-from collections.abc import Iterator, Sequence
+import json
+import math
+from collections import defaultdict, namedtuple
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +17,10 @@ from kickframe.operators.ratings import EloRules, apply_match
 from kickframe.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows in one value of the state, and in one frame that leaves a key.
+PART, FRAME = 5_000, 10_000
+#: Rows of a finite table that a stream takes in at once.
+SLICE_ROWS = 200_000
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -50,6 +57,34 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return written
 
 
+def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """A finite table through an append stream in slices of time, about ``slice_rows`` rows each (rows of one moment stay together).
+
+    ``build`` makes the query from the input stream. Each slice arrives after all of the one before it were read, so the
+    watermark needs no allowance for the table's order and state holds a slice and the delay. Rows are written by slice
+    once and copied into the stream's folder slice by slice.
+    """
+    spark = rows.sparkSession
+    feed, out, check = (scratch_path(spark, f"{name}{x}") for x in ("-in", "", "-state"))
+    timed = rows.withColumn("__us", F.unix_micros(F.col(ts)).cast("double"))
+    n = math.ceil(rows.count() / slice_rows)
+    cuts = sorted(set(timed.approxQuantile("__us", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
+    if cuts:
+        staged = scratch_path(spark, f"{name}-slices")
+        dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__us", outputCol="__slice").transform(timed.fillna(-math.inf, "__us"))
+        dealt = dealt.drop("__us").withColumn("__slice", F.col("__slice").cast("int"))
+        dealt.write.partitionBy("__slice").parquet(staged)
+        tables = spark.read.schema(dealt.schema).parquet(staged)
+        slices = [tables.where(F.col("__slice") == k).select(*rows.columns) for k in range(len(cuts) + 1)]
+    else:
+        slices = [rows]
+    for part in slices:
+        part.write.mode("append").parquet(feed)
+        stream = build(file_stream(spark, feed, rows.schema))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "7 days") -> DataFrame:
     """First arrival per key; state is kept only as long as the watermark allows repeats."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -68,19 +103,22 @@ def window_coverage(stream: DataFrame, ts: str, by: Sequence[str], present, wind
 class _InOrder(StatefulProcessor):
     """Holds arrivals until the watermark has passed them, then hands them on in event order, whatever the batches were.
 
-    One timer per key is set at the earliest row held. When it fires, all rows up to the watermark leave in order and
-    the timer is set anew, so that each arrival is written and read once per release. State: the rows held and what the
-    subclass keeps.
+    Rows are held by time bucket in parts of at most PART rows. One timer per key is set at the earliest row held. When it
+    fires, the buckets that the watermark has reached are read one after the other and leave in frames of at most FRAME
+    rows, so that memory holds one bucket and one frame, however long the key is. State: the rows held, a line for each
+    bucket and what the subclass keeps.
     """
 
     #: Columns held, the event time in microseconds first; rows leave in the order of all of them.
     columns: tuple[str, ...] = ()
-    held_schema = ""
     blanks: dict = {}
+    #: Microseconds in a bucket.
+    width = 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.held = handle.getMapState("held", "bucket long, part int", "rows string")
+        self.buckets = handle.getMapState("buckets", "bucket long", "parts int, low long")
         self.due = handle.getValueState("due", "ms long")
 
     def _wait(self, ms: int) -> None:
@@ -92,13 +130,32 @@ class _InOrder(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.due.update((ms,))
 
+    def _hold(self, bucket: int, rows: list[tuple]) -> None:
+        parts, low = self.buckets.getValue((bucket,)) if self.buckets.containsKey((bucket,)) else (0, rows[0][0])
+        for at in range(0, len(rows), PART):
+            self.held.updateValue((bucket, parts), (json.dumps(rows[at : at + PART]),))
+            parts += 1
+        self.buckets.updateValue((bucket,), (parts, min(low, min(r[0] for r in rows))))
+
+    def _take(self, bucket: int, parts: int) -> list[tuple]:
+        rows: list[tuple] = []
+        for part in range(parts):
+            rows += map(tuple, json.loads(self.held.getValue((bucket, part))[0]))
+            self.held.removeKey((bucket, part))
+        self.buckets.removeKey((bucket,))
+        return rows
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             at = pd.to_datetime(pdf[self.columns[0]]).astype("datetime64[us]").astype("int64")
-            # missing numbers are held as NaN and missing texts and ids as blanks: state rows have no nulls
+            # missing numbers are held as NaN and missing texts and ids as blanks
             rest = pdf[list(self.columns[1:])].fillna(self.blanks).astype({c: "int64" for c, k in self.blanks.items() if k == -1})
-            self.held.appendList([(int(t), *r) for t, r in zip(at, rest.itertuples(index=False, name=None), strict=True)])
+            fresh: dict[int, list[tuple]] = defaultdict(list)
+            for t, r in zip(at.tolist(), zip(*(rest[c].tolist() for c in rest), strict=True), strict=True):
+                fresh[t // self.width].append((t, *r))
+            for bucket, part in fresh.items():
+                self._hold(bucket, part)
             low = int(at.min()) // 1000
             first = low if first is None else min(first, low)
         if first is not None:
@@ -107,17 +164,25 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        free, later = [], []
-        for r in self.held.get():
-            (free if r[0] < mark else later).append(tuple(r))
-        self.held.clear()
         self.due.clear()
-        if later:
-            self.held.put(later)
-            self._wait(min(r[0] for r in later) // 1000 + 1)
-        free.sort()
+        wait, free = None, []
+        for bucket, parts, low in sorted((k[0], *v) for k, v in self.buckets.iterator()):
+            if low < mark:
+                rows = self._take(bucket, parts)
+                later = [r for r in rows if r[0] >= mark]
+                if later:
+                    self._hold(bucket, later)
+                    low = min(r[0] for r in later)
+                free += sorted(r for r in rows if r[0] < mark)
+            if low >= mark:
+                wait = low if wait is None else min(wait, low)
+            while len(free) >= FRAME:
+                yield self.release(key, free[:FRAME])
+                free = free[FRAME:]
         if free:
             yield self.release(key, free)
+        if wait is not None:
+            self._wait(wait // 1000 + 1)
 
     def release(self, key, rows: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
@@ -131,7 +196,6 @@ class _Ratings(_InOrder):
 
     columns = ("kickoff", "home", "away", "fixture_id", "k_base", "home_edge", "type_mult", "margin_mult", "actual")
     blanks = {"home": "", "away": "", "fixture_id": -1}
-    held_schema = "t long, home string, away string, fixture_id long, k_base double, home_edge double, type_mult double, margin_mult double, actual double"
 
     def __init__(self, rules: EloRules):
         self.rules = rules
@@ -180,7 +244,6 @@ class _LastN(_InOrder):
 
     columns = ("kickoff", "opp", "fixture_id", "value")
     blanks = {"opp": "", "fixture_id": -1}
-    held_schema = "t long, opp string, fixture_id long, value double"
 
     def __init__(self, n: int):
         self.n = n

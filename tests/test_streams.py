@@ -55,3 +55,108 @@ def test_form(spark, matches, tmp_path):
             past = [x["gf"] for x in own[max(0, i - 5) : i] if x["gf"] is not None]
             g = got[r["fixture_id"]]
             assert g["n"] == len(past) and (not past or abs(g["form"] - sum(past) / len(past)) < 1e-9)
+
+
+def test_slices_of_time_with_a_short_delay(spark, matches):
+    rules = rt.EloRules()
+    cols = ["fixture_id", "kickoff", "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
+    whole = so.with_end(rt._static(matches, rules).select(*cols), "kickoff", "1 day", {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
+    out = so.drain_in_order(whole, "kickoff", lambda s: so.ratings_stream(s, "league", rules, "1 day"), "ratings", slice_rows=60).collect()
+    want = {r["fixture_id"]: r for r in rt.elo_series(matches, "league", rules).collect()}
+    assert len(out) == len(want) == 240
+    assert all(abs(r["elo_home"] - want[r["fixture_id"]]["elo_home"]) < 1e-9 for r in out)
+
+
+class Memory:
+    """The state of one key, in memory."""
+
+    def __init__(self):
+        self.maps, self.timers, self.value = {}, set(), None
+
+    def getMapState(self, name, *_):
+        return MapOf(self.maps.setdefault(name, {}))
+
+    def getListState(self, name, *_):
+        return ListOf()
+
+    def getValueState(self, *_):
+        return ValueOf()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class MapOf:
+    def __init__(self, d):
+        self.d = d
+        self.containsKey, self.getValue, self.updateValue, self.removeKey = d.__contains__, d.get, d.__setitem__, d.pop
+
+    def iterator(self):
+        return iter(list(self.d.items()))
+
+
+class ListOf:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def appendList(self, rows):
+        self.rows = [*self.rows, *rows]
+
+    def clear(self):
+        self.rows = []
+
+
+class ValueOf:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+
+def test_a_long_key_leaves_in_small_frames_bucket_by_bucket(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(so, "FRAME", 50, raising=False)
+    monkeypatch.setattr(so, "PART", 7, raising=False)
+    rnd = random.Random(5)
+    days = [rnd.randrange(-20, 100) + rnd.random() for _ in range(1000)]
+    pdf = pd.DataFrame({"kickoff": pd.to_datetime([d * 86400 for d in days], unit="s"), "opp": "x", "fixture_id": range(1000), "value": [float(i) for i in range(1000)]})
+    p, memory = so._LastN(3), Memory()
+    p.init(memory)
+    for k in range(0, 1000, 300):
+        assert not list(p.handleInputRows(("t", "home"), iter([pdf[k : k + 300]]), None))
+    frames, held = [], []
+    for mark in (50.5, 1000.0):  # the first one cuts a bucket
+        assert len(memory.timers) == 1
+        memory.timers.clear()
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self, m=mark: int(m * 86_400_000)})()
+        for frame in p.handleExpiredTimer(("t", "home"), now, None):
+            frames.append(frame)
+            held.append(len(memory.maps["buckets"]))
+    assert max(map(len, frames)) <= 50 and held[0] > 90
+    order = pdf.sort_values("kickoff")["fixture_id"].tolist()
+    assert [i for f in frames for i in f["fixture_id"]] == order
+    means = [m for f in frames for m in f["form"]]
+    assert all(abs(means[i] - sum(order[max(0, i - 3) : i]) / min(i, 3)) < 1e-9 for i in range(1, 1000))
