@@ -77,3 +77,32 @@ def test_frame(spark, odd_docs):
     assert sorted((r["doc_id"] or 0, r["license"], r["start"], r["end"]) for r in got) == [(0, "MIT-line", 2, 32), (1, "MIT-line", 0, 30), (1, "MIT-line", 0, 30)]
     with pytest.raises(ValueError):
         licenses.scan_licenses(odd_docs, {"short": "two words"})
+
+
+def test_repeated_notices_are_all_found(index):
+    for name, text in licenses.TEMPLATES.items():
+        for times in (2, 3, 4):
+            whole = " ".join([text] * times)
+            got = licenses.scan(whole, index)
+            assert [m[0] for m in got] == [name] * times
+            assert [m[3] for m in got] == [k * (len(text) + 1) for k in range(times)]
+    mixed = "Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License. Released under an MIT License"
+    assert [m[0] for m in licenses.scan(mixed, index)] == ["MIT-line", "CC-BY-NC-4.0-line", "MIT-line", "MIT-line"]
+
+
+def test_words_that_tell_licences_apart(index):
+    gpl = "This work is licensed under the GNU {}General Public License, {}."
+    for text in (
+        "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC 3.0.", "Released under the BSD License.", "Licensed under the Apache License, Version 1.1.",
+        gpl.format("", "version 2"), gpl.format("Lesser ", "version 3"), gpl.format("Affero ", "version 3"), licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"),
+    ):
+        assert licenses.scan(f"See here: {text} More words.", index) == [], text
+    for text, name in (("Released under an MIT License", "MIT-line"), (gpl.format("", "version 3"), "GPL-3.0-line"), (gpl.format("", "v3"), "GPL-3.0-line"), ("Licensed under the Apache License 2.0", "Apache-2.0-line")):
+        assert [m[0] for m in licenses.scan(f"See here: {text} of more words.", index)] == [name], text
+
+
+def test_common_by_bits_is_the_longest_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 80))] for _ in range(2))
+        assert licenses.common(a, b) == longest_common(a, b)
