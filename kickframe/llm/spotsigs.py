@@ -18,8 +18,12 @@ el los las y del que en un una por con no para su al lo como más o pero sus
 """.split()))
 #: Content words in a chain.
 CHAIN = 2
-#: Likeness below this is reported as 0, so that sets of very different lengths need no comparison.
-FLOOR = 0.01
+#: Content words in a row, without a common word, above which each of them is an anchor itself.
+STRETCH = 40
+#: The same in a text with fewer than one common word among SPARSE words.
+SHORT_STRETCH, SPARSE = 4, 8
+#: Likeness below this is reported as 0: with 0 every pair is compared, above it sets of very different lengths need none.
+FLOOR = 0.0
 #: Rows that are put in order together when texts meet the next document's.
 RUN = 1000
 
@@ -29,10 +33,12 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
 
     A spot is a content word right behind a common word; its signature is over that anchor and the chain of ``chain`` content
     words that begins with the spot. The start of a text counts as an anchor and its end as a content word, so that every
-    text has a signature, null and empty ones the same. Letters are lower-cased; all but letters and digits separates
+    text has a signature, null and empty ones the same. In a stretch without common words (over STRETCH content words, or
+    over SHORT_STRETCH in a text of few common words) each word is an anchor for the words behind it, up to the end of the
+    stretch. Letters are lower-cased; all but letters and digits separates
     words. Work is linear in the text: arrays are shifted and zipped, no lambda looks outside its element, no pattern repeats a group.
     """
-    words, spots = f"__{out}_words", f"__{out}_spots"
+    words, spots, runs, sparse = (f"__{out}_{x}" for x in ("words", "spots", "runs", "sparse"))
     split = F.filter(F.split(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     df = df.withColumn(words, split)
     # each word with the one before it; the end of the text is a null word. Of these, the content words
@@ -41,7 +47,14 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     ahead = [F.transform(F.slice(col(spots), k + 1, F.greatest(F.size(spots), F.lit(1))), lambda z: z["w"]).alias(f"h{k}") for k in range(1, chain)]
     chained = F.filter(F.arrays_zip(col(spots).alias("s"), *ahead), lambda z: (z["s"]["p"] == "^") | z["s"]["p"].isin(ANCHORS))
     sigs = F.transform(chained, lambda z: F.xxhash64(z["s"]["p"], z["s"]["w"], *(z[f"h{k}"] for k in range(1, chain))))
-    return df.withColumn(out, F.array_sort(F.array_distinct(sigs))).drop(words, spots)
+    # the stretches between common words; words hold no bar
+    marked = F.array_join(F.transform(col(words), lambda w: F.when(w.isin(ANCHORS), F.lit("|")).otherwise(w)), " ")
+    df = df.withColumn(runs, F.split(marked, r"\|"))
+    df = df.withColumn(sparse, (F.size(runs) - 1) * SPARSE < F.size(words))
+    bare = F.filter(F.transform(col(runs), lambda r: F.split(F.trim(r), " ")), lambda ws: F.size(ws) > F.when(col(sparse), SHORT_STRETCH).otherwise(STRETCH))
+    chains = lambda ws: F.arrays_zip(ws.alias("h0"), *(F.slice(ws, k + 1, F.size(ws)).alias(f"h{k}") for k in range(1, chain + 1)))
+    more = F.transform(F.flatten(F.transform(bare, chains)), lambda z: F.xxhash64(F.lit("~"), *(z[f"h{k}"] for k in range(chain + 1))))
+    return df.withColumn(out, F.array_sort(F.array_distinct(F.concat(sigs, more)))).drop(words, spots, runs, sparse)
 
 
 def fingerprint(sigs: Column) -> Column:

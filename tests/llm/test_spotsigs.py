@@ -72,3 +72,26 @@ def test_pruning_by_length_is_below_the_floor(spark):
     for r in sets.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b"), 0.05).alias("x")).collect():
         exact = min(len(r["a"]), len(r["b"])) / max(len(r["a"]), len(r["b"]))
         assert abs(r["x"] - (exact if exact >= 0.05 else 0.0)) < 1e-12
+
+
+def test_stretches_without_common_words_are_fingerprinted(spark):
+    prose = "the house of stone " * 5
+    lists = [" | ".join(f"{x}{i}" for i in range(60)) for x in "pq"]
+    texts = ["alpha beta " + " ".join(f"w{i}" for i in range(12)), "alpha beta " + " ".join(f"v{i}" for i in range(12)), prose + lists[0], prose + lists[1], "spam " * 50, "spam " * 50 + "egg " * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spotsigs.edit_check(rows).orderBy("doc_id").collect()
+    assert len({r["fingerprint"] for r in got}) == len(texts)
+    assert got[0]["near_next"] < 0.2 and got[2]["near_next"] < 0.2  # only what stands before the list is shared
+    assert got[2]["near_edited"] < 0.9  # half of the text is another's
+    # inside ordinary prose nothing is added
+    short = spotsigs.with_signatures(spark.createDataFrame([(prose,)], "text string"), "text", "s").first()["s"]
+    assert len(short) == len(spots(prose))
+
+
+def test_small_likeness_is_reported(spark):
+    texts = [" ".join(f"the a{i}" for i in range(300)) + " the shared word the", "of b0 c0 the shared word the " + " ".join(f"of b{i}" for i in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spotsigs.edit_check(rows).orderBy("doc_id").first()["near_next"]
+    a, b = map(spots, texts)
+    assert 0 < len(a & b) / len(a | b) < 0.01
+    assert abs(got - len(a & b) / len(a | b)) < 1e-12
