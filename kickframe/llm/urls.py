@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,6 @@ viagra cialis warez crack keygen torrent phish malware clickbait lottery jackpot
 SEED_COUNT = 20
 #: Longest dictionary word.
 WORD = 24
-#: Buckets of hashed tokens: bounds the model and what is broadcast of it (two counts and a weight each).
-BUCKETS = 1 << 16
 #: Added to each token count.
 SMOOTH = 0.1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,10 +29,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Bayes:
-    """Log odds (block over allow) of the classes and of each token bucket."""
+    """Log odds (block over allow) of the classes and of each token; a token that training never saw says nothing."""
 
     prior: float
-    weights: np.ndarray
+    weights: dict
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -114,23 +112,31 @@ def segment_hosts(pages: DataFrame, html_col: str) -> DataFrame:
 
 
 def tokens(words: Column, path: Column) -> Column:
-    """Distinct buckets of the tokens of a url: host words, and path parts with numbers as one sign."""
+    """Distinct tokens of a url in order: host words, and path parts with numbers as one sign."""
     parts = F.filter(F.split(F.regexp_replace(F.lower(path), r"\d+", "0"), r"[^\p{L}\p{N}]+"), lambda p: p != "")
     both = F.concat(F.transform(words, lambda w: F.concat(F.lit("h:"), w)), F.transform(parts, lambda p: F.concat(F.lit("p:"), p)))
-    return F.array_distinct(F.transform(both, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+    return F.array_sort(F.array_distinct(both))
+
+
+def odds(bad: int, n: int) -> float:
+    """Log odds of the classes."""
+    return math.log((bad + 1) / (n - bad + 1))
+
+
+def weigh(counts: DataFrame) -> DataFrame:
+    """(token, weight) of multinomial naive Bayes from ``counts`` (token, bad, n) of distinct tokens. Two sums come to the driver."""
+    x, y = F.col("bad") + SMOOTH, F.col("n") - F.col("bad") + SMOOTH
+    sums = counts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("size")).first()
+    bad, size = sums["bad"] or 0, sums["size"]
+    good = (sums["n"] or 0) - bad
+    return counts.select("token", (F.log(x / (bad + SMOOTH * size or 1)) - F.log(y / (good + SMOOTH * size or 1))).alias("weight"))
 
 
 def train(rows: DataFrame) -> Bayes:
-    """Multinomial naive Bayes from ``rows`` (buckets, bad). Counts of at most BUCKETS buckets come to the driver."""
+    """The model of ``rows`` (buckets, bad) as a local one, for small vocabularies; ``judge`` joins the weights instead."""
     sums = rows.agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).first()
-    bad, good = sums["bad"] or 0, sums["n"] - (sums["bad"] or 0)
-    counts = rows.select(F.explode("buckets").alias("b"), "bad").groupBy("b").agg(F.sum(F.col("bad").cast("long")).alias("x"), F.count("*").alias("n")).collect()
-    at = np.array([r["b"] for r in counts], int)
-    x = np.array([[r["x"], r["n"] - r["x"]] for r in counts], float).reshape(-1, 2) + SMOOTH
-    logs = np.log(x / x.sum(axis=0))
-    weights = np.zeros(BUCKETS)  # a token that training never saw says nothing
-    weights[at] = logs[:, 0] - logs[:, 1]
-    return Bayes(math.log((bad + 1) / (good + 1)), weights)
+    counts = rows.select(F.explode("buckets").alias("token"), "bad").groupBy("token").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n"))
+    return Bayes(odds(sums["bad"] or 0, sums["n"]), defaultdict(float, {r["token"]: r["weight"] for r in weigh(counts).collect()}))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -138,26 +144,26 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     Null urls and those without "://" have empty host and path, and the prior alone decides. Ids may be null or repeat.
     Training rows are all pages, labelled by whether a seed word is among the host's words. A common host is counted before
-    any shuffle, and its pages meet its words in a join that may be split. An empty table gives no rows.
+    any shuffle, and its pages meet its words in a join that may be split. Tokens are exact: counts and weights are tables of
+    any size, joined to the distinct token sets. An empty table gives no rows.
     """
     read = pages.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("__url"), col(html_col).cast("string").alias("html"))
     host, path = split_url(F.col("__url"))
     read = read.select("page_id", host.alias("host"), path.alias("path"), "html")
     words = segment_hosts(read.select("host", "html"), "html")
     joined = read.select("page_id", "host", "path").join(words, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
-    rows = settle(joined.withColumn("buckets", tokens(F.col("host_words"), F.col("path"))))
-    bad = F.arrays_overlap("host_words", F.array(*map(F.lit, SEEDS)))
-    model = train(rows.select("buckets", bad.alias("bad")))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat, counts = model.weights[lists.flatten().to_numpy()], lists.value_lengths().to_numpy()
-            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=flat, minlength=len(counts)) + model.prior
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums)], [*batch.schema.names[:-1], "score"])
-
-    kind = rows.schema["page_id"].dataType.simpleString()
-    scored = rows.select("page_id", "host", "path", "host_words", "buckets").mapInArrow(score, f"page_id {kind}, host string, path string, host_words array<string>, score double")
+    rows = settle(joined.withColumn("tokens", tokens(F.col("host_words"), F.col("path"))))
+    # pages of equal tokens are one set; sets are counted before the shuffle and keep their number once they are written
+    sets = rows.groupBy("tokens").agg(F.count("*").alias("pages"))
+    sets = settle(sets.select("tokens", "pages", F.arrays_overlap("tokens", F.array(*(F.lit(f"h:{w}") for w in SEEDS))).cast("long").alias("bad"), F.monotonically_increasing_id().alias("set")))
+    sums = sets.agg(F.sum(F.col("pages") * F.col("bad")).alias("bad"), F.sum("pages").alias("n")).first()
+    prior = odds(sums["bad"] or 0, sums["n"] or 0)
+    each = sets.select("set", "pages", "bad", F.explode("tokens").alias("token"))
+    counts = settle(each.groupBy("token").agg(F.sum(F.col("pages") * F.col("bad")).alias("bad"), F.sum("pages").alias("n")))
+    # weights are added in order, so that equal sets score alike in every run
+    lists = each.select("set", "token").join(weigh(counts), "token").groupBy("set").agg(F.sort_array(F.collect_list("weight")).alias("w"))
+    totals = sets.join(lists, "set", "left").select("tokens", (F.lit(prior) + F.aggregate(F.coalesce("w", F.array().cast("array<double>")), F.lit(0.0), lambda s, w: s + w)).alias("score"))
+    scored = rows.join(totals, "tokens")
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.array_join("host_words", " ").alias("host_words"), F.round("score", 6).alias("score"))

@@ -73,3 +73,19 @@ def test_bayes_sums(spark):
     for b in (1, 2, 3):
         assert math.isclose(m.weights[b], math.log(bad[b] / sum(bad.values())) - math.log(good[b] / sum(good.values())))
     assert m.weights[77] == 0 and math.isclose(m.prior, math.log(2 / 3))
+
+
+def test_tokens_are_exact_in_a_large_vocabulary(spark):
+    n = 70_000  # more than any table of hashed buckets of 16 bits can keep apart
+    pages = spark.range(2 * n).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.when(F.col("id") < n, F.lit("http://spam.com/")).otherwise(F.lit("http://river.com/")), F.translate(F.conv(F.col("id").cast("string"), 10, 16), "0123456789ABCDEF", "ghijklmnopqrstuv")).alias("url"),
+        F.lit(None).cast("string").alias("html"),
+    )
+    got = urls.judge(pages, rules=()).where("host <> ''").groupBy("host", "score", "verdict").count().collect()
+    a = urls.SMOOTH
+    bad, good = [n * 3 + (2 * n + 3) * a] * 2  # h:spam or h:river, h:com and one path token a page
+    weight = lambda x, y: math.log((x + a) / bad) - math.log((y + a) / good)
+    want = weight(n, 0) + weight(n, n) + weight(1, 0)
+    assert {(r["host"], r["verdict"], r["count"]) for r in got} == {("spam.com", "block", n), ("river.com", "allow", n)}
+    assert all(abs(abs(r["score"]) - want) < 1e-5 for r in got)
