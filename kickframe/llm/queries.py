@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kickframe.llm import chat, licenses, mixing, pieces, quality, search, sharding, simhash, spotsigs, urls
+from kickframe.llm import align, chat, licenses, mixing, pieces, prefix_trie, quality, search, sharding, simhash, spotsigs, token_orc, urls
 
 QUERIES = {
     "op1_url_filter": urls.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_search": search.query,
     "op10_quality": quality.query,
+    "op11_token_orc": token_orc.query,
+    "op12_align": align.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
-SQL = {"op8_chat_format": chat.SQL}
+SQL = {"op8_chat_format": chat.SQL, "op13_prefix_trie": prefix_trie.SQL}
