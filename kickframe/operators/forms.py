@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import clamp, col, ratio, unix, weighted_present
-from kickframe.operators.ordered import ewma, first_of_ties, last_before, rows_frame, running, time_slice
+from kickframe.operators.ordered import ewma, first_of_ties, last_before, rows_frame, running
 
 TEAM_VENUE = ("team", "venue")
 ORDER = ("kickoff", "opp", "fixture_id")
@@ -48,7 +48,7 @@ def rolling_form(
         lo, hi = (-(w - 1), 0) if current_row else (-w, -1)
         for s in stats:
             frames[f"{s}_l{w}"] = (lo, hi, mean_over(s))
-    return rows_frame(sides, list(keys), list(order), frames, time_slice("kickoff"))
+    return rows_frame(sides, list(keys), list(order), frames, unix("kickoff"))
 
 
 def dominance(own: Column | str, other: Column | str) -> Column:
@@ -105,7 +105,7 @@ def form_frames(
         base = count_on or next(iter(values))
         frames[f"n_{tag}"] = (lo, hi, lambda w, _, c=base: F.count(c).over(w))
         frames[f"evidence_{tag}"] = (lo, hi, lambda w, _: F.coalesce(F.sum(evidence).over(w), F.lit(0.0)))
-    return rows_frame(df, list(keys), list(order), frames, time_slice("kickoff"))
+    return rows_frame(df, list(keys), list(order), frames, unix("kickoff"))
 
 
 def decay_form(
@@ -135,7 +135,7 @@ def decay_form(
         return F.coalesce(F.try_divide(num, den), F.lit(neutral))
 
     frames = {out: (-(lag + window - 1), 0, decayed)}
-    return rows_frame(df, list(keys), list(order), frames, time_slice("kickoff"))
+    return rows_frame(df, list(keys), list(order), frames, unix("kickoff"))
 
 
 def xg_inputs(sides: DataFrame, xg_for: Column, xg_against: Column) -> DataFrame:
@@ -166,7 +166,7 @@ def league_profile(matches: DataFrame, window: int = 100, min_matches: int = 50)
         **{f"_{k}": (-window, -1, lambda w, _, c=c: F.count_if(c).over(w)) for k, c in cond.items()},
     }
     keys = ["country", "league"]
-    framed = rows_frame(matches, keys, ["kickoff", "home", "away", "fixture_id"], frames, time_slice("kickoff"))
+    framed = rows_frame(matches, keys, ["kickoff", "home", "away", "fixture_id"], frames, unix("kickoff"))
     rank = F.struct("home", "away", "fixture_id")
     framed = first_of_ties(framed, keys, "kickoff", rank, list(frames))
     ok = F.col("_n") >= min_matches
@@ -195,7 +195,7 @@ def band_history(sides: DataFrame, band_col: str = "band") -> DataFrame:
             "_gf": F.coalesce("gf", F.lit(0)),
             "_ga": F.coalesce("ga", F.lit(0)),
         },
-        time_slice("kickoff", 720 * 86400),
+        unix("kickoff"),
         strict_on=unix("kickoff"),
     )
     return out.withColumns(
@@ -205,7 +205,7 @@ def band_history(sides: DataFrame, band_col: str = "band") -> DataFrame:
 
 def row_ewma(sides: DataFrame, values: Mapping[str, Column], half_life: float = 5.0, **kw) -> DataFrame:
     """EWMA per team and venue in match order."""
-    return ewma(sides, list(TEAM_VENUE), list(ORDER), values, time_slice("kickoff"), half_life, **kw)
+    return ewma(sides, list(TEAM_VENUE), list(ORDER), values, unix("kickoff"), half_life, **kw)
 
 
 def clean_sheet_streak(sides: DataFrame) -> DataFrame:
@@ -213,10 +213,10 @@ def clean_sheet_streak(sides: DataFrame) -> DataFrame:
     from kickframe.operators.ordered import ordinal
 
     order = ["kickoff", "fixture_id"]
-    numbered = ordinal(sides, ["team"], order, time_slice("kickoff"), "_rn")
+    numbered = ordinal(sides, ["team"], order, unix("kickoff"), "_rn")
     conceded = F.when(F.coalesce(F.col("ga") != 0, F.lit(True)), F.col("_rn"))
     out = last_before(
-        numbered, ["team"], ["_rn"], {"_last": conceded}, F.floor(F.col("_rn") / 50_000), F.struct("_rn")
+        numbered, ["team"], ["_rn"], {"_last": conceded}, F.col("_rn"), F.struct("_rn")
     )
     streak = F.col("_rn") - 1 - F.coalesce("_last", F.lit(0))
     return out.withColumn("clean_sheet_streak", streak).drop("_rn", "_last")
@@ -237,7 +237,7 @@ def strength_form(
         ["team"],
         ["kickoff", "fixture_id"],
         {"_hist": (-max_hist, -1, lambda w, _: F.collect_list("_past").over(w))},
-        time_slice("kickoff"),
+        unix("kickoff"),
     )
     now = unix("kickoff")
 

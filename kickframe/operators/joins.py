@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import unix
-from kickframe.operators.ordered import last_before, ordinal, running, time_slice
+from kickframe.operators.ordered import last_before, ordinal, running
 
 YEAR_SECONDS = 365 * 86400
 
@@ -29,7 +29,7 @@ def asof_join(
     events = per_moment.withColumn("_kind", F.lit(0 if inclusive else 1))
     asks = left.withColumns({"_kind": F.lit(1 if inclusive else 0)})
     both = asks.unionByName(events, allowMissingColumns=True).withColumn("_ask", F.col("_state").isNull())
-    out = last_before(both, keys, [ts, "_kind"], {"_s": F.col("_state")}, time_slice(ts), F.struct(ts, "_kind"))
+    out = last_before(both, keys, [ts, "_kind"], {"_s": F.col("_state")}, unix(ts), F.struct(ts, "_kind"))
     return out.filter("_ask").select(*left.columns, *[F.col(f"_s.{v}").alias(v) for v in values])
 
 
@@ -94,7 +94,7 @@ def kernel_history(
     up over the small table of blocks and boxes and joined to each block once. The plan is the same for every length of a key.
     """
     keys = list(keys)
-    num = ordinal(sides, keys, ["kickoff"], time_slice("kickoff"), "_rn", ties=True)
+    num = ordinal(sides, keys, ["kickoff"], unix("kickoff"), "_rn", ties=True)
     num = num.withColumns({"_blk": F.floor((F.col("_rn") - 1) / block_rows), "_t": unix("kickoff")})
     far = _far_boxes(num, keys, sigma)
     sums = ["w", "f", "a", "q", "n", "bf", "ba"]
@@ -161,7 +161,7 @@ def _far_boxes(num: DataFrame, keys: list[str], sigma: float) -> DataFrame:
     per_block = src.groupBy(*keys, "_box", "_blk").agg(*[F.sum(c).alias(n) for n, c in parts.items()])
     asks = blocks.join(src.select(*keys, "_box").distinct(), keys).withColumn("_ask", F.lit(True))
     both = asks.unionByName(per_block, allowMissingColumns=True)
-    cum = running(both, [*keys, "_box"], ["_blk"], {f"_m_{n}": F.coalesce(n, F.lit(0.0)) for n in parts}, F.floor(F.col("_blk") / 64), strict_on=F.col("_blk"))
+    cum = running(both, [*keys, "_box"], ["_blk"], {f"_m_{n}": F.coalesce(n, F.lit(0.0)) for n in parts}, F.col("_blk"), strict_on=F.col("_blk"))
     return cum.filter("_ask AND _m_n > 0").select(*keys, "_blk", "_box", F.array(*[F.col(f"_m_{n}") for n in parts]).alias("_m"))
 
 

@@ -30,7 +30,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     else:  # one row of cuts and one total: scalars, not a join
         counted = counted.withColumns({"_cuts": shape.select("_cuts").scalar(), "_total": shape.select("_total").scalar()})
     binned = counted.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    ranked = running(binned, keys, ["_v"], {"_before": F.col("_n")}, F.col("_bin"))
+    ranked = running(binned, keys, ["_v"], {"_before": F.col("_n")}, F.col("_v"))
     picks, out = [], []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)

@@ -1,9 +1,7 @@
 """Ratings: an Elo series with per-row trace, by pool.
 
-An update needs both current ratings, so a pool is a recursion in time. ``elo_series`` streams through each pool in order.
-``relaxed_series`` solves the same series as a fixed point, for pools that are too long for one core. Given rating guesses,
-all deltas of a time slice are computed in parallel and summed per team in order; the sums give the next guesses. By
-causality the fixed point is unique, and a slice of one season settles in a few rounds.
+An update needs both current ratings, so a pool is a recursion in time. ``elo_series`` solves it parallel in time: chunks of a pool
+walk at once from guessed openings, and their closings correct the openings of later chunks until nothing moves.
 """
 
 from __future__ import annotations
@@ -13,11 +11,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kickframe import config
 from kickframe.functions.cols import band, unix
-from kickframe.operators.ordered import ordinal, running, time_slice
+from kickframe.operators.ordered import running, sliced
 from kickframe.session import cut_lineage
 
 
@@ -83,115 +82,104 @@ def apply_match(m, state: dict, rules: EloRules) -> tuple:
     return rh, ra, exp, fresh, upset, used, delta
 
 
-def elo_series(df: DataFrame, pool: str = "league", rules: EloRules | None = None) -> DataFrame:
-    """Pre-match ratings and the trace of every update, one row per match.
+#: Matches of a pool that one task walks through in a row.
+CHUNK = 20_000
+#: Opening ratings of a chunk that move by less than this leave it settled.
+SETTLED = 1e-9
+
+_MATCH = ["_t", "home", "away", "fixture_id", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
+_STEP = "pool_ string, chunk_ int, kind_ int, t_ long, home string, away string, fixture_id long, k_base double, home_edge double, type_mult double, margin_mult double, actual double, rating double, games long"
+
 
-    Matches are dealt by pool and sorted in time by Spark; each task streams through its pools and keeps one rating and one
-    count per team of the pool at hand, so that the length of a pool costs time but no memory. A pool is one recursion: for
-    pools too long for one core :func:`relaxed_series` solves the same series in parallel; which of the two runs is the caller's
-    choice and never hangs on the data.
+def _walk(rows: DataFrame, rules: EloRules, trace: bool) -> DataFrame:
+    """Every chunk from its opening ratings: traces of its matches, or its closing ratings.
+
+    A chunk's openings (kind 0) come before its matches; it streams through its task with a rating and a count per team.
     """
-    rules = rules or EloRules()
-    cols = ["fixture_id", "_pool", "_t", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
-    needed = _static(df, rules).withColumns({"_t": unix("kickoff"), "_pool": F.col(pool)}).select(*cols)
-    dealt = needed.repartition("_pool").sortWithinPartitions("_pool", "_t", "home", "away", "fixture_id")
+    from types import SimpleNamespace
+
+    names = [f.split()[0] for f in _STEP.split(", ")]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, {}
+
+        def closings() -> list[tuple]:
+            return [(*at, team, r[0]) for team, r in state.items()] if at else []
+
         for pdf in frames:
             out = []
-            for m in pdf.itertuples(index=False):
-                if m[1] != at:
-                    at, state = m[1], {}
-                out.append((m.fixture_id, *apply_match(m, state, rules)))
-            yield pd.DataFrame(out, columns=["fixture_id", *TRACE])
-
-    schema = "fixture_id long, " + ", ".join(f"{c} double" for c in TRACE)
-    out = dealt.withColumnRenamed("_pool", "pool_").withColumnRenamed("_t", "t_").mapInPandas(walk, schema)
-    return out.select("fixture_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TRACE])
-
+            for m in zip(*(pdf[c].tolist() for c in names), strict=True):
+                row = SimpleNamespace(**dict(zip(names, m, strict=True)))
+                if (row.pool_, row.chunk_) != at:
+                    if not trace:
+                        out += closings()
+                    at, state = (row.pool_, row.chunk_), {}
+                if row.kind_ == 0:
+                    state[row.home] = [row.rating, row.games]
+                    continue
+                moved = apply_match(row, state, rules)
+                if trace:
+                    out.append((row.fixture_id, *moved))
+            if out:
+                yield pd.DataFrame(out, columns=["fixture_id", *TRACE] if trace else ["pool_", "chunk_", "team", "closing"])
+        if at and not trace:
+            yield pd.DataFrame(closings(), columns=["pool_", "chunk_", "team", "closing"])
+
+    dealt = rows.repartition("pool_", "chunk_").sortWithinPartitions("pool_", "chunk_", "kind_", "t_", "home", "away", "fixture_id")
+    schema = "fixture_id long, " + ", ".join(f"{c} double" for c in TRACE) if trace else "pool_ string, chunk_ int, team string, closing double"
+    return dealt.mapInPandas(walk, schema)
+
+
+def elo_series(df: DataFrame, pool: str = "league", rules: EloRules | None = None, chunk_rows: int = CHUNK) -> DataFrame:
+    """Pre-match ratings and the trace of every update, one row per match.
 
-def _update(df: DataFrame, rules: EloRules) -> DataFrame:
-    """Expectation, upset factor and delta from the current rating guesses."""
-    exp = 1.0 / (1.0 + F.pow(F.lit(10.0), -(F.col("elo_home") + F.col("home_edge") - F.col("elo_away")) / 400.0))
-    df = df.withColumn("expected", F.when(F.col("actual").isNotNull(), exp))
-    shock = ((F.col("actual") == 1.0) & (F.col("expected") < rules.upset_low)) | ((F.col("actual") == 0.0) & (F.col("expected") > rules.upset_high))
-    df = df.withColumn("upset_mult", F.when(F.coalesce(shock, F.lit(False)), rules.upset_mult).otherwise(1.0))
-    df = df.withColumn("k_used", F.when(F.col("actual").isNotNull(), F.col("k_base") * F.col("type_mult") * F.col("new_mult") * F.col("upset_mult")))
-    return df.withColumn("delta", F.col("k_used") * F.col("margin_mult") * (F.col("actual") - F.col("expected")))
-
-
-def _team_rows(df: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataFrame:
-    side = lambda team, venue, at: F.struct(F.col(team).alias("team"), F.lit(venue).alias("venue"), *[v[at].alias(n) for n, v in values.items()])
-    return df.select("fixture_id", "_pool", "_t", "_tie", F.inline(F.array(side("home", "home", 0), side("away", "away", 1))))
-
-
-def relaxed_series(df: DataFrame, pool: str, rules: EloRules, slice_days: int = 365, tol: float = 1e-9, max_rounds: int = 400) -> DataFrame:
-    """The same series as a fixed point per time slice; every step is an aggregate or a running sum per team."""
-    base = _static(df, rules).withColumn("_t", unix("kickoff"))
-    base = base.withColumns({"_pool": F.col(pool), "_tie": F.struct("home", "away", "fixture_id")})
-    order = ["_t", "_tie"]
-    played = F.col("actual").isNotNull().cast("int")
-    team_cut = F.floor(F.col("_t") / (30 * 86400))
-    seen = running(_team_rows(base, {"p": (played, played)}), ["_pool", "team"], order, {"games": F.col("p")}, team_cut)
-    per_match = seen.groupBy("fixture_id").agg(F.min("games").alias("_fewest"))
-    base = base.join(per_match, "fixture_id").withColumn(
-        "new_mult", F.when(F.col("_fewest") < rules.new_games, rules.new_mult).otherwise(1.0)
-    )
-    base = cut_lineage(base.withColumn("_slice", F.floor(F.col("_t") / (slice_days * 86400))))
-    slices = [r[0] for r in base.select("_slice").distinct().orderBy("_slice").collect()]  # one value per year
-    state: DataFrame | None = None
-    done: DataFrame | None = None
-    for s in slices:
-        part = base.filter(F.col("_slice") == s)
-        opening = lambda side: F.coalesce(F.col(f"_open_{side}"), F.lit(rules.start))
-        if state is None:
-            part = part.withColumns({"open_home": F.lit(rules.start), "open_away": F.lit(rules.start)})
-        else:
-            for side in ("home", "away"):
-                part = part.join(
-                    state.select("_pool", F.col("team").alias(side), F.col("rating").alias(f"_open_{side}")), ["_pool", side], "left"
-                ).withColumn(f"open_{side}", opening(side)).drop(f"_open_{side}")
-        part = cut_lineage(part.withColumns({"elo_home": F.col("open_home"), "elo_away": F.col("open_away")}))
-        for _ in range(max_rounds):
-            moved = _update(part, rules)
-            d = F.coalesce("delta", F.lit(0.0))
-            rows = _team_rows(moved, {"d": (d, -d), "open": (F.col("open_home"), F.col("open_away"))})
-            # ratings reflect at the floor: the lift is the deepest shortfall so far
-            summed = running(rows, ["_pool", "team"], order, {"sum_before": F.col("d")}, team_cut)
-            short = F.lit(rules.floor) - F.col("open") - F.col("sum_before") - F.col("d")
-            lifted = running(summed, ["_pool", "team"], order, {}, team_cut, maxes={"lift": short})
-            now = F.col("open") + F.col("sum_before") + F.greatest(F.lit(0.0), F.coalesce("lift", F.lit(0.0)))
-            guesses = lifted.groupBy("fixture_id").agg(
-                F.max(F.when(F.col("venue") == "home", now)).alias("_h"), F.max(F.when(F.col("venue") == "away", now)).alias("_a")
-            )
-            nxt = part.join(guesses, "fixture_id").withColumn(
-                "_gap", F.greatest(F.abs(F.col("_h") - F.col("elo_home")), F.abs(F.col("_a") - F.col("elo_away")))
-            )
-            nxt = cut_lineage(nxt.withColumns({"elo_home": F.col("_h"), "elo_away": F.col("_a")}).drop("_h", "_a"))
-            gap = nxt.agg(F.max("_gap")).first()[0]
-            part = nxt.drop("_gap")
-            if gap is None or gap < tol:
+    A pool is cut in time into chunks of about ``chunk_rows`` matches, which all walk at once. A chunk opens with exact counts of
+    games and, at first, the start rating of every team; closing ratings become the openings of later chunks, and chunks whose
+    openings moved walk again, until none moves by more than 1e-9. Old ratings fade and every walk adds nothing to a pool's
+    total, so few sweeps are needed; by causality a pool of c chunks is settled after c sweeps, and more is an error. Pools of one
+    chunk walk once. Rows without a pool form one; rows without a score keep their ratings and change none.
+    """
+    rules = rules or EloRules()
+    base = _static(df, rules).withColumns({"_t": unix("kickoff"), "_pool": F.col(pool).cast("string")}).select("_pool", *_MATCH)
+    cut = cut_lineage(sliced(base, ["_pool"], F.col("_t"), chunk_rows).withColumnRenamed("_slice", "_chunk"))
+    played = F.col("actual").isNotNull().cast("long")
+    teams = cut.select("_pool", "_chunk", F.inline(F.array(*[F.struct(F.col(v).alias("team"), played.alias("n")) for v in ("home", "away")])))
+    # one row per team and chunk it plays in; games before the chunk are exact from the start
+    past = W.partitionBy("_pool", "team").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    opening = teams.groupBy("_pool", "_chunk", "team").agg(F.sum("n").alias("n"))
+    opening = cut_lineage(opening.select("_pool", "_chunk", "team", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("games"), F.lit(rules.start).alias("rating")))
+    matches = cut.select(F.col("_pool").alias("pool_"), F.col("_chunk").cast("int").alias("chunk_"), F.lit(1).alias("kind_"), F.col("_t").alias("t_"), "home", "away", F.col("fixture_id").cast("long").alias("fixture_id"), *[F.col(c).cast("double").alias(c) for c in _MATCH[4:]], F.lit(None).cast("double").alias("rating"), F.lit(None).cast("long").alias("games"))
+
+    def rows(of: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        states = of.select(F.col("_pool").alias("pool_"), F.col("_chunk").cast("int").alias("chunk_"), F.lit(0).alias("kind_"), F.lit(None).cast("long").alias("t_"), F.col("team").alias("home"), F.lit("").alias("away"), F.lit(None).cast("long").alias("fixture_id"), *[F.lit(None).cast("double").alias(c) for c in _MATCH[4:]], "rating", "games")
+        both = states.unionByName(matches)
+        if chunks is None:
+            return both
+        wanted = chunks.select(F.col("_pool").alias("_wp"), F.col("_chunk").cast("int").alias("_wc"))
+        return both.join(wanted, F.col("pool_").eqNullSafe(F.col("_wp")) & (F.col("chunk_") == F.col("_wc")), "left_semi")
+
+    sweeps = cut.agg(F.max("_last")).first()[0] or 0
+    if sweeps:
+        several = cut.where("_last > 0").select("_pool", "_chunk").distinct()
+        closings: DataFrame | None = None
+        moving: DataFrame | None = several
+        for _ in range(sweeps + 1):
+            walked = _walk(rows(opening, moving), rules, False).select(F.col("pool_").alias("_pool"), F.col("chunk_").alias("_chunk"), "team", "closing")
+            same = lambda a, b: F.col(f"{a}._pool").eqNullSafe(F.col(f"{b}._pool")) & (F.col(f"{a}._chunk") == F.col(f"{b}._chunk"))
+            if closings is not None:
+                walked = walked.unionByName(closings.alias("c").join(moving.alias("m"), same("c", "m"), "left_anti"))
+            closings = cut_lineage(walked)
+            told = opening.alias("o").join(closings.alias("c"), same("o", "c") & (F.col("o.team") == F.col("c.team")), "left").select("o.*", "c.closing")
+            after = told.withColumn("_new", F.coalesce(F.last("closing", ignorenulls=True).over(past), F.lit(rules.start)))
+            after = cut_lineage(after.withColumn("_gap", F.abs(F.col("_new") - F.col("rating"))).drop("closing"))
+            opening = after.select("_pool", "_chunk", "team", "games", F.col("_new").alias("rating"))
+            moving = after.where(F.col("_gap") > SETTLED).select("_pool", "_chunk").distinct()
+            if moving.isEmpty():
                 break
         else:
-            raise RuntimeError("ratings did not settle; use shorter slices")
-        settled = _update(part, rules)
-        result = settled.select("fixture_id", *TRACE)
-        done = result if done is None else done.unionByName(result)
-        state = cut_lineage(_closing(settled, state, rules))
-    return done if done is not None else base.select("fixture_id", *[F.lit(None).cast("double").alias(c) for c in TRACE])
-
-
-def _closing(settled: DataFrame, state: DataFrame | None, rules: EloRules) -> DataFrame:
-    d = F.coalesce("delta", F.lit(0.0))
-    after = lambda own, sign: F.greatest(F.lit(rules.floor), F.col(own) + sign * d)
-    rows = _team_rows(settled, {"rating": (after("elo_home", F.lit(1.0)), after("elo_away", F.lit(-1.0)))})
-    last = rows.groupBy("_pool", "team").agg(F.max_by("rating", F.struct("_t", "_tie")).alias("rating"))
-    if state is None:
-        return last
-    return state.join(last.select("_pool", "team", F.col("rating").alias("_new")), ["_pool", "team"], "full").select(
-        "_pool", "team", F.coalesce("_new", "rating").alias("rating")
-    )
+            raise RuntimeError("ratings did not settle")
+    out = _walk(rows(opening), rules, True)
+    return out.select("fixture_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TRACE])
 
 
 def final_ratings(matches: DataFrame, series: DataFrame, rules: EloRules | None = None) -> DataFrame:
@@ -228,7 +216,7 @@ def state_z(
 
     # the table is read by several branches below: write it once instead of recomputing its windows
     matches = cut_lineage(matches)
-    cut = time_slice("kickoff")
+    cut = unix("kickoff")
     v, p, st = F.col("_v"), F.col("_p"), F.col("_st")
     rows = [
         F.struct(F.lit(n).alias("_st"), F.col(team).alias("_team"), F.col(c).cast("double").alias("_v"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.operators.ordered import running, time_slice
+from kickframe.functions.cols import unix
+from kickframe.operators.ordered import running
 from kickframe.session import cut_lineage
 
 # Bucket bounds and labels.
@@ -67,20 +68,20 @@ def settle_bets(bets: DataFrame) -> DataFrame:
 
 def running_balance(bets: DataFrame, start: float, keys: list[str], order: list[str], ts: str) -> DataFrame:
     """Balance after each bet in order."""
-    out = running(bets, keys, order, {"_sum": F.col("net")}, time_slice(ts), inclusive=True)
+    out = running(bets, keys, order, {"_sum": F.col("net")}, unix(ts), inclusive=True)
     return out.withColumn("balance", F.lit(start) + F.col("_sum")).drop("_sum")
 
 
-def longest_losing_run(df: DataFrame, keys: list[str], order: list[str], slice_by: Column) -> DataFrame:
+def longest_losing_run(df: DataFrame, keys: list[str], order: list[str], at: Column) -> DataFrame:
     """Longest run of misses per key: misses share the count of hits before them, islands are counted map-side."""
-    marked = running(df, keys, order, {"_wins": F.col("hit").cast("int")}, slice_by)
+    marked = running(df, keys, order, {"_wins": F.col("hit").cast("int")}, at)
     islands = marked.groupBy(*keys, "_wins").agg(F.count_if(~F.col("hit")).alias("_run"))
     return islands.groupBy(*keys).agg(F.max("_run").alias("max_loss_run"))
 
 
-def max_drawdown(df: DataFrame, keys: list[str], order: list[str], slice_by: str, step: Column) -> DataFrame:
+def max_drawdown(df: DataFrame, keys: list[str], order: list[str], at: str, step: Column) -> DataFrame:
     """Deepest fall of the running sum below its peak, the peak starting at zero."""
-    cut = F.col(slice_by)
+    cut = F.col(at)
     first = running(df.withColumn("_step", step), keys, order, {"_eq": F.col("_step")}, cut, inclusive=True)
     first = cut_lineage(first)
     second = running(first, keys, order, {}, cut, maxes={"_peak": F.col("_eq")}, inclusive=True)

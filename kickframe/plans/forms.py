@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kickframe.functions.cols import band, clamp, unix
 from kickframe.operators import forms as fm
 from kickframe.operators.markets import p_under_25
-from kickframe.operators.ordered import ordinal, rows_frame, running, time_slice
+from kickframe.operators.ordered import ordinal, rows_frame, running
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.registry import query
 
@@ -274,7 +274,7 @@ def _(t: Tables):
         ["team"],
         ["kickoff", "fixture_id"],
         {"prev": (-1, 0, lambda w, base: F.lag("own_elo", 1).over(base))},
-        time_slice("kickoff"),
+        unix("kickoff"),
     )
     return stepped.groupBy("team").agg(F.max(F.abs(F.col("own_elo") - F.col("prev"))).alias("max_step"))
 
@@ -295,8 +295,8 @@ def _(t: Tables):
         "prev_post": (-10, 0, lambda w, b: F.avg("gf").over(b.rowsBetween(-10, -1))),
     }
     order = list(fm.ORDER)
-    post = rows_frame(t.sides, ["team", "venue"], order, {"pre": frames["pre"], "post": (-9, 0, fm.mean_over("gf"))}, time_slice("kickoff"))
-    lagged = rows_frame(post, ["team", "venue"], order, {"prev_post": (-1, 0, lambda w, b: F.lag("post", 1).over(b))}, time_slice("kickoff"))
+    post = rows_frame(t.sides, ["team", "venue"], order, {"pre": frames["pre"], "post": (-9, 0, fm.mean_over("gf"))}, unix("kickoff"))
+    lagged = rows_frame(post, ["team", "venue"], order, {"prev_post": (-1, 0, lambda w, b: F.lag("post", 1).over(b))}, unix("kickoff"))
     return (
         lagged.filter("prev_post IS NOT NULL")
         .groupBy("venue")
@@ -322,7 +322,7 @@ def _(t: Tables):
         "sum5": (-4, 0, lambda w, _: F.sum("ft_home").over(w)),
         "win_pct5": (-4, 0, lambda w, _: 100.0 * F.avg(win).over(w)),
     }
-    df = rows_frame(t.seasoned, ["season", "home"], ["kickoff", "away", "fixture_id"], frames, time_slice("kickoff"))
+    df = rows_frame(t.seasoned, ["season", "home"], ["kickoff", "away", "fixture_id"], frames, unix("kickoff"))
     means = t.seasoned.groupBy("season", "home").agg(F.avg("ft_home").alias("season_mean"))
     return df.join(means, ["season", "home"]).select("fixture_id", "season", "mean5", "sum5", "win_pct5", "season_mean")
 
@@ -345,7 +345,7 @@ def _(t: Tables):
 
     ok = F.col("pos_for").isNotNull() & F.col("shots_for").isNotNull()
     order = ["kickoff", "fixture_id"]
-    cut = time_slice("kickoff")
+    cut = unix("kickoff")
     valid = rows_frame(
         t.sides.filter(ok),
         ["team"],
@@ -419,7 +419,7 @@ def _(t: Tables):
     i = F.col("fixture_id")
     weight = clamp((i % 10 + 1) / 100.0, 0.0, 1.0)
     out_weight = F.when(i % 5 == 0, weight).otherwise(0.0)
-    out = running(t.sides, ["team"], ["kickoff", "fixture_id"], {"lost": out_weight}, time_slice("kickoff"), inclusive=True)
+    out = running(t.sides, ["team"], ["kickoff", "fixture_id"], {"lost": out_weight}, unix("kickoff"), inclusive=True)
     return out.select("fixture_id", "team", F.greatest(F.lit(0.0), 1.0 - F.col("lost")).alias("availability"))
 
 
@@ -454,7 +454,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    numbered = ordinal(t.matches, ["league"], ["kickoff", "home", "away", "fixture_id"], time_slice("kickoff"))
+    numbered = ordinal(t.matches, ["league"], ["kickoff", "home", "away", "fixture_id"], unix("kickoff"))
     return numbered.select("fixture_id", "league", (F.floor((F.col("rn") - 1) / 10) + 1).alias("round_idx"))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kickframe.functions.cols import unix
 from kickframe.functions.text import from_map
 from kickframe.operators import clean as cl
 from kickframe.operators import picks as pk
 from kickframe.operators import settle as st
 from kickframe.operators import summaries as sm
 from kickframe.operators import tops as tp
-from kickframe.operators.ordered import ordinal, time_slice
+from kickframe.operators.ordered import ordinal
 from kickframe.plans.fixtures import Tables, sql
 from kickframe.plans.markets import VAL_CTE, valued
 from kickframe.plans.registry import query
@@ -341,7 +342,7 @@ HIT_SQL = (
 def scored_picks(t: Tables):
     """Picks with outcome and round number; rounds are the distinct weeks of a league."""
     p = cut_lineage(picks(t).withColumn("hit", st.won(F.col("market"), F.col("ft_home"), F.col("ft_away"))))
-    weeks = ordinal(p.select("league", "week").distinct(), ["league"], ["week"], time_slice("week"), "round_idx")
+    weeks = ordinal(p.select("league", "week").distinct(), ["league"], ["week"], unix("week"), "round_idx")
     return p.join(weeks, ["league", "week"])
 
 
@@ -407,7 +408,7 @@ RUN_SQL = """h AS (SELECT league, kickoff, fixture_id, (p_over >= 0.5) = (ft_hom
 )
 def _(t: Tables):
     hit = (F.col("p_over") >= 0.5) == (F.col("ft_home") + F.col("ft_away") > 2.5)
-    df = t.priced.select("league", "kickoff", "fixture_id", hit.alias("hit"), time_slice("kickoff").alias("cut"))
+    df = t.priced.select("league", "kickoff", "fixture_id", hit.alias("hit"), unix("kickoff").alias("cut"))
     order = ["kickoff", "fixture_id"]
     runs = st.longest_losing_run(df, ["league"], order, F.col("cut"))
     step = F.when(F.col("hit"), 1.0).otherwise(-1.0)

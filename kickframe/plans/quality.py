@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kickframe.functions.cols import unix
 from kickframe.operators import forms as fm
 from kickframe.operators import quality as ql
 from kickframe.operators import summaries as sm
@@ -222,12 +223,12 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Every match seen from the end of the day before, all as-of dates in one job."""
-    from kickframe.operators.ordered import running, time_slice
+    from kickframe.operators.ordered import running
 
     sides = t.sides.filter("gf IS NOT NULL AND ga IS NOT NULL").withColumn("day", F.to_date("kickoff"))
     daily = sides.groupBy("team", "venue", "day").agg(F.sum("gf").alias("g"), F.count(F.lit(1)).alias("n"))
     sums = {"g_before": F.col("g"), "n_before": F.col("n")}
-    state = running(daily, ["team", "venue"], ["day"], sums, time_slice("day", 720 * 86400))
+    state = running(daily, ["team", "venue"], ["day"], sums, unix("day"))
     j = sides.join(state.select("team", "venue", "day", "g_before", "n_before"), ["team", "venue", "day"])
     rate = F.try_divide("g_before", "n_before")
     own = F.coalesce(rate, F.when(F.col("venue") == "home", 1.35).otherwise(1.15))

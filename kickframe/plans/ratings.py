@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kickframe.functions.cols import unix
 from kickframe.operators import forms as fm
 from kickframe.operators import ratings as rt
 from kickframe.operators.sides import to_matches
@@ -88,9 +89,9 @@ def _(t: Tables):
     d = F.coalesce("delta", F.lit(0.0))
     side = lambda team, own, sign: F.struct(F.col(team).alias("team"), F.col(own).alias("pre"), F.greatest(F.lit(r.floor), F.col(own) + sign * d).alias("post"))
     rows = s.select("league", *ORDER, F.inline(F.array(side("home", "elo_home", F.lit(1.0)), side("away", "elo_away", F.lit(-1.0)))))
-    from kickframe.operators.ordered import last_before, time_slice
+    from kickframe.operators.ordered import last_before
 
-    chain = last_before(rows, ["league", "team"], ORDER, {"prev": F.col("post")}, time_slice("kickoff"), F.struct(*ORDER))
+    chain = last_before(rows, ["league", "team"], ORDER, {"prev": F.col("post")}, unix("kickoff"), F.struct(*ORDER))
     off_chain = chain.agg(F.count_if(F.abs(F.col("pre") - F.coalesce("prev", F.lit(r.start))) > 1e-6).alias("off_chain"))
     checks = s.agg(
         F.count(F.lit(1)).alias("checked"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kickframe.functions.cols import clamp, ratio
 from kickframe.operators import summaries as sm
-from kickframe.operators.ordered import rows_frame, time_slice
+from kickframe.operators.ordered import rows_frame
 from kickframe.operators.quantiles import grouped_quantiles
 from kickframe.plans.clean import coded, goal_lists, shots
 from kickframe.operators.sides import side_rows

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,15 +32,44 @@ def league(spark):
     return df.withColumn("kickoff", F.timestamp_seconds("t").cast("timestamp_ntz")).cache()
 
 
-def test_relaxed_ratings_equal_the_walk(league):
+def walked(rows, rules):
+    """The plain loop over matches in order."""
+    state = {}
+    for m in rows:
+        yield (m.fixture_id, *rt.apply_match(m, state, rules))
+
+
+@pytest.mark.parametrize("chunk", [40, 1000])
+def test_ratings_in_chunks_equal_the_walk(league, chunk):
     rules = rt.EloRules(floor=1490.0)  # a floor that is reached
-    walk = {r["fixture_id"]: r for r in rt.elo_series(league, "league", rules).collect()}
-    relaxed = {r["fixture_id"]: r for r in rt.relaxed_series(league, "league", rules).collect()}
-    assert walk.keys() == relaxed.keys() and len(walk) == 160
-    for i in walk:
-        for c in rt.TRACE:
-            p, q = walk[i][c], relaxed[i][c]
-            assert (p is None) == (q is None) and (p is None or abs(p - q) < 1e-6), (i, c, p, q)
+    got = {r["fixture_id"]: r for r in rt.elo_series(league, "league", rules, chunk_rows=chunk).collect()}
+    rows = rt._static(league, rules).orderBy("kickoff", "home", "away", "fixture_id").collect()
+    want = {w[0]: w[1:] for w in walked(rows, rules)}
+    assert got.keys() == want.keys() and len(want) == 160
+    for i, row in want.items():
+        for c, w in zip(rt.TRACE, row, strict=True):
+            assert (got[i][c] is None) == (w is None) and (w is None or abs(got[i][c] - w) < 1e-6), (i, c)
+
+
+def test_one_long_pool_walks_in_many_tasks(spark):
+    """200,000 matches of one pool in ten chunks equal the plain loop."""
+    i = F.col("id")
+    df = spark.range(200_000).select(
+        i.alias("fixture_id"), F.lit("L").alias("league"), F.concat(F.lit("T"), i * 7 % 40).alias("home"), F.concat(F.lit("T"), (i * 7 + 1 + i * i % 39) % 40).alias("away"),
+        F.timestamp_seconds(1_000_000_000 + (i / 3).cast("long") * 1800).cast("timestamp_ntz").alias("kickoff"), (F.xxhash64(i) % 5).alias("a"), (F.xxhash64(i + 7) % 4).alias("b"),
+    )
+    df = df.withColumns({"ft_home": F.abs("a").cast("int"), "ft_away": F.when(F.col("fixture_id") % 31 != 0, F.abs("b").cast("int"))}).drop("a", "b")
+    from kickframe.functions.cols import unix
+    from kickframe.operators.ordered import sliced
+
+    assert sliced(df, ["league"], unix("kickoff"), rt.CHUNK).select("_slice").distinct().count() >= 8
+    rules = rt.EloRules()
+    got = rt.elo_series(df, "league", rules).orderBy("fixture_id").toPandas()
+    rows = rt._static(df, rules).orderBy("kickoff", "home", "away", "fixture_id").toPandas()
+    want = pd.DataFrame(walked(rows.itertuples(), rules), columns=["fixture_id", *rt.TRACE]).sort_values("fixture_id", ignore_index=True)
+    assert len(got) == 200_000
+    for c in rt.TRACE:
+        assert (got[c].isna() == want[c].isna()).all() and (got[c] - want[c].astype(float)).abs().max() < 1e-6, c
 
 
 def test_kernel_over_many_blocks_equals_pairs(spark):
