@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm.bpe import BYTE_BPE, Encoder, _ranges, token_bytes
+from kickframe.llm.bpe import BYTE_BPE, encoder_of, _ranges, token_bytes
 from kickframe.llm.common import col, steps, table
 from kickframe.llm.pieces import MODEL
 from kickframe.session import scratch_path
@@ -73,7 +73,7 @@ class Aligner:
     """Groups and links of texts between a byte-level vocabulary (A) and a piece vocabulary (B)."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.encode = Encoder(a_path, plain=True)
+        self.encode = encoder_of(a_path, True)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = Bytes(token_bytes(a_path)), Bytes(piece_bytes(b_path))
         self.decimals = Decimals(max(len(self.a.size), len(self.b.size)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: A token of a byte-level vocabulary always begins at a space with a visible sign behind it, so texts may be cut there.
@@ -16,7 +18,7 @@ CUT = re.compile(r"(?= \S)")
 SHORT = 48
 #: Ids of remembered pieces held by a worker; beyond it the memory starts anew.
 HELD = 2_000_000
-#: Code points of unknown pieces that go to the tokenizer as one text.
+#: Bytes of unknown pieces that go to the tokenizer as one text.
 RUN = 20_000
 
 
@@ -66,33 +68,22 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids laid end to end, count of each piece). Pieces that begin at a cut are run together and told apart by their bytes."""
-        runs, open_run, held = [], [], 0
-        loose = [k for k, p in enumerate(pieces) if p[:1] != " " or p[1:2].isspace() or len(p) == 1]
-        alone = set(loose)
-        for k, p in enumerate(pieces):
-            if k in alone:
-                continue
-            if held and held + len(p) > RUN:
-                runs.append(open_run)
-                open_run, held = [], 0
-            open_run.append(k)
-            held += len(p)
-        if open_run:
-            runs.append(open_run)
-        got = self._encode(["".join(map(pieces.__getitem__, r)) for r in runs]) + self._encode([pieces[k] for k in loose])
-        order = np.array([k for r in runs for k in r] + loose, np.int64)
-        counts = np.zeros(len(pieces), np.int64)
-        for r, ids in zip(runs, got, strict=False):
-            ends = np.cumsum(self.size[ids])
-            upto = np.searchsorted(ends, np.cumsum([len(pieces[k].encode()) for k in r]), side="right")
-            counts[r] = np.diff(upto, prepend=0)
-        for k, ids in zip(loose, got[len(runs) :], strict=True):
-            counts[k] = len(ids)
-        flat = np.fromiter((i for ids in got for i in ids), np.int32)
-        at = np.zeros(len(pieces), np.int64)
-        at[order] = np.cumsum(counts[order]) - counts[order]
+        words, size = pieces.to_pylist(), pc.binary_length(pieces).to_numpy()
+        loose = np.fromiter((p[:1] != " " or len(p) == 1 or p[1].isspace() for p in words), bool, len(words))
+        tied = np.flatnonzero(~loose)
+        run = np.cumsum(size[tied]) // RUN
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(tied)]
+        order = np.concatenate([tied, np.flatnonzero(loose)])
+        ordered = list(map(words.__getitem__, order.tolist()))
+        got = [np.array(x, np.int32) for x in self._encode(["".join(ordered[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a] + ordered[len(tied) :])]
+        flat = np.concatenate([np.zeros(0, np.int32), *got])
+        # tokens never reach over a piece, so bytes tell where each piece ends among the ids
+        ends = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size[order]), side="right")
+        counts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[order] = np.diff(ends, prepend=0)
+        at[order] = ends - counts[order]
         return flat[_ranges(at, counts)], counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +91,8 @@ class Encoder:
         if len(self.ids) > HELD:
             self.forget()
         whole = [bool(self.special) and any(s in t for s in self.special) for t in texts]
-        pieces, per_text = [], np.zeros(len(texts), np.int64)
+        pieces: list[str] = []
+        per_text = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
             cut = [t] if whole[k] else CUT.split(t) if t else []
             pieces += cut
@@ -108,32 +100,33 @@ class Encoder:
         if not pieces:
             return np.zeros(0, np.int32), per_text
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        distinct, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        slot = np.fromiter((self.slots.get(p, -1) for p in distinct), np.int64, len(distinct))
+        distinct = coded.dictionary.to_pylist()
+        slot = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(slot < 0)
-        fresh = [distinct[k] for k in new.tolist()]
+        fresh = coded.dictionary.take(pa.array(new))
         ids, counts = self._pieces_ids(fresh)
-        starts = len(self.ids) + np.cumsum(counts) - counts
+        starts = np.cumsum(counts) - counts
         slot[new] = len(self.starts) + np.arange(len(new))
-        all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
-        keep = np.fromiter((len(p) <= SHORT for p in fresh), bool, len(fresh))
-        if keep.all():
-            self.ids, self.starts, self.counts = all_ids, all_starts, all_counts
-            self.slots.update(zip(fresh, slot[new].tolist(), strict=True))
-        else:
-            kept = np.flatnonzero(keep)
-            self.ids = np.concatenate([self.ids, ids[_ranges((np.cumsum(counts) - counts)[kept], counts[kept])]])
-            base = len(self.starts)
-            self.starts = np.concatenate([self.starts, len(all_ids) - len(ids) + np.cumsum(counts[kept]) - counts[kept]])
-            self.counts = np.concatenate([self.counts, counts[kept]])
-            self.slots.update(zip((fresh[k] for k in kept.tolist()), range(base, base + len(kept)), strict=True))
-        use = slot[where]
+        all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.counts, counts])
+        use = slot[coded.indices.to_numpy()]
         out = all_ids[_ranges(all_starts[use], all_counts[use])]
         sums = np.concatenate([[0], np.cumsum(all_counts[use])])
+        kept = np.flatnonzero(pc.utf8_length(fresh).to_numpy() <= SHORT)
+        words = list(map(distinct.__getitem__, new[kept].tolist()))
+        self.slots.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts[kept]) - counts[kept]])
+        self.counts = np.concatenate([self.counts, counts[kept]])
+        self.ids = np.concatenate([self.ids, ids[_ranges(starts[kept], counts[kept])]])
         ends = np.cumsum(per_text)
         return out, sums[ends] - sums[ends - per_text]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str = BYTE_BPE, plain: bool = False) -> Encoder:
+    """The encoder of a worker process; tasks that follow each other there share its memory of pieces."""
+    return Encoder(path, plain)
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every range, laid end to end."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())

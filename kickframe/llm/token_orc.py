@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm.bpe import BYTE_BPE, Encoder
+from kickframe.llm.bpe import BYTE_BPE, encoder_of
 from kickframe.llm.common import col, map_batches, steps, table
 from kickframe.session import python_partitions, scratch_path
 
@@ -42,7 +42,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, file, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps([len(t) for t in texts]):
