@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kickframe.functions.cols import clamp, col, ratio, unix, weighted_present
-from kickframe.operators.ordered import ewma, first_of_ties, last_before, rows_frame, running
+from kickframe.operators.ordered import ewma, first_of_ties, haloed, last_before, rows_frame, running
+from kickframe.operators.scan import affine_scan
 
 TEAM_VENUE = ("team", "venue")
 ORDER = ("kickoff", "opp", "fixture_id")
@@ -208,6 +213,43 @@ def row_ewma(sides: DataFrame, values: Mapping[str, Column], half_life: float =
     return ewma(sides, list(TEAM_VENUE), list(ORDER), values, unix("kickoff"), half_life, **kw)
 
 
+# States of a team ahead of its first match, at home and away.
+STATE_PRIORS = {
+    "gf": (1.2, 1.0), "ga": (1.2, 1.0), "ppg": (1.2, 1.0),
+    "gf_mid": (1.2, 1.0), "ga_mid": (1.2, 1.0), "gf_high": (1.2, 1.0), "ga_high": (1.2, 1.0),
+    "pos_for": (50.0, 50.0), "pos_against": (50.0, 50.0),
+    "corners_for": (5.0, 4.0), "corners_against": (5.0, 4.0),
+    "xg_per_pos": (0.02, 0.02), "xg_per_pos_against": (0.02, 0.02),
+    "corner_xg": (0.10, 0.08), "corner_xg_against": (0.10, 0.08),
+}
+
+
+def directional_states(sides: DataFrame, half_life: float = 5.0, mid: tuple[float, float] = (1600.0, 1800.0), rows: int | None = None) -> DataFrame:
+    """All directional EWMA states of a team and venue ahead of each match, in one affine scan.
+
+    Needs the side stats, ``opp_elo``, ``xg_for``, ``xg_against``, ``corner_xg_for`` and ``corner_xg_against``. A row without a
+    score moves nothing; the band states move only against opponents rated inside ``mid`` or above it, possession states where
+    it is known, expected goals per possession where both are known and possession is positive; missing corners count as none.
+    """
+    a = 1.0 - 0.5 ** (1.0 / half_life)
+    c = F.col
+    played = c("gf").isNotNull() & c("ga").isNotNull()
+    pts = F.when(c("gf") > c("ga"), 3.0).when(c("gf") == c("ga"), 1.0).otherwise(0.0)
+    in_mid, high = c("opp_elo").between(*mid), c("opp_elo") > mid[1]
+    per = lambda x, p: F.when(c(p) > 0, c(x) / c(p))
+    values = {
+        "gf": c("gf"), "ga": c("ga"), "ppg": pts,
+        "gf_mid": F.when(in_mid, c("gf")), "ga_mid": F.when(in_mid, c("ga")), "gf_high": F.when(high, c("gf")), "ga_high": F.when(high, c("ga")),
+        "pos_for": c("pos_for"), "pos_against": c("pos_against"),
+        "corners_for": F.coalesce("corners_for", F.lit(0)), "corners_against": F.coalesce("corners_against", F.lit(0)),
+        "xg_per_pos": per("xg_for", "pos_for"), "xg_per_pos_against": per("xg_against", "pos_against"),
+        "corner_xg": c("corner_xg_for"), "corner_xg_against": c("corner_xg_against"),
+    }
+    at_home = c("venue") == "home"
+    states = {f"s_{n}": (F.lit(1.0 - a), F.when(played, F.lit(a) * v.cast("double")), F.when(at_home, STATE_PRIORS[n][0]).otherwise(STATE_PRIORS[n][1])) for n, v in values.items()}
+    return affine_scan(sides, TEAM_VENUE, ORDER, unix("kickoff"), states, rows)
+
+
 def clean_sheet_streak(sides: DataFrame) -> DataFrame:
     """Number of latest earlier matches of the team in a row without conceding."""
     from kickframe.operators.ordered import ordinal
@@ -222,71 +264,91 @@ def clean_sheet_streak(sides: DataFrame) -> DataFrame:
     return out.withColumn("clean_sheet_streak", streak).drop("_rn", "_last")
 
 
+#: Rows weighed against their past at once.
+STEP_ROWS = 512
+
+
 def strength_form(
-    sides: DataFrame, sigma: float = 30.0, tau_days: float = 180.0, min_matches: int = 3, max_hist: int = 200
+    sides: DataFrame, sigma: float = 30.0, tau_days: float = 180.0, min_matches: int = 3, max_hist: int = 200, rows: int | None = None
 ) -> DataFrame:
-    """Form weighted by similarity of the opponent's rating and by age, over at most ``max_hist`` matches.
+    """Form weighted by similarity of the opponent's rating and by age, over the last ``max_hist`` matches of a team.
 
-    Needs ``opp_elo`` and ``pts``. The history of a row is a bounded frame, so the cost is linear in rows.
+    Needs ``opp_elo`` and ``pts``. Slices of rows carry the ``max_hist`` rows before them; inside a slice a run of rows is weighed
+    against its own window as one matrix, so that no row holds a history and the cost is linear in rows. With fewer than
+    ``min_matches`` strictly earlier matches the plain mean of the last ``min_matches`` rows stands in.
     """
     stats = ["gf", "ga", "shots_for", "shots_against", "corners_for", "corners_against", "pts"]
-    past = F.struct(unix("kickoff").alias("ts"), F.col("opp_elo"), *[F.col(s).cast("double").alias(s) for s in stats])
-    df = sides.withColumn("_past", past)
-    framed = rows_frame(
-        df,
-        ["team"],
-        ["kickoff", "fixture_id"],
-        {"_hist": (-max_hist, -1, lambda w, _: F.collect_list("_past").over(w))},
-        unix("kickoff"),
-    )
-    now = unix("kickoff")
-
-    def weight(p: Column) -> Column:
-        age = F.exp(-F.floor((now - p["ts"]) / 86400) / F.lit(tau_days))
-        d = (p["opp_elo"] - F.col("opp_elo")) / F.lit(sigma)
-        return age * F.coalesce(F.exp(F.lit(-0.5) * d * d), F.lit(1.0))
-
-    framed = framed.withColumn("_used", F.filter("_hist", lambda p: p["ts"] < now))
-    # one pass over the weighted history: per stat the weighted sum and the weight of its known values
-    zero = F.struct(*[F.lit(0.0).alias(f"{k}_{s}") for s in stats for k in ("s", "w")])
-
-    def step(acc: Column, wp: Column) -> Column:
-        p, w = wp["p"], wp["w"]
-        fields = []
-        for s in stats:
-            known = p[s].isNotNull()
-            fields.append((acc[f"s_{s}"] + F.when(known, w * p[s]).otherwise(0.0)).alias(f"s_{s}"))
-            fields.append((acc[f"w_{s}"] + F.when(known, w).otherwise(0.0)).alias(f"w_{s}"))
-        return F.struct(*fields)
-
-    weighed = F.transform("_used", lambda p: F.struct(p.alias("p"), weight(p).alias("w")))
-    framed = framed.withColumn("_sums", F.aggregate(weighed, zero, step))
-
-    def wmean(stat: str) -> Column:
-        return F.try_divide(F.col(f"_sums.s_{stat}"), F.col(f"_sums.w_{stat}"))
-
-    def plain(stat: str) -> Column:
-        last = F.slice("_hist", -F.least(F.size("_hist"), F.lit(min_matches)), F.lit(min_matches))
-        vals = F.filter(F.transform(last, lambda p: p[stat]), lambda v: v.isNotNull())
-        return F.try_divide(F.aggregate(vals, F.lit(0.0), lambda a, v: a + v), F.size(vals))
-
-    enough = F.size("_used") >= min_matches
-    means = {
-        s: F.when(F.size("_used") == 0, F.lit(None)).when(enough, wmean(s)).otherwise(plain(s)) for s in stats
-    }
-    framed = framed.withColumns({f"_m_{s}": m for s, m in means.items()})
-    n_matches = F.when(F.size("_used") == 0, 0).when(enough, F.size("_used")).otherwise(
-        F.least(F.size("_hist"), F.lit(min_matches))
-    )
+    order = ["kickoff", "fixture_id"]
+    spread = haloed(sides, ["team"], order, unix("kickoff"), max_hist, rows)
+    # copies stay only inside the slice; the rows themselves come back by their own columns
+    first = F.row_number().over(W.partitionBy("team", "_slice").orderBy(*order)) == 1
+    own = [F.col(f"`{c}`") for c in sides.columns]
+    sent = spread.select(*own, "_copy", unix("kickoff").alias("_t"), F.col("opp_elo").cast("double").alias("_r"), *[F.col(s).cast("double").alias(f"_x_{s}") for s in stats], first.alias("_first"))
+    columns = list(sides.columns)
+    n = len(columns)
+    made = [f"_m_{s}" for s in stats]
+
+    def weigh(held: pa.Table) -> pa.RecordBatch | None:
+        copy = held.column(n).to_numpy()
+        t, r = held.column(n + 1).to_numpy(), held.column(n + 2).to_numpy()
+        x = np.column_stack([held.column(n + 3 + k).to_numpy() for k in range(len(stats))])
+        known, filled = ~np.isnan(x), np.nan_to_num(x)
+        ask = np.flatnonzero(copy == 0)
+        means, count = np.full((len(ask), len(stats)), np.nan), np.zeros(len(ask), np.int64)
+        for at in range(0, len(ask), STEP_ROWS):
+            rows_ = ask[at : at + STEP_ROWS]
+            lo = max(0, rows_[0] - max_hist)
+            past = np.arange(lo, rows_[-1])
+            inside = (past[None, :] < rows_[:, None]) & (past[None, :] >= rows_[:, None] - max_hist)
+            used = inside & (t[past][None, :] < t[rows_][:, None])
+            gap = (r[past][None, :] - r[rows_][:, None]) / sigma
+            near = np.exp(-0.5 * gap * gap)
+            near = np.where(np.isnan(near), 1.0, near)
+            w = np.where(used, np.exp(-((t[rows_][:, None] - t[past][None, :]) // 86400) / tau_days) * near, 0.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                weighed = (w @ filled[past]) / (w @ known[past].astype(float))
+                last = (inside & (past[None, :] >= rows_[:, None] - min_matches)).astype(float)
+                plain = (last @ filled[past]) / (last @ known[past].astype(float))
+            n_used, n_hist = used.sum(1), inside.sum(1)
+            here = slice(at, at + len(rows_))
+            means[here] = np.where((n_used >= min_matches)[:, None], weighed, plain)
+            means[here][n_used == 0] = np.nan
+            count[here] = np.where(n_used == 0, 0, np.where(n_used >= min_matches, n_used, np.minimum(n_hist, min_matches)))
+        if not len(ask):
+            return None
+        kept = held.take(pa.array(ask)).combine_chunks()
+        cols = [c.chunk(0) for c in kept.columns[:n]]
+        extra = [pa.array(means[:, k], from_pandas=True) for k in range(len(stats))]
+        return pa.RecordBatch.from_arrays([*cols, *extra, pa.array(count)], [*columns, *made, "num_matches"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole slices, one after the other."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)).tolist()
+            for lo, hi in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if lo in starts and held:
+                    out = weigh(pa.Table.from_batches(held))
+                    if out is not None:
+                        yield out
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            out = weigh(pa.Table.from_batches(held))
+            if out is not None:
+                yield out
+
+    schema = T.StructType([*sides.schema.fields, *[T.StructField(c, T.DoubleType()) for c in made], T.StructField("num_matches", T.LongType())])
+    framed = sent.mapInArrow(walk, schema)
     return framed.withColumns(
         {
             "shot_conv": F.when(F.col("_m_shots_for") > 0, F.col("_m_gf") / F.col("_m_shots_for")),
             "shot_conv_rec": F.when(F.col("_m_shots_against") > 0, F.col("_m_ga") / F.col("_m_shots_against")),
             "corners_conv": F.when(F.col("_m_corners_for") > 0, F.col("_m_gf") / F.col("_m_corners_for")),
             "points_per_game": F.col("_m_pts"),
-            "num_matches": n_matches,
         }
-    ).drop("_past", "_hist", "_used", "_sums", *[f"_m_{s}" for s in stats])
+    ).drop(*made)
 
 
 def latest_state(sides: DataFrame, values: Iterable[str], cutoff: Column, keys=TEAM_VENUE) -> DataFrame:

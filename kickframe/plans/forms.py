@@ -258,6 +258,44 @@ def _(t: Tables):
     return out.select("fixture_id", "team", "venue", *values)
 
 
+def _states_sql() -> str:
+    """The same states row by row: a recursive step per match of a team and venue."""
+    mid, high = "opp_elo BETWEEN 1460 AND 1540", "opp_elo > 1540"
+    value = {
+        "gf": "gf", "ga": "ga", "ppg": "CASE WHEN gf > ga THEN 3e0 WHEN gf = ga THEN 1e0 ELSE 0e0 END",
+        "gf_mid": f"CASE WHEN {mid} THEN gf END", "ga_mid": f"CASE WHEN {mid} THEN ga END", "gf_high": f"CASE WHEN {high} THEN gf END", "ga_high": f"CASE WHEN {high} THEN ga END",
+        "pos_for": "pos_for", "pos_against": "pos_against", "corners_for": "COALESCE(corners_for, 0)", "corners_against": "COALESCE(corners_against, 0)",
+        "xg_per_pos": "CASE WHEN pos_for > 0 THEN xg_for / pos_for END", "xg_per_pos_against": "CASE WHEN pos_against > 0 THEN xg_against / pos_against END",
+        "corner_xg": "0.03e0 * corners_for", "corner_xg_against": "0.03e0 * corners_against",
+    }
+    names = list(value)
+    first = ", ".join(f"CAST(CASE venue WHEN 'home' THEN {fm.STATE_PRIORS[n][0]} ELSE {fm.STATE_PRIORS[n][1]} END AS DOUBLE) AS s_{n}" for n in names)
+    keep = ", ".join(f"CASE WHEN gf IS NOT NULL AND ga IS NOT NULL THEN CAST({v} AS DOUBLE) END AS v_{n}" for n, v in value.items())
+    step = ", ".join(f"COALESCE(pow(0.5e0, 0.2e0) * r.s_{n} + (1 - pow(0.5e0, 0.2e0)) * r.v_{n}, r.s_{n})" for n in names)
+    vs = ", ".join(f"v_{n}" for n in names)
+    return f"""s0 AS (SELECT s.*, CASE venue WHEN 'home' THEN elo_away ELSE elo_home END AS opp_elo, 0.05e0 * shots_for + 0.2e0 * sot_for AS xg_for, 0.05e0 * shots_against + 0.2e0 * sot_against AS xg_against
+          FROM sides s JOIN rated r USING (fixture_id)),
+        seq AS (SELECT fixture_id, team, venue, ROW_NUMBER() OVER (PARTITION BY team, venue ORDER BY kickoff, opp, fixture_id) AS rn, {keep} FROM s0),
+        RECURSIVE_rec AS (SELECT fixture_id, team, venue, rn, {vs}, {first} FROM seq WHERE rn = 1
+        UNION ALL SELECT s.fixture_id, s.team, s.venue, s.rn, {", ".join(f"s.v_{n}" for n in names)}, {step} FROM rec r JOIN seq s ON s.team = r.team AND s.venue = r.venue AND s.rn = r.rn + 1)"""
+
+
+@query(
+    "directional_states",
+    "W10",
+    sql("SELECT fixture_id, team, venue, " + ", ".join(f"ROUND(s_{n}, 6) AS s_{n}" for n in fm.STATE_PRIORS) + " FROM rec", "sides rated", _states_sql()),
+)
+def _(t: Tables):
+    from kickframe.operators.sides import SIDE_COLUMNS, side_rows
+
+    sides = side_rows(t.rated, {**SIDE_COLUMNS, "opp_elo": ("elo_away", "elo_home")})
+    xg = lambda d: F.lit(0.05) * F.col(f"shots_{d}") + F.lit(0.2) * F.col(f"sot_{d}")
+    sides = sides.withColumns({f"xg_{d}": xg(d) for d in ("for", "against")} | {f"corner_xg_{d}": F.lit(0.03) * F.col(f"corners_{d}") for d in ("for", "against")})
+    # stand-in ratings lie between 1,400 and 1,600, so the bands do as well
+    out = fm.directional_states(sides, mid=(1460.0, 1540.0))
+    return out.select("fixture_id", "team", "venue", *[f"s_{n}" for n in fm.STATE_PRIORS])
+
+
 @query(
     "max_rating_step",
     "W16",
