@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: A token of a byte-level vocabulary always begins at a space with a visible sign behind it, so texts may be cut there.
 CUT = re.compile(r"(?= \S)")
+#: A space with white space behind it, whichever kind.
+WIDE = r" [\s\pZ\x0b\x1c-\x1f\x{85}]"
 #: Pieces up to this many code points are remembered; longer ones are encoded wherever they occur.
 SHORT = 48
 #: Ids of remembered pieces held by a worker; beyond it the memory starts anew.
@@ -68,10 +70,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids laid end to end, count of each piece). Pieces that begin at a cut are run together and told apart by their bytes."""
-        words, size = pieces.to_pylist(), pc.binary_length(pieces).to_numpy()
-        loose = np.fromiter((p[:1] != " " or len(p) == 1 or p[1].isspace() for p in words), bool, len(words))
+        words = [k[1:] if k[:1] == " " else " " + k for k in keys]
+        size = pc.binary_length(pa.array(words, pa.large_string())).to_numpy()
+        loose = np.fromiter((k[:1] in {"", " "} for k in keys), bool, len(keys))
         tied = np.flatnonzero(~loose)
         run = np.cumsum(size[tied]) // RUN
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(tied)]
@@ -86,33 +89,50 @@ class Encoder:
         at[order] = ends - counts[order]
         return flat[_ranges(at, counts)], counts
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _keys(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(keys of pieces, their order in the texts, pieces of each text).
+
+        A word stands for itself with the space before it; a key that begins with a space is the piece behind that space. Where
+        spaces meet other white space a text is cut sign by sign, with special tokens inside not at all.
+        """
+        odd, whole = pc.match_substring_regex(texts, WIDE).to_numpy(zero_copy_only=False), np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = ~(odd | whole)
+        lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        flat, counts = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        head = np.zeros(len(flat), bool)
+        head[np.cumsum(counts) - counts] = True
+        tails = flat.filter(pa.array(~head))
+        others = [[t] if w else CUT.split(t) for t, w in zip(texts.filter(pa.array(~plain)).to_pylist(), whole[~plain].tolist(), strict=True)]
+        apart = [" " + p for p in flat.filter(pa.array(head)).to_pylist()] + [" " + p for pieces in others for p in pieces]
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[plain], per_text[~plain] = counts, [len(x) for x in others]
+        start = np.cumsum(per_text) - per_text
+        place, at = np.empty(int(per_text.sum()), np.int64), _ranges(start[plain], counts)
+        place[at[~head]], place[at[head]] = np.arange(len(tails)), len(tails) + np.arange(len(counts))
+        place[_ranges(start[~plain], per_text[~plain])] = len(tails) + np.arange(len(counts), len(apart))
+        return pa.concat_arrays([tails, pa.array(apart, pa.large_string())]), place, per_text
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, count of each text)."""
         if len(self.ids) > HELD:
             self.forget()
-        whole = [bool(self.special) and any(s in t for s in self.special) for t in texts]
-        pieces: list[str] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            cut = [t] if whole[k] else CUT.split(t) if t else []
-            pieces += cut
-            per_text[k] = len(cut)
-        if not pieces:
-            return np.zeros(0, np.int32), per_text
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        keys, place, per_text = self._keys(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        coded = keys.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         slot = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(slot < 0)
-        fresh = coded.dictionary.take(pa.array(new))
+        fresh = list(map(distinct.__getitem__, new.tolist()))
         ids, counts = self._pieces_ids(fresh)
         starts = np.cumsum(counts) - counts
         slot[new] = len(self.starts) + np.arange(len(new))
         all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.counts, counts])
-        use = slot[coded.indices.to_numpy()]
+        use = slot[coded.indices.to_numpy()[place]]
         out = all_ids[_ranges(all_starts[use], all_counts[use])]
         sums = np.concatenate([[0], np.cumsum(all_counts[use])])
-        kept = np.flatnonzero(pc.utf8_length(fresh).to_numpy() <= SHORT)
-        words = list(map(distinct.__getitem__, new[kept].tolist()))
+        kept = np.flatnonzero(np.fromiter(map(len, fresh), np.int64, len(fresh)) <= SHORT)
+        words = list(map(fresh.__getitem__, kept.tolist()))
         self.slots.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts[kept]) - counts[kept]])
         self.counts = np.concatenate([self.counts, counts[kept]])
@@ -121,12 +141,12 @@ class Encoder:
         return out, sums[ends] - sums[ends - per_text]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every range, laid end to end."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str = BYTE_BPE, plain: bool = False) -> Encoder:
     """The encoder of a worker process; tasks that follow each other there share its memory of pieces."""
     return Encoder(path, plain)
-
-
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of every range, laid end to end."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())

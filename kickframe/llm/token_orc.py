@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,9 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in steps([len(t) for t in texts]):
-                ids, counts = encode(texts[a:b])
+            texts = batch.column(1)
+            for a, b in steps(pc.utf8_length(texts).to_pylist()):
+                ids, counts = encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 counts = counts + 1
