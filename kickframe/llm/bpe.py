@@ -19,9 +19,9 @@ WIDE = r" [\s\pZ\x0b\x1c-\x1f\x{85}]"
 #: Pieces up to this many code points are remembered; longer ones are encoded wherever they occur.
 SHORT = 48
 #: Ids of remembered pieces held by a worker; beyond it the memory starts anew.
-HELD = 2_000_000
+HELD = 3_000_000
 #: Bytes of unknown pieces that go to the tokenizer as one text.
-RUN = 20_000
+RUN = 100_000
 
 
 @lru_cache(maxsize=4)

@@ -221,26 +221,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group, all its columns unchanged: that of the smallest id.
 
-    Of rows that repeat that id one stays, and one of a group in which no row has an id. Nulls, empty and repeated texts as
-    in :func:`near_duplicates`.
+    Of a group's rows that repeat that id one stays, and one of a group in which no row has an id; an id that stands for texts of
+    several groups keeps a row of each group it is the smallest of. Nulls, empty and repeated texts as in :func:`near_duplicates`.
     """
     docs, classes = _classes(df, id_col, text_col, 3, RADIUS)
     found = settle(docs.join(classes, "fp"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__kf_rows"))
-    rows = df.join(kept.withColumnRenamed("doc_id", "__kf_id"), col(id_col) == F.col("__kf_id")).drop("__kf_id")
-    single = rows.where("__kf_rows = 1").drop("__kf_rows")
-    repeated = rows.where("__kf_rows > 1").drop("__kf_rows").dropDuplicates([id_col])
-    # groups without an id: their rows are found again by fingerprint
+    first = F.col("doc_id") == F.col("component_id")
+    rows = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__kf_rows"), F.count_if(first).alias("__kf_first"))
+    rows = rows.where("__kf_first > 0").withColumnRenamed("doc_id", "__kf_id")
+    by_id = df.join(rows, col(id_col) == F.col("__kf_id"))
+    single = by_id.where("__kf_rows = 1").select(*(col(c) for c in df.columns))
+    # an id on several rows, of one group or of several, and groups without an id: their rows are told apart by fingerprint
     at = df.columns.index(text_col)
 
     def with_fp(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = np.fromiter((fingerprint_of(x.as_py()) for x in batch.column(at)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "fp"])
 
-    blank = found.where("component_id IS NULL").select(F.col("fp").alias("__kf_fp"), F.col("root").alias("__kf_root")).distinct()
-    nameless = map_rows(df.where(col(id_col).isNull()), with_fp, T.StructField("__kf_fp", T.LongType()))
-    one = nameless.join(blank, "__kf_fp").dropDuplicates(["__kf_root"]).drop("__kf_fp", "__kf_root")
-    return single.unionAll(repeated).unionAll(one.select(*(col(c) for c in df.columns)))
+    unclear = by_id.where("__kf_rows > 1").select(*(col(c) for c in df.columns)).unionAll(df.where(col(id_col).isNull()))
+    wanted = found.where(first | F.col("component_id").isNull()).select(F.col("doc_id").alias("__kf_id"), F.col("fp").alias("__kf_f"), F.col("root").alias("__kf_root")).distinct()
+    marked = map_rows(unclear, with_fp, T.StructField("__kf_fp", T.LongType()))
+    one = marked.join(wanted, (F.col("__kf_fp") == F.col("__kf_f")) & col(id_col).eqNullSafe(F.col("__kf_id"))).dropDuplicates(["__kf_root"])
+    return single.unionAll(one.select(*(col(c) for c in df.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

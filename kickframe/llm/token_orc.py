@@ -18,6 +18,8 @@ from kickframe.session import python_partitions, scratch_path
 
 #: Closes every document.
 END = 2
+#: Code points of texts that are encoded together: the more, the fewer words are looked up twice.
+STEP = 4_000_000
 #: Bytes of text behind one file.
 FILE_BYTES = 256_000_000
 #: Bytes of a stripe before it is written out: the unit of parallel reads.
@@ -46,7 +48,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         encode, file, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
-            for a, b in steps(pc.utf8_length(texts).to_pylist()):
+            for a, b in steps(pc.utf8_length(texts).to_pylist(), STEP):
                 ids, counts = encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)

@@ -111,3 +111,11 @@ def test_keep_first(spark, odd_docs):
     lone = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_first(lone).collect()]
     assert sorted(kept, key=str) == sorted([(3, "x"), (None, "only text here"), (None, "")], key=str)
+
+
+def test_keep_first_of_one_id_on_several_texts(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "one two three four five six seven", "rot gruen blau gelb schwarz weiss"
+    rows = [(5, a), (5, b), (9, b), (2, c), (5, c), (5, a), (7, a), (2, c)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    # id 5 is the first of two groups; its copy of the third goes, whose first is id 2
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(5, a), (5, b), (2, c)])
