@@ -10,13 +10,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.operators.quantiles import grouped_quantiles
+from kickframe.session import cut_lineage
 
 
 def fit_isotonic(df: DataFrame, prob: str, label: str, out: str = "p_cal"):
@@ -91,16 +92,62 @@ def ridge_combiner(early: DataFrame, df: DataFrame, groups: dict[str, Sequence[s
     return out.withColumn("mu", F.col("mu_global") + F.col("league_shift")).withColumnsRenamed({f"_z_{g}": f"z_{g}" for g in names}).drop("_shift", *[f"_g_{g}" for g in names])
 
 
-def decayed_strengths(sides: DataFrame, as_of: Column, tau_days: float = 180.0, reg: float = 0.01):
-    """Attack and defence strengths: a weighted Poisson regression on one-hot team, opponent and venue."""
+def weighed_cells(sides: DataFrame, as_of: Column, tau_days: float = 180.0) -> DataFrame:
+    """(team, opp, venue, rows, w, wy): weights exp(-age / tau) and weighted goals of all scored rows before ``as_of``, per pairing."""
     age = F.datediff(as_of, F.to_date("kickoff"))
-    rows = sides.filter(F.col("gf").isNotNull() & (age > 0)).withColumns({"w": F.exp(-age / tau_days), "goals": F.col("gf").cast("double"), "is_home": (F.col("venue") == "home").cast("double")})
-    idx = StringIndexer(inputCols=["team", "opp"], outputCols=["_t", "_o"], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=["_t", "_o"], outputCols=["_tv", "_ov"])
-    va = VectorAssembler(inputCols=["is_home", "_tv", "_ov"], outputCol="_x")
-    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol="goals", weightCol="w", regParam=reg, maxIter=15, predictionCol="mu")
-    model = Pipeline(stages=[idx, hot, va, glm]).fit(rows)
-    return model, model.transform(rows).select("fixture_id", "team", "opp", "venue", "mu")
+    rows = sides.filter(F.col("gf").isNotNull() & (age > 0)).withColumn("_w", F.exp(-age / tau_days))
+    return rows.groupBy("team", "opp", "venue").agg(F.count(F.lit(1)).alias("rows"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("gf")).alias("wy"))
+
+
+def decayed_strengths(cells: DataFrame, tol: float = 1e-10, rounds: int = 500) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(team, attack), (opp, defence) and a factor per venue of a weighted Poisson model: mu = venue x attack x defence.
+
+    Proportional fitting: each factor in turn becomes weighted goals over summed expectation, which zeroes the score
+    equation of every team, every opponent and every venue, until nothing moves by more than ``tol`` of itself. A round is one join and
+    one aggregate per side over the pairings; there are no columns per team. Not settling is an error. Goals of no team at
+    all give strength 0. Strengths are scaled to mean defence 1 over the rows' weights.
+    """
+    cells = cut_lineage(cells)
+    venue = {r["venue"]: 1.0 for r in cells.select("venue").distinct().collect()}  # two venues
+    defence = cut_lineage(cells.select("opp").distinct().withColumn("defence", F.lit(1.0)))
+    attack: DataFrame | None = None
+
+    def at(v: dict[str, float]) -> Column:
+        out = F.lit(1.0)
+        for name, x in v.items():
+            out = F.when(F.col("venue") == name, F.lit(float(x))).otherwise(out)
+        return out
+
+    def fitted(df: DataFrame, own: str, name: str, other: DataFrame, key: str, strength: str) -> DataFrame:
+        met = df.join(other, key)
+        return met.groupBy(own).agg(F.coalesce(F.try_divide(F.sum("wy"), F.sum(F.col("w") * at(venue) * F.col(strength))), F.lit(0.0)).alias(name))
+
+    for _ in range(rounds):
+        was = defence
+        attack = cut_lineage(fitted(cells, "team", "attack", defence, "opp", "defence"))
+        defence = cut_lineage(fitted(cells, "opp", "defence", attack, "team", "attack"))
+        both = cells.join(attack, "team").join(defence, "opp")
+        got = both.groupBy("venue").agg(F.sum("wy").alias("y"), F.sum(F.col("w") * at(venue) * F.col("attack") * F.col("defence")).alias("m")).collect()
+        step = {r["venue"]: (r["y"] / r["m"] if r["m"] else 1.0) for r in got}
+        moved = was.withColumnRenamed("defence", "_old").join(defence, "opp").agg(F.max(F.abs(F.coalesce(F.try_divide(F.col("defence"), F.col("_old")), F.lit(1.0)) - 1.0)).alias("m")).first()["m"] or 0.0
+        venue = {v: x * step.get(v, 1.0) for v, x in venue.items()}
+        if max([moved, *[abs(x - 1.0) for x in step.values()]]) < tol:
+            break
+    else:
+        raise RuntimeError("strengths did not settle; give more rounds")
+    scale = cells.join(defence, "opp").agg((F.sum(F.col("w") * F.col("defence")) / F.sum("w")).alias("s")).first()["s"] or 1.0
+    return attack.withColumn("attack", F.col("attack") * scale), defence.withColumn("defence", F.col("defence") / scale), venue
+
+
+def strength_means(rows: DataFrame, attack: DataFrame, defence: DataFrame, venue: dict[str, float]) -> DataFrame:
+    """``rows`` with ``mu`` of the fitted strengths; a team that was never seen counts as an average one."""
+    mean = lambda df, c: df.agg(F.avg(c)).first()[0] or 0.0
+    a, d = mean(attack, "attack"), mean(defence, "defence")
+    factor = F.lit(1.0)
+    for name, x in venue.items():
+        factor = F.when(F.col("venue") == name, F.lit(float(x))).otherwise(factor)
+    out = rows.join(attack, "team", "left").join(defence, "opp", "left")
+    return out.withColumn("mu", factor * F.coalesce("attack", F.lit(a)) * F.coalesce("defence", F.lit(d)))
 
 
 def shot_classifier(early: DataFrame, middle: DataFrame, df: DataFrame, numeric: Sequence[str], categories: Sequence[str], label: str, iters: int = 10) -> DataFrame:

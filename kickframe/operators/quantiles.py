@@ -9,28 +9,19 @@ from pyspark.sql import functions as F
 
 from kickframe.operators.ordered import running
 
-BINS = 128
-
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles ``probs[name] = p`` of the non-null values per key.
 
-    Values are counted first (duplicates collapse map-side), a bounded sketch gives balanced value bins, and
-    the exact ranks come from running counts over those bins.
+    Values are counted first (duplicates collapse map-side); exact ranks are running counts along the values, in slices of
+    bounded row counts for keys of many values.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     counted = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    shape = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_n").alias("_total")
-    )
-    if keys:
-        counted = counted.join(shape, keys)
-    else:  # one row of cuts and one total: scalars, not a join
-        counted = counted.withColumns({"_cuts": shape.select("_cuts").scalar(), "_total": shape.select("_total").scalar()})
-    binned = counted.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    ranked = running(binned, keys, ["_v"], {"_before": F.col("_n")}, F.col("_v"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = running(counted, keys, ["_v"], {"_before": F.col("_n")}, F.col("_v"))
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.select("_total").scalar())
     picks, out = [], []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)

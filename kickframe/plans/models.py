@@ -12,6 +12,7 @@ from kickframe.operators.sides import to_matches
 from kickframe.plans.clean import shots
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.registry import query
+from kickframe.session import cut_lineage
 
 CUT = f"TIMESTAMP '{CUTOFF}'"
 MIDDLE = "2000-01-01"
@@ -174,9 +175,31 @@ def _(t: Tables):
     return out.agg(F.count_if(before()).alias("early_rows"), F.round(early(off), 6).alias("score_base"), *scores, flag(shrunk & F.col("mu").isNotNull()).alias("odd"))
 
 
-@query("decayed_strengths", "L14")
+@query(
+    "decayed_strengths",
+    "L14",
+    sql(
+        """SELECT side, team, rows, ROUND(goals, 6) AS goals, CAST(0 AS DOUBLE) AS score, COALESCE(later, 0) AS later_rows, CAST(0 AS BIGINT) AS odd FROM
+        (SELECT 'attack' AS side, team, COUNT(*) AS rows, SUM(w * gf) AS goals FROM e GROUP BY team UNION ALL SELECT 'defence', opp, COUNT(*), SUM(w * gf) FROM e GROUP BY opp)
+        LEFT JOIN (SELECT 'attack' AS side, team, COUNT(*) AS later FROM sides WHERE kickoff >= TIMESTAMP '2000-01-01' GROUP BY team
+          UNION ALL SELECT 'defence', opp, COUNT(*) FROM sides WHERE kickoff >= TIMESTAMP '2000-01-01' GROUP BY opp) USING (side, team)""",
+        "sides",
+        "e AS (SELECT *, exp(-date_diff('day', CAST(kickoff AS DATE), DATE '2000-01-01') / 180e0) AS w FROM sides WHERE gf IS NOT NULL AND kickoff < TIMESTAMP '2000-01-01')",
+    ),
+)
 def _(t: Tables):
-    return ml.decayed_strengths(t.sides, F.lit("2001-08-01").cast("date"))[1]
+    """Score equations of every team's attack and defence over the rows before the cut, and the means of the rows after it."""
+    cells = cut_lineage(ml.weighed_cells(t.sides, F.lit(MIDDLE).cast("date")))
+    attack, defence, venue = ml.decayed_strengths(cells)
+    fitted = ml.strength_means(cells, attack, defence, venue)
+    later = ml.strength_means(t.sides.filter(~before(MIDDLE)), attack, defence, venue)
+    parts = []
+    for side, key in (("attack", "team"), ("defence", "opp")):
+        seen = fitted.groupBy(F.col(key).alias("team")).agg(F.sum("rows").alias("rows"), F.sum("wy").alias("goals"), F.round(F.sum(F.col("wy") - F.col("w") * F.col("mu")), 6).alias("score"))
+        ahead = later.groupBy(F.col(key).alias("team")).agg(F.count(F.lit(1)).alias("later_rows"), flag(F.col("mu").between(0.0, 60.0)).alias("odd"))
+        zero = F.lit(0).cast("long")
+        parts.append(seen.join(ahead, "team", "left").select(F.lit(side).alias("side"), "team", "rows", "goals", "score", F.coalesce("later_rows", zero).alias("later_rows"), F.coalesce("odd", zero).alias("odd")))
+    return parts[0].unionByName(parts[1])
 
 
 @query(

@@ -162,23 +162,52 @@ X_CTE = (
 )
 
 
-@query(
-    "pressure_xg_disagreement",
-    "W12",
-    sql(
+def _disagreement_sql(side: str) -> str:
+    ctes = X_CTE.replace("venue = 'home'", f"venue = '{side}'").replace("league, home AS team", f"league, {side} AS team").replace("league, home, rn", f"league, {side}, rn")
+    return sql(
         "SELECT fixture_id, ROUND(zp, 6) AS press_z, ROUND(zx, 6) AS xg_z, ROUND(zp - zx, 6) AS disagreement, CAST(eh > 0 AND round(zp, 9) >= 1 AND round(zx, 9) <= -1 AS BIGINT) AS sterile, CAST(eh > 0 AND round(zp, 9) <= -1 AND round(zx, 9) >= 1 AS BIGINT) AS assassin FROM z",
         "sides",
-        X_CTE,
-    ),
-)
-def _(t: Tables):
+        ctes,
+    )
+
+
+def disagreement(t: Tables, side: str):
+    """Pressure against expected goals of one side, each against the latest values of the league's teams on that side."""
     df = with_forms(t.matches, fm.pressure_components(t.sides), "press_index", 0.5, "press", "stats_present")
     df = with_forms(df, xg_sides(t), "xg_diff", 0.0, "xg", "xg_present")
-    states = {"ph": [("home", "press_post_home")], "xh": [("home", "xg_post_home")]}
-    asks = {"press_z": ("ph", "press_pre_home"), "xg_z": ("xh", "xg_pre_home")}
+    states = {"p": [(side, f"press_post_{side}")], "x": [(side, f"xg_post_{side}")]}
+    asks = {"press_z": ("p", f"press_pre_{side}"), "xg_z": ("x", f"xg_pre_{side}")}
     z = rt.state_z(df, ["league"], states, asks, ORDER)
-    p, x, ok = F.round("press_z", 9), F.round("xg_z", 9), F.col("xg_evid_home") > 0
+    p, x, ok = F.round("press_z", 9), F.round("xg_z", 9), F.col(f"xg_evid_{side}") > 0
     return z.select(
         "fixture_id", "press_z", "xg_z", (F.col("press_z") - F.col("xg_z")).alias("disagreement"),
         (ok & (p >= 1) & (x <= -1)).cast("int").alias("sterile"), (ok & (p <= -1) & (x >= 1)).cast("int").alias("assassin"),
     )
+
+
+@query("pressure_xg_disagreement", "W12", _disagreement_sql("home"))
+def _(t: Tables):
+    return disagreement(t, "home")
+
+
+@query("pressure_xg_disagreement_away", "W12", _disagreement_sql("away"))
+def _(t: Tables):
+    return disagreement(t, "away")
+
+
+# The older rule set, one step for all matches and no extra factors.
+PLAIN_RULES = {"k": 20.0, "home_edge": 60.0, "margin_cap": 1.0, "upset_mult": 1.0, "new_mult": 1.0, "floor": 0.0, "by_league": {}, "by_type": {}}
+
+
+@query(
+    "elo_plain",
+    "L02",
+    sql(
+        "SELECT fixture_id, ROUND(eh, 6) AS elo_home, ROUND(ea, 6) AS elo_away, ROUND(d, 6) AS delta FROM st WHERE rn > 0",
+        "",
+        ELO_CTE.replace("CASE league WHEN 'NATION_1' THEN 21e0 WHEN 'NATION_2' THEN 22e0 ELSE 20e0 END", "20e0").replace("CASE league WHEN 'NATION_1' THEN 58e0 WHEN 'NATION_2' THEN 50e0 ELSE 65e0 END", "60e0")
+        .replace("CASE fixture_id % 10 WHEN 0 THEN 1.12e0 WHEN 1 THEN 0.75e0 ELSE 1e0 END", "1e0").replace("8e0 END, 2.75e0)", "8e0 END, 1e0)").replace("THEN 1.25e0 ELSE 1e0", "THEN 1e0 ELSE 1e0").replace("THEN 1.2e0 ELSE 1e0", "THEN 1e0 ELSE 1e0").replace("GREATEST(1000e0,", "GREATEST(0e0,"),
+    ),
+)
+def _(t: Tables):
+    return rt.elo_series(t.matches, "league", rt.EloRules(**PLAIN_RULES)).select("fixture_id", "elo_home", "elo_away", "delta")

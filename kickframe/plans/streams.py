@@ -15,6 +15,8 @@ from kickframe.streaming import operators as so
 
 #: How late a row may arrive in these queries: tables come in slices of time, so one day is more than enough.
 DELAY = "1 day"
+#: Days of rows that wait together; a key waits with at most the rows of a slice and the delay.
+BUCKET = 365
 
 
 def event_stream(t: Tables):
@@ -35,6 +37,44 @@ def _(t: Tables):
     return so.drain(so.dedupe_stream(stream, ["event_id"], "ts", "60 days"), "dedupe").select("event_id", "event_type")
 
 
+@query(
+    "stream_latest_versions",
+    "ST1",
+    "SELECT event_id, CAST(ts + INTERVAL 1 HOUR * (event_id % 3) AS TIMESTAMP) AS version_ts, event_type, ROUND(value + event_id % 3, 6) AS value FROM events",
+)
+def _(t: Tables):
+    """Up to three versions of every event, the last one twice, dealt to three arrivals regardless of their order: the latest one stays."""
+    ev = t.read("events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    v = F.explode(F.concat(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")), F.array((F.col("event_id") % 3).cast("int"))))
+    feed = ev.withColumn("v", v).withColumns({"ts": F.col("ts") + F.make_dt_interval(hours=F.col("v")), "value": F.col("value") + F.col("v")})
+    # arrivals mix all times, so the delay covers the whole table
+    delay = "4000 days"
+    feed = so.with_end(feed, "ts", delay, {"event_type": F.lit("end")})
+    path = scratch_path(t.spark, "updates")
+    for k in range(3):
+        feed.where(F.col("event_id").isNotNull() & (F.pmod(F.xxhash64("event_id", "v"), F.lit(3)) == k)).coalesce(1).write.mode("append").parquet(path)
+    feed.where("event_id IS NULL").coalesce(1).write.mode("append").parquet(path)
+    stream = so.latest_versions(so.file_stream(t.spark, path, feed.schema, per_trigger=1), ["event_id"], "ts", "v", ["event_type", "value"], "1 day", delay)
+    out = so.newest(so.drain(stream, "versions"), ["event_id"])
+    return out.where("event_id IS NOT NULL").select("event_id", F.col("version_ts").cast("timestamp_ntz").alias("version_ts"), "event_type", "value")
+
+
+@query(
+    "stream_price_expiry",
+    "ST5",
+    """SELECT user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, ROUND(value, 6) AS price, ts < (SELECT MAX(ts) FROM events) - INTERVAL 6 HOUR AS stale FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""",
+)
+def _(t: Tables):
+    """Prices with expiry: the latest one of every key, stale if the stream has said so."""
+    ev = t.read("events").select("user_id", "event_type", "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    # the closing row brings the watermark to the last event
+    last = ev.agg((F.max("ts") + F.expr(f"INTERVAL {DELAY}")).alias("ts")).where("ts IS NOT NULL").withColumns({"event_type": F.lit("end"), "user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long"), "value": F.lit(0.0)})
+    ev = ev.unionByName(last, allowMissingColumns=True)
+    out = so.drain_in_order(ev, "ts", lambda s: so.price_changes(s, ["user_id", "event_type"], "ts", "value", "event_id", 6, DELAY), "expiry")
+    won = out.where("event_type <> 'end'").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "tie", "stale", "price")).alias("w"))
+    return won.select("user_id", "event_type", F.col("w.ts").cast("timestamp_ntz").alias("ts"), F.col("w.price").alias("price"), F.col("w.stale").alias("stale"))
+
+
 @query(
     "stream_windows",
     "ST2",
@@ -53,7 +93,7 @@ def _(t: Tables):
     cols = ["fixture_id", F.col("kickoff").cast("timestamp").alias("kickoff"), "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
     df = rt._static(typed(t), rules()).select(*cols)
     df = so.with_end(df, "kickoff", DELAY, {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
-    out = so.drain_in_order(df, "kickoff", lambda stream: so.ratings_stream(stream, "league", rules(), DELAY), "ratings")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.ratings_stream(stream, "league", rules(), DELAY, BUCKET), "ratings")
     return out.select("fixture_id", "elo_home", "elo_away", F.when(~F.isnan("delta"), F.col("delta")).alias("delta"))
 
 
@@ -65,7 +105,7 @@ def _(t: Tables):
 def _(t: Tables):
     df = t.sides.select("fixture_id", "team", "venue", F.col("kickoff").cast("timestamp").alias("kickoff"), "opp", F.col("gf").cast("double").alias("gf"))
     df = so.with_end(df, "kickoff", DELAY, {"team": F.lit("end"), "venue": F.lit("end")})
-    out = so.drain_in_order(df, "kickoff", lambda stream: so.form_stream(stream, "gf", delay=DELAY), "form")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.form_stream(stream, "gf", delay=DELAY, bucket_days=BUCKET), "form")
     return out.select("fixture_id", "team", "venue", F.when(~F.isnan("form"), F.col("form")).alias("form"), "n")
 
 

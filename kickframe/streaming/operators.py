@@ -19,6 +19,8 @@ from kickframe.session import scratch_path
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows in one value of the state, and in one frame that leaves a key.
 PART, FRAME = 5_000, 10_000
+#: Microseconds of a day.
+DAY = 86_400_000_000
 #: Rows of a finite table that a stream takes in at once.
 SLICE_ROWS = 200_000
 
@@ -60,12 +62,12 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """A finite table through an append stream in slices of time, about ``slice_rows`` rows each (rows of one moment stay together).
 
-    ``build`` makes the query from the input stream. Each slice arrives after all of the one before it were read, so the
-    watermark needs no allowance for the table's order and state holds a slice and the delay. Rows are written by slice
-    once and copied into the stream's folder slice by slice.
+    ``build`` makes the query from the input stream. A slice is one file, files are written one after the other, and one query
+    takes a file a trigger in the order of their times. So the watermark needs no allowance for the table's order and state
+    holds a slice and the delay.
     """
     spark = rows.sparkSession
-    feed, out, check = (scratch_path(spark, f"{name}{x}") for x in ("-in", "", "-state"))
+    feed = scratch_path(spark, f"{name}-in")
     timed = rows.withColumn("__us", F.unix_micros(F.col(ts)).cast("double"))
     n = math.ceil(rows.count() / slice_rows)
     cuts = sorted(set(timed.approxQuantile("__us", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
@@ -79,10 +81,8 @@ def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFr
     else:
         slices = [rows]
     for part in slices:
-        part.write.mode("append").parquet(feed)
-        stream = build(file_stream(spark, feed, rows.schema))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        part.coalesce(1).write.mode("append").parquet(feed)  # about slice_rows rows, one file
+    return drain(build(file_stream(spark, feed, rows.schema, per_trigger=1)), name)
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "7 days") -> DataFrame:
@@ -112,8 +112,8 @@ class _InOrder(StatefulProcessor):
     #: Columns held, the event time in microseconds first; rows leave in the order of all of them.
     columns: tuple[str, ...] = ()
     blanks: dict = {}
-    #: Microseconds in a bucket.
-    width = 86_400_000_000
+    #: Microseconds in a bucket: long ones spare state calls where a key has few rows a day.
+    width = DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -197,8 +197,8 @@ class _Ratings(_InOrder):
     columns = ("kickoff", "home", "away", "fixture_id", "k_base", "home_edge", "type_mult", "margin_mult", "actual")
     blanks = {"home": "", "away": "", "fixture_id": -1}
 
-    def __init__(self, rules: EloRules):
-        self.rules = rules
+    def __init__(self, rules: EloRules, days: int = 1):
+        self.rules, self.width = rules, days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -223,7 +223,7 @@ class _Ratings(_InOrder):
 Match = namedtuple("Match", ["t", *_Ratings.columns[1:]])
 
 
-def ratings_stream(stream: DataFrame, pool: str, rules: EloRules, delay: str = "7 days") -> DataFrame:
+def ratings_stream(stream: DataFrame, pool: str, rules: EloRules, delay: str = "7 days", bucket_days: int = 1) -> DataFrame:
     """Incremental ratings; needs the static update columns of the batch operator. State is one row per team and the rows held.
 
     A match is rated once the watermark (``delay`` behind the latest kick-off) has passed it, so the result is that of the
@@ -232,7 +232,7 @@ def ratings_stream(stream: DataFrame, pool: str, rules: EloRules, delay: str = "
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return stream.withWatermark("kickoff", delay).groupBy(pool).transformWithStateInPandas(
-        statefulProcessor=_Ratings(rules),
+        statefulProcessor=_Ratings(rules, bucket_days),
         outputStructType="fixture_id long, elo_home double, elo_away double, delta double",
         outputMode="Append",
         timeMode="EventTime",
@@ -245,8 +245,8 @@ class _LastN(_InOrder):
     columns = ("kickoff", "opp", "fixture_id", "value")
     blanks = {"opp": "", "fixture_id": -1}
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, days: int = 1):
+        self.n, self.width = n, days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -263,11 +263,11 @@ class _LastN(_InOrder):
         return pd.DataFrame(out, columns=["fixture_id", "team", "venue", "form", "n"])
 
 
-def form_stream(stream: DataFrame, value: str, n: int = 10, delay: str = "7 days") -> DataFrame:
+def form_stream(stream: DataFrame, value: str, n: int = 10, delay: str = "7 days", bucket_days: int = 1) -> DataFrame:
     """Mean of the last n values per team and venue ahead of every row, released in order behind the watermark."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return stream.withColumn("value", F.col(value).cast("double")).withWatermark("kickoff", delay).groupBy("team", "venue").transformWithStateInPandas(
-        statefulProcessor=_LastN(n),
+        statefulProcessor=_LastN(n, bucket_days),
         outputStructType="fixture_id long, team string, venue string, form double, n long",
         outputMode="Append",
         timeMode="EventTime",
@@ -283,6 +283,83 @@ def with_end(rows: DataFrame, ts: str, delay: str, marks: dict[str, Column]) ->
     return rows.unionByName(last.withColumns(marks), allowMissingColumns=True)
 
 
+def latest_versions(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Sequence[str], hold: str = "1 day", delay: str = "7 days") -> DataFrame:
+    """(keys, version_ts, values): the latest update of every key, released once ``hold`` has passed without another one.
+
+    An update wins by (event time, ``tie``), whatever the order of arrival; repeats change nothing. State is one row per key that was
+    updated within hold and delay. A key that is updated again after its release is released again: readers keep the latest version
+    (``newest``). Updates later than ``delay`` are dropped by the watermark and counted in the query's progress.
+    """
+    won = F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.struct(*values).alias("v"))).alias("w")
+    out = stream.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, hold)).agg(won)
+    return out.select(*keys, F.col("w.ts").alias("version_ts"), F.col("w.tie").alias("version_tie"), *[F.col(f"w.v.{v}").alias(v) for v in values])
+
+
+def newest(released: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last released version of every key; a mergeable aggregate."""
+    rest = [c for c in released.columns if c not in keys]
+    return released.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("version_ts", "version_tie")).alias("_n")).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest])
+
+
+class _Freshness(StatefulProcessor):
+    """The latest price of a key until it is ``ms`` old. A newer price leaves at once, an old one once more as stale, and is forgotten.
+
+    A missing tie counts as -1, a missing price as NaN.
+    """
+
+    def __init__(self, ms: int, columns: Sequence[str]):
+        self.ms, self.columns = ms, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, tie long, price double")
+
+    def _row(self, key, last: tuple, stale: bool) -> pd.DataFrame:
+        return pd.DataFrame([[*key, pd.Timestamp(last[0], unit="us"), last[1], last[2], stale]], columns=self.columns)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.last.get()) if self.last.exists() else None
+        new = old
+        for pdf in rows:
+            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
+            for r in zip(us.tolist(), pdf["tie"].fillna(-1).astype("int64").tolist(), pdf["price"].astype("float64").tolist(), strict=True):
+                if new is None or r[:2] > new[:2]:
+                    new = r
+        if new == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old[0] // 1000 + self.ms + 1)
+        self.last.update(new)
+        self.handle.registerTimer(new[0] // 1000 + self.ms + 1)
+        yield self._row(key, new, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            last = tuple(self.last.get())
+            self.last.clear()
+            yield self._row(key, last, True)
+
+    def close(self) -> None:
+        pass
+
+
+def price_changes(stream: DataFrame, keys: Sequence[str], ts: str, price: str, tie: str, hours: int = 6, delay: str = "1 day") -> DataFrame:
+    """(keys, ts, tie, price, stale): each newer price of a key as it arrives, and once more when the watermark finds it ``hours`` old.
+
+    A stale key is forgotten, so state holds the keys with a price from the last ``hours`` and the delay, not every key ever seen.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    columns = [*keys, "ts", "tie", "price", "stale"]
+    rows = stream.select(*keys, F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"))
+    return rows.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Freshness(hours * 3_600_000, columns),
+        outputStructType=", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts timestamp, tie long, price double, stale boolean"]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def latest_prices(stream: DataFrame, keys: Sequence[str], ts: str, price: str, tie: str) -> DataFrame:
     """Latest price per key so far; a mergeable aggregate, so state is one row per key."""
     return stream.groupBy(*keys).agg(

@@ -160,3 +160,42 @@ def test_a_long_key_leaves_in_small_frames_bucket_by_bucket(monkeypatch):
     assert [i for f in frames for i in f["fixture_id"]] == order
     means = [m for f in frames for m in f["form"]]
     assert all(abs(means[i] - sum(order[max(0, i - 3) : i]) / min(i, 3)) < 1e-9 for i in range(1, 1000))
+
+
+def test_the_latest_version_wins_over_three_triggers(spark, tmp_path):
+    """Changed, late and repeated updates, dealt to triggers in no order, give the batch result."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        at = 1_000_000_000 + rnd.randrange(50) * 86400
+        updates = [(i, at + k * 3600, k, f"v{k}", rnd.randrange(100)) for k in range(rnd.randint(1, 4))]
+        rows += updates + rnd.choices(updates, k=2)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, t long, seq long, status string, score long").withColumn("ts", F.timestamp_seconds("t"))
+    whole = so.with_end(df, "ts", DELAY, {"status": F.lit("end")})
+    for k in range(3):
+        whole.where((F.pmod(F.xxhash64("id", "seq"), F.lit(3)) == k) & F.col("id").isNotNull()).coalesce(1).write.mode("append").parquet(f"{tmp_path}/v")
+    whole.where("id IS NULL").coalesce(1).write.mode("append").parquet(f"{tmp_path}/v")
+    stream = so.latest_versions(so.file_stream(spark, f"{tmp_path}/v", whole.schema, per_trigger=1), ["id"], "ts", "seq", ["status", "score"], "1 day", DELAY)
+    got = {r["id"]: (r["version_tie"], r["status"], r["score"]) for r in so.newest(so.drain(stream, "versions"), ["id"]).where("id IS NOT NULL").collect()}
+    want = {}
+    for i, _, seq, status, score in rows:
+        want[i] = max(want.get(i, (-1, "", 0)), (seq, status, score))
+    assert got == want
+
+
+def test_prices_turn_stale_once_and_are_forgotten():
+    import pandas as pd
+
+    p, memory = so._Freshness(6 * 3_600_000, ["user", "ts", "tie", "price", "stale"]), Memory()
+    p.init(memory)
+    at = lambda h: pd.Timestamp(h * 3600, unit="s")
+    arrive = lambda *rows: list(p.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=["ts", "tie", "price"])]), None))
+    first = arrive((at(1), 1, 10.0), (at(3), 2, 11.0), (at(2), 3, 12.0))
+    assert [f.values.tolist() for f in first] == [[["u", at(3), 2, 11.0, False]]]
+    assert arrive((at(2), 9, 1.0)) == []  # an older price changes nothing
+    assert [f["price"][0] for f in arrive((at(4), 1, 13.0))] == [13.0]
+    assert memory.timers == {10 * 3_600_000 + 1}
+    gone = list(p.handleExpiredTimer(("u",), None, None))
+    assert [f.values.tolist() for f in gone] == [[["u", at(4), 1, 13.0, True]]]
+    assert not p.last.exists() and list(p.handleExpiredTimer(("u",), None, None)) == []
