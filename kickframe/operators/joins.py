@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -215,6 +216,22 @@ def tolerant_price(left: DataFrame, prices: DataFrame, keys: Sequence[str], day:
     return left.join(hits, "fixture_id", "left").select(*left.columns, "_b.price", "_b.day_offset")
 
 
+def aligned(base: DataFrame, cand: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of two outputs whose keys occur in both, null keys with null ones; repeated keys keep all their rows on each side."""
+
+    def kept(own: DataFrame, other: DataFrame) -> DataFrame:
+        met = other.select(*[F.col(k).alias(f"_o_{k}") for k in keys]).distinct()
+        return own.join(met, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]), "left_semi")
+
+    return kept(base, cand), kept(cand, base)
+
+
+def first_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Left rows with the values of the first right row of their key in ``order``; without one they are null. A null key meets none."""
+    firsts = right.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    return left.join(firsts, list(keys), "left").select(*left.columns, *[F.col(f"_first.{v}").alias(v) for v in values])
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """1 - edits / length of the longer name; 1 for equal names, also empty ones."""
     longer = F.greatest(F.length(a), F.length(b))

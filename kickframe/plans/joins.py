@@ -35,17 +35,15 @@ def _(t: Tables):
     return jn.asof_join(left, right, ["team", "venue"], "kickoff", ["gf", "shots"]).select("fixture_id", "team", "gf", "shots")
 
 
-@query(
-    "head_to_head",
-    "J09",
-    sql(
+H2H_SQL = (
         """SELECT m.fixture_id, COUNT(p.h) AS h2h_matches, ROUND(COALESCE(AVG(CASE WHEN p.h > p.a THEN 1e0 WHEN p.h IS NOT NULL THEN 0e0 END), 0.5e0), 6) AS h2h_home_win_rate, ROUND(COALESCE(AVG(p.h + p.a), 2.5e0), 6) AS h2h_goals_avg,
         ROUND(COALESCE(AVG(CASE WHEN p.h > 0 AND p.a > 0 THEN 1e0 WHEN p.h IS NOT NULL THEN 0e0 END), 0.5e0), 6) AS h2h_btts_rate, CAST(COUNT(p.h) >= 3 AS BIGINT) AS h2h_usable
         FROM matches m LEFT JOIN (SELECT home AS x, away AS y, kickoff AS k, ft_home AS h, ft_away AS a FROM scored UNION ALL SELECT away, home, kickoff, ft_away, ft_home FROM scored) p
-        ON m.home = p.x AND m.away = p.y AND p.k < m.kickoff AND p.k >= m.kickoff - INTERVAL 1825 DAY GROUP BY m.fixture_id""",
-        "scored",
-    ),
+        ON m.home = p.x AND m.away = p.y AND p.k < m.kickoff AND p.k >= m.kickoff - INTERVAL 1825 DAY GROUP BY m.fixture_id"""
 )
+
+
+@query("head_to_head", "J09", sql(H2H_SQL, "scored"))
 def _(t: Tables):
     cols = ["h2h_matches", "h2h_home_win_rate", "h2h_goals_avg", "h2h_btts_rate", "h2h_usable"]
     return jn.head_to_head(t.matches).select("fixture_id", *cols)
@@ -167,9 +165,30 @@ def _(t: Tables):
     return j.select("fixture_id", "resolved", F.when(F.col("resolved").isNull(), "unknown_team").otherwise("ok").alias("reason"))
 
 
+@query(
+    "aligned_comparison",
+    "J12",
+    sql(
+        """SELECT league, b.n AS base_rows, c.n AS cand_rows, ROUND(b.e, 6) AS base_error, ROUND(c.e, 6) AS cand_error FROM
+        (SELECT league, COUNT(*) AS n, AVG(ABS(mu_home - ft_home)) AS e FROM priced p WHERE EXISTS (SELECT 1 FROM cand q WHERE q.league = p.league AND q.d = CAST(p.kickoff AS DATE) AND q.home = p.home AND q.away = p.away) GROUP BY league) b
+        JOIN (SELECT league, COUNT(*) AS n, AVG(ABS(m - ft_home)) AS e FROM cand GROUP BY league) c USING (league)""",
+        "priced",
+        "cand AS (SELECT *, CAST(kickoff AS DATE) AS d, 0.5e0 * mu_home + 0.7e0 AS m FROM priced WHERE odds_yes IS NOT NULL)",
+    ),
+)
+def _(t: Tables):
+    """Errors of two outputs over the matches that both have; the candidate lacks those without a price."""
+    keys = ["league", "day", "home", "away"]
+    base = t.priced.withColumn("day", F.to_date("kickoff").cast("string"))
+    cand = base.filter("odds_yes IS NOT NULL").withColumn("mu_home", 0.5 * F.col("mu_home") + 0.7)
+    error = lambda df, name: df.groupBy("league").agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.avg(F.abs(F.col("mu_home") - F.col("ft_home"))).alias(f"{name}_error"))
+    b, c = jn.aligned(base, cand, keys)
+    return error(b, "base").join(error(c, "cand"), "league")
+
+
 @query(
     "predictions_with_actuals",
-    "J11 J12",
+    "J11",
     sql(
         """SELECT p.fixture_id, CAST(m.h AS BIGINT) AS ft_home, ROUND(p_over, 6) AS p_over FROM priced p LEFT JOIN (SELECT CAST(kickoff AS DATE) AS d, home, away, MAX(ft_home) AS h FROM scored GROUP BY ALL) m
         ON CAST(p.kickoff AS DATE) = m.d AND p.home = m.home AND p.away = m.away""",

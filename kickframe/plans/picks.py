@@ -300,11 +300,33 @@ def bet_log(t: Tables):
     )
 
 
-@query("settlement", "M33 P25 J19", sql("SELECT fixture_id, market, result, ROUND(payout, 6) AS payout, ROUND(net, 6) AS net FROM settled", "", LOG_SQL))
+@query("settlement", "M33 P25", sql("SELECT fixture_id, market, result, ROUND(payout, 6) AS payout, ROUND(net, 6) AS net FROM settled", "", LOG_SQL))
 def _(t: Tables):
     return st.settle_bets(bet_log(t)).select("fixture_id", "market", "result", "payout", "net")
 
 
+FIRST_SQL = """fr AS (SELECT league, CAST(kickoff AS DATE) AS d, home, away, ft_home, ft_away FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY league, CAST(kickoff AS DATE), home, away ORDER BY kickoff, fixture_id) = 1),
+  mm AS (SELECT m.fixture_id, m.kickoff, m.league, fr.ft_home, fr.ft_away FROM matches m LEFT JOIN fr ON m.league = fr.league AND CAST(m.kickoff AS DATE) = fr.d AND m.home = fr.home AND m.away = fr.away),
+  """
+
+
+@query(
+    "bet_log_results",
+    "J19",
+    sql("SELECT fixture_id, market, CAST(h AS BIGINT) AS ft_home, CAST(a AS BIGINT) AS ft_away, result, ROUND(net, 6) AS net FROM settled", "scored", FIRST_SQL + LOG_SQL.replace("FROM matches)", "FROM mm)")),
+)
+def _(t: Tables):
+    """A log of bets, its team names written otherwise, joined to the first result of league, day and teams, and settled."""
+    from kickframe.operators.joins import first_match
+
+    names = t.matches.select("fixture_id", *[F.concat(F.lit(" "), F.upper(v)).alias(v) for v in ("home", "away")])
+    log = bet_log(t).drop("ft_home", "ft_away").join(names, "fixture_id")
+    keyed = lambda df: df.withColumns({"_day": F.to_date("kickoff"), "_h": F.lower(F.trim("home")), "_a": F.lower(F.trim("away"))})
+    results = keyed(t.scored).select("league", "_day", "_h", "_a", "kickoff", "fixture_id", "ft_home", "ft_away")
+    out = first_match(keyed(log), results, ["league", "_day", "_h", "_a"], ["kickoff", "fixture_id"], ["ft_home", "ft_away"])
+    return st.settle_bets(out).select("fixture_id", "market", "ft_home", "ft_away", "result", "net")
+
+
 @query(
     "running_balance",
     "M34",

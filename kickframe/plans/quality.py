@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from kickframe.functions.cols import unix
@@ -13,6 +15,7 @@ from kickframe.operators.markets import p_under_25
 from kickframe.operators.tops import top_k
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.forms import PRESS_CTE
+from kickframe.plans.joins import H2H_SQL
 from kickframe.plans.picks import PICK_SQL, picks
 from kickframe.plans.registry import query
 from kickframe.plans.summaries import BETS_SQL
@@ -143,6 +146,68 @@ def _(t: Tables):
     )
 
 
+@query(
+    "input_coverage",
+    "Q11",
+    sql(
+        """SELECT league, COUNT(*) AS rows, COUNT(elo) AS rated, COUNT(*) FILTER (shots_for IS NOT NULL AND shots_against IS NOT NULL AND sot_for IS NOT NULL AND sot_against IS NOT NULL AND corners_for IS NOT NULL AND corners_against IS NOT NULL AND pos_for IS NOT NULL AND pos_against IS NOT NULL) AS pressure,
+        COUNT(*) FILTER (shots_for IS NOT NULL AND sot_for IS NOT NULL) AS xg, ROUND(AVG(CASE WHEN k <= 5 THEN CASE WHEN pos_for IS NOT NULL AND shots_for IS NOT NULL THEN 1e0 ELSE 0e0 END END), 6) AS recent_share FROM
+        (SELECT s.*, CASE venue WHEN 'home' THEN elo_home ELSE elo_away END AS elo, ROW_NUMBER() OVER (PARTITION BY s.league, s.team ORDER BY s.kickoff DESC, fixture_id DESC) AS k FROM sides s JOIN rated r USING (fixture_id)) GROUP BY league""",
+        "sides rated",
+    ),
+)
+def _(t: Tables):
+    """Side rows with ratings, pressure inputs and expected-goal inputs per league, and the share of complete rows among each team's last five."""
+    from kickframe.plans.forms import rated_sides
+
+    sides = fm.pressure_components(rated_sides(t))
+    has = lambda *cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    counts = sides.groupBy("league").agg(F.count(F.lit(1)).alias("rows"), F.count("own_elo").alias("rated"), F.count_if(F.col("stats_present") > 0).alias("pressure"), F.count_if(has("shots_for", "sot_for")).alias("xg"))
+    last = top_k(sides, ["league", "team"], [F.desc("kickoff"), F.desc("fixture_id")], 5)
+    return counts.join(last.groupBy("league").agg(F.avg(has("pos_for", "shots_for").cast("double")).alias("recent_share")), "league")
+
+
+@query(
+    "head_to_head_audit",
+    "Q15",
+    sql(
+        """SELECT COUNT(*) AS rows, SUM(h2h_usable)::BIGINT AS usable, COUNT(*) FILTER (h2h_matches = 0) AS unmet, ROUND(AVG(h2h_matches), 6) AS mean_meetings, MAX(h2h_matches)::BIGINT AS most_meetings,
+        COUNT(*) FILTER (h2h_home_win_rate NOT BETWEEN 0 AND 1 OR h2h_btts_rate NOT BETWEEN 0 AND 1 OR h2h_goals_avg < 0) AS out_of_range, COUNT(*) FILTER (h2h_matches = 0 AND (h2h_home_win_rate <> 0.5 OR h2h_goals_avg <> 2.5)) AS off_default FROM h""",
+        "scored",
+        f"h AS ({H2H_SQL})",
+    ),
+)
+def _(t: Tables):
+    from kickframe.operators import joins as jn
+
+    h = jn.head_to_head(t.matches)
+    none = F.col("h2h_matches") == 0
+    off = ~F.col("h2h_home_win_rate").between(0, 1) | ~F.col("h2h_btts_rate").between(0, 1) | (F.col("h2h_goals_avg") < 0)
+    return h.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("h2h_usable").alias("usable"), F.count_if(none).alias("unmet"), F.avg("h2h_matches").alias("mean_meetings"), F.max("h2h_matches").alias("most_meetings"),
+        F.count_if(off).alias("out_of_range"), F.count_if(none & ((F.col("h2h_home_win_rate") != 0.5) | (F.col("h2h_goals_avg") != 2.5))).alias("off_default"),
+    )
+
+
+@query("price_invariance", "Q17", sql("SELECT COUNT(*) AS rows, TRUE AS same_without_prices, FALSE AS same_with_other_means FROM priced", "priced"))
+def _(t: Tables):
+    """Market probabilities must not move when all prices are taken away, and must when a mean does; order-free digests."""
+    from kickframe.operators import markets as mk
+    from kickframe.sources import readers as rd
+
+    prices = [c for c in t.priced.columns if c.startswith("odds_")]
+    bare = t.priced.withColumns({c: F.lit(None).cast("double") for c in prices})
+    moved = t.priced.withColumn("mu_home", F.col("mu_home") * 1.01)
+
+    def digest(df):
+        probs = mk.market_probs(df, "mu_home", "mu_away", F.lit(0.1), F.lit(0.05), F.lit(-0.05))
+        cols = ["fixture_id", *[c for c in probs.columns if c not in df.columns]]
+        return rd.fingerprint(probs, cols)
+
+    a, b, c = digest(t.priced), digest(bare).select(F.col("digest").alias("d2")), digest(moved).select(F.col("digest").alias("d3"))
+    return a.select("rows", (F.col("digest") == b.select("d2").scalar()).alias("same_without_prices"), (F.col("digest") == c.select("d3").scalar()).alias("same_with_other_means"))
+
+
 @query(
     "backtest_smell",
     "Q12",

@@ -233,3 +233,30 @@ def test_row_local_book_equals_the_windowed_one(spark):
         for c in ("prob", "odds", "p_imp", "fair_odds", "p_imp_norm", "edge", "ev"):
             assert (r[c] is None) == (w[c] is None) and (r[c] is None or abs(r[c] - w[c]) < 1e-12)
         assert r["price_source"] == w["price_source"]
+
+
+def test_aligned_outputs_and_first_matches(spark):
+    base = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 2, 12), (None, 3, 13), ("d", 4, 14)], "k string, d int, v int")
+    cand = spark.createDataFrame([("a", 1, 20), (None, 3, 21), ("b", 9, 22), ("a", 1, 23)], "k string, d int, v int")
+    b, c = jn.aligned(base, cand, ["k", "d"])
+    assert sorted(r["v"] for r in b.collect()) == [10, 11, 13] and sorted(r["v"] for r in c.collect()) == [20, 21, 23]
+    right = spark.createDataFrame([("a", 5, 1), ("a", 3, 2), ("a", 3, 1), (None, 1, 9)], "k string, at int, goals int")
+    left = spark.createDataFrame([("a", 0), ("x", 1), (None, 2)], "k string, id int")
+    got = {r["id"]: r["goals"] for r in jn.first_match(left, right, ["k"], ["at", "goals"], ["goals"]).collect()}
+    assert got == {0: 1, 1: None, 2: None}
+
+
+def test_strengths_zero_every_score_equation(spark):
+    from kickframe.operators import models as ml
+
+    rnd = random.Random(6)
+    rows = [(f"T{i}", f"T{j}", v, 1, 0.2 + rnd.random(), rnd.randrange(4) * (0.2 + rnd.random())) for i in range(7) for j in range(7) if i != j for v in ("home", "away")]
+    rows = [(*r[:5], 0.0 if r[0] == "T6" else r[5]) for r in rows]  # one team never scores
+    cells = spark.createDataFrame(rows, "team string, opp string, venue string, rows long, w double, wy double")
+    attack, defence, venue = ml.decayed_strengths(cells)
+    fitted = ml.strength_means(cells, attack, defence, venue).toPandas()
+    for key in ("team", "opp", "venue"):
+        assert (fitted.assign(s=fitted.wy - fitted.w * fitted.mu).groupby(key).s.sum().abs() < 1e-7).all()
+    assert fitted[fitted.team == "T6"].mu.max() == 0
+    new = ml.strength_means(spark.createDataFrame([("T0", "new", "home")], "team string, opp string, venue string"), attack, defence, venue).first()
+    assert new["mu"] > 0
