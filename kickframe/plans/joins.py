@@ -145,24 +145,28 @@ def _(t: Tables):
     "unseen_teams",
     "J10",
     sql(
-        f"""SELECT fixture_id, CASE WHEN t1.team IS NOT NULL THEN m.home WHEN t2.code IS NOT NULL THEN t2.team END AS resolved, CASE WHEN t1.team IS NULL AND t2.code IS NULL THEN 'unknown_team' ELSE 'ok' END AS reason FROM
-        (SELECT fixture_id, home, {CODES_SQL} AS code, CASE WHEN fixture_id % 4 = 0 THEN 'x' || home ELSE home END AS raw FROM matches WHERE kickoff >= TIMESTAMP '{CUTOFF}') m
+        f"""SELECT fixture_id, venue, CASE WHEN t1.team IS NOT NULL THEN m.home WHEN t2.code IS NOT NULL THEN t2.team END AS resolved, CASE WHEN t1.team IS NULL AND t2.code IS NULL THEN 'unknown_team' ELSE 'ok' END AS reason FROM
+        (SELECT fixture_id, venue, home, {CODES_SQL} AS code, CASE WHEN fixture_id % 4 = 0 THEN 'x' || home ELSE home END AS raw FROM both_sides WHERE kickoff >= TIMESTAMP '{CUTOFF}') m
         LEFT JOIN seen t1 ON m.raw = t1.team LEFT JOIN seen t2 ON m.code = t2.code AND m.fixture_id % 8 <> 0""",
         "",
-        f"seen AS (SELECT home AS team, {CODES_SQL} AS code FROM matches WHERE kickoff < TIMESTAMP '{CUTOFF}' GROUP BY ALL)",
+        f"""both_sides AS (SELECT fixture_id, kickoff, league, 'home' AS venue, home FROM matches UNION ALL SELECT fixture_id, kickoff, league, 'away', away FROM matches),
+        seen AS (SELECT home AS team, {CODES_SQL} AS code FROM both_sides WHERE kickoff < TIMESTAMP '{CUTOFF}' GROUP BY ALL)""",
     ),
 )
 def _(t: Tables):
-    seen = coded(t).filter(F.col("kickoff") < cut()).select(F.col("home").alias("team"), F.col("code_home").alias("code")).distinct()
-    up = coded(t).filter(F.col("kickoff") >= cut()).select(
+    side = lambda v: F.struct(F.lit(v).alias("venue"), F.col(v).alias("team"), F.col(f"code_{v}").alias("code"))
+    both = coded(t).select("fixture_id", "kickoff", F.inline(F.array(side("home"), side("away"))))
+    seen = both.filter(F.col("kickoff") < cut()).select("team", "code").distinct()
+    up = both.filter(F.col("kickoff") >= cut()).select(
         "fixture_id",
-        F.when(ID() % 4 == 0, F.concat(F.lit("x"), F.col("home"))).otherwise(F.col("home")).alias("raw"),
-        F.when(ID() % 8 != 0, F.col("code_home")).alias("code"),
+        "venue",
+        F.when(ID() % 4 == 0, F.concat(F.lit("x"), F.col("team"))).otherwise(F.col("team")).alias("raw"),
+        F.when(ID() % 8 != 0, F.col("code")).alias("code"),
     )
     by_name = seen.select(F.col("team").alias("raw"), F.col("team").alias("n1"))
     by_code = seen.select("code", F.col("team").alias("n2"))
     j = up.join(by_name, "raw", "left").join(by_code, "code", "left").withColumn("resolved", F.coalesce("n1", "n2"))
-    return j.select("fixture_id", "resolved", F.when(F.col("resolved").isNull(), "unknown_team").otherwise("ok").alias("reason"))
+    return j.select("fixture_id", "venue", "resolved", F.when(F.col("resolved").isNull(), "unknown_team").otherwise("ok").alias("reason"))
 
 
 @query(

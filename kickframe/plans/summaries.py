@@ -60,14 +60,15 @@ def _(t: Tables):
     "team_season_mode",
     "A03",
     sql(
-        """SELECT home, season, kind FROM (SELECT home, season, kind, ROW_NUMBER() OVER (PARTITION BY home, season ORDER BY COUNT(*) DESC, kind) AS k FROM
-        (SELECT home, season, CASE fixture_id % 3 WHEN 0 THEN 'cup' WHEN 1 THEN 'league' ELSE 'friendly' END AS kind FROM seasoned) GROUP BY home, season, kind) WHERE k = 1""",
+        """SELECT team, season, kind FROM (SELECT team, season, kind, ROW_NUMBER() OVER (PARTITION BY team, season ORDER BY COUNT(*) DESC, kind) AS k FROM
+        (SELECT unnest([home, away]) AS team, season, CASE fixture_id % 3 WHEN 0 THEN 'cup' WHEN 1 THEN 'league' ELSE 'friendly' END AS kind FROM seasoned) GROUP BY team, season, kind) WHERE k = 1""",
         "seasoned",
     ),
 )
 def _(t: Tables):
     kind = F.when(F.col("fixture_id") % 3 == 0, "cup").when(F.col("fixture_id") % 3 == 1, "league").otherwise("friendly")
-    return sm.most_common(t.seasoned.withColumn("kind", kind), ["home", "season"], "kind")
+    both = t.seasoned.select("season", kind.alias("kind"), F.explode(F.array("home", "away")).alias("team"))
+    return sm.most_common(both, ["team", "season"], "kind")
 
 
 @query(
@@ -210,13 +211,15 @@ def _(t: Tables):
     "A13",
     sql(
         """SELECT code, name FROM (SELECT code, name, ROW_NUMBER() OVER (PARTITION BY code ORDER BY COUNT(*) DESC, length(name), name) AS k FROM
-        (SELECT CAST(TRY_CAST(regexp_replace(league, '[^0-9]', '', 'g') AS BIGINT) * 100 + TRY_CAST(split_part(home, '-T', 2) AS BIGINT) AS VARCHAR) AS code,
-          CASE WHEN fixture_id % 2 = 0 THEN home ELSE 'FC ' || home END AS name FROM matches) GROUP BY code, name) WHERE k = 1"""
+        (SELECT CAST(TRY_CAST(regexp_replace(league, '[^0-9]', '', 'g') AS BIGINT) * 100 + TRY_CAST(split_part(team, '-T', 2) AS BIGINT) AS VARCHAR) AS code,
+          CASE WHEN fixture_id % 2 = 0 THEN team ELSE 'FC ' || team END AS name FROM (SELECT fixture_id, league, unnest([home, away]) AS team FROM matches)) GROUP BY code, name) WHERE k = 1"""
     ),
 )
 def _(t: Tables):
-    name = F.when(F.col("fixture_id") % 2 == 0, F.col("home")).otherwise(F.concat(F.lit("FC "), F.col("home")))
-    pairs = coded(t).select(F.col("code_home").alias("code"), name.alias("name"))
+    side = lambda v: F.struct(F.col(f"code_{v}").alias("code"), F.col(v).alias("team"))
+    both = coded(t).select("fixture_id", F.inline(F.array(side("home"), side("away"))))
+    name = F.when(F.col("fixture_id") % 2 == 0, F.col("team")).otherwise(F.concat(F.lit("FC "), F.col("team")))
+    pairs = both.select("code", name.alias("name"))
     return sm.most_common(pairs, ["code"], "name", ties=[F.length("name")])
 
 
