@@ -347,17 +347,20 @@ def price_changes(stream: DataFrame, keys: Sequence[str], ts: str, price: str, t
     """(keys, ts, tie, price, stale): each newer price of a key as it arrives, and once more when the watermark finds it ``hours`` old.
 
     A stale key is forgotten, so state holds the keys with a price from the last ``hours`` and the delay, not every key ever seen.
+    Null keys form a key of their own.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    columns = [*keys, "ts", "tie", "price", "stale"]
-    rows = stream.select(*keys, F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"))
-    return rows.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Freshness(hours * 3_600_000, columns),
-        outputStructType=", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts timestamp, tie long, price double, stale boolean"]),
+    # a null in a key column makes pandas split and drop rows of its batch, so the state goes by the keys' text, which is never null
+    rows = stream.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"))
+    out = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Freshness(hours * 3_600_000, ["key", "ts", "tie", "price", "stale"]),
+        outputStructType="key string, ts timestamp, tie long, price double, stale boolean",
         outputMode="Append",
         timeMode="EventTime",
     )
+    parsed = F.from_json("key", ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+    return out.select(*[parsed[k].alias(k) for k in keys], "ts", "tie", "price", "stale")
 
 
 def latest_prices(stream: DataFrame, keys: Sequence[str], ts: str, price: str, tie: str) -> DataFrame:

@@ -199,3 +199,14 @@ def test_prices_turn_stale_once_and_are_forgotten():
     gone = list(p.handleExpiredTimer(("u",), None, None))
     assert [f.values.tolist() for f in gone] == [[["u", at(4), 1, 13.0, True]]]
     assert not p.last.exists() and list(p.handleExpiredTimer(("u",), None, None)) == []
+
+
+def test_null_keys_of_prices_lose_no_rows(spark, tmp_path):
+    users = [1, 2, 3, None, 4, 5, 6, 7, 8, None, 9, 10]
+    rows = [(u, None if u == 6 else "a", i, float(i), 1_700_000_000 + i * 60) for i, u in enumerate(users)]
+    df = spark.createDataFrame(rows, "user_id long, kind string, event_id long, value double, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df.coalesce(1).write.parquet(f"{tmp_path}/p")
+    out = so.drain(so.price_changes(so.file_stream(spark, f"{tmp_path}/p", df.schema), ["user_id", "kind"], "ts", "value", "event_id"), "nulls")
+    got = sorted(((r["user_id"], r["kind"], r["tie"]) for r in out.collect() if not r["stale"]), key=str)
+    want = {(u, k): i for u, k, i, _, _ in rows}
+    assert got == sorted(((u, k, i) for (u, k), i in want.items()), key=str)
