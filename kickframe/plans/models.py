@@ -8,7 +8,7 @@ from kickframe.functions.shots import shot_angle_deg, shot_distance_m
 from kickframe.operators import forms as fm
 from kickframe.operators import models as ml
 from kickframe.operators import xg
-from kickframe.operators.sides import to_matches
+from kickframe.operators.sides import SIDE_COLUMNS, side_rows, to_matches
 from kickframe.plans.clean import shots
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.registry import query
@@ -47,6 +47,9 @@ INPUTS_CTE = """fs AS (SELECT fixture_id, venue, AVG(shots_for) OVER w AS a, AVG
   inputs AS (SELECT * FROM scored WHERE fixture_id IN (SELECT fixture_id FROM fs GROUP BY fixture_id HAVING COUNT(*) FILTER (a IS NULL OR b IS NULL OR c IS NULL OR d IS NULL) = 0))"""
 
 
+REQUIRED = ["shots_for", "sot_for", "shots_against", "sot_against"]
+
+
 @query(
     "xg_walkforward",
     "L05",
@@ -62,7 +65,7 @@ def _(t: Tables):
     """Weekly refits: rows scored, rows learnt from, and the intercept's score equation, which is zero at the optimum."""
     s = t.sides.withColumns({"week": xg.week_index("kickoff"), "is_home": (F.col("venue") == "home").cast("double")})
     fits: list = []
-    out = xg.walk_forward(s, ["shots_for", "sot_for", "shots_against", "sot_against", "is_home"], rounds=60, report=fits)
+    out = xg.walk_forward(s, ["shots_for", "sot_for", "shots_against", "sot_against", "is_home"], required=REQUIRED, rounds=60, report=fits)
     met = t.spark.createDataFrame(fits, "week long, fit_rows long, score double")
     ok = s.filter("shots_for >= 0 AND sot_for >= 0 AND shots_against >= 0 AND sot_against >= 0")
     weekly = ok.join(out, ["fixture_id", "venue"]).groupBy("week").agg(F.count(F.lit(1)).alias("rows"), flag(F.col("xg").between(EPS, 30.0)).alias("odd"), F.count("gf").alias("n"))
@@ -71,6 +74,42 @@ def _(t: Tables):
     return learnt.join(met, "week", "left").select("week", "rows", "learnt", (F.round(F.coalesce("score", F.lit(0.0)), 6) + wrong).alias("gap"), "odd")
 
 
+@query(
+    "xg_weekly",
+    "L05 L06 L07 A30 A31",
+    sql(
+        """SELECT w.week, n.rows, f.learnt, f.fill_pos, f.fill_share, n.factor, COALESCE(c.leagues, 0)::BIGINT AS leagues, COALESCE(c.observed, 0) AS observed, CAST(0 AS DOUBLE) AS gap, CAST(0 AS BIGINT) AS odd
+        FROM weeks w JOIN f USING (week) JOIN n USING (week) LEFT JOIN (SELECT week, COUNT(*) AS leagues, ROUND(AVG(o), 6) AS observed FROM c GROUP BY week) c USING (week)""",
+        "sides rated",
+        """u AS (SELECT s.*, CAST(floor((date_diff('day', DATE '1970-01-01', CAST(s.kickoff AS DATE)) + 3) / 7) AS BIGINT) AS week, CASE WHEN shots_for > 0 THEN sot_for / CAST(shots_for AS DOUBLE) END AS share,
+          CASE WHEN s.venue = 'home' THEN r.elo_away ELSE r.elo_home END AS opp_elo FROM sides s JOIN rated r USING (fixture_id) WHERE shots_for >= 0 AND sot_for >= 0 AND shots_against >= 0 AND sot_against >= 0),
+        weeks AS (SELECT DISTINCT week FROM u),
+        f AS (SELECT w.week, COUNT(u.gf) AS learnt, ROUND(COALESCE(quantile_cont(u.pos_for, 0.5), 50e0), 6) AS fill_pos, ROUND(COALESCE(quantile_cont(u.share, 0.5), 0.33e0), 6) AS fill_share FROM weeks w LEFT JOIN u ON u.week < w.week AND u.gf IS NOT NULL GROUP BY w.week),
+        r AS (SELECT w.week, u.league, AVG(u.opp_elo) AS m FROM weeks w JOIN u ON u.week < w.week GROUP BY ALL),
+        g AS (SELECT w.week, AVG(u.opp_elo) AS m FROM weeks w JOIN u ON u.week < w.week GROUP BY ALL),
+        n AS (SELECT u.week, COUNT(*) AS rows, ROUND(AVG(LEAST(GREATEST(u.opp_elo / COALESCE(r.m, g.m, 1500e0), 0.8e0), 1.2e0)), 6) AS factor FROM u LEFT JOIN r ON u.week = r.week AND u.league = r.league LEFT JOIN g ON u.week = g.week GROUP BY u.week),
+        c AS (SELECT w.week, u.league, AVG(u.gf) AS o FROM weeks w JOIN u ON u.week < w.week AND u.gf IS NOT NULL GROUP BY ALL HAVING COUNT(*) >= 80)""",
+    ),
+)
+def _(t: Tables):
+    """The whole weekly fit: per week its fills, mean opponent factor, calibrated leagues and the score equation; ``odd`` counts
+    league ratios or predictions that don't follow from their parts."""
+    shots = F.when(F.col("shots_for") > 0, F.col("sot_for") / F.col("shots_for").cast("double"))
+    s = side_rows(t.rated, SIDE_COLUMNS | {"opp_elo": ("elo_away", "elo_home")}).withColumns({"week": xg.week_index("kickoff"), "sot_share_for": shots, "is_home": (F.col("venue") == "home").cast("double")})
+    made = xg.weekly_fits(s, ["shots_for", "sot_for", "corners_for", "pos_for", "sot_share_for", "is_home"], required=REQUIRED, opponent="opp_elo", calibration=xg.Calibration(), rounds=60)
+    rows = made.xg.where("xg IS NOT NULL").join(s.select("fixture_id", "venue", "gf"), ["fixture_id", "venue"])
+    sound = F.col("xg").between(EPS, 30.0) & (F.abs(F.col("xg") - F.col("raw") * F.col("multiplier")) < EPS) & F.col("multiplier").between(0.85, 1.15)
+    weekly = rows.groupBy("week").agg(F.count(F.lit(1)).alias("rows"), F.avg("factor").alias("factor"), flag(sound).alias("odd_rows"), F.count("gf").alias("n"))
+    weekly = weekly.withColumn("learnt", F.expr("coalesce(sum(n) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    fill = made.fills.groupBy("week").agg(*[F.max(F.when(F.col("feature") == c, F.col("fill"))).alias(n) for c, n in (("pos_for", "fill_pos"), ("sot_share_for", "fill_share"))])
+    ratio = (1 + F.col("rows") / (F.col("rows") + 80) * (F.col("observed") / F.col("predicted") - 1) - F.col("multiplier")).between(-EPS, EPS) | F.col("multiplier").isin(0.85, 1.15)
+    leagues = made.calibration.where("multiplier IS NOT NULL").groupBy("week").agg(F.count(F.lit(1)).alias("leagues"), F.avg("observed").alias("observed"), flag(ratio).alias("odd_leagues"))
+    out = weekly.join(fill, "week", "left").join(leagues, "week", "left").join(made.fits.select("week", F.col("rows").alias("fit_rows"), "score"), "week", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    gap = F.coalesce(F.round("score", 6), F.lit(0.0)) + F.coalesce((F.col("fit_rows") != F.col("learnt")).cast("double"), F.lit(0.0))
+    return out.select("week", "rows", "learnt", "fill_pos", "fill_share", "factor", zero(F.col("leagues")).alias("leagues"), F.coalesce("observed", F.lit(0.0)).alias("observed"), gap.alias("gap"), (F.col("odd_rows") + zero(F.col("odd_leagues"))).alias("odd"))
+
+
 @query(
     "median_imputation",
     "L06",

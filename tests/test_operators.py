@@ -260,3 +260,91 @@ def test_strengths_zero_every_score_equation(spark):
     assert fitted[fitted.team == "T6"].mu.max() == 0
     new = ml.strength_means(spark.createDataFrame([("T0", "new", "home")], "team string, opp string, venue string"), attack, defence, venue).first()
     assert new["mu"] > 0
+
+
+def weekly_fit_plainly(rows: pd.DataFrame, week: int, x: list[str]) -> dict:
+    """One week of the full fit on the driver: fills, factors, Poisson optimum and league ratios of all earlier weeks."""
+    ok = rows[rows.shots.notna() & (rows.shots >= 0)]
+    past, now = ok[ok.week < week], ok[ok.week == week]
+    by_league, overall = past.groupby("league").opp_elo.mean(), past.opp_elo.mean() if past.opp_elo.notna().any() else 1500.0
+    tr = past[past.gf.notna()]
+
+    def numbers(df):
+        ref = df.league.map(by_league).fillna(overall)
+        z = [df[c].fillna(tr[c].median() if tr[c].notna().any() else {"corners": 4.0}.get(c, 0.0)) for c in x]
+        return np.column_stack([*z, (df.opp_elo / ref).clip(0.8, 1.2).fillna(1.0)])
+
+    out = {"factor": dict(zip(zip(now.fixture_id, now.venue), numbers(now)[:, -1]))} if len(now) else {}
+    if len(tr) < 30:
+        mean = tr.groupby("venue").gf.mean()
+        return out | {"xg": {(r.fixture_id, r.venue): mean.get(r.venue, 1.25) for r in now.itertuples()}, "cal": {}}
+    a, y = numbers(tr), tr.gf.to_numpy(float)
+    m, sd = a.mean(0), np.where(a.std(0) > 1e-6, a.std(0), 1.0)
+    z, b, pen = np.column_stack([np.ones(len(a)), (a - m) / sd]), np.zeros(a.shape[1] + 1), np.diag([0.0] + [0.1] * a.shape[1])
+    b[0] = math.log(y.mean())
+    for _ in range(60):
+        mu = np.exp(z @ b)
+        b = b - np.linalg.solve((z * mu[:, None]).T @ z / len(y) + pen, z.T @ (mu - y) / len(y) + pen @ b)
+    mu, cal = np.exp(z @ b), {}
+    for lg in tr.league.unique():
+        at = (tr.league == lg).to_numpy()
+        if at.sum() >= 20:
+            cal[lg] = min(max(1 + at.sum() / (at.sum() + 80) * (y[at].mean() / mu[at].mean() - 1), 0.85), 1.15)
+    raw = np.exp(np.column_stack([np.ones(len(now)), (numbers(now) - m) / sd]) @ b) if len(now) else []
+    return out | {"xg": {(r.fixture_id, r.venue): v * cal.get(r.league, 1.0) for r, v in zip(now.itertuples(), raw)}, "cal": cal}
+
+
+def weekly_rows(spark, n=240):
+    rnd, out = np.random.default_rng(4), []
+    for i in range(n):
+        for venue in ("home", "away"):
+            shots = None if i % 17 == 0 and venue == "home" else -1.0 if i % 19 == 0 else float(rnd.integers(3, 20))
+            corners = None if i < 30 or rnd.random() < 0.3 else float(rnd.integers(0, 9)) / (1 + i % 3)
+            gf = None if i % 13 == 0 else int(rnd.poisson(1.4))
+            # league A holds most rows, C comes late, D has no rating
+            lg = "D" if i % 11 == 0 else "B" if i % 5 == 0 else "C" if i > 200 else "A"
+            elo = None if lg == "D" or rnd.random() < 0.1 else float(rnd.integers(1000, 2000) + (400 if lg == "B" else 0))
+            out.append((i, venue, lg, i // 12 + 100, shots, corners, elo, gf))
+    return spark.createDataFrame(out, "fixture_id long, venue string, league string, week long, shots double, corners double, opp_elo double, gf int")
+
+
+def test_weekly_fits_with_gaps_factors_and_league_ratios(spark, monkeypatch):
+    monkeypatch.setattr(xg, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(xg, "STEP", 16)
+    df = weekly_rows(spark)
+    made = xg.weekly_fits(df, ["shots", "corners"], required=["shots"], opponent="opp_elo", calibration=xg.Calibration(min_rows=20), defaults={"corners": 4.0})
+    rows = df.toPandas()
+    got = {(r["fixture_id"], r["venue"]): r for r in made.xg.collect()}
+    assert len(got) == len(rows) == made.xg.count()  # rows that can't be learnt from stay, without xg
+    fills = {r["week"]: r["fill"] for r in made.fills.where("feature = 'corners'").collect()}
+    ratios = {(r["league"], r["week"]): r["multiplier"] for r in made.calibration.collect()}
+    assert any(v is not None for v in ratios.values()) and all(abs(r["score"]) < 1e-6 for r in made.fits.collect())
+    for week in sorted(rows.week.unique()):
+        want = weekly_fit_plainly(rows, week, ["shots", "corners"])
+        for k, v in want["xg"].items():
+            assert abs(got[k]["xg"] - v) < 1e-6 and abs(got[k]["factor"] - want["factor"][k]) < 1e-12
+        assert {lg: round(m, 8) for (lg, w), m in ratios.items() if w == week and m is not None} == {lg: round(m, 8) for lg, m in want["cal"].items()}
+        tr = rows[(rows.week < week) & (rows.shots >= 0) & rows.gf.notna()].corners
+        assert abs(fills[week] - (tr.median() if tr.notna().any() else 4.0)) < 1e-12
+    bad = rows[~(rows.shots >= 0)]
+    assert len(bad) > 10 and all(got[(r.fixture_id, r.venue)]["xg"] is None for r in bad.itertuples())
+
+
+def test_weekly_fits_of_empty_and_unusable_tables(spark):
+    df = weekly_rows(spark, 4)
+    assert xg.weekly_fits(df.limit(0), ["shots", "corners"], opponent="opp_elo", calibration=xg.Calibration()).xg.count() == 0
+    none = xg.weekly_fits(df.withColumn("week", F.lit(None).cast("long")), ["shots"], calibration=xg.Calibration())
+    assert [r["xg"] for r in none.xg.collect()] == [None] * 8 and none.calibration.count() == 0
+
+
+def test_medians_before_are_exact(spark):
+    rnd = np.random.default_rng(9)
+    rows = pd.DataFrame({"at": rnd.integers(0, 12, 3000), "a": rnd.normal(size=3000), "b": rnd.integers(0, 3, 3000).astype(float)})
+    rows.loc[rows["at"] < 3, "a"] = np.nan
+    rows.loc[rnd.random(3000) < 0.2, "b"] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in rows.astype(object).itertuples(index=False)], "at int, a double, b double")
+    for bins in (2, 16, 256):
+        got = {(r["feature"], r["step"]): r["median"] for r in xg.medians_before(df, ["a", "b"], "at", 12, bins).collect()}
+        want = {(c, s): rows[rows["at"] < s][c].median() for c in "ab" for s in range(12)}
+        want = {k: v for k, v in want.items() if v == v}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
