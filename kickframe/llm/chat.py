@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,23 @@ LEARNT = "assistant"
 PART = 200_000
 
 
+#: White space as the tokenizer's pattern sees it, as the inside of a character class.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ESCAPED = re.compile(rf"\A(?=[{SPACE}])|\\|###|</turn>")
+UNESCAPED = re.compile(rf"\A\\(?=[{SPACE}])|\\(\\|###|</turn>)")
+
+
 def escape(text: str) -> str:
-    """Control strings and backslashes of a text get a backslash before them."""
-    return re.sub(r"\\|###|</turn>", lambda m: "\\" + m[0], text)
+    """Control strings, backslashes and white space at the start of a text get a backslash before them.
+
+    White space there would merge with the line end of the header into one token; white space at the end never takes in
+    the line end before the end mark, as the tokenizer splits a run of it before its last character.
+    """
+    return ESCAPED.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(\\|###|</turn>)", r"\1", text)
+    return UNESCAPED.sub(lambda m: m[1] or "", text)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -105,7 +116,8 @@ class Part:
 def format_part(turns: list[tuple[str, str]], path: str = TOKENIZER, learnt: str = LEARNT) -> Part:
     """Render turns, encode them once and mask: a token counts for the loss if it meets the text of a turn of ``learnt``.
 
-    ``loss`` has the unescaped text under the mask for each such turn: the parts of its tokens inside the turn's span.
+    ``loss`` has the unescaped text of the masked tokens for each such turn, whole tokens: one that covered template text as well
+    would be an error.
     """
     parts, spans, at = [], [], 0
     for role, text in turns:
@@ -117,20 +129,20 @@ def format_part(turns: list[tuple[str, str]], path: str = TOKENIZER, learnt: str
     whole = "".join(parts)
     coded = tokenizer_of(path).encode(whole, add_special_tokens=False)
     # several tokens may stand for one character; starts and ends never fall, which is all the search needs
-    tokens = np.array(coded.offsets, np.int64).reshape(-1, 2)
+    tokens = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(coded)).reshape(-1, 2)
     tokens = np.maximum.accumulate(tokens, axis=0) if len(tokens) else tokens
     mask, loss = np.zeros(len(tokens), bool), []
     if spans:
         number, hit = overlaps(np.array(spans), tokens)
+        if (hit[:, 1:] != tokens[number]).any():
+            raise ValueError("a token crosses the border of a learnt text")
         mask[number] = True
-        covered: list[list[str]] = [[] for _ in spans]
-        ends = [a for a, _ in spans]
-        for k, a, b in hit.tolist():
-            a = max(a, ends[k])  # characters that two tokens share count once
-            if b > a:
-                covered[k].append(whole[a:b])
-                ends[k] = b
-        loss = [unescape("".join(c)) for c in covered]
+        span, met = hit[:, 0], tokens[number]
+        if ((span[1:] == span[:-1]) & (met[1:, 0] > met[:-1, 1])).any():
+            raise ValueError("tokens of a learnt text leave a gap")
+        # without gaps the tokens of a span stand for all from the first one's start to the last one's end
+        first, last = np.searchsorted(span, np.arange(len(spans))), np.searchsorted(span, np.arange(len(spans)), side="right") - 1
+        loss = [unescape(whole[met[i, 0] : met[j, 1]]) if i <= j else "" for i, j in zip(first.tolist(), last.tolist(), strict=True)]
     return Part(whole, coded.ids, mask, loss)
 
 
@@ -253,7 +265,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return summary(rows.unionByName(hard)).drop("n_tokens", "loss_tokens")
 
 
-SQL = r"""
+SQL = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
@@ -262,6 +274,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(15 + length(regexp_replace(replace(role, chr(10), 'nn'), '(\\|###|</turn>)', '\\\1', 'g'))
-    + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+    + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + CAST(regexp_matches(text, '^[{SPACE}]') AS INT)) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """

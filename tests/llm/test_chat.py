@@ -25,6 +25,21 @@ def test_formatting_is_reversible_and_the_mask_exact():
         assert len(part.ids) == len(part.mask)
 
 
+EDGES = ["", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\\", "\\ ", "\\\n", "###", "</turn>", "<", "'s", ":", "1", "a", "é", "😀"]
+
+
+def test_no_masked_token_covers_template_text():
+    tok = chat.tokenizer_of(chat.TOKENIZER)
+    texts = [a + mid + b for a in EDGES for mid in ("", "hello", "\n") for b in EDGES]
+    for at in range(0, len(texts), 50):
+        turns = [t for text in texts[at : at + 50] for t in (("user", text), ("assistant", text))]
+        part = chat.format_part(turns)
+        assert chat.parse(part.text) == turns and part.loss == [t for r, t in turns if r == "assistant"]
+        # what the masked ids decode to are the escaped texts, and nothing of the template
+        masked = tok.decode([i for i, m in zip(part.ids, part.mask.tolist(), strict=True) if m], skip_special_tokens=False)
+        assert masked == "".join(chat.escape(t) for r, t in turns if r == "assistant")
+
+
 def test_parts_have_the_tokens_of_the_whole():
     rng = random.Random(8)
     for _ in range(500):
