@@ -12,6 +12,8 @@ from kickframe.llm.common import col, settle, table
 
 #: Blocks of one source: its rows are dealt to them by hashed id, and whole blocks are taken in permuted order.
 BLOCKS = 1024
+#: Rows of a block at most, about: larger tables have more blocks.
+BLOCK_ROWS = 20_000
 #: Parts that one job cuts the bracket of the exponent into.
 GRID = 32
 #: Source tables of at most so many rows are broadcast; larger ones are joined by shuffle.
@@ -132,15 +134,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def mixed(df: DataFrame, target: Target = Target(), seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def mixed(df: DataFrame, target: Target = Target(), seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """Rows of ``df`` once per reading, with __kf_weight, __kf_epoch, __kf_block_at and __kf_row_at behind its columns.
 
     Sorting by the last three gives the stream: epochs, in each the blocks permuted anew, in each block the rows permuted.
+    A source has BLOCKS blocks, or one for each BLOCK_ROWS rows of the table if these are more.
     Null sources form one source; null and empty texts count one token; null ids and repeated ids share one place each, so
     that their rows are taken together; an empty table stays empty.
     """
     id_, source = col(id_col), col(source_col)
     rows = settle(df.select(id_.alias("id"), source.alias("source"), tokens_of(col(text_col)).alias("tokens")))
+    blocks = blocks or max(BLOCKS, -(-rows.count() // BLOCK_ROWS))
     cuts = plan(rows, target, seed, blocks).withColumnsRenamed({n: f"__kf_{n}" for n in ("source", "weight", "epochs", "cut_block", "cut_row")})
     out = df.join(small(cuts), source.eqNullSafe(F.col("__kf_source")))
     block = block_of(id_, blocks, seed)

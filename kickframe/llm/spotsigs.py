@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.llm.common import col, table
+from kickframe.operators.ordered import RANKS, sliced
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = sorted(set("""
@@ -79,19 +80,27 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
     return F.when(apart >= reach, F.lit(0.0)).otherwise(F.when(near >= floor, near).otherwise(F.lit(0.0)))
 
 
+def dealt_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """``docs`` with ``run``: numbers that rise with the id, cut at quantiles of the ids, then once more inside each cut.
+
+    Rows that share an id share a run. Runs of null ids come last. Only ids are read for the cuts.
+    """
+    at = F.coalesce(F.col("id").cast("double"), F.lit(-(2.0**63)))
+    coarse = sliced(docs, [], at, run).withColumnRenamed("_slice", "part").drop("_last", "_off")
+    fine = sliced(coarse, ["part"], at, run)
+    number = F.col("part").cast("long") * (2 * RANKS) + F.col("_slice")
+    last = F.pmod(F.xxhash64("text"), F.lit(1024)) + 4 * RANKS * RANKS
+    return fine.select(*docs.columns, F.when(F.col("id").isNull(), last).otherwise(number).alias("run"))
+
+
 def with_next(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` (id, text) with ``after``: the text of the next id upwards, of the first after the last; ``own`` and ``theirs``: signatures.
 
-    Rows are dealt to runs of neighbouring ids, about ``run`` rows if ids are spread evenly (crowded ids make longer runs,
-    which the window spills). Texts move once; only the first row of each run is sent to the run before it. Null ids follow
+    Rows are dealt to runs of neighbouring ids of about ``run`` rows, however the ids are spread (longer ones in tables of more than
+    50,000 runs). Texts move once; only the first row of each run is sent to the run before it. Null ids follow
     all others, dealt by their text. Rows that share an id are ordered by text.
     """
-    stats = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n")).first()
-    lo, hi = stats["lo"] or 0, stats["hi"] or 0
-    width = max(1, (hi - lo + 1) * run // max(1, stats["n"]))
-    last = (hi - lo) // width + 1
-    at = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1024)) + last).otherwise(F.floor((F.col("id") - F.lit(lo)) / width))
-    dealt = docs.withColumn("run", at.cast("long")).repartition("run")
+    dealt = dealt_runs(docs, run).repartition("run")
     heads = dealt.groupBy("run").agg(F.min(F.struct("id", "text")).alias("head")).select("run", F.col("head.text").alias("text"))
     follow = _following(dealt.groupBy("run").agg(F.count("*").alias("n")).select("run"))
     tails = follow.join(heads.withColumnRenamed("run", "then"), "then").select("run", F.col("text").alias("tail"))

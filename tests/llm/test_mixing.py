@@ -77,3 +77,11 @@ def test_odd_rows(spark, odd_docs):
     assert set(have) == {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
     assert mixing.mixed(odd_docs.limit(0)).count() == 0
     assert mixing.mixed(odd_docs.where("source = 's0'")).count() == odd_docs.where("source = 's0'").count()
+
+
+def test_blocks_grow_with_the_table(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", max(1, docs.count() // 16))
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(mixing.mixed(docs)) == same(mixing.mixed(docs, blocks=-(-docs.count() // mixing.BLOCK_ROWS)))
+    assert same(mixing.mixed(docs)) != same(mixing.mixed(docs, blocks=4))

@@ -43,6 +43,20 @@ def test_runs_meet_over_gaps_and_at_the_end(spark):
         assert got == {i: f"the text number {ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
+def test_runs_are_cut_by_rows_not_by_the_range_of_ids(spark):
+    ids = [*range(300), *range(10**6, 10**6 + 300), 10**18, -(10**17)]
+    rows = [(i, f"text {i}") for i in ids] + [(None, f"none {i}") for i in range(100)] + [(7, f"again {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sizes = [r["count"] for r in spotsigs.dealt_runs(df, 20).where("id IS NOT NULL AND id <> 7").groupBy("run").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) >= 15
+    full = sorted(((i is None, i or 0, t) for i, t in rows if i is not None))
+    got = sorted(((r["id"], r["text"]), r["after"]) for r in spotsigs.with_next(df, 20).where("id IS NOT NULL").collect())
+    assert [g[0] for g in got] == [(i, t) for _, i, t in full]
+    assert [g[1] for g in got[:-1]] == [t for _, _, t in full[1:]] and got[-1][1].startswith("none")
+    nothing = df.where("id IS NULL")
+    assert sorted(r["after"] for r in spotsigs.with_next(nothing, 20).collect()) == sorted(r["text"] for r in nothing.collect())
+
+
 def test_equal_texts_single_rows_and_nulls(spark, odd_docs):
     got = spotsigs.edit_check(odd_docs).collect()
     assert len(got) == odd_docs.count()
