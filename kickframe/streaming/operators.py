@@ -23,6 +23,8 @@ PART, FRAME = 5_000, 10_000
 DAY = 86_400_000_000
 #: Rows of a finite table that a stream takes in at once.
 SLICE_ROWS = 200_000
+#: Groups that the keys of a price stream are dealt to: a group costs a few state calls a trigger, however many keys it has.
+SLOTS = 256
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -302,9 +304,10 @@ def newest(released: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class _Freshness(StatefulProcessor):
-    """The latest price of a key until it is ``ms`` old. A newer price leaves at once, an old one once more as stale, and is forgotten.
+    """The latest price of each key of a slot until it is ``ms`` old. A newer price leaves at once, an old one once more as stale, and is forgotten.
 
-    A missing tie counts as -1, a missing price as NaN.
+    A missing tie counts as -1, a missing price as NaN. The slot's live prices are one value of the state and its one timer is set at the
+    first of them to turn stale, so state calls and frames go by slots and triggers, not by keys. Rows without ``key`` are all of one key, the slot.
     """
 
     def __init__(self, ms: int, columns: Sequence[str]):
@@ -312,32 +315,51 @@ class _Freshness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, tie long, price double")
+        self.last = handle.getValueState("last", "prices string")
 
-    def _row(self, key, last: tuple, stale: bool) -> pd.DataFrame:
-        return pd.DataFrame([[*key, pd.Timestamp(last[0], unit="us"), last[1], last[2], stale]], columns=self.columns)
+    def _held(self) -> dict[str, tuple]:
+        return {k: tuple(v) for k, v in json.loads(self.last.get()[0]).items()} if self.last.exists() else {}
+
+    def _due(self, prices: dict[str, tuple]) -> int | None:
+        return min(p[0] for p in prices.values()) // 1000 + self.ms + 1 if prices else None
+
+    def _rows(self, prices: dict[str, tuple], stale: bool) -> pd.DataFrame:
+        out = pd.DataFrame([(k, *p, stale) for k, p in prices.items()], columns=self.columns)
+        at = self.columns[1]
+        return out.assign(**{at: pd.to_datetime(out[at], unit="us")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.last.get()) if self.last.exists() else None
-        new = old
+        held = self._held()
+        was, changed = self._due(held), {}
         for pdf in rows:
             us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
-            for r in zip(us.tolist(), pdf["tie"].fillna(-1).astype("int64").tolist(), pdf["price"].astype("float64").tolist(), strict=True):
-                if new is None or r[:2] > new[:2]:
-                    new = r
-        if new == old:
+            keys = pdf["key"].tolist() if "key" in pdf else [key[0]] * len(pdf)
+            for k, *r in zip(keys, us.tolist(), pdf["tie"].fillna(-1).astype("int64").tolist(), pdf["price"].astype("float64").tolist(), strict=True):
+                old = held.get(k)
+                if old is None or (r[0], r[1]) > old[:2]:
+                    held[k] = changed[k] = tuple(r)
+        if not changed:
             return
-        if old is not None:
-            self.handle.deleteTimer(old[0] // 1000 + self.ms + 1)
-        self.last.update(new)
-        self.handle.registerTimer(new[0] // 1000 + self.ms + 1)
-        yield self._row(key, new, False)
+        self.last.update((json.dumps(held),))
+        now = self._due(held)
+        if now != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(now)
+        yield self._rows(changed, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            last = tuple(self.last.get())
+        mark = math.inf if timerValues is None else timerValues.getCurrentWatermarkInMs()
+        held = self._held()
+        gone = {k: p for k, p in held.items() if p[0] // 1000 + self.ms + 1 <= mark}
+        rest = {k: p for k, p in held.items() if k not in gone}
+        if rest:
+            self.last.update((json.dumps(rest),))
+            self.handle.registerTimer(self._due(rest))
+        else:
             self.last.clear()
-            yield self._row(key, last, True)
+        if gone:
+            yield self._rows(gone, True)
 
     def close(self) -> None:
         pass
@@ -347,13 +369,14 @@ def price_changes(stream: DataFrame, keys: Sequence[str], ts: str, price: str, t
     """(keys, ts, tie, price, stale): each newer price of a key as it arrives, and once more when the watermark finds it ``hours`` old.
 
     A stale key is forgotten, so state holds the keys with a price from the last ``hours`` and the delay, not every key ever seen.
-    Null keys form a key of their own.
+    Keys are dealt to SLOTS groups by hash. Null keys form a key of their own.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     # a null in a key column makes pandas split and drop rows of its batch, so the state goes by the keys' text, which is never null
     rows = stream.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"))
-    out = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
+    out = rows.select(slot, "*").withWatermark("ts", delay).groupBy("slot").transformWithStateInPandas(
         statefulProcessor=_Freshness(hours * 3_600_000, ["key", "ts", "tie", "price", "stale"]),
         outputStructType="key string, ts timestamp, tie long, price double, stale boolean",
         outputMode="Append",

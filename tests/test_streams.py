@@ -210,3 +210,20 @@ def test_null_keys_of_prices_lose_no_rows(spark, tmp_path):
     got = sorted(((r["user_id"], r["kind"], r["tie"]) for r in out.collect() if not r["stale"]), key=str)
     want = {(u, k): i for u, k, i, _, _ in rows}
     assert got == sorted(((u, k, i) for (u, k), i in want.items()), key=str)
+
+
+def test_a_slot_of_many_prices_leaves_in_one_frame_with_one_timer():
+    import pandas as pd
+
+    p, memory = so._Freshness(6 * 3_600_000, ["key", "ts", "tie", "price", "stale"]), Memory()
+    p.init(memory)
+    hours = [i % 10 for i in range(1000)]
+    pdf = pd.DataFrame({"key": [f"k{i % 500}" for i in range(1000)], "ts": pd.to_datetime([h * 3600 for h in hours], unit="s"), "tie": range(1000), "price": [float(i) for i in range(1000)]})
+    (fresh,) = p.handleInputRows((3,), iter([pdf[:600], pdf[600:]]), None)
+    assert sorted(zip(fresh["key"], fresh["tie"], strict=True)) == sorted((f"k{i}", i + 500) for i in range(500)) and not fresh["stale"].any()
+    assert memory.timers == {6 * 3_600_000 + 1}
+    memory.timers.clear()
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 10 * 3_600_000 + 1})()
+    (gone,) = p.handleExpiredTimer((3,), now, None)  # prices of hours 0 to 4 turn stale together
+    assert sorted(gone["tie"]) == [i for i in range(500, 1000) if hours[i] <= 4] and gone["stale"].all()
+    assert memory.timers == {11 * 3_600_000 + 1} and len(p._held()) == 250
