@@ -70,7 +70,7 @@ def _(t: Tables):
     # the closing row brings the watermark to the last event
     last = ev.agg((F.max("ts") + F.expr(f"INTERVAL {DELAY}")).alias("ts")).where("ts IS NOT NULL").withColumns({"event_type": F.lit("end"), "user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long"), "value": F.lit(0.0)})
     ev = ev.unionByName(last, allowMissingColumns=True)
-    out = so.drain_in_order(ev, "ts", lambda s: so.price_changes(s, ["user_id", "event_type"], "ts", "value", "event_id", 6, DELAY), "expiry")
+    out = so.drain_in_order(ev, "ts", lambda s: so.price_changes(s, ["user_id", "event_type"], "ts", "value", "event_id", 6, DELAY), "expiry", by=["user_id", "event_type"])
     won = out.where("event_type <> 'end'").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "tie", "stale", "price")).alias("w"))
     return won.select("user_id", "event_type", F.col("w.ts").cast("timestamp_ntz").alias("ts"), F.col("w.price").alias("price"), F.col("w.stale").alias("stale"))
 
@@ -93,7 +93,7 @@ def _(t: Tables):
     cols = ["fixture_id", F.col("kickoff").cast("timestamp").alias("kickoff"), "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
     df = rt._static(typed(t), rules()).select(*cols)
     df = so.with_end(df, "kickoff", DELAY, {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
-    out = so.drain_in_order(df, "kickoff", lambda stream: so.ratings_stream(stream, "league", rules(), DELAY, BUCKET), "ratings")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.ratings_stream(stream, "league", rules(), DELAY, BUCKET), "ratings", by=["league"])
     return out.select("fixture_id", "elo_home", "elo_away", F.when(~F.isnan("delta"), F.col("delta")).alias("delta"))
 
 
@@ -105,7 +105,7 @@ def _(t: Tables):
 def _(t: Tables):
     df = t.sides.select("fixture_id", "team", "venue", F.col("kickoff").cast("timestamp").alias("kickoff"), "opp", F.col("gf").cast("double").alias("gf"))
     df = so.with_end(df, "kickoff", DELAY, {"team": F.lit("end"), "venue": F.lit("end")})
-    out = so.drain_in_order(df, "kickoff", lambda stream: so.form_stream(stream, "gf", delay=DELAY, bucket_days=BUCKET), "form")
+    out = so.drain_in_order(df, "kickoff", lambda stream: so.form_stream(stream, "gf", delay=DELAY, bucket_days=BUCKET), "form", by=["team", "venue"])
     return out.select("fixture_id", "team", "venue", F.when(~F.isnan("form"), F.col("form")).alias("form"), "n")
 
 

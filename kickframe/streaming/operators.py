@@ -21,7 +21,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PART, FRAME = 5_000, 10_000
 #: Microseconds of a day.
 DAY = 86_400_000_000
-#: Rows of a finite table that a stream takes in at once.
+#: Rows of one key that a stream takes in at once from a finite table, and of all keys for each core.
 SLICE_ROWS = 200_000
 #: Groups that the keys of a price stream are dealt to: a group costs a few state calls a trigger, however many keys it has.
 SLOTS = 256
@@ -61,17 +61,20 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return written
 
 
-def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], name: str, slice_rows: int = SLICE_ROWS, by: Sequence[str] | None = None) -> DataFrame:
     """A finite table through an append stream in slices of time, about ``slice_rows`` rows each (rows of one moment stay together).
 
-    ``build`` makes the query from the input stream. A slice is one file, files are written one after the other, and one query
-    takes a file a trigger in the order of their times. So the watermark needs no allowance for the table's order and state
-    holds a slice and the delay.
+    With ``by``, the keys of the stream, a slice has about ``slice_rows`` rows of the largest key and as many for each core, so
+    that triggers grow with the cluster. ``build`` makes the query from the input stream. The table is worked out once. A slice is
+    one file, files are written one after the other, and one query takes a file a trigger in the order of their times. So the
+    watermark needs no allowance for the table's order and state holds a slice and the delay.
     """
     spark = rows.sparkSession
-    feed = scratch_path(spark, f"{name}-in")
-    timed = rows.withColumn("__us", F.unix_micros(F.col(ts)).cast("double"))
-    n = math.ceil(rows.count() / slice_rows)
+    feed, whole = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-rows")
+    columns = rows.columns
+    rows.withColumn("__us", F.unix_micros(F.col(ts)).cast("double")).write.parquet(whole)
+    timed = spark.read.parquet(whole)
+    n = slice_count(timed, slice_rows, by)
     cuts = sorted(set(timed.approxQuantile("__us", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
     if cuts:
         staged = scratch_path(spark, f"{name}-slices")
@@ -79,14 +82,22 @@ def drain_in_order(rows: DataFrame, ts: str, build: Callable[[DataFrame], DataFr
         dealt = dealt.drop("__us").withColumn("__slice", F.col("__slice").cast("int"))
         dealt.write.partitionBy("__slice").parquet(staged)
         tables = spark.read.schema(dealt.schema).parquet(staged)
-        slices = [tables.where(F.col("__slice") == k).select(*rows.columns) for k in range(len(cuts) + 1)]
+        slices = [tables.where(F.col("__slice") == k).select(*columns) for k in range(len(cuts) + 1)]
     else:
-        slices = [rows]
+        slices = [timed.select(*columns)]
     for part in slices:
-        part.coalesce(1).write.mode("append").parquet(feed)  # about slice_rows rows, one file
+        part.coalesce(1).write.mode("append").parquet(feed)  # one file
     return drain(build(file_stream(spark, feed, rows.schema, per_trigger=1)), name)
 
 
+def slice_count(rows: DataFrame, slice_rows: int = SLICE_ROWS, by: Sequence[str] | None = None) -> int:
+    """Slices that keep the largest key, and each core's share of all rows, to about ``slice_rows`` rows; without keys, all rows."""
+    if not by:
+        return math.ceil(rows.count() / slice_rows)
+    got = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return max(math.ceil(got[0] / slice_rows), math.ceil(got[1] / (slice_rows * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "7 days") -> DataFrame:
     """First arrival per key; state is kept only as long as the watermark allows repeats."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))

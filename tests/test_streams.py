@@ -227,3 +227,14 @@ def test_a_slot_of_many_prices_leaves_in_one_frame_with_one_timer():
     (gone,) = p.handleExpiredTimer((3,), now, None)  # prices of hours 0 to 4 turn stale together
     assert sorted(gone["tie"]) == [i for i in range(500, 1000) if hours[i] <= 4] and gone["stale"].all()
     assert memory.timers == {11 * 3_600_000 + 1} and len(p._held()) == 250
+
+
+def test_slices_go_by_the_largest_key_and_the_cores(spark, matches):
+    assert so.slice_count(matches, 60) == 4
+    assert so.slice_count(matches, 60, ["league"]) == 2 and so.slice_count(matches, 60, ["home"]) == 1 and so.slice_count(matches.limit(0), 60, ["home"]) == 0
+    rules = rt.EloRules()
+    cols = ["fixture_id", "kickoff", "league", "home", "away", "k_base", "home_edge", "type_mult", "margin_mult", "actual"]
+    whole = so.with_end(rt._static(matches, rules).select(*cols), "kickoff", "1 day", {"league": F.lit("end"), "home": F.lit("end"), "away": F.lit("end")})
+    out = so.drain_in_order(whole, "kickoff", lambda s: so.ratings_stream(s, "league", rules, "1 day"), "ratings", slice_rows=60, by=["league"]).collect()
+    want = {r["fixture_id"]: r["elo_home"] for r in rt.elo_series(matches, "league", rules).collect()}
+    assert len(out) == 240 and all(abs(r["elo_home"] - want[r["fixture_id"]]) < 1e-9 for r in out)
