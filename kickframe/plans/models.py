@@ -12,7 +12,7 @@ from kickframe.operators.sides import SIDE_COLUMNS, side_rows, to_matches
 from kickframe.plans.clean import shots
 from kickframe.plans.fixtures import CUTOFF, Tables, sql
 from kickframe.plans.registry import query
-from kickframe.session import cut_lineage
+from kickframe.session import cut_lineage, stored
 
 CUT = f"TIMESTAMP '{CUTOFF}'"
 MIDDLE = "2000-01-01"
@@ -299,6 +299,7 @@ def _(t: Tables):
     sql(f"SELECT fixture_id, FALSE AS odd FROM inputs WHERE kickoff >= {CUT}", "scored sides", INPUTS_CTE),
 )
 def _(t: Tables):
-    df = inputs(t).withColumn("over", (F.col("ft_home") + F.col("ft_away") > 2.5).cast("double"))
+    df = inputs(t).select("fixture_id", "kickoff", *INPUTS, (F.col("ft_home") + F.col("ft_away") > 2.5).cast("double").alias("over"))
+    df = stored(df)  # every fit and fold reads it
     out = ml.ensemble(df.filter(before()), df.filter(~before()), INPUTS, "over")
     return out.select("fixture_id", (~F.col("p").between(0.0, 1.0)).alias("odd"))

@@ -57,6 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written once to the shared folder: later readers take its columns from there and don't work it out again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def python_partitions(spark: SparkSession) -> int:
     """Partitions for Python work on few bytes: AQE would merge them by size and leave cores idle."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
