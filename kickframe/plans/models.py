@@ -205,7 +205,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Score equations of the ridge over the early rows: mean residual, and mean residual x group minus the penalty's pull."""
     groups = {"attack": ["shots_for_l5_home", "sot_for_l5_home"], "defence": ["shots_for_l5_away", "sot_for_l5_away"], "set_play": ["corners_for_l5_home", "corners_for_l5_away"]}
-    df = inputs(t)
+    df = stored(inputs(t).select("fixture_id", "kickoff", "league", "ft_home", *[c for cols in groups.values() for c in cols]))  # read four times
     out = ml.ridge_combiner(df.filter(before()), df, groups, "ft_home")
     off = F.col("ft_home") - F.col("mu_global")
     early = lambda c: F.avg(F.when(before(), c))
