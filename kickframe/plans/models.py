@@ -255,6 +255,7 @@ def _(t: Tables):
     """Trees before the middle cut, isotonic curve between the cuts (its sum is the goals there), scores for later shots."""
     s = shots(t).join(t.matches.select("fixture_id", "kickoff"), "fixture_id")
     s = s.withColumns({"dist": shot_distance_m("x", "y"), "angle": shot_angle_deg("x", "y"), "goal": (F.col("result") == "Goal").cast("double")})
+    s = stored(s.select("kickoff", "dist", "angle", "shot_type", "situation", "goal"))  # read by every pass of the fit
     middle = ~before(MIDDLE) & before()
     out = ml.shot_classifier(s.filter(before(MIDDLE)), s.filter(middle), s.filter(~before(MIDDLE)), ["dist", "angle"], ["shot_type", "situation"], "goal")
     return out.agg(
