@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kickframe.session import stored
+
 #: Rows of a slice, about; keys with fewer rows stay whole.
 SLICE_ROWS = 100_000
 #: Cuts of a whole table at most: slices grow instead, so that the cuts, which go to every task, stay a few MB.
@@ -50,14 +52,15 @@ def sliced(df: DataFrame, keys: Sequence[str], at: Column, rows: int | None = No
     keys, names = list(keys), [f"_k{i}" for i, _ in enumerate(keys)]
     by = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
     whole = [F.lit(0).alias("_slice"), F.lit(0).alias("_last"), F.lit(0).cast("long").alias("_off")]
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sizes.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
+    sizes = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    seen = sizes(df).agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
     most = max(rows or SLICE_ROWS, least, -(-(seen["total"] or 0) // CUTS))
     if (seen["top"] or 0) <= most:
         return df.select("*", *whole)
     spark = df.sparkSession
+    df = stored(df)  # the sketch, the counts, the slices and what callers aggregate per slice read it
     df = df.withColumn("_at", at.cast("double"))
-    big = sizes.where(F.col("_n") > most).select(*names, F.least(F.ceil(F.col("_n") / most), F.lit(RANKS)).cast("int").alias("_m"))
+    big = sizes(df).where(F.col("_n") > most).select(*names, F.least(F.ceil(F.col("_n") / most), F.lit(RANKS)).cast("int").alias("_m"))
     grid = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / RANKS) for i in range(1, RANKS)]))
     sketch = df.select(*keys, "_at").join(F.broadcast(big), _same(keys, names)).groupBy(*names, "_m").agg(F.kll_sketch_agg_double("_at", F.lit(SKETCH)).alias("_s")).withColumn("_q", grid)
     raw = sketch.select(*names, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_m") - 1), lambda i: F.get("_q", F.floor(i * F.lit(RANKS) / F.col("_m")).cast("int") - 1))).alias("_raw"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kickframe.functions.cols import unix
 from kickframe.operators.ordered import running
-from kickframe.session import cut_lineage
+from kickframe.session import stored
 
 # Bucket bounds and labels.
 ODDS_STEPS = [(1.70, "<1.70"), (2.10, "1.70-2.09"), (2.60, "2.10-2.59")]
@@ -83,7 +83,7 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[str], at: str, step
     """Deepest fall of the running sum below its peak, the peak starting at zero."""
     cut = F.col(at)
     first = running(df.withColumn("_step", step), keys, order, {"_eq": F.col("_step")}, cut, inclusive=True)
-    first = cut_lineage(first)
+    first = stored(first)
     second = running(first, keys, order, {}, cut, maxes={"_peak": F.col("_eq")}, inclusive=True)
     fall = F.col("_eq") - F.greatest(F.lit(0), F.col("_peak"))
     return second.groupBy(*keys).agg(F.least(F.lit(0.0), F.min(fall)).alias("max_drawdown"))

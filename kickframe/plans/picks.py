@@ -16,7 +16,7 @@ from kickframe.plans.fixtures import Tables, sql
 from kickframe.plans.markets import VAL_CTE, valued
 from kickframe.plans.registry import query
 from kickframe.plans.summaries import BETS_SQL, bets
-from kickframe.session import cut_lineage
+from kickframe.session import cut_lineage, stored
 
 
 def ID():
@@ -431,6 +431,7 @@ RUN_SQL = """h AS (SELECT league, kickoff, fixture_id, (p_over >= 0.5) = (ft_hom
 def _(t: Tables):
     hit = (F.col("p_over") >= 0.5) == (F.col("ft_home") + F.col("ft_away") > 2.5)
     df = t.priced.select("league", "kickoff", "fixture_id", hit.alias("hit"), unix("kickoff").alias("cut"))
+    df = stored(df)  # read by three windows
     order = ["kickoff", "fixture_id"]
     runs = st.longest_losing_run(df, ["league"], order, F.col("cut"))
     step = F.when(F.col("hit"), 1.0).otherwise(-1.0)
