@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from kickframe.operators import ratings as rt
@@ -17,6 +19,8 @@ from kickframe.streaming import operators as so
 DELAY = "1 day"
 #: Days of rows that wait together; a key waits with at most the rows of a slice and the delay.
 BUCKET = 365
+#: Events in a file of an arrival, about.
+ARRIVAL_ROWS = 1_000_000
 
 
 def event_stream(t: Tables):
@@ -51,10 +55,10 @@ def _(t: Tables):
     delay = "4000 days"
     feed = so.with_end(feed, "ts", delay, {"event_type": F.lit("end")})
     path = scratch_path(t.spark, "updates")
-    for k in range(3):
-        feed.where(F.col("event_id").isNotNull() & (F.pmod(F.xxhash64("event_id", "v"), F.lit(3)) == k)).coalesce(1).write.mode("append").parquet(path)
+    files = max(1, math.ceil(ev.count() / ARRIVAL_ROWS))  # of one arrival; any file may come at any time but the closing row's
+    feed.where("event_id IS NOT NULL").repartition(3 * files, "event_id", "v").write.parquet(path)
     feed.where("event_id IS NULL").coalesce(1).write.mode("append").parquet(path)
-    stream = so.latest_versions(so.file_stream(t.spark, path, feed.schema, per_trigger=1), ["event_id"], "ts", "v", ["event_type", "value"], "1 day", delay)
+    stream = so.latest_versions(so.file_stream(t.spark, path, feed.schema, per_trigger=files), ["event_id"], "ts", "v", ["event_type", "value"], "1 day", delay)
     out = so.newest(so.drain(stream, "versions"), ["event_id"])
     return out.where("event_id IS NOT NULL").select("event_id", F.col("version_ts").cast("timestamp_ntz").alias("version_ts"), "event_type", "value")
 

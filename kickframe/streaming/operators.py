@@ -300,9 +300,10 @@ def latest_versions(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, v
     """(keys, version_ts, values): the latest update of every key, released once ``hold`` has passed without another one.
 
     An update wins by (event time, ``tie``), whatever the order of arrival; repeats change nothing. State is one row per key that was
-    updated within hold and delay. A key that is updated again after its release is released again: readers keep the latest version
+    updated within hold and delay, kept off the heap. A key that is updated again after its release is released again: readers keep the latest version
     (``newest``). Updates later than ``delay`` are dropped by the watermark and counted in the query's progress.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     won = F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.struct(*values).alias("v"))).alias("w")
     out = stream.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, hold)).agg(won)
     return out.select(*keys, F.col("w.ts").alias("version_ts"), F.col("w.tie").alias("version_tie"), *[F.col(f"w.v.{v}").alias(v) for v in values])
