@@ -8,6 +8,7 @@ per round are the only exchanges.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -232,32 +233,32 @@ def full_market_picks(preds: DataFrame, markets: dict[str, tuple[Column, Column,
 
 # ---------------------------------------------------------------- rule strategies over a valued book
 
+# Each gives the condition on a book row; ``_fav`` is the largest 1X2 probability of the row's fixture.
 
-def strategy_favourite(book: DataFrame, min_prob: float = 0.52, min_edge: float = 0.01, min_odds: float = 1.6, gap: float = 40.0) -> DataFrame:
+
+def strategy_favourite(min_prob: float = 0.52, min_edge: float = 0.01, min_odds: float = 1.6, gap: float = 40.0) -> Column:
     lead = F.when(F.col("outcome") == "H", F.col("elo_home") - F.col("elo_away")).when(F.col("outcome") == "A", F.col("elo_away") - F.col("elo_home"))
-    return book.filter((F.col("market") == "1X2") & (lead >= gap) & _worth(min_prob, min_edge, min_odds))
+    return (F.col("market") == "1X2") & (lead >= gap) & _worth(min_prob, min_edge, min_odds)
 
 
-def strategy_totals(book: DataFrame, line: str = "2.5", min_prob: float = 0.57, min_edge: float = 0.01, min_odds: float = 1.6) -> DataFrame:
-    return book.filter((F.col("market") == f"OU {line}") & _worth(min_prob, min_edge, min_odds))
+def strategy_totals(line: str = "2.5", min_prob: float = 0.57, min_edge: float = 0.01, min_odds: float = 1.6) -> Column:
+    return (F.col("market") == f"OU {line}") & _worth(min_prob, min_edge, min_odds)
 
 
-def strategy_interval(book: DataFrame, min_prob: float = 0.40, min_edge: float = 0.03, min_odds: float = 1.6) -> DataFrame:
-    return book.filter((F.col("market") == "TG Interval") & _worth(min_prob, min_edge, min_odds))
+def strategy_interval(min_prob: float = 0.40, min_edge: float = 0.03, min_odds: float = 1.6) -> Column:
+    return (F.col("market") == "TG Interval") & _worth(min_prob, min_edge, min_odds)
 
 
-def strategy_underdog(book: DataFrame, max_fav: float = 0.6, min_edge: float = 0.01, min_odds: float = 1.4) -> DataFrame:
+def strategy_underdog(max_fav: float = 0.6, min_edge: float = 0.01, min_odds: float = 1.4) -> Column:
     """Double chance where no outcome is a strong favourite."""
-    fav = book.filter("market = '1X2'").groupBy("fixture_id").agg(F.max("prob").alias("_fav"))
-    dc = book.filter("market = 'DC'").join(fav, "fixture_id")
-    return dc.filter((F.col("_fav") <= max_fav) & (F.col("edge") >= min_edge) & (F.col("odds") >= min_odds)).drop("_fav")
+    return (F.col("market") == "DC") & (F.col("_fav") <= max_fav) & (F.col("edge") >= min_edge) & (F.col("odds") >= min_odds)
 
 
 def _worth(min_prob: float, min_edge: float, min_odds: float) -> Column:
     return (F.col("prob") >= min_prob) & (F.col("edge") >= min_edge) & (F.col("odds") >= min_odds)
 
 
-# registry of DataFrame -> DataFrame plug-ins, used with df.transform
+# registry of row rules, all tried in one pass over the book
 STRATEGIES = {
     "favourite": strategy_favourite,
     "totals": strategy_totals,
@@ -267,12 +268,15 @@ STRATEGIES = {
 
 
 def run_strategies(book: DataFrame, names: list[str]) -> DataFrame:
-    """Union of the chosen strategies, tagged."""
-    out = None
-    for n in names:
-        part = book.transform(STRATEGIES[n]).withColumn("strategy", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Book rows that a chosen strategy takes, once per strategy and tagged with it; the book is worked out once."""
+    fixture = F.col("fixture_id").isNotNull()
+    fav = F.max(F.when((F.col("market") == "1X2") & fixture, F.col("prob"))).over(W.partitionBy("fixture_id"))
+    rules = {n: STRATEGIES[n]() for n in names}
+    met = F.array_compact(F.array(*[F.when(rule, F.lit(n)) for n, rule in rules.items()]))
+    # only 1X2 rows and those that nothing but the favourite can rule out are sorted by fixture
+    maybe = reduce(lambda a, b: a | b, [~rule.eqNullSafe(F.lit(False)) for rule in rules.values()], F.col("market") == "1X2")
+    book = book.withColumn("_fav", F.lit(None).cast("double")).where(maybe).drop("_fav")
+    return book.withColumn("_fav", fav).withColumn("strategy", F.explode(met)).drop("_fav")
 
 
 def stakes(bets: DataFrame, bankroll: float = 1000.0, flat: float = 10.0, kelly: float = 0.25, min_mult: float = 0.4) -> DataFrame:
