@@ -83,11 +83,12 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
 def dealt_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with ``run``: numbers that rise with the id, cut at quantiles of the ids, then once more inside each cut.
 
-    Rows that share an id share a run. Runs of null ids come last. Only ids are read for the cuts.
+    Rows that share an id share a run. Runs of null ids come last. Only ids are read for the cuts; texts are not
+    stored.
     """
     at = F.coalesce(F.col("id").cast("double"), F.lit(-(2.0**63)))
-    coarse = sliced(docs, [], at, run).withColumnRenamed("_slice", "part").drop("_last", "_off")
-    fine = sliced(coarse, ["part"], at, run)
+    coarse = sliced(docs, [], at, run, store=False).withColumnRenamed("_slice", "part").drop("_last", "_off")
+    fine = sliced(coarse, ["part"], at, run, store=False)
     number = F.col("part").cast("long") * (2 * RANKS) + F.col("_slice")
     last = F.pmod(F.xxhash64("text"), F.lit(1024)) + 4 * RANKS * RANKS
     return fine.select(*docs.columns, F.when(F.col("id").isNull(), last).otherwise(number).alias("run"))

@@ -42,12 +42,13 @@ def _place(cuts: str, at: str) -> Column:
     return F.when(F.col(cuts).isNull() | F.col(at).isNull(), 0).otherwise(found)
 
 
-def sliced(df: DataFrame, keys: Sequence[str], at: Column, rows: int | None = None, least: int = 1) -> DataFrame:
+def sliced(df: DataFrame, keys: Sequence[str], at: Column, rows: int | None = None, least: int = 1, store: bool = True) -> DataFrame:
     """``df`` with ``_slice`` (0, 1, ... along ``at``), ``_last`` (the key's last slice) and ``_off`` (rows of the key in earlier slices).
 
     ``at`` is a number that never falls along the order; equal values share a slice. Every slice but a key's first has at least
     ``least`` rows. Rows are counted first, which runs a job; only where a key has more than ``rows`` rows its cuts are looked for. The
-    table of cuts has at most 2 x CUTS entries, whatever the table's size, and goes to all tasks.
+    table of cuts has at most 2 x CUTS entries, whatever the table's size, and goes to all tasks. Without
+    ``store`` a table that is cut is not written first but read anew for the cuts, keys and ``at`` only: right for wide rows of a plain scan.
     """
     keys, names = list(keys), [f"_k{i}" for i, _ in enumerate(keys)]
     by = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
@@ -58,7 +59,7 @@ def sliced(df: DataFrame, keys: Sequence[str], at: Column, rows: int | None = No
     if (seen["top"] or 0) <= most:
         return df.select("*", *whole)
     spark = df.sparkSession
-    df = stored(df)  # the sketch, the counts, the slices and what callers aggregate per slice read it
+    df = stored(df) if store else df  # the sketch, the counts, the slices and what callers aggregate per slice read it
     df = df.withColumn("_at", at.cast("double"))
     big = sizes(df).where(F.col("_n") > most).select(*names, F.least(F.ceil(F.col("_n") / most), F.lit(RANKS)).cast("int").alias("_m"))
     grid = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / RANKS) for i in range(1, RANKS)]))

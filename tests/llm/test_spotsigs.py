@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from kickframe.llm import spotsigs
+from kickframe.session import shared_dir
 
 
 def spots(text):
@@ -109,3 +111,11 @@ def test_small_likeness_is_reported(spark):
     a, b = map(spots, texts)
     assert 0 < len(a & b) / len(a | b) < 0.01
     assert abs(got - len(a & b) / len(a | b)) < 1e-12
+
+
+def test_runs_are_cut_without_a_copy_of_the_texts(spark):
+    docs = spark.range(200).select("id", F.concat(F.lit("the text number "), F.col("id")).alias("text"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert spotsigs.with_next(docs, 20).count() == 200
+    assert set(folder.iterdir()) == before
