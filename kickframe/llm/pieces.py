@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,9 +24,9 @@ LIFT = 3.0
 #: Chunks up to this length are summed as plain numbers, longer ones as logarithms.
 PLAIN = 150
 #: Code points of distinct chunks whose lattices are held at once.
-GROUP = 600_000
-#: Code points of texts that are encoded together.
-STEP = 3_000_000
+GROUP = 100_000
+#: Code points of texts that are encoded together: with GROUP they set the memory of a worker.
+STEP = 1_000_000
 DENSE = 256
 
 
@@ -302,17 +303,17 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model, alpha)
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in steps([len(t or "") for t in texts], STEP):
-            got = encode_rows([t or "" for t in texts[a:b]], [seed_of(k, seed) for k in keys[a:b]], lattice)
+        for a, b in steps(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), STEP):
+            keys, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
+            got = encode_rows([t or "" for t in texts], [seed_of(k, seed) for k in keys], lattice)
             flat = pa.array(np.concatenate(got))
             counts = np.fromiter(map(len, got), np.int64, len(got))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts[a:b]] + [False]))
-            back = [decode_row(g, lattice) for g in got] if check else [t or "" for t in texts[a:b]]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+            back = [decode_row(g, lattice) for g in got] if check else [t or "" for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat), pa.array(counts),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == (t or "") for x, t in zip(back, texts[a:b], strict=True)]),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == (t or "") for x, t in zip(back, texts, strict=True)]),
                 ],
                 ["doc_id", "piece_ids", "n_pieces", "decoded_sha256", "lossless"],
             )

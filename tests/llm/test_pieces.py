@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -77,3 +79,17 @@ def test_frame(spark, odd_docs):
     back = {(r["doc_id"], r["text"]) for r in pieces.decode(got).collect()}
     assert back == {(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()}
     assert pieces.encode(odd_docs.limit(0)).count() == 0
+
+
+def test_a_step_of_rare_words_takes_little_memory(lattice):
+    rng = random.Random(5)
+    words = (" ".join("".join(rng.choices("aeioustnrl", k=rng.randint(5, 12))) for _ in range(200)) for _ in range(10_000))
+    texts, held = [], 0
+    while held < pieces.STEP:
+        texts.append(next(words))
+        held += len(texts[-1])
+    tracemalloc.start()
+    coded(texts, lattice)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
