@@ -6,6 +6,7 @@ import os
 import re
 from functools import lru_cache
 from itertools import repeat
+from operator import is_not
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,18 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 CUT = re.compile(r"(?= \S)")
 #: A space with white space behind it, whichever kind.
 WIDE = r" [\s\pZ\x0b\x1c-\x1f\x{85}]"
+#: A line's end with white space beside it.
+LOOSE_LINE = r"\n[\s\pZ\x0b\x1c-\x1f\x{85}]|[\s\pZ\x0b\x1c-\x1f\x{85}]\n"
+#: Signs at the end of a piece that are tokens of their own when a letter or digit stands before them.
+SIGNS = ".,;:!?"
+#: Letters and digits below this are the same in every Unicode version in use.
+OLD = "\u0500"
 #: Pieces up to this many code points are remembered; longer ones are encoded wherever they occur.
 SHORT = 48
 #: Ids of remembered pieces held by a worker; beyond it the memory starts anew.
 HELD = 3_000_000
-#: Bytes of unknown pieces that go to the tokenizer as one text.
-RUN = 100_000
+#: Bytes of unknown pieces that go to the tokenizer as one text: of long texts a piece takes longer.
+RUN = 4_000
 
 
 @lru_cache(maxsize=4)
@@ -60,12 +67,14 @@ class Encoder:
         self.tokenizer = tokenizer_of(path, plain)
         self.size = np.array([len(b) for b in token_bytes(path)], np.int64)
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = "" if any(set(SIGNS) & set(t) for t in self.special) else SIGNS
         self.forget()
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # of the remembered pieces; the arrays have room at their ends
+        self.n_ids = 0
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,58 +98,114 @@ class Encoder:
         at[order] = ends - counts[order]
         return flat[_ranges(at, counts)], counts
 
-    def _keys(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(keys of pieces, their order in the texts, pieces of each text).
+    def _keys(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of pieces, 1 for keys behind a line's end, their numbers in the order of the texts, pieces of each text).
 
-        A word stands for itself with the space before it; a key that begins with a space is the piece behind that space. Where
-        spaces meet other white space a text is cut sign by sign, with special tokens inside not at all.
+        A word stands for itself with the space before it; a key that begins with a space is the piece behind that space. Where spaces meet other white space a text is cut sign by sign,
+        with special tokens inside not at all.
         """
         odd, whole = pc.match_substring_regex(texts, WIDE).to_numpy(zero_copy_only=False), np.zeros(len(texts), bool)
         for token in self.special:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         plain = ~(odd | whole)
-        lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
-        flat, counts = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
-        head = np.zeros(len(flat), bool)
-        head[np.cumsum(counts) - counts] = True
-        tails = flat.filter(pa.array(~head))
+        tight = texts.filter(pa.array(plain))
+        # a single line's end between signs is a token of its own
+        tight = pc.if_else(pc.match_substring_regex(tight, LOOSE_LINE), tight, pc.replace_substring(tight, "\n", " \n"))
+        lists = pc.split_pattern(tight, " ")
+        counts, coded = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        keys, number = coded.dictionary.to_pylist(), np.array(coded.indices, np.int64)
+        line = np.flatnonzero(pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False))
+        head = np.cumsum(counts) - counts
+        apart = [" " + keys[k] for k in number[head].tolist()]
+        number[head] = len(keys) + np.arange(len(head))
+        for k in line.tolist():
+            keys[k] = " " + keys[k][1:]
         others = [[t] if w else CUT.split(t) for t, w in zip(texts.filter(pa.array(~plain)).to_pylist(), whole[~plain].tolist(), strict=True)]
-        apart = [" " + p for p in flat.filter(pa.array(head)).to_pylist()] + [" " + p for pieces in others for p in pieces]
         per_text = np.zeros(len(texts), np.int64)
         per_text[plain], per_text[~plain] = counts, [len(x) for x in others]
-        start = np.cumsum(per_text) - per_text
-        place, at = np.empty(int(per_text.sum()), np.int64), _ranges(start[plain], counts)
-        place[at[~head]], place[at[head]] = np.arange(len(tails)), len(tails) + np.arange(len(counts))
-        place[_ranges(start[~plain], per_text[~plain])] = len(tails) + np.arange(len(counts), len(apart))
-        return pa.concat_arrays([tails, pa.array(apart, pa.large_string())]), place, per_text
+        keys += apart
+        if others:
+            start, every = np.cumsum(per_text) - per_text, np.empty(int(per_text.sum()), np.int64)
+            every[_ranges(start[plain], counts)] = number
+            every[_ranges(start[~plain], per_text[~plain])] = len(keys) + np.arange(int(per_text[~plain].sum()))
+            keys, number = keys + [" " + p for pieces in others for p in pieces], every
+        lines = np.zeros(len(keys), np.int64)
+        lines[line] = 1
+        return keys, lines, number, per_text
+
+    def _parts(self, keys: list[str], lines: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(keys of parts, their numbers in the order of the keys, parts of each key).
+
+        The line's end before a word and the signs behind it are parts of their own.
+        """
+        stems = [k.rstrip(self.signs) for k in keys]
+        cut = []
+        for i in np.flatnonzero(np.fromiter(map(is_not, keys, stems), bool, len(keys))).tolist():
+            last = stems[i][-1:]
+            if OLD > last and last.isalnum():
+                cut.append(i)
+            else:
+                stems[i] = keys[i]
+        tails = [" " + keys[i][len(stems[i]) :] for i in cut]
+        counts = 1 + lines
+        counts[cut] += 1
+        ends = np.cumsum(counts)
+        order = np.full(int(counts.sum()), len(keys) + len(tails))
+        order[ends - counts + lines] = np.arange(len(keys))
+        order[ends[cut] - 1] = len(keys) + np.arange(len(cut))
+        return [*stems, *tails, " \n"], order, counts
+
+    def _known(self, parts: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(slot of every part, pieces to be forgotten after use). Unknown parts are encoded, short ones before long ones."""
+        slot = np.fromiter(map(self.slots.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(slot < 0)
+        if not len(new):
+            return slot, []
+        unknown = list(map(parts.__getitem__, new.tolist()))
+        fresh = list(dict.fromkeys(unknown))
+        long = [k for k in fresh if len(k) > SHORT]
+        if long:
+            fresh = [k for k in fresh if len(k) <= SHORT] + long
+        ids, counts = self._pieces_ids(fresh)
+        n = len(self.slots)
+        self.starts = _laid(self.starts, n, self.n_ids + np.cumsum(counts) - counts)
+        self.counts = _laid(self.counts, n, counts)
+        self.ids = _laid(self.ids, self.n_ids, ids)
+        self.n_ids += len(ids)
+        index = dict(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.slots.update(index)
+        slot[new] = np.fromiter(map(index.__getitem__, unknown), np.int64, len(new))
+        return slot, long
 
     def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, count of each text)."""
-        if len(self.ids) > HELD:
+        if self.n_ids > HELD:
             self.forget()
-        keys, place, per_text = self._keys(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
-        coded = keys.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        slot = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(slot < 0)
-        fresh = list(map(distinct.__getitem__, new.tolist()))
-        ids, counts = self._pieces_ids(fresh)
-        starts = np.cumsum(counts) - counts
-        slot[new] = len(self.starts) + np.arange(len(new))
-        all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.counts, counts])
-        use = slot[coded.indices.to_numpy()[place]]
-        out = all_ids[_ranges(all_starts[use], all_counts[use])]
-        sums = np.concatenate([[0], np.cumsum(all_counts[use])])
-        kept = np.flatnonzero(np.fromiter(map(len, fresh), np.int64, len(fresh)) <= SHORT)
-        words = list(map(fresh.__getitem__, kept.tolist()))
-        self.slots.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts[kept]) - counts[kept]])
-        self.counts = np.concatenate([self.counts, counts[kept]])
-        self.ids = np.concatenate([self.ids, ids[_ranges(starts[kept], counts[kept])]])
-        ends = np.cumsum(per_text)
+        keys, lines, number, per_text = self._keys(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        parts, order, n_parts = self._parts(keys, lines)
+        slot, long = self._known(parts)
+        slot = slot[order]
+        # ids of every key first, then of the texts
+        counts = self.counts[slot].astype(np.int64)
+        key_ids = self.ids[_ranges(self.starts[slot], counts)]
+        sums, edge = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(n_parts)
+        starts = sums[edge - n_parts]
+        counts = (sums[edge] - starts)[number]
+        out = key_ids[_ranges(starts[number], counts)]
+        for key in long:
+            self.n_ids -= int(self.counts[self.slots.pop(key)])
+        sums, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(per_text)
         return out, sums[ends] - sums[ends - per_text]
 
 
+def _laid(into: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``into`` with ``more`` behind its first ``n`` items, and room for the next ones."""
+    if n + len(more) > len(into):
+        into = np.concatenate([into[:n], np.zeros(n // 2 + len(more), into.dtype)])
+    into[n : n + len(more)] = more
+    return into
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every range, laid end to end."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())

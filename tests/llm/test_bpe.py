@@ -27,3 +27,17 @@ def test_token_bytes_spell_the_text():
     for _ in range(300):
         text = "".join(rng.choices(BITS, k=rng.randint(0, 14)))
         assert b"".join(spell[i] for i in tokenizer_of(PATH, True).encode(text, add_special_tokens=False).ids) == text.encode()
+
+
+def test_signs_and_lines_are_parts_of_their_own():
+    rng = random.Random(3)
+    bits = ["a", "Ω", "Ж", "ʰ", "²", "٣", "语", "'s", "'", ",", ".", "?!", ")", "\n", "\n", "\n\n", "\r\n", " ", " ", " ", " ", "͸", "ß", "12"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 16))) for _ in range(6000)]
+    encode = Encoder()
+    ids, counts = encode(texts)
+    want = [e.ids for e in tokenizer_of(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    # a word is learnt once, whatever stands behind it
+    encode.forget()
+    encode(["x house, house.\nHouse house; house!\nhouse"])
+    assert {k.strip() for k in encode.slots} == {"x", "house", "House", ",", ".", ";", "!", ""}
