@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -60,8 +63,12 @@ def _raw_coef(b: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 
 #: Rows of one league in one block; larger leagues are spread over several.
 BLOCK_ROWS = 20_000
-#: Rows weighed against all fits at once.
+#: Rows of one league that are stored as one piece.
 STEP = 2_000
+#: Rows weighed against all later fits at once: their numbers stay in a core's cache.
+CHUNK = 128
+#: Rows of a partition, on average.
+PART_ROWS = 500_000
 #: Coarse bins that a column's values are counted in before medians are refined inside single bins.
 BINS = 256
 #: Stand-ins for columns without any earlier value.
@@ -123,6 +130,25 @@ def medians_before(rows: DataFrame, columns: list[str], step: str, steps: int, b
     return halves.groupBy("feature", "step").agg(F.sum(F.when(F.col("halves") == 2, (F.col("a") + F.col("b")) / 2).otherwise(F.col("a") / 2)).alias("median"))
 
 
+class _Piece(NamedTuple):
+    """Some rows of one league in order of their step of the calendar, and the league's reference rating at each step."""
+
+    league: str
+    ref: np.ndarray
+    x: np.ndarray
+    goals: np.ndarray
+    elo: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+    week: np.ndarray
+    venue: Sequence[str]
+
+    def known(self) -> _Piece:
+        """The rows to learn from."""
+        ok = ~np.isnan(self.goals)
+        return self if ok.all() else self._replace(x=self.x[ok], goals=self.goals[ok], elo=self.elo[ok], at=self.at[ok])
+
+
 class _Fits:
     """Coefficients of all fits, in the space of a row's known values, of marks for its missing ones and of its opponent factor.
 
@@ -141,7 +167,10 @@ class _Fits:
         if with_factor:
             self.maps[:, -1, -1] = 1.0
         self.upper = np.triu_indices(self.k)
-        self.width = len(self.upper[0]) + self.k + with_factor * (self.k + 2)
+        self.width = len(self.upper[0]) + self.k + with_factor * (self.k + 1)
+
+    #: Columns of a stored piece.
+    STORED = "league string, ref binary, x binary, goals binary, elo binary, at binary, ids binary, week binary, venue array<string>"
 
     def runs(self, batches):
         """(rows of one league, its reference rating at each fit) in steps of bounded size; a block's head has the sums."""
@@ -154,56 +183,100 @@ class _Fits:
                 if head[a] == 1:
                     total, n = np.zeros(len(self.overall) + 1), np.zeros(len(self.overall) + 1)
                     row = part.iloc[0]
-                    if row["_rs"] is not None:
-                        total[np.asarray(row["_rs"], int) + 1] = row["_rt"]
-                        n[np.asarray(row["_rs"], int) + 1] = row["_rn"]
+                    for r in json.loads(row["_r"] or "[]"):
+                        total[r["_at"] + 1], n[r["_at"] + 1] = float(r["s"]), r["n"]
                     total, n = total.cumsum()[:-1], n.cumsum()[:-1]
                     ref = np.where(n > 0, total / np.maximum(n, 1.0), self.overall)
                     part = part.iloc[1:]
                 for s in range(0, len(part), STEP):
                     yield part.iloc[s : s + STEP], ref
 
-    def numbers(self, part):
-        x = part[self.features].to_numpy(float)
+    def stored(self, batches):
+        """Rows of a block as pieces of plain numbers, which a pass reads without converting them again."""
+        for part, ref in self.runs(batches):
+            part = part.sort_values("_at", kind="stable")
+            numbers = lambda c, kind=float: part[c].to_numpy(kind).tobytes()  # noqa: B023, E731
+            yield pd.DataFrame(
+                {
+                    "league": [part["_lg"].iloc[0]], "ref": [ref.astype(float).tobytes()], "x": [numbers(self.features)], "goals": [numbers("_y")], "elo": [numbers("_elo")],
+                    "at": [numbers("_at", np.int32)], "ids": [numbers("fixture_id", np.int64)], "week": [numbers("week", np.int64)], "venue": [part["venue"].to_numpy()],
+                }
+            )
+
+    def pieces(self, batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                at, number = np.frombuffer(r.at, np.int32), lambda x: np.frombuffer(x, float)
+                yield _Piece(r.league, number(r.ref), number(r.x).reshape(len(at), -1), number(r.goals), number(r.elo), at, np.frombuffer(r.ids, np.int64), np.frombuffer(r.week, np.int64), r.venue)
+
+    def numbers(self, x):
         gone = np.isnan(x)
         marks = gone[:, [self.features.index(g) for g in self.gaps]].astype(float)
         return np.column_stack([np.ones(len(x)), np.where(gone, 0.0, x), marks])
 
-    def factor(self, part, ref):
+    def factor(self, elo, ref):
         """Opponent's rating over the reference, clipped; 1 without a rating or with a reference of 0 or less."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            f = np.clip(part["_elo"].to_numpy(float)[:, None] / ref[None, :], *self.limits)
-        return np.where(np.isnan(f) | (ref[None, :] <= 0), 1.0, f)
-
-    def sums(self, part, ref, coef, at, acc):
-        """Adds the rows' ``mu z z'`` and ``(mu - y) z`` of the fits numbered ``at`` to ``acc``."""
-        z, y = self.numbers(part), part["_y"].to_numpy(float)
-        seen = (part["_at"].to_numpy()[:, None] < at[None, :]) * 1.0
-        lin = z @ coef[:, : self.k].T
-        f = self.factor(part, ref[at]) if self.with_factor else None
-        if f is not None:
-            lin += f * coef[:, -1]
-        mu = np.exp(np.clip(lin, -30, 30)) * seen
-        n = len(self.upper[0])
-        acc[:, :n] += mu.T @ (z[:, self.upper[0]] * z[:, self.upper[1]])
-        acc[:, n : n + self.k] += mu.T @ z - seen.T @ (z * y[:, None])
-        if f is not None:
-            acc[:, n + self.k : n + 2 * self.k] += (mu * f).T @ z
-            acc[:, -2] += (mu * f * f).sum(0)
-            acc[:, -1] += (mu * f).sum(0) - (seen * f * y[:, None]).sum(0)
+            f = np.clip(elo / ref, *self.limits)
+        return np.where(np.isnan(f) | (ref <= 0), 1.0, f)
+
+    def weighed(self, piece, z, coef, at):
+        """(rows, first fit, mu, factor): fitted goals of a few rows by all fits from the first one that knows one of them.
+
+        Rows stand in order of time, so fits before them are left out; a fit that doesn't know a row has 0 there.
+        """
+        if self.with_factor:
+            plain = piece.ref[at] > 0
+            scale = 1.0 / np.where(plain, piece.ref[at], 1.0)
+            rated = ~np.isnan(piece.elo)
+        for s in range(0, len(z), CHUNK):
+            rows = slice(s, s + CHUNK)
+            when = piece.at[rows]
+            lo, hi = np.searchsorted(at, when[0], side="right"), np.searchsorted(at, when[-1], side="right")
+            if lo == len(at):
+                break
+            mu, f = z[rows] @ coef[lo:, : self.k].T, None
+            if self.with_factor:
+                f = np.multiply.outer(piece.elo[rows], scale[lo:])
+                np.clip(f, *self.limits, out=f)
+                if not rated[rows].all():
+                    f[~rated[rows]] = 1.0
+                if not plain[lo:].all():
+                    f[:, ~plain[lo:]] = 1.0
+                mu += f * coef[lo:, -1]
+            np.clip(mu, -30, 30, out=mu)
+            np.exp(mu, out=mu)
+            if hi > lo:
+                mu[:, : hi - lo] *= when[:, None] < at[None, lo:hi]
+            yield rows, lo, mu, f
+
+    def sums(self, piece, coef, at, acc, goals=None):
+        """Adds the rows' ``mu z z'`` and ``mu z`` of the fits numbered ``at`` to ``acc``, and ``mu y z`` to ``goals`` if given."""
+        z = self.numbers(piece.x)
+        both = np.column_stack([z[:, self.upper[0]] * z[:, self.upper[1]], z])
+        n = both.shape[1]
+        for rows, lo, mu, f in self.weighed(piece, z, coef, at):
+            acc[lo:, :n] += mu.T @ both[rows]
+            y = piece.goals[rows]
+            if goals is not None:
+                goals[lo:, : self.k] += mu.T @ (z[rows] * y[:, None])
+            if f is not None:
+                mu *= f
+                acc[lo:, n : n + self.k] += mu.T @ z[rows]
+                acc[lo:, -1] += np.einsum("ij,ij->j", mu, f)
+                if goals is not None:
+                    goals[lo:, -1] += y @ mu
 
     def unpacked(self, stats, fit):
-        """(sum of mu z z', sum of (mu - y) z) of one fit over filled values."""
+        """(sum of mu z z', sum of mu z) of one fit over filled values."""
         n, k = len(self.upper[0]), self.k
         full = np.zeros((k + self.with_factor, k + self.with_factor))
         full[self.upper] = stats[:n]
         full[:k, :k] += np.triu(full[:k, :k], 1).T
-        grad = stats[n : n + k]
         if self.with_factor:
             full[-1, :k] = full[:k, -1] = stats[n + k : n + 2 * k]
-            full[-1, -1] = stats[-2]
-            grad = np.append(grad, stats[-1])
-        return self.maps[fit] @ full @ self.maps[fit].T, self.maps[fit] @ grad
+            full[-1, -1] = stats[-1]
+        return self.maps[fit] @ full @ self.maps[fit].T, self.maps[fit] @ full[0]
 
 
 def weekly_fits(
@@ -256,7 +329,7 @@ def weekly_fits(
     train = rows.where("_t")
 
     # one row per step of the calendar
-    sums = [F.count_if("_t").alias("n"), F.sum("_elo").alias("rt"), F.count("_elo").alias("rn")]
+    sums = [F.count(F.lit(1)).alias("all"), F.count_if("_t").alias("n"), F.sum("_elo").alias("rt"), F.count("_elo").alias("rn")]
     for v in ("home", "away"):
         sums += [F.sum(F.when(F.col("venue") == v, F.col("_y"))).alias(f"y_{v}"), F.count_if((F.col("venue") == v) & F.col("_t")).alias(f"n_{v}")]
     sums += [F.count_if(F.col(x).isNull()).alias(f"gone{x}") for x in xs]
@@ -272,48 +345,52 @@ def weekly_fits(
     # rows of one league side by side, large leagues in several blocks, each behind a head with the league's sums of ratings
     parts = F.ceil(F.col("_size") / F.lit(BLOCK_ROWS)).cast("int")
     sizes = rows.groupBy("_lg").agg(F.count(F.lit(1)).alias("_size")).withColumn("_parts", parts).drop("_size")
+    dealt = max(python_partitions(spark), -(-int(per["all"].sum()) // PART_ROWS))
     table = rows.join(sizes, "_lg").withColumns({"_b": F.pmod(F.xxhash64("fixture_id", "venue"), F.col("_parts")).cast("int"), "_head": F.lit(0), "fixture_id": F.col("fixture_id").cast("long")}).drop("_parts", "_ok")
     if f_on:
         rated = rows.where("_elo IS NOT NULL").groupBy("_lg", "_at").agg(F.sum("_elo").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
         rated = rated.groupBy("_lg").agg(F.collect_list(F.struct("_at", "s", "n")).alias("_r"))
-        heads = sizes.join(rated, "_lg", "left").select("_lg", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_b"), F.lit(1).alias("_head"), F.col("_r._at").alias("_rs"), F.col("_r.s").alias("_rt"), F.col("_r.n").alias("_rn"))
+        heads = sizes.join(rated, "_lg", "left").select("_lg", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_b"), F.lit(1).alias("_head"), F.to_json("_r").alias("_r"))  # as text: arrays that most rows lack are slow to send
         heads = heads.withColumns({c: F.lit(0).cast(table.schema[c].dataType) for c in ("fixture_id", "week", "_at", "_t")})  # no nulls: ids stay whole numbers
         table = table.unionByName(heads, allowMissingColumns=True)
-    table = cut_lineage(table.repartition(python_partitions(spark), "_lg", "_b").sortWithinPartitions("_lg", "_b", F.desc("_head")))
+    table = table.repartition(dealt, "_lg", "_b").sortWithinPartitions("_lg", "_b", F.desc("_head"), "_at")
 
     fits = _Fits(xs, gaps, fills, overall, limits, int(f_on))
+    table = cut_lineage(table.mapInPandas(fits.stored, fits.STORED))
     at = np.flatnonzero(before["n"] >= max(min_rows, 1))
     nf, width = before["n"][at], fits.width
-    names = [f"v{i}" for i in range(width)]
 
-    def partial(coef: np.ndarray, some: np.ndarray):
+    def measure(coef: np.ndarray, some: np.ndarray, goals: bool = False) -> np.ndarray:
+        """One pass: sums of the fits numbered ``some``, a row each, with ``goals`` the sums of goals behind them."""
+        names = [f"v{i}" for i in range(width + goals * (fits.k + f_on))]
+
         def run(batches):
-            acc = np.zeros((len(some), width))
-            for part, ref in fits.runs(batches):
-                part = part[part["_t"].to_numpy(bool)]
-                if len(part):
-                    fits.sums(part, ref, coef, some, acc)
+            acc = np.zeros((len(some), len(names)))
+            for piece in fits.pieces(batches):
+                piece = piece.known()
+                if len(piece.at):
+                    fits.sums(piece, coef, some, acc[:, :width], acc[:, width:] if goals else None)
             yield pd.DataFrame(np.column_stack([np.arange(len(some)), acc]), columns=["fit", *names])
 
-        return run
-
-    def measure(coef: np.ndarray, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         schema = "fit double, " + ", ".join(f"{v} double" for v in names)
-        got = table.mapInPandas(partial(coef, some), schema).groupBy("fit").agg(*[F.sum(v).alias(v) for v in names]).orderBy("fit").toPandas().to_numpy()[:, 1:]
-        return [fits.unpacked(got[i], m) for i, m in enumerate(some)]
+        got = table.mapInPandas(run, schema).groupBy("fit").agg(*[F.sum(v).alias(v) for v in names]).orderBy("fit").toPandas()
+        return got.to_numpy()[:, 1:]
 
     b, raw, score = np.zeros((len(at), fits.q)), np.zeros((len(at), fits.q)), np.zeros(len(at))
     spread = lambda: np.stack([fits.maps[m].T @ raw[i] for i, m in enumerate(at)])
     if len(at):
-        plain = measure(np.zeros((len(at), fits.k + f_on)), at)  # with every mu = 1: sums, squares and goals
-        mean = np.stack([h[0, 1:] for h, _ in plain]) / nf[:, None]
-        var = np.stack([np.diag(h)[1:] for h, _ in plain]) / nf[:, None] - mean**2
+        plain = measure(np.zeros((len(at), fits.k + f_on)), at, goals=True)  # with every mu = 1: sums, squares and goals
+        seen = np.stack([fits.maps[m] @ g for m, g in zip(at, plain[:, width:], strict=True)])
+        plain = [fits.unpacked(v, m)[0] for v, m in zip(plain[:, :width], at, strict=True)]
+        mean = np.stack([h[0, 1:] for h in plain]) / nf[:, None]
+        var = np.stack([np.diag(h)[1:] for h in plain]) / nf[:, None] - mean**2
         std = np.where(var > 1e-12, np.sqrt(np.maximum(var, 1e-300)), 1.0)
-        b[:, 0] = np.log(np.maximum([(h[0, 0] - g[0]) / n for (h, g), n in zip(plain, nf, strict=True)], 1e-6))
+        b[:, 0] = np.log(np.maximum(seen[:, 0] / nf, 1e-6))
         live = np.arange(len(at))
         for _ in range(rounds + 1):  # a fit's last pass measures what its rounds have reached; settled fits leave
             raw[live] = [_raw_coef(b[i], mean[i], std[i]) for i in live]
-            stats = measure(spread()[live], at[live])
+            stats = [fits.unpacked(v, at[i]) for i, v in zip(live, measure(spread()[live], at[live]), strict=True)]
+            stats = [(h, g - seen[i]) for i, (h, g) in zip(live, stats, strict=True)]
             score[live] = [g[0] / nf[i] for i, (_, g) in zip(live, stats, strict=True)]
             nxt = np.stack([_newton_step(np.concatenate([h.ravel(), g]), nf[i], mean[i], std[i], b[i], alpha) for i, (h, g) in zip(live, stats, strict=True)])
             moved = np.abs(nxt - b[live]).max(1) >= tol
@@ -335,20 +412,15 @@ def weekly_fits(
     which = {int(m): i for i, m in enumerate(at)}
 
     def predict(batches):
-        for part, ref in fits.runs(batches):
-            if not len(part):
-                continue
-            m, z = part["_at"].to_numpy(), fits.numbers(part)
+        for piece in fits.pieces(batches):
+            m, z, venue = piece.at, fits.numbers(piece.x), np.asarray(piece.venue, object)
             pick = np.array([which.get(int(s), -1) for s in m])
-            out = np.where(part["venue"].to_numpy() == "home", venue_mean["home"][m], venue_mean["away"][m])
-            f = np.full(len(part), np.nan)
-            if f_on:
-                for s in np.unique(m):
-                    f[m == s] = fits.factor(part[m == s], ref[s : s + 1])[:, 0]
+            out = np.where(venue == "home", venue_mean["home"][m], venue_mean["away"][m])
+            f = fits.factor(piece.elo, piece.ref[m]) if f_on else np.full(len(m), np.nan)
             ok = pick >= 0
             lin = (z[ok] * coef[pick[ok]][:, : fits.k]).sum(1) + (f[ok] * coef[pick[ok]][:, -1] if f_on else 0.0)
             out[ok] = np.exp(np.clip(lin, -30, 30))
-            yield pd.DataFrame({"fixture_id": part["fixture_id"], "venue": part["venue"], "league": part["_lg"], "week": part["week"], "_fit": marks[m], "factor": f, "raw": out})
+            yield pd.DataFrame({"fixture_id": piece.ids, "venue": venue, "league": piece.league, "week": piece.week, "_fit": marks[m], "factor": f, "raw": out})
 
     got = table.mapInPandas(predict, "fixture_id long, venue string, league string, week long, _fit long, factor double, raw double")
     got = got.join(leagues.select("league", F.col("week").alias("_fit"), "multiplier"), ["league", "_fit"], "left").drop("_fit")
@@ -372,19 +444,18 @@ def _league_goals(table: DataFrame, fits: _Fits, coef: np.ndarray, at: np.ndarra
 
     def run(batches):
         got: dict[str, np.ndarray] = {}
-        for part, ref in fits.runs(batches):
-            part = part[part["_t"].to_numpy(bool)]
-            if not len(part) or not len(at):
+        for piece in fits.pieces(batches):
+            piece = piece.known()
+            if not len(piece.at) or not len(at):
                 continue
-            lg = part["_lg"].iloc[0]
+            lg = piece.league
             if lg not in got and len(got) >= held:
                 yield frame(got)
                 got = {}
-            seen = (part["_at"].to_numpy()[:, None] < at[None, :]) * 1.0
-            lin = fits.numbers(part) @ coef[:, : fits.k].T
-            if fits.with_factor:
-                lin += fits.factor(part, ref[at]) * coef[:, -1]
-            new = np.stack([seen.sum(0), seen.T @ part["_y"].to_numpy(float), (np.exp(np.clip(lin, -30, 30)) * seen).sum(0)])
+            upto = lambda w: np.concatenate([[0.0], np.bincount(piece.at, w, minlength=len(fits.overall)).cumsum()])[at]  # noqa: B023, E731
+            new = np.stack([upto(None), upto(piece.goals), np.zeros(len(at))])
+            for _, lo, mu, _ in fits.weighed(piece, fits.numbers(piece.x), coef, at):
+                new[2, lo:] += mu.sum(0)
             got[lg] = got[lg] + new if lg in got else new
         yield frame(got)
 

@@ -96,6 +96,7 @@ def _(t: Tables):
     league ratios or predictions that don't follow from their parts."""
     shots = F.when(F.col("shots_for") > 0, F.col("sot_for") / F.col("shots_for").cast("double"))
     s = side_rows(t.rated, SIDE_COLUMNS | {"opp_elo": ("elo_away", "elo_home")}).withColumns({"week": xg.week_index("kickoff"), "sot_share_for": shots, "is_home": (F.col("venue") == "home").cast("double")})
+    s = stored(s.select("fixture_id", "venue", "league", "week", "gf", "opp_elo", "corners_for", "pos_for", "sot_share_for", "is_home", *REQUIRED))  # read by the fits and their report
     made = xg.weekly_fits(s, ["shots_for", "sot_for", "corners_for", "pos_for", "sot_share_for", "is_home"], required=REQUIRED, opponent="opp_elo", calibration=xg.Calibration(), rounds=60)
     rows = made.xg.where("xg IS NOT NULL").join(s.select("fixture_id", "venue", "gf"), ["fixture_id", "venue"])
     sound = F.col("xg").between(EPS, 30.0) & (F.abs(F.col("xg") - F.col("raw") * F.col("multiplier")) < EPS) & F.col("multiplier").between(0.85, 1.15)

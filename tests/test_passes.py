@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from kickframe.operators import joins as jn
 from kickframe.operators import ordered
 from kickframe.operators import picks as pk
 from kickframe.operators import settle as st
+from kickframe.operators import xg
 from kickframe.streaming import operators as so
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +136,35 @@ def test_name_similarities_equal_the_column_function(spark):
     made = jn.name_similarities(names, names)
     for r in pairs.select("i", "j", jn.name_similarity(F.col("a"), F.col("b")).alias("s")).collect():
         assert (r["s"] is None and made[r["i"], r["j"]] != made[r["i"], r["j"]]) or r["s"] == made[r["i"], r["j"]]
+
+
+def test_a_fit_is_weighed_against_the_rows_before_it_only(monkeypatch):
+    monkeypatch.setattr(xg, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    n, steps = 300, 40
+    when = np.sort(rng.integers(0, steps, n)).astype(np.int32)
+    x = rng.random((n, 2))
+    x[rng.random(n) < 0.2, 1] = np.nan
+    goals, elo = rng.poisson(1.3, n).astype(float), rng.normal(1500, 200, n)
+    goals[::31], elo[::17] = np.nan, np.nan
+    ref = rng.normal(1500, 30, steps)
+    ref[5] = -1.0
+    fits = xg._Fits(["_x0", "_x1"], ["_x1"], {"_x1": rng.random(steps)}, ref, (0.8, 1.2), 1)
+    at = np.arange(3, steps)
+    coef = rng.normal(0, 0.2, (len(at), fits.k + 1))
+    piece = xg._Piece("A", ref, x, goals, elo, when, np.arange(n), when.astype(np.int64), ["home"] * n).known()
+    cells = sum(mu.size for _, _, mu, _ in fits.weighed(piece, fits.numbers(piece.x), coef, at))
+    before = int((piece.at[:, None] < at[None, :]).sum())
+    assert before <= cells <= before + len(at) * 7 * 3 and cells < 0.65 * len(piece.at) * len(at)
+    acc, seen = np.zeros((len(at), fits.width)), np.zeros((len(at), fits.k + 1))
+    fits.sums(piece, coef, at, acc, seen)
+    z = np.column_stack([np.ones(len(piece.at)), np.nan_to_num(piece.x), np.isnan(piece.x[:, 1])])
+    for i, m in enumerate(at):
+        ok = piece.at < m
+        f = np.ones(len(z)) if ref[m] <= 0 else np.where(np.isnan(piece.elo), 1.0, np.clip(piece.elo / ref[m], 0.8, 1.2))
+        zf = np.column_stack([z, f])[ok]
+        mu = np.exp(zf @ coef[i])
+        hess, grad = fits.unpacked(acc[i], m)
+        np.testing.assert_allclose(hess, fits.maps[m] @ (zf.T @ (zf * mu[:, None])) @ fits.maps[m].T, rtol=1e-10)
+        np.testing.assert_allclose(grad, fits.maps[m] @ (zf.T @ mu), rtol=1e-10)
+        np.testing.assert_allclose(seen[i], zf.T @ (mu * piece.goals[ok]), rtol=1e-10)
