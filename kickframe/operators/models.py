@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.stat import Correlation
@@ -20,9 +21,11 @@ from kickframe.operators.quantiles import grouped_quantiles
 from kickframe.session import cut_lineage
 
 
-def fit_isotonic(df: DataFrame, prob: str, label: str, out: str = "p_cal"):
+def fit_isotonic(df: DataFrame, prob: str, label: str, out: str = "p_cal", weight: str | None = None):
     """Monotone calibration curve; rows of equal probability collapse to one weighted row before the fit."""
-    binned = df.groupBy(F.col(prob).cast("double").alias(prob)).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("w"))
+    w = F.col(weight) if weight else F.lit(1.0)
+    mean = F.sum(F.col(label) * w) / F.sum(F.when(F.col(label).isNotNull(), w)) if weight else F.avg(label)
+    binned = df.groupBy(F.col(prob).cast("double").alias(prob)).agg(mean.alias(label), F.sum(w).alias("w"))
     return IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="w", predictionCol=out).fit(binned)
 
 
@@ -150,15 +153,55 @@ def strength_means(rows: DataFrame, attack: DataFrame, defence: DataFrame, venue
     return out.withColumn("mu", factor * F.coalesce("attack", F.lit(a)) * F.coalesce("defence", F.lit(d)))
 
 
+#: Bins of a numeric feature: as many as Spark's trees make of one.
+BINS = 32
+#: Rows of a table that goes to every task.
+CELLS = 200_000
+
+
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS, points: int = 4096) -> dict[str, list[float]]:
+    """Borders that part each column into at most ``bins`` bins: between all values of one with few, else at quantiles of all rows."""
+    sketch = [F.percentile_approx(F.col(c).cast("double"), [i / points for i in range(points + 1)], 10_000).alias(c) for c in columns]
+    got, out = df.agg(*sketch).first(), {}
+    for c in columns:
+        at = np.array(got[c] or [], float)
+        values = np.unique(at[~np.isnan(at)])
+        few = len(values) <= bins
+        out[c] = ((values[1:] + values[:-1]) / 2 if few else np.unique(at[[round(i * points / bins) for i in range(1, bins)]])).tolist()
+    return out
+
+
+def in_bin(c: str, edges: Sequence[float]) -> Column:
+    """Number of the bin of a value; null and NaN stay."""
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x), x).otherwise(sum(((x > e).cast("double") for e in edges), x * 0.0))
+
+
 def shot_classifier(early: DataFrame, middle: DataFrame, df: DataFrame, numeric: Sequence[str], categories: Sequence[str], label: str, iters: int = 10) -> DataFrame:
-    """Goal probability of a shot from geometry and one-hot labels: trees on the early rows, isotonic curve on the middle ones."""
-    idx = StringIndexer(inputCols=list(categories), outputCols=[f"_i_{c}" for c in categories], handleInvalid="keep")
+    """Goal probability of a shot from geometry and one-hot labels: trees on the early rows, isotonic curve on the middle ones.
+
+    Trees split a number between its bins only, so rows that agree in bins, categories and label are one cell weighing as
+    many rows: every row counts, in one pass, and the rounds of the fit run over cells. All rows of a cell have one score.
+    """
+    edges = bin_edges(early, numeric)
+    bins = {f"_b_{c}": in_bin(c, e) for c, e in edges.items()}
+    keys = [*bins, *categories]
+    cells = lambda d: d.withColumns(bins).groupBy(*keys, label).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    learnt = cut_lineage(cells(early))
+    labels = [[r[0] for r in learnt.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("c")).agg(F.sum("_w").alias("n")).orderBy(F.desc("n"), "c").collect()] for c in categories]  # as StringIndexer
+    idx = StringIndexerModel.from_arrays_of_labels(labels, inputCols=list(categories), outputCols=[f"_i_{c}" for c in categories], handleInvalid="keep")
     hot = OneHotEncoder(inputCols=[f"_i_{c}" for c in categories], outputCols=[f"_h_{c}" for c in categories])
-    va = VectorAssembler(inputCols=[*numeric, *[f"_h_{c}" for c in categories]], outputCol="_x")
-    gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=iters, maxDepth=3, seed=7)
-    trees = Pipeline(stages=[idx, hot, va, gbt]).fit(early)
+    va = VectorAssembler(inputCols=[*bins, *[f"_h_{c}" for c in categories]], outputCol="_x")
+    gbt = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=iters, maxDepth=3, seed=7)
+    trees = Pipeline(stages=[idx, hot, va, gbt]).fit(learnt)
     raw = lambda d: trees.transform(d).withColumn("p_raw", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", *[f"_{k}_{c}" for k in "ih" for c in categories])
-    return fit_isotonic(raw(middle), "p_raw", label, "p_goal").transform(raw(df))
+    curve = fit_isotonic(raw(cut_lineage(cells(middle))), "p_raw", label, "p_goal", "_w")
+    asked = df.withColumns(bins)
+    scored = cut_lineage(curve.transform(raw(asked.select(*keys).distinct())).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "p_raw", "p_goal"))
+    if scored.count() <= CELLS:
+        scored = F.broadcast(scored)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return asked.join(scored, same).select(*df.columns, "p_raw", "p_goal")
 
 
 def line_classifier(df: DataFrame, features: Sequence[str], count: Column, line: float, late: Column, iters: int = 10) -> DataFrame:

@@ -7,10 +7,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from kickframe.operators import joins as jn
+from kickframe.operators import models as ml
 from kickframe.operators import ordered
 from kickframe.operators import picks as pk
 from kickframe.operators import settle as st
@@ -168,3 +172,30 @@ def test_a_fit_is_weighed_against_the_rows_before_it_only(monkeypatch):
         np.testing.assert_allclose(hess, fits.maps[m] @ (zf.T @ (zf * mu[:, None])) @ fits.maps[m].T, rtol=1e-10)
         np.testing.assert_allclose(grad, fits.maps[m] @ (zf.T @ mu), rtol=1e-10)
         np.testing.assert_allclose(seen[i], zf.T @ (mu * piece.goals[ok]), rtol=1e-10)
+
+
+def test_shot_trees_fit_cells_of_all_rows(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1200):
+        dist, angle, kind = float(rnd.randint(0, 19)), rnd.randint(1, 12) * 0.1, rnd.choice(["Header", "Foot", "Foot", None])
+        rows.append((i, dist, angle, kind, float(rnd.random() < 0.9 / (1 + 0.2 * dist) + (0.1 if kind == "Foot" else 0.0))))
+    df = spark.createDataFrame(rows, "id long, dist double, angle double, kind string, goal double").repartition(3, "id")
+    (early, seen), (middle, seen_middle), late = counted(df.where("id < 800")), counted(df.where("id >= 800 AND id < 1000")), df.where("id >= 800")
+    got = {r["id"]: r for r in ml.shot_classifier(early, middle, late, ["dist", "angle"], ["kind"], "goal", iters=4).collect()}
+    assert set(got) == set(range(800, 1200)) and seen.value == 2 * 800 and seen_middle.value == 200
+    # few values a column: the bins lose nothing, so the trees are those of the rows
+    stages = [StringIndexer(inputCol="kind", outputCol="k", handleInvalid="keep"), OneHotEncoder(inputCols=["k"], outputCols=["h"]), VectorAssembler(inputCols=["dist", "angle", "h"], outputCol="x")]
+    plain = Pipeline(stages=[*stages, GBTClassifier(featuresCol="x", labelCol="goal", maxIter=4, maxDepth=3, seed=7)]).fit(df.where("id < 800"))
+    for r in plain.transform(late).collect():
+        assert abs(r["probability"][1] - got[r["id"]]["p_raw"]) < 1e-9
+    assert abs(sum(got[i]["p_goal"] for i in range(800, 1000)) - sum(r[4] for r in rows[800:1000])) < 1e-6
+
+
+def test_bins_of_a_column_with_many_values_have_like_sizes(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"), F.lit(None).cast("double").alias("gone"))
+    edges = ml.bin_edges(df, ["v", "gone"])
+    assert len(edges["v"]) == 31 and edges["gone"] == []
+    sizes = [r["n"] for r in df.groupBy(ml.in_bin("v", edges["v"]).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 32 and max(sizes) < 1.05 * 625 and min(sizes) > 0.95 * 625
+    assert spark.createDataFrame([(float("nan"),), (None,), (-1.0,)], "v double").select(ml.in_bin("v", [0.0]).alias("b")).where("b IS NULL OR isnan(b)").count() == 2
